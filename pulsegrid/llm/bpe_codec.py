@@ -39,7 +39,7 @@ from pulsegrid.llm.byte_pairs import BYTE_OF_LETTER, WORD_LEVEL_PATTERN, Vocabul
 from pulsegrid.llm.common import chunks
 
 #: Encodings of short words and verdicts on pairs that are remembered, so many at most in each Python worker.
-REMEMBERED_WORDS, SHORT, REMEMBERED_PAIRS = 250_000, 40, 500_000
+REMEMBERED_WORDS, SHORT, REMEMBERED_PAIRS = 400_000, 40, 500_000
 CHUNK_BYTES = 4 << 20
 _END = "Ā"  # stands for the end-of-word suffix; bytes are spelled in Latin-1, so it is free
 _NEVER = 1 << 62
@@ -58,7 +58,9 @@ class Encoder:
             ends = bool(vocab.suffix) and text.endswith(vocab.suffix)
             letters = text[: -len(vocab.suffix)] if ends else text
             spelled = "".join(chr(BYTE_OF_LETTER[c]) for c in letters) + _END * ends
-            self.automaton.add_word(spelled, (token, len(spelled)))
+            if len(spelled) > 255:
+                raise ValueError("a token of more than 255 bytes does not fit the automaton's payload")
+            self.automaton.add_word(spelled, token << 8 | len(spelled))
         self.automaton.make_automaton()
         self.whole: dict[int, bool] = {}
         for token in sorted(vocab.id_of.values(), key=lambda t: vocab.parts.get(t, (0, 0, -1))[2]):
@@ -105,10 +107,11 @@ class Encoder:
         spelled = word.decode("latin-1") + (_END if self.vocab.suffix else "")
         n, whole, follows = len(spelled), self.whole, self.follows
         last, length = [-1] * (n + 1), [0] * (n + 1)
-        for end, (token, size) in self.automaton.iter(spelled):
+        for end, found in self.automaton.iter(spelled):
             at = end + 1
-            if last[at] >= 0 or not whole[token]:
+            if last[at] >= 0 or not whole[token := found >> 8]:
                 continue
+            size = found & 255
             start = at - size
             if start == 0 or (before := last[start]) >= 0 and follows(before, token):
                 last[at], length[at] = token, size

@@ -25,7 +25,7 @@ from pulsegrid.llm.byte_pairs import BYTE_LEVEL_PATTERN, Vocabulary, vocabulary,
 from pulsegrid.llm.common import chunks
 
 #: Counts of short pieces are remembered, so many at most in each Python worker.
-REMEMBERED, SHORT = 400_000, 48
+REMEMBERED, SHORT = 800_000, 48
 CHUNK_BYTES = 4 << 20
 
 
