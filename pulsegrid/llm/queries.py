@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe_codec, exact_dedup, sharding, token_counts
+from pulsegrid.llm import bpe_codec, exact_dedup, near_dedup, secrets, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,20 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's credentials, told apart by who else carries them; a source is an owner, a document a repository."""
+    out = secrets.scan_secrets(_documents(spark, sf_dir), owner_col="source", repository_col="doc_id")
+    base = secrets.span_text(F.col("found"), secrets.KINDS[:3])
+    return out.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.span_text(F.col("found")).alias("spans"), "n_live", "n_example"
+    )
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near duplicates."""
+    return near_dedup.near_groups(_documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's group of equal texts."""
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
@@ -39,6 +53,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op4_secret_scan": op4_secret_scan,
+    "op6_near_dedup": op6_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
