@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe_codec, decontaminate, exact_dedup, near_dedup, secrets, sharding, token_counts
+from pulsegrid.llm import bpe_codec, decontaminate, exact_dedup, language_id, near_dedup, pii, secrets, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,13 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, under a fixed key; in production the key is a secret of the caller."""
+    out = pii.pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), key="registered-query")
+    spans = F.array_join(F.transform("pii", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"], s["was_valid"])), ",")
+    return out.select("doc_id", *(pii.count_of(k).alias(f"n_{k}") for k in pii.KINDS), spans.alias("spans"), "text")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near duplicates."""
     return near_dedup.near_groups(_documents(spark, sf_dir))
@@ -48,6 +55,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by a model of the labelled documents outside the held-out fold."""
+    docs = _documents(spark, sf_dir)
+    held_out = (language_id.fold_of(F.col("doc_id")) == 2).alias("held_out")
+    out = language_id.predict(docs, language_id.fit(docs))
+    return out.select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place among eight shards, and its shard if there were nine."""
     tree = sharding.Tree.even(8)
@@ -64,8 +79,10 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_secret_scan": op4_secret_scan,
+    "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_near_dedup": op6_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_language_id": op8_language_id,
     "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
 }
