@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -177,29 +178,38 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _map(docs: DataFrame, path: str | None, id_col: str, text_col: str, fields: list[T.StructField], row) -> DataFrame:
+def _map(docs: DataFrame, path: str | None, id_col: str, text_col: str, fields: list[T.StructField], columns) -> DataFrame:
+    """id, n_tokens and the columns that `columns` makes of a batch's packed identifiers and decoded texts."""
     path = path or vocabulary_path("word_bpe_49k.json")
-    schema = T.StructType([docs.schema[id_col], *fields])
+    schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = codec(path).encode_packed
         for whole in batches:
             for batch in chunks(whole, 1, CHUNK_BYTES):
-                rows = [row(*encode(t or "")) for t in batch.column(1).to_pylist()]
-                columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
-                kinds = [pa.list_(pa.int32()) if isinstance(f.dataType, T.ArrayType) else pa.int64() if f.dataType == T.LongType() else pa.string() for f in fields]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.names)
+                found = [encode(t or "") for t in batch.column(1).to_pylist()]
+                packed, texts = [x[0] for x in found], [x[1] for x in found]
+                counts = pa.array([len(x) // 4 for x in packed], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), counts, *columns(packed, texts)], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def _as_lists(packed: list[bytes], texts: list[str]) -> list[pa.Array]:
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
+    ids = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int32)
+    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array(texts, pa.string())]
+
+
+def _as_digests(packed: list[bytes], texts: list[str]) -> list[pa.Array]:
+    return [pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())]
+
+
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, token_ids (array of int), decoded text."""
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
-    return _map(docs, path, id_col, text_col, fields, lambda ids, text: (len(ids) // 4, list(struct.unpack(f"<{len(ids) // 4}I", ids)), text))
+    return _map(docs, path, id_col, text_col, [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())], _as_lists)
 
 
 def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256."""
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return _map(docs, path, id_col, text_col, fields, lambda ids, text: (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    return _map(docs, path, id_col, text_col, [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())], _as_digests)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe_codec, decontaminate, exact_dedup, language_id, near_dedup, pii, secrets, sharding, token_counts
+from pulsegrid.llm import bpe_codec, decontaminate, exact_dedup, language_id, licences, near_dedup, pii, secrets, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence, if it is one, and the licences its lines state."""
+    out = licences.scan_licences(_documents(spark, sf_dir), licences.known_licences(spark))
+    return out.select("doc_id", "licence", F.array_join("notices", ",").alias("notices"), "n_lines")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the byte-level vocabulary."""
     return token_counts.token_counts(_documents(spark, sf_dir))
@@ -77,6 +83,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_licence_scan": op2_licence_scan,
     "op3_token_counts": op3_token_counts,
     "op4_secret_scan": op4_secret_scan,
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
@@ -88,6 +95,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_licence_scan": licences.oracle_sql(),
     "op1_decontamination": r"""
 WITH d AS (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
