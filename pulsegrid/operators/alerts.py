@@ -58,7 +58,7 @@ def silence_validate(silences: DataFrame) -> DataFrame:
     """Ends filled in from `duration` (seconds) where not given, and `error`: why a silence is refused, or null."""
     rows = silences
     if "duration" in silences.columns:
-        rows = rows.withColumn("ends_at", F.coalesce("ends_at", F.timestamp_micros(F.unix_micros("starts_at") + (F.col("duration") * 1_000_000).cast("long"))))
+        rows = rows.withColumn("ends_at", F.coalesce("ends_at", F.timestamp_micros(F.unix_micros("starts_at") + (F.col("duration").cast("double") * 1_000_000).cast("long"))))
 
     def usable(m: Column) -> Column:
         pattern = m["op"].isin("=~", "!~")

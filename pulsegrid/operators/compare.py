@@ -13,6 +13,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most values on a side for which the exact distribution is used.
 EXACT_LIMIT = 20
@@ -66,7 +67,7 @@ def p_value(n1: int, n2: int, u: float, ties: float) -> tuple[float, str]:
     return min(1.0, math.erfc(-z / math.sqrt(2))), "normal"
 
 
-@F.pandas_udf("p double, method string")
+@F.pandas_udf(T.StructType([T.StructField("p", T.DoubleType()), T.StructField("method", T.StringType())]))
 def _p_values(n1: pd.Series, n2: pd.Series, u: pd.Series, ties: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([p_value(int(a), int(b), float(x), float(t)) for a, b, x, t in zip(n1, n2, u, ties, strict=True)], columns=["p", "method"])
 

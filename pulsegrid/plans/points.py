@@ -59,7 +59,7 @@ def _json_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_batches(spark, sf_dir):
     rows = ingest.read_batches(_json_batches(spark, sf_dir))
-    return rows.select("user_id", "day", "error", F.col("batch.agent_id").alias("agent_id"), F.size("batch.metrics").alias("n_metrics"), F.get(F.col("batch.metrics.type"), F.lit(0)).alias("first_type"))
+    return rows.select("user_id", "day", "error", F.col("batch.agent_id").alias("agent_id"), F.coalesce(F.size("batch.metrics"), F.lit(0)).alias("n_metrics"), F.get(F.col("batch.metrics.type"), F.lit(0)).alias("first_type"))
 
 
 def unpack(spark, sf_dir):
@@ -254,7 +254,7 @@ QUERIES = {
 ORACLE_SQL = {
     "read_batches": f"""
 SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {_BROKEN} AS error, CASE WHEN {_BROKEN} IS NULL THEN 'agent-' || (user_id % 8) END AS agent_id,
-       CASE WHEN {_BROKEN} IS NULL THEN CAST(count(*) AS INTEGER) END AS n_metrics,
+       CASE WHEN {_BROKEN} IS NULL THEN CAST(count(*) AS INTEGER) ELSE CAST(0 AS INTEGER) END AS n_metrics,
        CASE WHEN {_BROKEN} IS NULL THEN CASE WHEN min(event_id) % 2 = 0 THEN 'gauge' ELSE 'counter' END END AS first_type
 FROM events GROUP BY user_id, CAST(ts AS DATE)""",
     "unpack": f"""
