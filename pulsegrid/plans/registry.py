@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.plans import alerting, points, vectors
+from pulsegrid.plans import alerting, points, streams, vectors
 
-_MODULES = (points, vectors, alerting)
+_MODULES = (points, vectors, alerting, streams)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}
