@@ -56,14 +56,14 @@ def parse_series_key(key: Column) -> Column:
     """The inverse of series_key as a struct (name, labels); null where the text isn't a key."""
     plain = lambda c: F.regexp_replace(c, r"\\(.)", "$1")
     pair = rf"({_UNIT}*)=({_UNIT}*)"
-    whole = rf"^(?s:{_UNIT}*(?:\{{{pair}(?:,{pair})*\}})?)$".replace("(" + _UNIT, "(?:" + _UNIT)
-    body = F.regexp_extract(key, rf"^(?s:{_UNIT}*)\{{(.*)\}}$", 1)
-    found = F.regexp_extract_all(body, F.lit(rf"(?s){pair}(?:,|$)"), F.lit(0))
+    whole = rf"(?s)\A{_UNIT}*(?:\{{{pair}(?:,{pair})*\}})?\z".replace("(" + _UNIT, "(?:" + _UNIT)
+    body = F.regexp_extract(key, rf"(?s)\A{_UNIT}*\{{(.*)\}}\z", 1)
+    found = F.regexp_extract_all(body, F.lit(rf"(?s){pair}(?:,|\z)"), F.lit(0))
     pairs = F.transform(
         found,
         lambda p: F.struct(plain(F.regexp_extract(p, rf"(?s)^{pair}", 1)).alias("key"), plain(F.regexp_extract(p, rf"(?s)^{pair}", 2)).alias("value")),
     )
-    name = plain(F.regexp_extract(key, rf"^(?s:{_UNIT}*)", 0))
+    name = plain(F.regexp_extract(key, rf"(?s)\A{_UNIT}*", 0))
     labels = F.map_from_entries(F.when(body == "", F.array().cast("array<struct<key:string,value:string>>")).otherwise(pairs))
     return F.when(key.rlike(whole), F.struct(name.alias("name"), labels.alias("labels")))
 

@@ -283,9 +283,13 @@ class Vector:
     def _arith(self, op: str, other, reverse: bool = False) -> Vector:
         return self._binary(other, lambda a, b, _: floats.arithmetic(op, a, b), reverse)
 
-    def _compare(self, op: str, other, reverse: bool = False) -> Vector:
-        """A filter: the samples for which it holds, with their own values."""
-        return self._binary(other, lambda a, b, keep: F.when(floats.compare(op, a, b), keep), reverse)
+    def _compare(self, op: str, other) -> Vector:
+        """A filter: the samples for which it holds, with their own values.
+
+        Of two scalars the left one's value is kept. Python turns `3 > v` into `v < 3`; where
+        v can be a scalar and its left number should be kept, write `literal(engine, 3) > v`.
+        """
+        return self._binary(other, lambda a, b, keep: F.when(floats.compare(op, a, b), keep))
 
     def __add__(self, x):
         return self._arith("+", x)
