@@ -94,6 +94,42 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
+
+
+def _secrets_sql() -> str:
+    """Spans by adding up the lengths of matches and of what stands between them."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    patterns = (secrets.ASSIGN, secrets.ACCESS, secrets.HEX)
+    each = " UNION ALL ".join(
+        f"SELECT doc_id, source, {kind} AS kind, regexp_extract_all(t, {quote(p)}) AS hits, regexp_split_to_array(t, {quote(p)}) AS gaps FROM texts" for kind, p in enumerate(patterns)
+    )
+    names = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(secrets.KINDS)) + " END"
+    total = lambda of, upto: f"coalesce(list_sum(list_transform({of}[1:{upto}], lambda x: length(x))), 0)"
+    return f"""
+WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), found AS ({each}), placed AS (
+    SELECT doc_id, source, kind, hits[i] AS hit, CAST({total('gaps', 'i')} + {total('hits', 'i - 1')} AS BIGINT) AS start
+    FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM found WHERE len(hits) > 0)
+), valued AS (
+    SELECT *, start + length(hit) AS stop, CASE WHEN kind = 0 THEN regexp_extract(hit, {quote(secrets.ASSIGN)}, 2) ELSE hit END AS v FROM placed
+), base AS (SELECT * FROM valued WHERE kind <> 0 OR length(v) >= {secrets.LEAST_VALUE}), owned AS (
+    SELECT v, count(DISTINCT coalesce(source, chr(1))) AS n_owners FROM base GROUP BY v
+), added AS (
+    SELECT DISTINCT doc_id, CASE WHEN n_owners > {secrets.MOST_OWNERS} THEN 4 ELSE 3 END AS kind, stop - length(v) AS start, stop FROM base JOIN owned USING (v)
+    WHERE n_owners > {secrets.MOST_OWNERS} OR (length(v) >= {secrets.LIVE_LENGTH} AND len(list_distinct(string_split(v, ''))) >= {secrets.LIVE_CHARACTERS}
+        AND regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]') AND NOT regexp_matches(lower(v), 'example|changeme|placeholder|your[_-]|xxxx'))
+), spans AS (
+    SELECT doc_id, kind, start, stop, {names} || ':' || start || ':' || stop AS span FROM (SELECT doc_id, kind, start, stop FROM base UNION ALL SELECT doc_id, kind, start, stop FROM added)
+), joined AS (
+    SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+           count(*) FILTER (WHERE kind = 3) AS n_live, count(*) FILTER (WHERE kind = 4) AS n_example,
+           string_agg(span, ',' ORDER BY start, kind, stop) FILTER (WHERE kind < 3) AS base_text, string_agg(span, ',' ORDER BY start, kind, stop) AS spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_text, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM documents LEFT JOIN joined USING (doc_id)
+"""
+
+
 ORACLE_SQL = {
     "op2_licence_scan": licences.oracle_sql(),
     "op1_decontamination": r"""
@@ -122,6 +158,27 @@ WITH d AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op4_secret_scan": _secrets_sql(),
+    "op6_near_dedup": r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, list_aggregate(w[p : p + 4], 'string_agg', ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM words WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), both_ways AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a
+), least AS (
+    SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)
 """,
     "op7_exact_dedup": r"""
 WITH texts AS (
