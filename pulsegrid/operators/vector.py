@@ -4,7 +4,8 @@ A vector is a frame (i, key, value): the number of the evaluation time, a label
 text, and a value. One plan evaluates a single instant or every step of a backtest.
 
 Selectors don't join times with points: each point is exploded to the times whose
-window covers it, and aggregated by (i, key). The fan-out of a point is range / step + 1.
+window covers it, and aggregated by (i, key). The fan-out is range / step + 1, after points
+that lie in the same windows have been combined where the function allows it.
 
 A vector of exactly one sample without labels at some time is a scalar there. Where
 that is known beforehand (numbers, aggregates without a clause) the plan is simple;
@@ -87,23 +88,41 @@ class Selector:
             rows = rows.filter(label_matcher(labels, Matcher("tenant", "=", self.engine.tenant)))
         return rows.select(label_key(labels).alias("key"), F.unix_micros("ts").alias("us"), "value")
 
-    def _covered(self, points: DataFrame, width: int) -> DataFrame:
-        """Points once for each time whose window [time - width, time] they lie in."""
+    def _coverage(self, points: DataFrame, width: int) -> DataFrame:
+        """Points with the first and last time, `low` and `high`, whose window [time - width, time] they lie in."""
         g = self.engine.grid
         points = points.filter(F.col("us").between(g.start - width, g.start + g.last * g.step))
         low = F.greatest(F.ceil((F.col("us") - g.start) / g.step), F.lit(0)).cast("long")
         high = F.least(F.floor((F.col("us") + width - g.start) / g.step), F.lit(g.last)).cast("long")
-        return points.withColumns({"low": low, "high": high}).filter("low <= high").withColumn("i", F.explode(F.sequence("low", "high"))).drop("low", "high")
+        return points.withColumns({"low": low, "high": high}).filter("low <= high")
+
+    def _covered(self, points: DataFrame, width: int) -> DataFrame:
+        """Points once for each time whose window they lie in."""
+        return self._coverage(points, width).withColumn("i", F.explode(F.sequence("low", "high"))).drop("low", "high")
+
+    def _merged(self, width: int, parts: list[Column], value: Column, least: int = 1) -> DataFrame:
+        """(i, key, value): points of a series that lie in the same windows are combined before they are exploded.
+
+        With several points to a step, that many times fewer rows are exploded and
+        shuffled. `parts` are aggregates of points; `value` aggregates the parts.
+        """
+        same = self._coverage(self._points(), width).groupBy("key", "low", "high").agg(*parts, F.count("*").alias("n"))
+        rows = same.withColumn("i", F.explode(F.sequence("low", "high"))).groupBy("i", "key").agg(value.alias("value"), F.sum("n").alias("n"))
+        return rows.filter(F.col("n") >= least).select("i", "key", "value")
 
     def instant(self) -> Vector:
         """The newest point of each series within the lookback."""
-        rows = self._covered(self._points(), self.engine.lookback)
-        return Vector(rows.groupBy("i", "key").agg(F.max_by("value", "us").alias("value")), self.engine.grid, maybe_scalar=not self.engine.labelled)
+        return Vector(self._merged(self.engine.lookback, *_last()), self.engine.grid, maybe_scalar=not self.engine.labelled)
 
     def range(self, width: str) -> RangeVector:
         return RangeVector(self, micros(width))
 
 
+def _last() -> tuple[list[Column], Column]:
+    """The newest of points, and of parts."""
+    return [F.max_by("value", "us").alias("last"), F.max("us").alias("last_us")], F.max_by("last", "last_us")
+
+
 class RangeVector:
     """Points of each series in [time - width, time], to be reduced."""
 
@@ -116,10 +135,6 @@ class RangeVector:
         """(i, key, us, value)."""
         return self.selector._covered(self.selector._points(), self.width).select("i", "key", "us", "value")
 
-    def _reduced(self, value: Column, least: int = 1, keep: Column | None = None) -> Vector:
-        rows = self.points().groupBy("i", "key").agg(value.alias("value"), F.count("*").alias("n"))
-        return self._vector(rows.filter(F.col("n") >= least))
-
     def _vector(self, rows: DataFrame) -> Vector:
         e = self.selector.engine
         return Vector(rows.select("i", "key", "value"), e.grid, maybe_scalar=not e.labelled)
@@ -146,29 +161,35 @@ class RangeVector:
     def increase(self) -> Vector:
         return self._vector(self._increments().withColumn("value", F.col("inc")))
 
+    def _of_parts(self, parts: list[Column], value: Column, least: int = 1) -> Vector:
+        return self._vector(self.selector._merged(self.width, parts, value, least))
+
     def delta(self) -> Vector:
-        return self._reduced(F.max_by("value", "us") - F.min_by("value", "us"), least=2)
+        """Last minus first, of two points at least."""
+        first = [F.min_by("value", "us").alias("first"), F.min("us").alias("first_us")]
+        return self._of_parts([*first, *_last()[0]], _last()[1] - F.min_by("first", "first_us"), least=2)
 
     def sum_over_time(self) -> Vector:
-        return self._reduced(F.sum("value"))
+        return self._of_parts([F.sum("value").alias("s")], F.sum("s"))
 
     def avg_over_time(self) -> Vector:
-        return self._reduced(F.avg("value"))
+        return self._of_parts([F.sum("value").alias("s")], F.sum("s") / F.sum("n"))
 
     def min_over_time(self) -> Vector:
-        return self._reduced(F.min("value"))
+        return self._of_parts([F.min("value").alias("s")], F.min("s"))
 
     def max_over_time(self) -> Vector:
-        return self._reduced(F.max("value"))
+        return self._of_parts([F.max("value").alias("s")], F.max("s"))
 
     def count_over_time(self) -> Vector:
-        return self._reduced(F.count("value").cast("double"))
+        return self._of_parts([], F.sum("n").cast("double"))
 
     def last_over_time(self) -> Vector:
-        return self._reduced(F.max_by("value", "us"))
+        return self._of_parts(*_last())
 
     def stddev_over_time(self) -> Vector:
-        return self._reduced(F.stddev_pop("value"))
+        """Population deviation, of the points themselves: sums of squares would lose digits."""
+        return self._vector(self.points().groupBy("i", "key").agg(F.stddev_pop("value").alias("value")))
 
 
 REDUCERS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": lambda v: F.count(v).cast("double"), "stddev": F.stddev_pop}

@@ -90,13 +90,13 @@ def alert_listing(spark, sf_dir):
 
 
 def _silences(spark, sf_dir) -> DataFrame:
-    """One silence for each nation: two days from a day that its number gives."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    k = F.col("n_nationkey")
+    """One silence for each supplier: two days from a day that its number gives."""
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    k = F.col("s_suppkey") % 25
     m = lambda name, op, v: F.struct(F.lit(name).alias("name"), F.lit(op).alias("op"), v.alias("value"))
     matchers = F.when(k % 5 == 4, F.array().cast(MATCHER_TYPE)).otherwise(F.array(m("agent_id", "=~", F.concat(F.lit("agent-["), k % 4, F.lit("-"), k % 4 + 2, F.lit("]"))), m("shard", "!=", F.concat(F.lit("s"), k % 3))))
     start = F.timestamp_micros(F.lit(_us(START)) + k * 86_400_000_000)
-    return n.select(F.col("n_name").alias("id"), F.when(k % 2 == 0, "").otherwise("sales").alias("tenant"), matchers.alias("matchers"), start.alias("starts_at"), (F.when(k % 6 != 5, 2 * 86_400)).alias("duration"), F.lit(None).cast("timestamp").alias("ends_at"))
+    return n.select(F.concat(F.lit("silence-"), F.col("s_suppkey")).alias("id"), F.when(k % 2 == 0, "").otherwise("sales").alias("tenant"), matchers.alias("matchers"), start.alias("starts_at"), (F.when(k % 6 != 5, 2 * 86_400)).alias("duration"), F.lit(None).cast("timestamp").alias("ends_at"))
 
 
 def _good_silences(spark, sf_dir):
@@ -244,8 +244,8 @@ _BASE = f"""WITH {COUNTERS}, p AS ({_instant('purchase')}), res AS (
     FROM (SELECT *, unnest(range(fired_i, last_i + 1, 3)) AS at_i FROM st WHERE fired_i IS NOT NULL) s, LATERAL (SELECT s.at_i AS i) e JOIN r ON r.fingerprint = s.fingerprint AND r.i = e.i
     UNION ALL SELECT fingerprint, first_i, resolved_i, 'resolved', value, agent_id, shard, labels, resolved_i FROM st WHERE resolved_i IS NOT NULL
 ), events_ AS (SELECT *, {GRID.start} + i * {GRID.step} AS us FROM ev), sil AS (
-    SELECT n_name AS id, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE 'sales' END AS tenant, n_nationkey AS k, {_us(START)} + n_nationkey * 86400000000 AS starts,
-           {_us(START)} + n_nationkey * 86400000000 + CASE WHEN n_nationkey % 6 <> 5 THEN 2 * 86400000000 END AS ends FROM nation
+    SELECT 'silence-' || s_suppkey AS id, CASE WHEN k % 2 = 0 THEN '' ELSE 'sales' END AS tenant, k, {_us(START)} + k * 86400000000 AS starts,
+           {_us(START)} + k * 86400000000 + CASE WHEN k % 6 <> 5 THEN 2 * 86400000000 END AS ends FROM (SELECT *, s_suppkey % 25 AS k FROM supplier)
 ), good AS (SELECT * FROM sil WHERE ends IS NOT NULL AND k % 5 <> 4)"""
 _MUTE = "EXISTS (SELECT 1 FROM good g WHERE g.tenant = '' AND g.starts <= {0} AND {0} < g.ends AND regexp_full_match(agent_id, 'agent-[' || (k % 4) || '-' || (k % 4 + 2) || ']') AND shard <> 's' || (k % 3))"
 _FIRES = f"{GRID.start} + s.fired_i * {GRID.step} <= e.us AND (s.resolved_i IS NULL OR e.us < {GRID.start} + s.resolved_i * {GRID.step})"

@@ -11,6 +11,7 @@ from pulsegrid.functions import labels as L
 from pulsegrid.functions.times import resolve_relative_time
 from pulsegrid.operators import query as Q
 from pulsegrid.sources import events, ingest
+from pulsegrid.sources.shared import new_path
 
 SINCE, UNTIL = datetime(2024, 1, 5), datetime(2024, 1, 20)
 NAME, AGENT = "purchase", "agent-3"
@@ -107,10 +108,7 @@ def ingest_accounting(spark, sf_dir):
 
 def write_samples(spark, sf_dir):
     """Samples written, read back, and counted by partition."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    path = f"{root.rstrip('/')}/samples-{spark.sparkContext.applicationId}-{id(object())}"
+    path = new_path(spark, "samples")
     ingest.write_samples(events.samples(spark, sf_dir), path, mode="overwrite")
     return ingest.read_samples(spark, path).groupBy("name", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"), rounded(F.sum("value"), "total"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +13,14 @@ from pulsegrid.plans.points import SAMPLES, _json_batches, rounded, text, us
 from pulsegrid.plans.points import ORACLE_SQL as POINTS_SQL
 from pulsegrid.plans.vectors import GRID, LOOKBACK
 from pulsegrid.sources import events
+from pulsegrid.sources.shared import new_path
 from pulsegrid.streaming import flows, states
 
 RATE, BURST = 1 / 7200, 3
 
 
 def _folder(spark: SparkSession) -> str:
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/stream-{uuid4().hex}"
+    return new_path(spark, "stream")
 
 
 def _stream_of(spark: SparkSession, df: DataFrame, files: int | None = None) -> DataFrame:
