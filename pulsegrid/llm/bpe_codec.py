@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from pulsegrid.llm.byte_pairs import BYTE_OF_LETTER, WORD_LEVEL_PATTERN, Vocabulary, vocabulary, vocabulary_path
-from pulsegrid.llm.common import chunks
+from pulsegrid.llm.common import chunks, enter
 
 #: Encodings of short words and verdicts on pairs that are remembered, so many at most in each Python worker.
-REMEMBERED_WORDS, SHORT, REMEMBERED_PAIRS = 400_000, 40, 500_000
+REMEMBERED_WORDS, SHORT, REMEMBERED_PAIRS = 250_000, 40, 200_000
 CHUNK_BYTES = 4 << 20
 _END = "Ā"  # stands for the end-of-word suffix; bytes are spelled in Latin-1, so it is free
 _NEVER = 1 << 62
@@ -178,12 +178,18 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _release() -> None:
+    codec.cache_clear()
+    vocabulary.cache_clear()
+
+
 def _map(docs: DataFrame, path: str | None, id_col: str, text_col: str, fields: list[T.StructField], columns) -> DataFrame:
     """id, n_tokens and the columns that `columns` makes of a batch's packed identifiers and decoded texts."""
     path = path or vocabulary_path("word_bpe_49k.json")
     schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe_codec", _release)
         encode = codec(path).encode_packed
         for whole in batches:
             for batch in chunks(whole, 1, CHUNK_BYTES):

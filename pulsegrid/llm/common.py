@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import pyarrow as pa
@@ -77,3 +78,21 @@ def chunks(batch: pa.RecordBatch, text_at: int, most_bytes: int) -> Iterator[pa.
         total += n
     if start < len(sizes):
         yield batch.slice(start)
+
+
+_large: dict[str, Callable[[], None]] = {}
+
+
+def enter(operator: str, release: Callable[[], None] | None = None) -> None:
+    """Called at the start of a task in a Python worker: frees what other operators remember there.
+
+    Workers live on from stage to stage, so a pipeline's stages would otherwise add up
+    their caches. `release` is how to free this operator's own, when another comes.
+    """
+    others = [name for name in _large if name != operator]
+    for name in others:
+        _large.pop(name)()
+    if others:
+        gc.collect()
+    if release:
+        _large[operator] = release

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pulsegrid.llm.common import Scratch, as_bytes, chunks
+from pulsegrid.llm.common import Scratch, as_bytes, chunks, enter
 from pulsegrid.llm.words import SIGNS, word_hashes
 
 WINDOW = 13
@@ -82,6 +82,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = _segment_schema(docs.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontaminate")
         for whole in batches:
             for batch in chunks(whole, 2, SEGMENT_BYTES):
                 n, terms, counts, gaps = _segment(as_bytes(batch.column(2)))
@@ -223,24 +224,29 @@ def _hits(segment: Segment, items: Items) -> tuple[np.ndarray, list[tuple[int, i
     return np.cumsum(edges) > 0, sorted(pairs)
 
 
+def _marked(segment: Segment, row: dict, items: Items) -> dict:
+    """What is known of a segment's hits, with those of a block of test items added."""
+    marks, pairs = _hits(segment, items)
+    if row["marks"]:
+        marks |= np.unpackbits(np.frombuffer(row["marks"], dtype=np.uint8), count=len(marks)).astype(bool)
+    return {
+        "marks": np.packbits(marks).tobytes(),
+        "hit_documents": row["hit_documents"] + [d for d, _ in pairs],
+        "hit_items": row["hit_items"] + [items.names[i] for _, i in pairs],
+    }
+
+
 def _match(index: DataFrame, items: Items) -> DataFrame:
     """The segments with the hits of a block of test items added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontaminate")
         for batch in batches:
             for at in range(batch.num_rows):
                 one = batch.slice(at, 1)
                 row = one.to_pylist()[0]
-                segment = Segment(row)
-                marked, pairs = _hits(segment, items)
-                if row["marks"]:
-                    marked |= np.unpackbits(np.frombuffer(row["marks"], dtype=np.uint8), count=len(marked)).astype(bool)
-                new = {
-                    "marks": [np.packbits(marked).tobytes()],
-                    "hit_documents": [row["hit_documents"] + [d for d, _ in pairs]],
-                    "hit_items": [row["hit_items"] + [items.names[i] for _, i in pairs]],
-                }
-                yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else one.column(f.name) for f in one.schema], names=one.schema.names)
+                new = _marked(Segment(row), row, items)
+                yield pa.RecordBatch.from_arrays([pa.array([new[f.name]], f.type) if f.name in new else one.column(f.name) for f in one.schema], names=one.schema.names)
 
     return index.mapInArrow(run, index.schema)
 
@@ -264,8 +270,12 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item
     Words count from 0 and `hit_to` is exclusive; `items` are the ids of items with a
     window in the document, sorted as strings, each once.
     """
-    for block in item_blocks(benchmark, item_col, text_col):
-        index = _match(index, Items(block))
+    last: list[tuple[str, bytes]] = []
+    for n, block in enumerate(item_blocks(benchmark, item_col, text_col)):
+        if n:
+            index = _match(index, Items(last))
+        last = block
+    items = Items(last)
     kind = index.schema["ids"].dataType.elementType
     schema = T.StructType(
         [
@@ -278,41 +288,38 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item
         ]
     )
 
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontaminate")
         for batch in batches:
-            for row in batch.select(["keys", "n_words", "marks", "hit_documents", "hit_items"]).to_pylist():
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                row = one.to_pylist()[0]
+                found = _marked(Segment(row), row, items)
                 n_words = row["n_words"]
-                marked = np.unpackbits(np.frombuffer(row["marks"] or b"", dtype=np.uint8)).view(np.int8)
+                marks = np.unpackbits(np.frombuffer(found["marks"], dtype=np.uint8)).view(np.int8)
                 names: dict[int, set[str]] = {}
-                for d, item in zip(row["hit_documents"], row["hit_items"], strict=True):
+                for d, item in zip(found["hit_documents"], found["hit_items"], strict=True):
                     names.setdefault(d, set()).add(item)
                 low, high, first = [[] for _ in n_words], [[] for _ in n_words], 0
                 for d, n in enumerate(n_words):
                     if d in names:
-                        edges = np.diff(marked[first : first + n], prepend=np.int8(0), append=np.int8(0))
+                        edges = np.diff(marks[first : first + n], prepend=np.int8(0), append=np.int8(0))
                         low[d], high[d] = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
                     first += n + 1
+                ids = one.column("ids")
                 yield pa.RecordBatch.from_arrays(
                     [
+                        ids.values.slice(ids.offsets[0].as_py(), len(n_words)),
                         pa.array(row["keys"], pa.int64()),
                         pa.array(n_words, pa.int64()),
                         pa.array(low, pa.list_(pa.int64())),
                         pa.array(high, pa.list_(pa.int64())),
                         pa.array([sorted(names.get(d, ())) for d in range(len(n_words))], pa.list_(pa.string())),
                     ],
-                    names=schema.names[1:],
+                    names=schema.names,
                 )
 
-    def with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                one = batch.slice(at, 1)
-                ids = one.column("ids")
-                ids = ids.values.slice(ids.offsets[0].as_py(), len(one.column("keys")[0]))
-                for part in report(iter([one])):
-                    yield pa.RecordBatch.from_arrays([ids, *part.columns], names=schema.names)
-
-    return index.mapInArrow(with_ids, schema)
+    return index.mapInArrow(run, schema)
 
 
 def proximity_matches(index: DataFrame, benchmark: DataFrame, span: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import LOWER, as_bytes, chunks
+from pulsegrid.llm.common import LOWER, as_bytes, chunks, enter
 
 BUCKETS_BITS, WIDTH, GRAMS = 16, 16, (2, 3, 4)
 SAMPLE_ROWS = 400
@@ -178,6 +178,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("language_id")
         for whole in batches:
             for batch in chunks(whole, 1, CHUNK_BYTES):
                 found = [shared.value.predict(t) for t in as_bytes(batch.column(1))]
@@ -194,6 +195,7 @@ def drop_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("language_id")
         for whole in batches:
             for batch in chunks(whole, at, CHUNK_BYTES):
                 found = [shared.value.predict(t) for t in as_bytes(batch.column(at))]

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import Scratch, as_bytes, chunks
+from pulsegrid.llm.common import Scratch, as_bytes, chunks, enter
 from pulsegrid.llm.components import components
 from pulsegrid.llm.words import SPACES, mixed, shingle_set, word_hashes
 
@@ -90,6 +90,7 @@ def _name(shingles: np.ndarray) -> bytes:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, key, text) to (id, key, n_shingles, name, buckets)."""
+    enter("near_dedup", _permutations.cache_clear)
     for whole in batches:
         for batch in chunks(whole, 2, CHUNK_BYTES):
             sizes, names, keys = [], [], []
@@ -106,6 +107,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, name, text) to (node, shingles), for rows whose text has the named set."""
+    enter("near_dedup", _permutations.cache_clear)
     for whole in batches:
         for batch in chunks(whole, 2, CHUNK_BYTES):
             nodes, sets = [], []

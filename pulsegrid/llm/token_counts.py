@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from pulsegrid.llm.byte_pairs import BYTE_LEVEL_PATTERN, Vocabulary, vocabulary, vocabulary_path
-from pulsegrid.llm.common import chunks
+from pulsegrid.llm.common import chunks, enter
 
 #: Counts of short pieces are remembered, so many at most in each Python worker.
 REMEMBERED, SHORT = 800_000, 48
@@ -89,12 +89,18 @@ def counter(path: str):
     return count
 
 
+def _release() -> None:
+    counter.cache_clear()
+    vocabulary.cache_clear()
+
+
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     path = path or vocabulary_path("byte_bpe_50k.json")
     schema = T.StructType([docs.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("token_counts", _release)
         count = counter(path)
         for whole in batches:
             for batch in chunks(whole, 1, CHUNK_BYTES):
