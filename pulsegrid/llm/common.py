@@ -4,33 +4,17 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
-from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from pulsegrid.sources.shared import new_path
+
 #: bytes.translate table: A-Z to a-z, all else as it is.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir.
-
-    Where that is unset, a local session gets a temporary folder; on a cluster there
-    is no folder to fall back on, so a ValueError says what to set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local[") and spark.conf.get("spark.master", "local") != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = tempfile.mkdtemp(prefix="pulsegrid-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{root}")
-    return f"file://{root}"
-
-
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet and read back.
 
@@ -39,7 +23,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{scratch_root(spark)}/{name}-{uuid4().hex}"
+        self.spark, self.root = spark, new_path(spark, name)
         atexit.register(self._remove, self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
