@@ -1,8 +1,9 @@
 """Licence scans by canonical digests.
 
-A text is brought to a canonical form: lower case, lines that only state a copyright
-gone, every run of other signs than letters and digits as one space, and equivalent
-spellings as one. The digest of an entire canonical text is joined with the digests of
+A text is brought to a canonical form: lines that state a copyright gone, lower case,
+every run of other signs than letters and digits as one space, and equivalent spellings
+as one, in an entire text also where a line ends inside of one. Running text that only
+begins a line with the word copyright stays. The digest of an entire canonical text is joined with the digests of
 known licences; so is that of each entire line, which finds one-line notices. Nothing
 is compared but digests of entire units, so a licence inside a longer line isn't found.
 
@@ -22,22 +23,39 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.licence_texts import LICENCES, SPELLINGS
 
+#: The SQL's rule. It also takes lines of running text, so wrapped texts differ there.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$"
+#: What follows the word where it is part of a sentence or a heading.
+_RUNNING = r"(?![ \t]+(?i:notices?|holders?|owners?|owned|laws?|treat(?:y|ies)|acts?|licen[cs]es?|statements?|interests?|protections?|permissions?|directives?|office|infringements?|rights?|status|disclaimers?|and|or|in|on|of|to|is|are|as|for|if|under|that|with)\b)"
+_YEAR = r"[^\n]*(?<!\d)(?:19|20)\d\d(?!\d)"
+#: A line that states a copyright: by a year, a sign, a placeholder or a name after the word.
+STATEMENT = (
+    rf"(?m)^[ \t]*(?:(?i:copyright\b{_RUNNING}|\(c\)){_YEAR}|(?i:copyright[ \t:,]*(?:\(c\)|©|[<\[{{]))|(?i:\(c\)[ \t]*(?:copyright\b|[<\[{{]))|©"
+    rf"|(?:Copyright|COPYRIGHT)\b{_RUNNING}[ \t:,]+(?:[Bb]y[ \t]+)?[A-Z]|(?i:all rights reserved)[.!]?[ \t]*$)[^\n]*$"
+)
 #: In lower case; line ends stay.
 SIGNS = r"[^a-z0-9\x{80}-\x{10FFFF}\n]+"
 
 
+def _words(text: Column) -> Column:
+    """Lines of words in lower case, parted by one space, without those that state a copyright."""
+    return F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), STATEMENT, "")), SIGNS, " ")
+
+
+def _spelt(words: Column) -> Column:
+    for variant, to in SPELLINGS:
+        words = F.replace(words, F.lit(variant), F.lit(to))
+    return words
+
+
 def canonical_lines(text: Column) -> Column:
     """The canonical form with line ends, words parted by one space; lines may have a space at either end."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, ""), SIGNS, " ")
-    for variant, canonical in SPELLINGS:
-        out = F.replace(out, F.lit(variant), F.lit(canonical))
-    return out
+    return _spelt(_words(text))
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of an entire text."""
-    return F.trim(F.regexp_replace(canonical_lines(text), r"[ \n]+", " "))
+    return F.trim(_spelt(F.regexp_replace(_words(text), r"[ \n]+", " ")))
 
 
 def digest(canonical_text: Column) -> Column:

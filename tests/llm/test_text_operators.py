@@ -323,6 +323,27 @@ def test_proximity(spark):
     assert got == model
 
 
+def licence_of(spark, texts):
+    out = licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), licences.known_licences(spark))
+    return [r["licence"] for r in out.orderBy("doc_id").collect()]
+
+
+def wrapped(text, width):
+    import textwrap
+
+    return "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+
+
+def test_wrapped_licences(spark):
+    known = dict(reversed([x for x in licences.LICENCES if len(x[1]) > 200]))
+    for owner in ("Copyright (c) 2020, Someone\nAll rights reserved.\n\n", "Copyright The Some Authors\n\n", "Copyright [yyyy] [name]\n", "© Someone\n", ""):
+        texts = [(name, owner + wrapped(known[name], width)) for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause") for width in range(20, 100, 3)]
+        assert licence_of(spark, [t for _, t in texts]) == [name for name, _ in texts]
+    isc = "provided that the above\ncopyright notice and this permission notice appear in all copies."
+    out = spark.createDataFrame([(isc,), (isc.replace("\n", " "),), ("(c) You must retain\nx",)], "text string").select(licences.canonical(F.col("text"))).collect()
+    assert out[0] == out[1] and out[2][0] == "c you must retain x"
+
+
 def test_licences(spark, odd, clashing, empty):
     mit = licences.LICENCES[0][1]
     rows = [
