@@ -1,5 +1,7 @@
 """Known licences: whole texts and one-line notices, as published. Fixed values."""
 
+import pkgutil
+
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -24,7 +26,7 @@ _BSD_THIRD = """
 _BSD_TAIL = """
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
-#: (licence, text); several texts can name one licence.
+#: (licence, text); several texts can name one licence. The SQL knows these; the scan also those below.
 LICENCES = [
     ("MIT", "MIT License\n\n" + _MIT_BODY),
     ("MIT", _MIT_BODY),
@@ -57,6 +59,32 @@ LICENCES = [
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
 ]
 
+_CC_NAMES = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike"}
+_MPL = 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.'
+
+#: Lines of the headers that are put into files, as published.
+HEADERS = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
+    ("MPL-2.0", _MPL),
+    ("MPL-2.0", _MPL + " If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    *((f"CC-{short}-4.0", f"This work is licensed under {a} Creative Commons {name} 4.0 International License.") for short, name in _CC_NAMES.items() for a in ("a", "the")),
+]
+
+#: Licences whose entire text is a file of the folder texts.
+ENTIRE = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def entire_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files: all of each, and without the appendix where the terms have an end; that line may be missing too."""
+    out = []
+    for name in ENTIRE:
+        text = pkgutil.get_data(__package__, f"texts/{name}.txt").decode()
+        terms, end, _ = text.partition(_END)
+        out += [(name, text), (name, terms + end), (name, terms)] if end else [(name, text)]
+    return out
+
+
 #: Spellings that count as one, in lower case without punctuation: (variant, canonical).
 SPELLINGS = [
     ("licence", "license"),

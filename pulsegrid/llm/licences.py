@@ -9,7 +9,9 @@ is compared but digests of entire units, so a licence inside a longer line isn't
 
 The known licences are a table of any size: the join is an equi-join, broadcast only
 where Spark finds the table small. A unit that no licence has leaves at the join, so
-only hits are shuffled and gathered per document.
+only hits are shuffled and gathered per document. The built-in list has entire texts of
+MIT, ISC, BSD and the files in the folder texts; AGPL and CC licences other than CC0
+are known by one-line notices only.
 
 Null texts count as empty, and empty units match nothing. Rows are found again by id
 and a hash of the text; rows that repeat both have the same result, once for each row.
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.licence_texts import LICENCES, SPELLINGS
+from pulsegrid.llm.licence_texts import HEADERS, LICENCES, SPELLINGS, entire_texts
 
 #: The SQL's rule. It also takes lines of running text, so wrapped texts differ there.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$"
@@ -64,7 +66,7 @@ def digest(canonical_text: Column) -> Column:
 
 def known_licences(spark: SparkSession) -> DataFrame:
     """(licence, text) of the built-in list."""
-    return spark.createDataFrame(LICENCES, "licence string, text string")
+    return spark.createDataFrame(LICENCES + HEADERS + entire_texts(), "licence string, text string")
 
 
 def scan_licences(docs: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against the library or plain Python, and on nulls, empty texts, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import struct
@@ -344,6 +345,20 @@ def test_wrapped_licences(spark):
     assert out[0] == out[1] and out[2][0] == "c you must retain x"
 
 
+def test_entire_licences(spark):
+    names = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
+    folder = os.path.join(os.path.dirname(licences.__file__), "texts")
+    texts = {name: open(f"{folder}/{name}.txt").read() for name in names}
+    assert [len(t) > 7000 for t in texts.values()] == [True] * 7
+    assert licence_of(spark, texts.values()) == list(names)
+    assert licence_of(spark, [t.replace("\n", "\r\n") for t in texts.values()]) == list(names)
+    apache = texts["Apache-2.0"]
+    assert licence_of(spark, [apache.split("APPENDIX")[0], apache.replace("[yyyy] [name of copyright owner]", "2020 Someone"), apache[:-30]]) == ["Apache-2.0", "Apache-2.0", None]
+    header = '# Copyright 2020 Someone\n# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n'
+    out = licences.scan_licences(spark.createDataFrame([(1, header)], "doc_id long, text string"), licences.known_licences(spark)).head()
+    assert (out["licence"], out["notices"], out["n_lines"]) == (None, ["Apache-2.0"], 1)
+
+
 def test_licences(spark, odd, clashing, empty):
     mit = licences.LICENCES[0][1]
     rows = [
