@@ -5,14 +5,17 @@ are found in every text, validated, and replaced by another value of the same fo
 keyed Feistel network permutes the values of a format: eight rounds, each adding a
 digest of the key, the round and one half to the other half. A permutation never maps
 two values to one, and one value has the same pseudonym in every document, so records
-stay linked; with the key, `inverse=True` brings the originals back.
+stay linked; with the key, `inverse=True` brings the originals back. A card inside of a
+longer run is permuted again as long as the new run would be read otherwise; only there
+the pseudonym can depend on the digits around.
 
 What is permuted, by kind:
 - date (valid, 1900-01-01 and 72,999 days on; yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy): the day;
 - ssn (ddd-dd-dddd, valid area, group and serial): the number among the valid ones;
 - ip (four numbers to 255): the 32-bit address;
 - phone (international, or with area code): the digits after the country code;
-- card (13 to 19 digits, valid check digit): all digits but the check digit, which is computed anew;
+- card (13 to 19 digits, valid check digit): all digits but the check digit, which is computed anew; where the
+  longest run isn't valid, the first valid one in it of 4-4-4-4, 4-6-5 or unbroken digits;
 - email: letters and digits of the local part, each within its class.
 What looks alike but isn't valid stays as it is.
 
@@ -38,7 +41,12 @@ KINDS = {
 }
 PATTERN = f"(?=[0-9+(])(?:{'|'.join(p for k, p in KINDS.items() if k != 'email')})|{KINDS['email']}"
 
+#: Card numbers at separators inside of a run, one at most for each place.
+CARD_IN_RUN = r"(?<!\d)(?=(\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d))"
+
 ROUNDS = 8
+#: A run is read otherwise about once in ten times, so this many are never needed.
+MOST_WALKS = 100
 FIRST_DAY, DAYS = "1900-01-01", (250, 292)
 AREAS, GROUPS, SERIALS = 898, 99, 9999
 
@@ -103,17 +111,33 @@ class Permuter:
         body = let("b", "substring(m, length(c0) + 1)", f"concat(c0, {refill('b', '[0-9]', self.characters(letters('b', '[^0-9]'), 'phone'))})")
         return let("c0", country, body)
 
-    def card(self) -> str:
+    def card(self, m: str = "m") -> str:
         new = self.characters("slice(d, 1, size(d) - 1)", "card")
         check = f"cast(pmod(-({luhn('v', 0)}), 10) AS string)"
-        moved = let("v", new, refill("m", "[0-9]", f"concat(v, array({check}))"))
-        return let("d", letters("m", "[^0-9]"), f"if({luhn('d', 1)} % 10 = 0, {moved}, NULL)")
+        moved = let("v", new, refill(m, "[0-9]", f"concat(v, array({check}))"))
+        return let("d", letters(m, "[^0-9]"), f"if({luhn('d', 1)} % 10 = 0, {moved}, NULL)")
+
+    def card_hit(self) -> str:
+        """The hit of a card's match: all of it, or else the first valid number in it; `at` and `size` say where."""
+        valid = lambda text: let("d", letters(text, "[^0-9]"), f"{luhn('d', 1)} % 10 = 0")
+        inside = lambda text: f"get(filter(regexp_extract_all({text}, r'{CARD_IN_RUN}', 1), u -> {valid('u')}), 0)"
+        same = let("run", "overlay(m PLACING y FROM at)", f"NOT {valid('run')} AND locate({inside('run')}, run) = at")
+        step = f"if(z.done, z, {let('y', self.card('z.card'), f'named_struct({chr(39)}card{chr(39)}, y, {chr(39)}done{chr(39)}, {same})')})"
+        walked = f"aggregate(sequence(1, {MOST_WALKS}), named_struct('card', sub, 'done', false), (z, q) -> {step}, z -> z.card)"
+        part = let("at", "locate(sub, m)", hit_of("'card'", f"overlay(m PLACING {walked} FROM at)", "at - 1", "length(sub)"))
+        sub = let("sub", inside("m"), f"if(sub IS NULL, {hit_of(chr(39) + 'card' + chr(39), 'NULL')}, {part})")
+        return let("whole", self.card(), f"if(whole IS NOT NULL, {hit_of(chr(39) + 'card' + chr(39), 'whole')}, {sub})")
 
     def email(self) -> str:
         local = refill("b", "[A-Za-z0-9]", self.characters(letters("b", "[^A-Za-z0-9]"), "email"))
         return let("b", "substring_index(m, '@', 1)", f"concat({local}, '@', substring_index(m, '@', -1))")
 
 
+def hit_of(kind: str, new: str, at: str = "0", size: str = "length(m)") -> str:
+    """What is known of a match `m`."""
+    return f"named_struct('kind', {kind}, 'old', m, 'new', cast({new} AS string), 'at', {at}, 'size', {size})"
+
+
 def let(name: str, value: str, body: str) -> str:
     """An expression with a value computed once and named."""
     return f"get(transform(array({value}), {name} -> {body}), 0)"
@@ -146,15 +170,16 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: boo
     """
     permuter = Permuter(key, inverse)
     kind = " ".join(f"WHEN m RLIKE r'^(?:{pattern})$' THEN '{name}'" for name, pattern in KINDS.items())
-    new = " ".join(f"WHEN '{name}' THEN {getattr(permuter, name)()}" for name in KINDS)
-    hit = let("k", f"CASE {kind} END", f"named_struct('kind', k, 'old', m, 'new', CASE k {new} END)")
+    new = " ".join(f"WHEN '{name}' THEN {getattr(permuter, name)()}" for name in KINDS if name != "card")
+    hit = let("k", f"CASE {kind} END", f"if(k = 'card', {permuter.card_hit()}, {hit_of('k', f'CASE k {new} END')})")
     text = F.col(text_col)
     rows = docs.withColumn("_old", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     rows = rows.withColumn("_hits", F.when(F.size("_old") > 0, F.expr(f"transform(_old, m -> {hit})")))
     rows = rows.withColumn("_gaps", F.when(F.size("_old") > 0, F.split(text, PATTERN)))
     whole = "array_join(transform(_gaps, (g, i) -> concat(g, coalesce(get(_hits, i).new, get(_hits, i).old, ''))), '')"
     end = "s.at + length(get(_gaps, i)) + length(h.old)"
-    span = f"named_struct('kind', h.kind, 'start', s.at + length(get(_gaps, i)), 'end', {end}, 'was_valid', h.new IS NOT NULL)"
+    start = "s.at + length(get(_gaps, i)) + h.at"
+    span = f"named_struct('kind', h.kind, 'start', {start}, 'end', {start} + h.size, 'was_valid', h.new IS NOT NULL)"
     none = "cast(array() AS array<struct<kind:string,start:int,end:int,was_valid:boolean>>)"
     step = f"(s, i) -> {let('h', 'get(_hits, i)', f'named_struct(' + repr('at') + f', {end}, ' + repr('spans') + f', concat(s.spans, array({span})))')}"
     spans = f"aggregate(sequence(0, size(_hits) - 1), named_struct('at', 0, 'spans', {none}), {step}, s -> s.spans)"

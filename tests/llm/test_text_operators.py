@@ -181,6 +181,25 @@ def test_pseudonyms(spark, documents, odd, clashing, empty):
     assert pii.pseudonymise(empty, "k").count() == 0
 
 
+def test_cards_inside_of_runs(spark):
+    cards = ["4111 1111 1111 1111", "4012-8888-8888-1881", "3782 822463 10005", "5555555555554444"]
+    runs = [f for c in cards for f in (f"{c} 123", f"{c} 12/25", f"7 {c} x", f"123 {c}", f"wört {c} 99.")] + ["1234 4111 1111 1111 113", "no 1234 5678 1234 5678 123"]
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    for key in ("k", "l", "m", "n", "o", "p"):
+        out = pii.pseudonymise(docs, key).localCheckpoint()
+        rows = out.orderBy("doc_id").collect()
+        for r, run, card in zip(rows, runs, [c for c in cards for _ in range(5)], strict=False):
+            at = run.index(card)
+            (span,) = r["pii"]
+            new = r["text"][at : at + len(card)]
+            if span["end"] - span["start"] == len(card):  # else the longest run is valid by itself
+                assert (span["kind"], span["start"], span["was_valid"]) == ("card", at, True) and r["text"] == run[:at] + new + run[at + len(card) :]
+            assert new != card and re.sub(r"\d", "0", r["text"]) == re.sub(r"\d", "0", run)
+        assert rows[-1]["text"] == runs[-1] and [s["was_valid"] for s in rows[-1]["pii"]] == [False]
+        back = pii.pseudonymise(out.drop("pii"), key, inverse=True).orderBy("doc_id").collect()
+        assert [r["text"] for r in back] == runs
+
+
 def test_pseudonyms_are_permutations(spark):
     days = spark.range(0, 73_000, 7).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     out = pii.pseudonymise(days, "k")
