@@ -6,6 +6,7 @@ arrays of matchers, joined on the tenant; inhibition rules are configuration.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -223,23 +224,29 @@ def group_notifications(routed: DataFrame, grouping: Grouping, until: int) -> Da
     """
     timers = grouping.timers()
 
-    def fold(key: tuple, events: pd.DataFrame) -> pd.DataFrame:
-        state, out = GroupState(timers), []
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, out = None, GroupState(timers), []
 
         def send(limit: int) -> None:
             while state.next_flush is not None and state.next_flush < limit:
                 at = state.next_flush
-                out.extend((key[0], key[1], pd.Timestamp(at, unit="us"), f, s) for f, s in state.flush() or ())
-
-        events = events.sort_values(["us", "fingerprint", "status"])
-        for us, fingerprint, status in zip(events["us"], events["fingerprint"], events["status"], strict=True):
-            send(us)
-            state.take(int(us), fingerprint, status)
+                out.extend((*key, pd.Timestamp(at, unit="us"), f, s) for f, s in state.flush() or ())
+
+        for events in frames:
+            for group, receiver, us, fingerprint, status in events.itertuples(index=False, name=None):
+                if (group, receiver) != key:
+                    send(until + 1)
+                    key, state = (group, receiver), GroupState(timers)
+                send(us)
+                state.take(int(us), fingerprint, status)
+            yield pd.DataFrame(out, columns=columns)
+            out.clear()
         send(until + 1)
-        return pd.DataFrame(out, columns=["group", "receiver", "sent_at", "fingerprint", "status"])
+        yield pd.DataFrame(out, columns=columns)
 
+    columns = ["group", "receiver", "sent_at", "fingerprint", "status"]
     rows = routed.select(group_key(F.col("receiver"), F.col("labels"), grouping.by).alias("group"), "receiver", F.unix_micros("at").alias("us"), "fingerprint", "status")
-    return rows.groupBy("group", "receiver").applyInPandas(fold, NOTIFICATIONS)
+    return rows.repartition("group", "receiver").sortWithinPartitions("group", "receiver", "us", "fingerprint", "status").mapInPandas(fold, NOTIFICATIONS)
 
 
 def notifications(members: DataFrame, labels: DataFrame) -> DataFrame:

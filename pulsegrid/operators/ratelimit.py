@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +27,23 @@ class Bucket:
 
 
 def token_bucket(rows: DataFrame, rate: float, burst: int, key: str = "key", ts: str = "ts", order: str = "seq") -> DataFrame:
-    """(key, order, allowed): whether each row is within its key's budget, in order of time and `order`."""
+    """(key, order, allowed): whether each row is within its key's budget, in order of time and `order`.
+
+    A key's rows go through one task in order, and one batch and one bucket are held at a time.
+    """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = Bucket(rate, burst)
-        pdf = pdf.sort_values(["us", "order"])
-        pdf["allowed"] = [bucket.allow(int(us)) for us in pdf["us"]]
-        return pdf[["key", "order", "allowed"]]
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, bucket = None, None
+        for batch in batches:
+            allowed = []
+            for k, us in zip(batch.column("key").to_pylist(), batch.column("us").to_pylist(), strict=True):
+                if bucket is None or k != last and not (k != k and last != last):  # NaN is one key
+                    last, bucket = k, Bucket(rate, burst)
+                allowed.append(bucket.allow(us))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("order"), pa.array(allowed, pa.bool_())], ["key", "order", "allowed"])
 
     light = rows.select(F.col(key).alias("key"), F.col(order).alias("order"), F.unix_micros(ts).alias("us"))
     kinds = {f.name: f.dataType.simpleString() for f in light.schema}
-    out = light.groupBy("key").applyInPandas(fold, f"key {kinds['key']}, order {kinds['order']}, allowed boolean")
+    ordered = light.repartition("key").sortWithinPartitions("key", "us", "order")
+    out = ordered.mapInArrow(fold, f"key {kinds['key']}, order {kinds['order']}, allowed boolean")
     return out.select(F.col("key").alias(key), F.col("order").alias(order), "allowed")

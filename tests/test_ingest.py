@@ -143,6 +143,21 @@ def test_token_bucket_against_a_loop(spark, sf_dir):
     assert got == wanted
 
 
+@pytest.mark.parametrize("query", ["token_bucket", "group_notifications"])
+def test_keys_are_folded_batch_by_batch(spark, sf_dir, query):
+    from pulsegrid.plans import alerting
+
+    run = {"token_bucket": streams.token_bucket, "group_notifications": alerting.group_notifications}[query]
+    wanted, size = sorted(map(tuple, run(spark, sf_dir).collect())), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, "3")
+    try:
+        out = run(spark, sf_dir)
+        assert sorted(map(tuple, out.collect())) == wanted and wanted
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()  # which takes all rows of a key at once
+    finally:
+        spark.conf.unset(size)
+
+
 def test_flagship(spark):
     import __spark_entry__
 
