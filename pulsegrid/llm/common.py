@@ -7,7 +7,8 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulsegrid.sources.shared import new_path
 
@@ -43,6 +44,35 @@ class Scratch:
             p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def totals_before(sizes: Column, block: int = 64) -> Column:
+    """For each place of an array of numbers, the sum of those before it.
+
+    A fold that appends to an array copies it at each step. Here it appends within blocks,
+    and once a block; so an array of n numbers takes about block * n / 2 + (n / block)^2 / 2 copies.
+    """
+
+    def fold(numbers: Column, start: Column) -> Column:
+        first = F.struct(start.cast("long").alias("at"), F.array().cast("array<bigint>").alias("before"))
+        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["before"], F.array(s["at"])).alias("before"))
+        return F.aggregate(numbers, first, step, lambda s: s["before"])
+
+    def of_block(s: Column, b: Column) -> Column:
+        return F.slice(s, b * block + 1, F.lit(block))
+
+    def whole(s: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(s) - 1) / block).cast("int"))
+        sums = F.transform(blocks, lambda b: F.aggregate(of_block(s, b), F.lit(0).cast("long"), lambda x, y: x + y))
+        starts = fold(sums, F.lit(0))
+        return F.flatten(F.transform(starts, lambda start, b: fold(of_block(s, b), start)))
+
+    return bound(F.coalesce(sizes, F.array().cast("array<bigint>")), lambda s: F.when(F.size(s) > 0, whole(s)).otherwise(F.array().cast("array<bigint>")))
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The UTF-8 bytes of each text, or None."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -112,10 +112,10 @@ WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), f
 ), valued AS (
     SELECT *, start + length(hit) AS stop, CASE WHEN kind = 0 THEN regexp_extract(hit, {quote(secrets.ASSIGN)}, 2) ELSE hit END AS v FROM placed
 ), base AS (SELECT * FROM valued WHERE kind <> 0 OR length(v) >= {secrets.LEAST_VALUE}), owned AS (
-    SELECT v, count(DISTINCT coalesce(source, chr(1))) AS n_owners FROM base GROUP BY v
+    SELECT v, count(DISTINCT coalesce(source, chr(1))) > {secrets.MOST_OWNERS} OR count(DISTINCT (coalesce(source, chr(1)), doc_id)) > {secrets.MOST_REPOSITORIES} AS copied FROM base GROUP BY v
 ), added AS (
-    SELECT DISTINCT doc_id, CASE WHEN n_owners > {secrets.MOST_OWNERS} THEN 4 ELSE 3 END AS kind, stop - length(v) AS start, stop FROM base JOIN owned USING (v)
-    WHERE n_owners > {secrets.MOST_OWNERS} OR (length(v) >= {secrets.LIVE_LENGTH} AND len(list_distinct(string_split(v, ''))) >= {secrets.LIVE_CHARACTERS}
+    SELECT DISTINCT doc_id, CASE WHEN copied THEN 4 ELSE 3 END AS kind, stop - length(v) AS start, stop FROM base JOIN owned USING (v)
+    WHERE copied OR (length(v) >= {secrets.LIVE_LENGTH} AND len(list_distinct(string_split(v, ''))) >= {secrets.LIVE_CHARACTERS}
         AND regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]') AND NOT regexp_matches(lower(v), 'example|changeme|placeholder|your[_-]|xxxx'))
 ), spans AS (
     SELECT doc_id, kind, start, stop, {names} || ':' || start || ':' || stop AS span FROM (SELECT doc_id, kind, start, stop FROM base UNION ALL SELECT doc_id, kind, start, stop FROM added)

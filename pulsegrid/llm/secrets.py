@@ -3,8 +3,10 @@
 Three kinds of candidates are found in every text: assignments of a value to a
 credential's name, access keys, and runs of hexadecimal digits. Each candidate's value
 is hashed, and the hashes are aggregated over the whole corpus by distinct
-repositories and owners. A value that several owners carry is a copied example; one
-that a single owner carries, and that looks random, is marked as live.
+repositories and owners. A value that more than MOST_OWNERS owners or more than
+MOST_REPOSITORIES repositories carry is a copied example: nobody's working credential is
+in so many places, even all of one owner's. Any other value that looks random is marked
+as live.
 
 Two kinds of spans are added by that verdict, over the value alone: `live` and
 `example`. The spans of the three base kinds always stay.
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import Scratch
+from pulsegrid.llm.common import Scratch, bound, totals_before
 
 #: The kinds in their order, their patterns and least lengths. Within a
 #: run of one class of characters, the least length can stand in the pattern itself.
@@ -30,8 +32,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 LEAST_VALUE = 8
 
-#: A value that more owners than this carry is an example.
-MOST_OWNERS = 1
+#: A value that more owners, or more repositories of whatever owners, than these carry is an example.
+MOST_OWNERS, MOST_REPOSITORIES = 1, 100
 #: Live-looking: at least so long, with so many different characters, and both letters and digits.
 LIVE_LENGTH, LIVE_CHARACTERS = 16, 8
 
@@ -39,22 +41,24 @@ LIVE_LENGTH, LIVE_CHARACTERS = 16, 8
 def spans_of(text: Column, pattern: str, kind: int) -> Column:
     """Array of (start, kind, end, match) for the leftmost matches that do not overlap; code points, end exclusive.
 
-    The text between matches and the matches themselves add up to each match's start.
+    What stands between matches and the matches themselves add up to each match's
+    start. A text is matched and split once, and the sums take time in proportion.
     """
-    hit = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern)
 
-    def step(done: Column, i: Column) -> Column:
-        start = done["at"] + F.length(F.get(gaps, i))
-        match = F.get(hit, i)
-        end = start + F.length(match)
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), match.alias("match"))
-        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+    def placed(hits: Column, gaps: Column) -> Column:
+        before = totals_before(F.transform(hits, lambda match, i: F.get(gaps, i) + F.length(match)))
 
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
-    first = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(hit) - 1), first, step, lambda done: done["spans"])
-    return F.when(F.size(hit) > 0, found).otherwise(empty)
+        def spans(at: Column) -> Column:
+            def span(match: Column, i: Column) -> Column:
+                start = (F.get(at, i) + F.get(gaps, i)).cast("int")
+                return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(match)).alias("end"), match.alias("match"))
+
+            return F.transform(hits, span)
+
+        return bound(before, spans)
+
+    gaps = F.transform(F.split(text, pattern), F.length)
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: bound(gaps, lambda g: placed(hits, g)))
 
 
 def base_spans(text: Column) -> Column:
@@ -97,7 +101,13 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan_secrets(
-    docs: DataFrame, owner_col: str, repository_col: str, id_col: str = "doc_id", text_col: str = "text", most_owners: int = MOST_OWNERS
+    docs: DataFrame,
+    owner_col: str,
+    repository_col: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    most_owners: int = MOST_OWNERS,
+    most_repositories: int = MOST_REPOSITORIES,
 ) -> DataFrame:
     """One row per document: id, counts by kind, n_live, n_example, and `found`.
 
@@ -128,13 +138,13 @@ def scan_secrets(
         live_looking(F.col("s.value")).alias("looks_live"),
     )
     owned = scratch.save(ownership(each), "owned")
-    judged = each.join(owned, "hash").withColumn(
-        "verdict", F.when(F.col("n_owners") > most_owners, KINDS.index("example")).when(F.col("looks_live"), KINDS.index("live"))
-    )
+    copied = (F.col("n_owners") > most_owners) | (F.col("n_repositories") > most_repositories)
+    judged = each.join(owned, "hash").withColumn("verdict", F.when(copied, KINDS.index("example")).when(F.col("looks_live"), KINDS.index("live")))
     of = lambda start, kind: F.struct(start.alias("start"), kind.cast("int").alias("kind"), F.col("end"), F.col("hash"), F.col("n_owners"), F.col("n_repositories"))
     both = F.array(of(F.col("start"), F.col("kind")), F.when(F.col("verdict").isNotNull(), of(F.col("value_start"), F.col("verdict"))))
-    # One value can be found by two kinds; its verdict is one span.
-    found = judged.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact(both))))).alias("found"))
+    # One value can be found by two kinds; its verdict is one span. A set of spans is hashed, distinct elements of an array are compared in pairs.
+    spans = judged.select("row", F.explode(F.array_compact(both)).alias("span"))
+    found = spans.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("found"))
     none = F.array().cast(found.schema["found"].dataType)
     out = scanned.select("id", "row").join(found, "row", "left").withColumn("found", F.coalesce("found", none))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == KINDS.index(kind))).cast("long")
