@@ -13,14 +13,14 @@ What is permuted, by kind:
 - date (valid, 1900-01-01 and 72,999 days on; yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy): the day;
 - ssn (ddd-dd-dddd, valid area, group and serial): the number among the valid ones;
 - ip (four numbers to 255): the 32-bit address;
-- phone (international, or with area code): the digits after the country code;
+- phone (international, or with area code; 7 to 15 digits, no country code beginning with 0): the digits after the country code;
 - card (13 to 19 digits, valid check digit): all digits but the check digit, which is computed anew; where the
   longest run isn't valid, the first valid one in it of 4-4-4-4, 4-6-5 or unbroken digits;
-- email: letters and digits of the local part, each within its class.
+- email (local part to 64 characters, domain to 253, its labels to 63 and without hyphens at an end): letters and digits of the local part, each within its class.
 What looks alike but isn't valid stays as it is.
 
 Null texts stay null and have no spans. Rows are independent: ids may be null or repeat.
-An empty table gives an empty result. Other columns pass through untouched.
+An empty table gives an empty result. Other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.common import bound, totals_before
+
 #: The kinds and their patterns, tried in this order at each place.
 KINDS = {
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![/-]?\d)",
@@ -37,7 +39,8 @@ KINDS = {
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![.-]?\d)",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # The domain is one character at a time, no two dots together, so the matcher loops over it and doesn't recurse.
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-](?:(?!\.\.)[A-Za-z0-9.-])*\.[A-Za-z]{2,}",
 }
 PATTERN = f"(?=[0-9+(])(?:{'|'.join(p for k, p in KINDS.items() if k != 'email')})|{KINDS['email']}"
 
@@ -49,21 +52,24 @@ ROUNDS = 8
 MOST_WALKS = 100
 FIRST_DAY, DAYS = "1900-01-01", (250, 292)
 AREAS, GROUPS, SERIALS = 898, 99, 9999
+#: What the standards for numbers and addresses allow.
+PHONE_DIGITS = (7, 15)
+LONGEST_LOCAL, LONGEST_DOMAIN, LONGEST_LABEL = 64, 253, 63
 
 
 class Permuter:
     """SQL expressions that pseudonymise one match `m`; null where it isn't valid.
 
-    The key enters as a digest, so it needs no quoting and stays out of plans.
+    They name the column that holds the key's digest, and never the digest itself.
     """
 
     def __init__(self, key: str, inverse: bool):
-        self.key, self.sign = hashlib.sha256(key.encode()).hexdigest(), -1 if inverse else 1
+        self.key, self.sign = key, -1 if inverse else 1
         self.turns = f"array({', '.join(map(str, range(ROUNDS)[:: self.sign]))})"
 
     def _noise(self, tweak: str, turn: str, half: str) -> str:
         """Thirteen hexadecimal digits of a keyed digest, as a number."""
-        return f"{self.sign} * cast(conv(substring(sha2(concat_ws('|', '{self.key}', '{tweak}', {turn}, {half}), 256), 1, 13), 16, 10) AS bigint)"
+        return f"{self.sign} * cast(conv(substring(sha2(concat_ws('|', {self.key}, '{tweak}', {turn}, {half}), 256), 1, 13), 16, 10) AS bigint)"
 
     def pair(self, x: str, y: str, sizes: tuple[int, int], tweak: str) -> str:
         """A permutation of pairs of numbers below the two sizes, as a struct (x, y)."""
@@ -109,7 +115,8 @@ class Permuter:
     def phone(self) -> str:
         country = "if(m RLIKE r'^\\+\\d{1,3}[ .(-]', regexp_extract(m, r'^\\+\\d{1,3}', 0), regexp_extract(m, r'^\\+\\d', 0))"
         body = let("b", "substring(m, length(c0) + 1)", f"concat(c0, {refill('b', '[0-9]', self.characters(letters('b', '[^0-9]'), 'phone'))})")
-        return let("c0", country, body)
+        digits = "length(regexp_replace(m, r'[^0-9]', ''))"
+        return f"if({digits} BETWEEN {PHONE_DIGITS[0]} AND {PHONE_DIGITS[1]} AND NOT startswith(m, '+0'), {let('c0', country, body)}, NULL)"
 
     def card(self, m: str = "m") -> str:
         new = self.characters("slice(d, 1, size(d) - 1)", "card")
@@ -130,7 +137,10 @@ class Permuter:
 
     def email(self) -> str:
         local = refill("b", "[A-Za-z0-9]", self.characters(letters("b", "[^A-Za-z0-9]"), "email"))
-        return let("b", "substring_index(m, '@', 1)", f"concat({local}, '@', substring_index(m, '@', -1))")
+        domain = "substring_index(m, '@', -1)"
+        labels = f"forall(split({domain}, r'\\.'), x -> length(x) BETWEEN 1 AND {LONGEST_LABEL} AND x NOT LIKE '-%' AND x NOT LIKE '%-')"
+        moved = let("b", "substring_index(m, '@', 1)", f"concat({local}, '@', {domain})")
+        return f"if(locate('@', m) <= {LONGEST_LOCAL} + 1 AND length({domain}) <= {LONGEST_DOMAIN}, if({labels}, {moved}, NULL), NULL)"
 
 
 def hit_of(kind: str, new: str, at: str = "0", size: str = "length(m)") -> str:
@@ -165,26 +175,35 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: boo
     """All columns, the text replaced, and `pii`: an array of (kind, start, end, was_valid) in the original's code points.
 
     The text is split at its matches once; each match is replaced by itself, and all
-    are put together again. A text column named otherwise, or a column named `pii` in
-    the input, is replaced by the result's.
+    are put together again. A column named `pii` in the input is replaced by the result's.
+
+    Whoever has the key's digest can undo pseudonyms, so neither is in a plan or in an
+    event log: the digest is a row of a table, and reaches the tasks as the value of a
+    subquery.
     """
-    permuter = Permuter(key, inverse)
+    permuter = Permuter("secret", inverse)
     kind = " ".join(f"WHEN m RLIKE r'^(?:{pattern})$' THEN '{name}'" for name, pattern in KINDS.items())
     new = " ".join(f"WHEN '{name}' THEN {getattr(permuter, name)()}" for name in KINDS if name != "card")
     hit = let("k", f"CASE {kind} END", f"if(k = 'card', {permuter.card_hit()}, {hit_of('k', f'CASE k {new} END')})")
-    text = F.col(text_col)
-    rows = docs.withColumn("_old", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    rows = rows.withColumn("_hits", F.when(F.size("_old") > 0, F.expr(f"transform(_old, m -> {hit})")))
-    rows = rows.withColumn("_gaps", F.when(F.size("_old") > 0, F.split(text, PATTERN)))
-    whole = "array_join(transform(_gaps, (g, i) -> concat(g, coalesce(get(_hits, i).new, get(_hits, i).old, ''))), '')"
-    end = "s.at + length(get(_gaps, i)) + length(h.old)"
-    start = "s.at + length(get(_gaps, i)) + h.at"
-    span = f"named_struct('kind', h.kind, 'start', {start}, 'end', {start} + h.size, 'was_valid', h.new IS NOT NULL)"
-    none = "cast(array() AS array<struct<kind:string,start:int,end:int,was_valid:boolean>>)"
-    step = f"(s, i) -> {let('h', 'get(_hits, i)', f'named_struct(' + repr('at') + f', {end}, ' + repr('spans') + f', concat(s.spans, array({span})))')}"
-    spans = f"aggregate(sequence(0, size(_hits) - 1), named_struct('at', 0, 'spans', {none}), {step}, s -> s.spans)"
-    out = {text_col: F.when(F.col("_hits").isNotNull(), F.expr(whole)).otherwise(text), "pii": F.when(F.col("_hits").isNotNull(), F.expr(spans)).otherwise(F.expr(none))}
-    return rows.withColumns(out).drop("_old", "_hits", "_gaps")
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column of the input clashes
+    digest = docs.sparkSession.createDataFrame([(hashlib.sha256(key.encode()).hexdigest(),)], "secret string")
+    text = F.col(names[text_col])
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), digest.scalar().alias("secret"))
+    rows = rows.withColumn("old", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    rows = rows.withColumn("hits", F.when(F.size("old") > 0, F.expr(f"transform(old, m -> {hit})")))
+    rows = rows.withColumn("gaps", F.when(F.size("old") > 0, F.split(text, PATTERN)))
+    whole = F.expr("array_join(transform(gaps, (g, i) -> concat(g, coalesce(get(hits, i).new, get(hits, i).old, ''))), '')")
+    before = totals_before(F.expr("transform(hits, (h, i) -> length(get(gaps, i)) + length(h.old))"))
+
+    def span(at: Column, h: Column, i: Column) -> Column:
+        start = (F.get(at, i) + F.length(F.get("gaps", i)) + h["at"]).cast("int")
+        return F.struct(h["kind"].alias("kind"), start.alias("start"), (start + h["size"]).alias("end"), h["new"].isNotNull().alias("was_valid"))
+
+    spans = bound(before, lambda at: F.transform("hits", lambda h, i: span(at, h, i)))
+    found, none = F.col("hits").isNotNull(), F.array().cast("array<struct<kind:string,start:int,end:int,was_valid:boolean>>")
+    rows = rows.withColumns({"new": F.when(found, whole).otherwise(text), "spans": F.when(found, spans).otherwise(none)})
+    out = names | {text_col: "new", "pii": "spans"}
+    return rows.select(*(F.col(n).alias(c) for c, n in out.items()))
 
 
 def count_of(kind: str) -> Column:
