@@ -27,9 +27,10 @@ class Scratch:
         self.spark, self.root = spark, new_path(spark, name)
         atexit.register(self._remove, self.root)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, append: bool = False) -> DataFrame:
+        """The table, written; with `append` under what is there."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("append" if append else "overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

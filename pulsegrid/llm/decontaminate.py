@@ -12,9 +12,11 @@ next rarer term keeps those where it stands at its own offset. A phrase with a t
 that the segment lacks is out at once. Proximity looks for all terms of a phrase within
 a stretch of words, in any order, beginning with the rarest too.
 
-Terms are words in lower case (A-Z only), as 64-bit hashes. Test phrases travel to the
-segments in blocks of at most BLOCK_BYTES; a test set beyond that takes several passes
-over the stored index, and the hits of all passes are merged per document.
+Terms are words in lower case (A-Z only), as 64-bit hashes. Test items travel to the
+segments in blocks of at most BLOCK_WORDS words, and a larger item in pieces that share
+all but one word of a window. A test set of several blocks takes several passes over the
+stored index. A pass stores its hits before the next block is fetched, so the driver and
+a task hold one block at a time, and the hits of all passes are merged per document.
 
 Null texts have no words. A benchmark row without an id cannot be named and is left
 out; one without words has no phrase. Ids that repeat count once in a document's items.
@@ -29,7 +31,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -41,10 +44,13 @@ WINDOW = 13
 #: A document is contaminated if a twentieth of its words is hit.
 SHARE = 20
 SEGMENT_BYTES = 8 << 20
-#: Text of test items in one pass over the index.
-BLOCK_BYTES = 8 << 20
-#: Possible starts held at a time within one segment.
-STARTS = 1 << 20
+#: Words of test items in one pass over the index, eight bytes each. More than a window.
+BLOCK_WORDS = 1 << 20
+#: Possible starts, and windows, held at a time within one segment.
+STARTS, PART = 1 << 20, 1 << 15
+#: A pass's hits: a document as (segment, place in it), its stretches of hit words, and the items they come from.
+HITS = "segment long, place int, hit_from array<long>, hit_to array<long>, items array<string>"
+
 
 def _segment(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Number of words of each text; the dictionary, the lists' lengths, and the lists as gaps between positions."""
@@ -61,18 +67,16 @@ def _segment(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _segment_schema(kind: T.DataType) -> T.StructType:
-    """One segment: its documents, their index, and what earlier passes have found in them."""
+    """One segment: its number, its documents, and their index."""
     return T.StructType(
         [
+            T.StructField("segment", T.LongType()),
             T.StructField("ids", T.ArrayType(kind)),
             T.StructField("keys", T.ArrayType(T.LongType())),
             T.StructField("n_words", T.ArrayType(T.LongType())),
             T.StructField("terms", T.BinaryType()),
             T.StructField("counts", T.BinaryType()),
             T.StructField("gaps", T.BinaryType()),
-            T.StructField("marks", T.BinaryType()),
-            T.StructField("hit_documents", T.ArrayType(T.LongType())),
-            T.StructField("hit_items", T.ArrayType(T.StringType())),
         ]
     )
 
@@ -83,20 +87,21 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("decontaminate")
+        segment = TaskContext.get().partitionId() << 32
         for whole in batches:
             for batch in chunks(whole, 2, SEGMENT_BYTES):
                 n, terms, counts, gaps = _segment(as_bytes(batch.column(2)))
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array([segment], pa.int64()),
                         pa.array([batch.column(0).to_pylist()], pa.list_(batch.column(0).type)),
                         pa.array([batch.column(1).to_pylist()], pa.list_(pa.int64())),
                         pa.array([n], pa.list_(pa.int64())),
-                        *(pa.array([x.tobytes()], pa.binary()) for x in (terms, counts, gaps, np.zeros(0, dtype=np.uint8))),
-                        pa.array([[]], pa.list_(pa.int64())),
-                        pa.array([[]], pa.list_(pa.string())),
+                        *(pa.array([x.tobytes()], pa.binary()) for x in (terms, counts, gaps)),
                     ],
                     names=schema.names,
                 )
+                segment += 1
 
     return docs.select(F.col(id_col), F.xxhash64(text_col), F.col(text_col)).mapInArrow(run, schema)
 
@@ -135,16 +140,12 @@ class Segment:
         return np.searchsorted(self.first, position, side="right") - 1
 
     def phrases(self, phrases: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(phrase, start) of all occurrences of phrases, the rows of a matrix of term hashes, in parts."""
-        place = self.lookup(phrases)
-        here = np.flatnonzero((place >= 0).all(axis=1))
-        if not len(here):
-            return
-        place = place[here]
+        """(phrase, start) of all occurrences of phrases, the rows of a matrix of places in the dictionary, in parts."""
+        place = phrases
         order = np.argsort(self.counts[place], axis=1, kind="stable")  # rarest first
         rarest = np.take_along_axis(place, order[:, :1], axis=1)[:, 0]
         lengths = self.counts[rarest]
-        for part in np.split(np.arange(len(here)), np.flatnonzero(np.diff(np.cumsum(lengths) // STARTS)) + 1):
+        for part in np.split(np.arange(len(place)), np.flatnonzero(np.diff(np.cumsum(lengths) // STARTS)) + 1):
             which = np.repeat(part, lengths[part])
             within = np.arange(len(which)) - np.repeat(np.cumsum(lengths[part]) - lengths[part], lengths[part])
             start = self.positions[self.starts[rarest[which]] + within] - order[which, 0]
@@ -153,16 +154,14 @@ class Segment:
                 left = self.stands(place[which, offset], start + offset)
                 which, start = which[left], start[left]
             left = start >= 0
-            yield here[which[left]], start[left]
+            yield which[left], start[left]
 
-    def near(self, terms: np.ndarray, span: int) -> list[tuple[int, int, int]]:
-        """(document, first position, last position + 1) of the shortest stretches, at most `span` words long, that hold all terms.
+    def near(self, place: np.ndarray, span: int) -> list[tuple[int, int, int]]:
+        """(document, first position, last position + 1) of the shortest stretches, at most `span` words long, that hold all terms, given as places.
 
         Positions are counted within the document. Stretches that hold another are not listed.
         """
-        place = self.lookup(np.unique(terms))
-        if not len(place) or (place < 0).any():
-            return []
+        place = np.unique(place)
         place = place[np.argsort(self.counts[place], kind="stable")]
         lists = [self.positions[self.starts[p] : self.starts[p + 1]] for p in place]
         documents = None  # those that hold all terms so far, from the rarest on
@@ -187,159 +186,145 @@ class Segment:
         return out
 
 
-def windows(text: bytes) -> np.ndarray:
-    """The windows of an item as rows of term hashes: WINDOW words each, or the whole of a shorter item."""
-    words = word_hashes(text, SIGNS)
-    size = min(WINDOW, len(words))
-    return np.lib.stride_tricks.sliding_window_view(words, size).copy() if size else np.zeros((0, 0), dtype=np.uint64)
-
-
 class Items:
-    """The windows of a block of test items, alike ones together, by length."""
+    """A block of test items as words, one item's after the other's. None is without words."""
 
-    def __init__(self, items: list[tuple[str, bytes]]):
+    def __init__(self, items: list[tuple[str, np.ndarray]]):
         self.names = [name for name, _ in items]
-        rows: dict[int, dict[bytes, set[int]]] = {}
-        for i, (_, text) in enumerate(items):
-            for w in windows(text):
-                rows.setdefault(len(w), {}).setdefault(w.tobytes(), set()).add(i)
-        self.by_length = []
-        for of in rows.values():
-            phrases = np.stack([np.frombuffer(w, dtype=np.uint64) for w in of])
-            owners = [np.array(sorted(x)) for x in of.values()]
-            self.by_length.append((phrases, np.concatenate(owners), np.concatenate([[0], np.cumsum([len(x) for x in owners])])))
-
-
-def _hits(segment: Segment, items: Items) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Mark of each position that a window covers; pairs of document and item, once each."""
-    size = int(segment.first[-1] + segment.n_words[-1] + 1) if len(segment.n_words) else 0
-    edges = np.zeros(size + 1, dtype=np.int64)
-    pairs: set[tuple[int, int]] = set()
-    for phrases, owners, owner_starts in items.by_length:
-        for which, start in segment.phrases(phrases):
-            np.add.at(edges, start, 1)
-            np.add.at(edges, start + phrases.shape[1], -1)
-            found = np.unique(np.stack([segment.document(start), which]), axis=1)
-            pairs.update((int(d), int(i)) for d, w in found.T for i in owners[owner_starts[w] : owner_starts[w + 1]])
-    return np.cumsum(edges) > 0, sorted(pairs)
-
-
-def _marked(segment: Segment, row: dict, items: Items) -> dict:
-    """What is known of a segment's hits, with those of a block of test items added."""
-    marks, pairs = _hits(segment, items)
-    if row["marks"]:
-        marks |= np.unpackbits(np.frombuffer(row["marks"], dtype=np.uint8), count=len(marks)).astype(bool)
-    return {
-        "marks": np.packbits(marks).tobytes(),
-        "hit_documents": row["hit_documents"] + [d for d, _ in pairs],
-        "hit_items": row["hit_items"] + [items.names[i] for _, i in pairs],
-    }
-
-
-def _match(index: DataFrame, items: Items) -> DataFrame:
-    """The segments with the hits of a block of test items added."""
+        self.words = np.concatenate([np.zeros(0, dtype=np.uint64), *(words for _, words in items)])
+        self.starts = np.concatenate([[0], np.cumsum([len(words) for _, words in items])]).astype(np.int64)
+
+    def windows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(words in a window, where windows start, whose they are): WINDOW words each, or the whole of a shorter item."""
+        sizes = np.diff(self.starts)
+        for size in np.unique(np.minimum(sizes, WINDOW)):
+            of = np.flatnonzero(np.minimum(sizes, WINDOW) == size)
+            counts = sizes[of] - size + 1
+            within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield int(size), np.repeat(self.starts[of], counts) + within, np.repeat(of, counts)
+
+
+def _hits(segment: Segment, items: Items) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
+    """(document, its stretches' first words, and ends, items) of the documents that a window stands in."""
+    place = segment.lookup(items.words)
+    absent = np.concatenate([[0], np.cumsum(place < 0)])
+    edges = np.zeros(int(segment.first[-1] + segment.n_words[-1]) + 2 if len(segment.n_words) else 2, dtype=np.int64)
+    pairs = []
+    for size, starts, owners in items.windows():
+        here = np.flatnonzero(absent[starts + size] == absent[starts])
+        for at in range(0, len(here), PART):
+            some = here[at : at + PART]
+            for which, start in segment.phrases(place[starts[some][:, None] + np.arange(size)]):
+                np.add.at(edges, start, 1)
+                np.add.at(edges, start + size, -1)
+                pairs.append(np.unique(segment.document(start) << 32 | owners[some[which]]))
+    if not pairs:
+        return
+    found = np.unique(np.concatenate(pairs))
+    marks = (np.cumsum(edges) > 0).view(np.int8)
+    documents, first = np.unique(found >> 32, return_index=True)
+    for d, of in zip(documents.tolist(), np.split(found & 0xFFFFFFFF, first[1:]), strict=True):
+        low = segment.first[d]
+        edge = np.diff(marks[low : low + segment.n_words[d]], prepend=np.int8(0), append=np.int8(0))
+        yield d, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), sorted({items.names[i] for i in of})
+
+
+def _pass(index: DataFrame, items: Items) -> DataFrame:
+    """HITS of one block of test items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("decontaminate")
         for batch in batches:
             for at in range(batch.num_rows):
-                one = batch.slice(at, 1)
-                row = one.to_pylist()[0]
-                new = _marked(Segment(row), row, items)
-                yield pa.RecordBatch.from_arrays([pa.array([new[f.name]], f.type) if f.name in new else one.column(f.name) for f in one.schema], names=one.schema.names)
+                row = batch.slice(at, 1).to_pylist()[0]
+                found = list(zip(*_hits(Segment(row), items), strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["segment"]] * len(found[0]), pa.int64()),
+                        pa.array(found[0], pa.int32()),
+                        pa.array(found[1], pa.list_(pa.int64())),
+                        pa.array(found[2], pa.list_(pa.int64())),
+                        pa.array(found[3], pa.list_(pa.string())),
+                    ],
+                    names=["segment", "place", "hit_from", "hit_to", "items"],
+                )
 
-    return index.mapInArrow(run, index.schema)
+    return index.drop("keys").mapInArrow(run, HITS)
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
-    """The test items in blocks of bounded size, fetched one partition at a time."""
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, pieces: bool = True) -> Iterator[Items]:
+    """The test items in blocks of bounded size, fetched one partition at a time. Without `pieces`, an item larger than a block is a block."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(text_col).cast("binary").alias("text")).filter("name IS NOT NULL AND text IS NOT NULL")
     block, size = [], 0
     for row in rows.toLocalIterator():
-        if block and size + len(row["text"]) > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((row["name"], bytes(row["text"])))
-        size += len(row["text"])
-    yield block
+        words = word_hashes(bytes(row["text"]), SIGNS)
+        most = BLOCK_WORDS if pieces else max(BLOCK_WORDS, len(words))
+        for at in range(0, max(len(words) - WINDOW + 1, min(len(words), 1)), most - WINDOW + 1):
+            piece = words[at : at + most]
+            if block and size + len(piece) > BLOCK_WORDS:
+                yield Items(block)
+                block, size = [], 0
+            block.append((row["name"], piece))
+            size += len(piece)
+    yield Items(block)
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """HITS of several passes, once for each document: stretches that meet become one."""
+    key = ["segment", "place"]
+    each = found.select(*key, F.explode(F.arrays_zip("hit_from", "hit_to")).alias("s")).select(*key, F.col("s.hit_from").alias("low"), F.col("s.hit_to").alias("high"))
+    order = Window.partitionBy(*key).orderBy("low", "high")
+    reached = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("new", F.when(F.col("low") <= reached, 0).otherwise(1)).withColumn("n", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = each.groupBy(*key, "n").agg(F.min("low").alias("hit_from"), F.max("high").alias("hit_to"))
+    stretches = stretches.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("hit_from", "hit_to"))).alias("s"))
+    items = found.select(*key, F.explode("items").alias("item")).groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return stretches.join(items, key).select(*key, F.col("s.hit_from").alias("hit_from"), F.col("s.hit_to").alias("hit_to"), "items")
 
 
 def phrase_matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, key, n_words, hit_from and hit_to (its stretches of hit words), items.
 
     Words count from 0 and `hit_to` is exclusive; `items` are the ids of items with a
-    window in the document, sorted as strings, each once.
+    window in the document, sorted as strings, each once. `index` is a stored table.
     """
-    last: list[tuple[str, bytes]] = []
-    for n, block in enumerate(item_blocks(benchmark, item_col, text_col)):
-        if n:
-            index = _match(index, Items(last))
-        last = block
-    items = Items(last)
-    kind = index.schema["ids"].dataType.elementType
-    schema = T.StructType(
-        [
-            T.StructField("id", kind),
-            T.StructField("key", T.LongType()),
-            T.StructField("n_words", T.LongType()),
-            T.StructField("hit_from", T.ArrayType(T.LongType())),
-            T.StructField("hit_to", T.ArrayType(T.LongType())),
-            T.StructField("items", T.ArrayType(T.StringType())),
-        ]
+    scratch, passes = Scratch(index.sparkSession, "phrases"), 0
+    for block in item_blocks(benchmark, item_col, text_col):
+        found = scratch.save(_pass(index, block), "hits", append=passes > 0)
+        passes += 1
+    if passes > 1:
+        found = scratch.save(_merged(found), "merged")
+    each = index.select("segment", F.posexplode(F.arrays_zip("ids", "keys", "n_words")).alias("place", "d"))
+    none = lambda name: F.coalesce(name, F.array().cast(found.schema[name].dataType)).alias(name)
+    return each.join(found, ["segment", "place"], "left").select(
+        F.col("d.ids").alias("id"), F.col("d.keys").alias("key"), F.col("d.n_words").alias("n_words"), none("hit_from"), none("hit_to"), none("items")
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("decontaminate")
-        for batch in batches:
-            for at in range(batch.num_rows):
-                one = batch.slice(at, 1)
-                row = one.to_pylist()[0]
-                found = _marked(Segment(row), row, items)
-                n_words = row["n_words"]
-                marks = np.unpackbits(np.frombuffer(found["marks"], dtype=np.uint8)).view(np.int8)
-                names: dict[int, set[str]] = {}
-                for d, item in zip(found["hit_documents"], found["hit_items"], strict=True):
-                    names.setdefault(d, set()).add(item)
-                low, high, first = [[] for _ in n_words], [[] for _ in n_words], 0
-                for d, n in enumerate(n_words):
-                    if d in names:
-                        edges = np.diff(marks[first : first + n], prepend=np.int8(0), append=np.int8(0))
-                        low[d], high[d] = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-                    first += n + 1
-                ids = one.column("ids")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.values.slice(ids.offsets[0].as_py(), len(n_words)),
-                        pa.array(row["keys"], pa.int64()),
-                        pa.array(n_words, pa.int64()),
-                        pa.array(low, pa.list_(pa.int64())),
-                        pa.array(high, pa.list_(pa.int64())),
-                        pa.array([sorted(names.get(d, ())) for d in range(len(n_words))], pa.list_(pa.string())),
-                    ],
-                    names=schema.names,
-                )
-
-    return index.mapInArrow(run, schema)
-
 
 def proximity_matches(index: DataFrame, benchmark: DataFrame, span: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(id, item, word_from, word_to): stretches of at most `span` words that hold all words of an item, in any order."""
+    """(id, item, word_from, word_to): stretches of at most `span` words that hold all words of an item, in any order.
+
+    A block's words are looked up together, and only items whose words a segment all has are looked for in it.
+    """
     kind = index.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("id", kind), T.StructField("item", T.StringType()), T.StructField("word_from", T.LongType()), T.StructField("word_to", T.LongType())])
-    out = None
-    for block in item_blocks(benchmark, item_col, text_col):
-        terms = [(name, word_hashes(text, SIGNS)) for name, text in block]
+    scratch, passes = Scratch(index.sparkSession, "proximity"), 0
+    for block in item_blocks(benchmark, item_col, text_col, pieces=False):
 
-        def run(batches: Iterator[pa.RecordBatch], terms=terms) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items=block) -> Iterator[pa.RecordBatch]:
+            enter("decontaminate")
             for batch in batches:
                 for row in batch.to_pylist():
                     segment = Segment(row)
-                    found = [(segment.ids[d], name, a, b) for name, words in terms for d, a, b in segment.near(words, span)]
+                    place = segment.lookup(items.words)
+                    here = np.flatnonzero(np.minimum.reduceat(place, items.starts[:-1]) >= 0) if len(place) else []
+                    near = lambda i: segment.near(place[items.starts[i] : items.starts[i + 1]], span)  # noqa: B023, E731
+                    found = [(segment.ids[d], items.names[i], a, b) for i in here for d, a, b in near(i)]
                     columns = list(zip(*found, strict=True)) or [[]] * 4
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(schema), strict=True)], names=schema.names)
 
-        found = index.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
+        out = scratch.save(index.mapInArrow(run, schema), "near", append=passes > 0)
+        passes += 1
     return out
 
 

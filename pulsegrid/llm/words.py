@@ -1,25 +1,28 @@
 """Words of UTF-8 texts as 64-bit hashes, a text at a time, in numpy.
 
-A word is a run of bytes that are not separators; A-Z count as a-z. The hash of a word
-is a polynomial over random numbers for its bytes, taken as a difference of prefix sums,
-then mixed. Equal words have equal hashes; two different words agree with a
-probability of about 2^-64.
+A word is a run of bytes that are not separators; A-Z count as a-z. A word of up to
+eight bytes is packed into its hash, so two of them never have the same. A longer
+one's is eight bytes of its BLAKE2 digest: for any two different words, made to collide
+or not, hashes agree with a probability of about 2^-64.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 
 from pulsegrid.llm.common import LOWER
 
-#: Seeds the numbers that stand for bytes.
-SEED = 91_177
 #: Texts are taken in blocks of about so many bytes, cut between words, so memory doesn't grow with a text.
 BLOCK = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+#: Long words whose digests a worker remembers, and the longest of them.
+REMEMBERED, LONGEST_REMEMBERED = 1 << 17, 64
+
+#: Masks of a number's lowest bytes, by count.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_TOP = np.array([n << 56 for n in range(8)] + [0], dtype=np.uint64)
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -44,47 +47,52 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    values = np.random.default_rng(SEED).integers(0, 1 << 64, size=256, dtype=np.uint64)
-    return values[np.frombuffer(LOWER, dtype=np.uint8)]
-
-
-class _Powers:
-    """Powers of the base and of its inverse, longer ones made on demand."""
+class _Digests:
+    """Hashes of long words; those of short ones among them are remembered, up to a number."""
 
     def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+        self.known: dict[bytes, int] = {}
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up), np.cumprod(down)
-        return self.up, self.down
+    def of(self, word: bytes) -> int:
+        found = self.known.get(word)
+        if found is None:
+            found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+            if len(word) <= LONGEST_REMEMBERED:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[word] = found
+        return found
 
 
-_powers = _Powers()
+_digests = _Digests()
 
 
-def _block_hashes(b: np.ndarray, table: np.ndarray) -> np.ndarray:
-    inside = ~table[b]
-    edges = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+def _block_hashes(text: bytes, table: np.ndarray) -> np.ndarray:
+    text = text.translate(LOWER)
+    padded = text + bytes(8)
+    inside = np.zeros(len(text) + 2, dtype=bool)
+    np.logical_not(table[np.frombuffer(text, dtype=np.uint8)], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    up, down = _powers.upto(len(b) + 1)
-    sums = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum(_byte_values()[b] * up[: len(b)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+    size = ends - starts
+    eight = np.ndarray(len(text) + 1, dtype="<u8", buffer=padded, strides=(1,))[starts]  # the eight bytes from each start on
+    # The highest byte of a shorter word is its length, which no eighth letter is: a word with a control character there is a long one.
+    kept = np.minimum(size, 8)
+    packed = eight & _LOW[kept] | _TOP[kept]
+    out = mixed(packed)
+    long = np.flatnonzero((size > 8) | (size == 8) & (packed >> np.uint64(56) < 32))
+    of = _digests.of
+    out[long] = np.array([of(text[i:j]) for i, j in zip(starts[long].tolist(), ends[long].tolist(), strict=True)], dtype=np.uint64)
+    return out
 
 
 def word_hashes(text: bytes, table: np.ndarray) -> np.ndarray:
     """The hash of each word of a text, in order."""
+    if len(text) <= BLOCK:
+        return _block_hashes(text, table)
     b = np.frombuffer(text, dtype=np.uint8)
-    if len(b) <= BLOCK:
-        return _block_hashes(b, table)
     out, start = [], 0
     while start < len(b):
         end = min(start + BLOCK, len(b))
@@ -93,7 +101,7 @@ def word_hashes(text: bytes, table: np.ndarray) -> np.ndarray:
             end = end + int(stop[0]) if len(stop) else min(end + BLOCK, len(b))
             if len(stop):
                 break
-        out.append(_block_hashes(b[start:end], table))
+        out.append(_block_hashes(text[start:end], table))
         start = end
     return np.concatenate(out)
 
