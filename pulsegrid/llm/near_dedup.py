@@ -5,23 +5,28 @@ make all coordinates of its signature: the first scatters the set over a domain
 2^20 places; the second, shifted circularly by 0, 1, 2, ... places, gives each
 coordinate's values, of which the least over the set is kept. Six coordinates make a
 band, 40 bands a signature, so two sets with a Jaccard similarity of 0.85 meet in no
-band with a probability of (1 - 0.85^6)^40, about 6e-9.
+band with a probability of (1 - 0.85^6)^40, about 6e-9; at 0.8 it is 5e-6. Lower
+similarities than 0.8 are refused.
 
 Documents with the same set are one class, and only classes are compared. No pairs are
 listed within a bucket. Instead:
 
 1. Uniqueness bound. A shingle that no other class in any bucket has cannot be shared.
-   With v shared shingles left of n, a class can be linked with nothing if 100 v < 85 n,
-   and two classes only if 185 min(v1, v2) >= 85 (n1 + n2). Both follow from the
-   definition, so no link is lost, and most members of a large bucket of loosely
-   related texts leave here.
+   With v shared shingles left of n, and a similarity of s per cent wanted, a class can
+   be linked with nothing if 100 v < s n, and two classes only if
+   (100 + s) min(v1, v2) >= s (n1 + n2). Both follow from the definition, so no link is
+   lost, and most members of a large bucket of loosely related texts leave here.
 2. Stars. In each bucket all members are compared with one hub, the member with the
    largest share of shared shingles. Verified links are contracted to components.
-3. The rest. Members of one bucket that are still in different components, and pass the
-   bound, are compared in the first bucket they share. Pairs inside a component need no
-   comparing.
+3. The rest. A bucket whose members are still in different components has one component
+   that most of its members are in. Only the others, where they pass the bound, are
+   compared, with the members that are not in their own component, in the first bucket
+   a pair shares. The largest component's members never meet each other, so a bucket
+   of thousands and an outsider takes thousands of comparisons, not their square.
 
-Every link is confirmed on the full sets.
+Every link is confirmed on the full sets, as hashes of 64 bits. The sets are made anew
+from the texts of the classes in step 1; a bitmap of fixed size of their keys lets other
+rows go before texts are shuffled.
 
 Nulls and texts without words have an empty set, are linked with nothing and keep their
 own id as component. Null ids never win over others. Rows that repeat fall into one
@@ -45,11 +50,14 @@ from pulsegrid.llm.components import components
 from pulsegrid.llm.words import SPACES, mixed, shingle_set, word_hashes
 
 WORDS = 5
-SIMILARITY = 85  # per cent
+SIMILARITY = 85  # per cent, unless a call says otherwise
+LEAST_SIMILARITY = 80
 BANDS, ROWS = 40, 6
 DOMAIN_BITS = 20
 SEED = 4_051
 CHUNK_BYTES = 4 << 20
+#: Bits of the bitmap of wanted keys, 8 MB whatever the number of rows; more keys than that let more rows pass.
+FILTER_BITS = 26
 
 
 @lru_cache(maxsize=1)
@@ -119,20 +127,55 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of (a, b) whose full sets are similar enough."""
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Those of (a, b) whose full sets are similar enough.
+
+    `b` can be in very many pairs. So pairs get the set of `a` first: rows of a hot `b`
+    are then as large as they are many, and Spark splits them by size.
+    """
     of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     shared = F.size(F.array_intersect("a_set", "b_set"))
-    return both.filter(100 * shared >= SIMILARITY * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b")
+    return both.filter(100 * shared >= similarity * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b")
 
 
-def _could_link(n1, v1, n2, v2):
+def _could_link(n1, v1, n2, v2, similarity: int):
     """The bound on two classes' sizes and shared shingles."""
-    return (100 + SIMILARITY) * F.least(v1, v2) >= SIMILARITY * (n1 + n2)
+    return (100 + similarity) * F.least(v1, v2) >= similarity * (n1 + n2)
+
+
+def _with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose `key` is among `keys`, and a few more: those whose bit in a bitmap of the keys is set.
+
+    The bitmap has 2^FILTER_BITS bits in parts of 4 KB, so it is small enough to broadcast whatever the tables' sizes.
+    """
+    bit = F.pmod(F.col("key"), F.lit(1 << FILTER_BITS))
+    part, at = F.shiftright(bit, 15).cast("int"), F.pmod(bit, F.lit(1 << 15))
+    bitmap = keys.select(part.alias("part"), at.alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bitmap"))
+    byte = F.conv(F.hex(F.substring("bitmap", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2)) == 1
+    return rows.withColumn("part", part).join(F.broadcast(bitmap), "part").filter(there).select(*rows.columns)
+
+
+def _rest(named: DataFrame, alive: DataFrame, scratch: Scratch, similarity: int) -> DataFrame:
+    """(a, b) of one bucket that are under different labels and could be linked, from (bucket, node, n, v, label)."""
+    each = named.groupBy("bucket", "label").agg(F.count("*").alias("m"))
+    most = each.groupBy("bucket").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("most"), F.count("*").alias("labels"))
+    mixed_up = scratch.save(most.filter("labels > 1").select("bucket", "most"), "mixed")
+    open_ = scratch.save(named.join(mixed_up, "bucket").join(alive.select("node", "buckets"), "node"), "open")
+    x, y = open_.filter("label <> most").alias("x"), open_.alias("y")
+    apart = (
+        (F.col("x.bucket") == F.col("y.bucket"))
+        & (F.col("x.label") != F.col("y.label"))
+        & ((F.col("y.label") == F.col("y.most")) | (F.col("x.node") < F.col("y.node")))
+        & _could_link(F.col("x.n"), F.col("x.v"), F.col("y.n"), F.col("y.v"), similarity)
+        & (F.get(F.array_intersect("x.buckets", "y.buckets"), F.lit(0)) == F.col("x.bucket"))
+    )
+    # The outsider can be in as many pairs as its bucket has members.
+    return x.join(y, apart).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
 
 
-def _labels(classes: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+def _labels(classes: DataFrame, rows: DataFrame, scratch: Scratch, similarity: int) -> DataFrame:
     """(node, label) of the classes that are linked with others."""
     exploded = classes.select("node", F.explode("buckets").alias("bucket"))
     # Keys alone are counted first; most buckets have one member and go no further.
@@ -141,48 +184,39 @@ def _labels(classes: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     involved = classes.join(members.select("node").distinct(), "node").select("node", "name", "n", "buckets", F.col("least").alias("id"), "key")
     involved = scratch.save(involved, "involved")
 
-    on = [rows["key"] == involved["key"], rows["id"].eqNullSafe(involved["id"])]
-    texts = rows.join(involved.select("key", "id", "node", "name"), on).select("node", "name", "text")
+    some = _with_keys(rows, involved)
+    on = [some["key"] == involved["key"], some["id"].eqNullSafe(involved["id"])]
+    texts = some.join(involved.select("key", "id", "node", "name"), on).select("node", "name", "text")
     sets = scratch.save(texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
     # A shingle counted once has the least of its nodes as its only one.
     alone = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node"))
     alone = alone.filter("c = 1").groupBy("node").agg(F.count("*").alias("u"))
     alive = involved.select("node", "n", "buckets").join(alone, "node", "left").withColumn("v", F.col("n") - F.coalesce("u", F.lit(0)))
-    alive = scratch.save(alive.filter(f"100 * v >= {SIMILARITY} * n").select("node", "n", "v", "buckets"), "alive")
+    alive = scratch.save(alive.filter(f"100 * v >= {similarity} * n").select("node", "n", "v", "buckets"), "alive")
     sets = scratch.save(sets.join(alive.select("node"), "node", "left_semi"), "alive_sets")
     members = scratch.save(members.join(alive.select("node", "n", "v"), "node"), "alive_members")
     scratch.drop("sets", "members", "shared", "involved")
 
     best = F.max(F.struct((F.col("v") / F.col("n")).alias("share"), (-F.col("node")).alias("order"), "n", "v")).alias("h")
     hubs = scratch.save(members.groupBy("bucket").agg(best, F.count("*").alias("m")).filter("m > 1").select("bucket", (-F.col("h.order")).alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.v").alias("hub_v")), "hubs")
-    spokes = members.join(hubs, "bucket").filter((F.col("node") != F.col("hub")) & _could_link(F.col("n"), F.col("v"), F.col("hub_n"), F.col("hub_v")))
-    pairs = scratch.save(spokes.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "spokes")
-    links = scratch.save(_linked(pairs, sets), "links")
+    spokes = members.join(hubs, "bucket").filter((F.col("node") != F.col("hub")) & _could_link(F.col("n"), F.col("v"), F.col("hub_n"), F.col("hub_v"), similarity))
+    pairs = scratch.save(spokes.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "spokes")
+    links = scratch.save(_linked(pairs, sets, similarity), "links")
     first = scratch.save(components(links, scratch, "first"), "first")
 
     # What is left: members of one bucket under different labels.
     named = members.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = scratch.save(named.select("bucket", "node", "n", "v", "label"), "named")
-    mixed_up = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
-    mixed_up = scratch.save(mixed_up, "mixed")
-    open_ = named.join(mixed_up, "bucket").join(alive.select("node", "buckets"), "node")
-    open_ = scratch.save(open_, "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = (
-        (F.col("x.bucket") == F.col("y.bucket"))
-        & (F.col("x.node") < F.col("y.node"))
-        & (F.col("x.label") != F.col("y.label"))
-        & _could_link(F.col("x.n"), F.col("x.v"), F.col("y.n"), F.col("y.v"))
-        & (F.get(F.array_intersect("x.buckets", "y.buckets"), F.lit(0)) == F.col("x.bucket"))
-    )
-    rest = scratch.save(x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "rest")
-    links = scratch.save(links.unionByName(_linked(rest, sets)), "all_links")
+    rest = scratch.save(_rest(named, alive, scratch, similarity), "rest")
+    links = scratch.save(links.unionByName(_linked(rest, sets, similarity)), "all_links")
     return components(links, scratch, "second")
 
 
-def _grouped(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, similarity: int) -> tuple[DataFrame, DataFrame]:
     """(id, key, n, name) of every row, and (name, component, winner) of every class with words."""
+    if not LEAST_SIMILARITY <= similarity <= 100:
+        raise ValueError(f"a similarity is a percentage, {LEAST_SIMILARITY} at least")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     signed = scratch.save(rows.mapInArrow(_signatures, f"id {kind}, key long, n long, name binary, buckets array<long>"), "signed")
@@ -190,7 +224,7 @@ def _grouped(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> t
     classes = signed.filter("n > 0").groupBy("name").agg(first, F.first("n").alias("n"), F.first("buckets").alias("buckets"))
     classes = classes.select(F.monotonically_increasing_id().alias("node"), "name", "n", "buckets", F.col("first.id").alias("least"), F.col("first.key").alias("key"))
     classes = scratch.save(classes, "classes")
-    labels = scratch.save(_labels(classes, rows, scratch), "labels")
+    labels = scratch.save(_labels(classes, rows, scratch, similarity), "labels")
     linked = classes.select("node", "name", "least", "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     winner = F.min(F.struct(F.col("least").isNull().alias("null_id"), F.col("least").alias("id"), "key")).alias("winner")
     named = linked.groupBy("label").agg(winner)
@@ -198,9 +232,9 @@ def _grouped(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> t
     return signed.select("id", "key", "n", "name"), scratch.save(of, "of")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept (its id is component_id)."""
-    signed, of = _grouped(docs, Scratch(docs.sparkSession, "near"), id_col, text_col)
+    signed, of = _grouped(docs, Scratch(docs.sparkSession, "near"), id_col, text_col, similarity)
     out = signed.join(of.select("name", "component"), "name", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select(
@@ -208,10 +242,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """The rows that stay, with all their columns: one of each component, and all without words."""
     scratch = Scratch(docs.sparkSession, "near")
-    _, of = _grouped(docs, scratch, id_col, text_col)
+    _, of = _grouped(docs, scratch, id_col, text_col, similarity)
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column of the input clashes
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())).withColumn("key", F.xxhash64(names[text_col]))
     back = [F.col(n).alias(c) for c, n in names.items()]
