@@ -10,9 +10,11 @@ key, so a digest only routes rows and never decides that two texts are equal:
    so no reducer gets more than a share of a hot group;
 3. the salt winners within a digest.
 
-Rows then find their group by a join on the digest alone. A digest that more than one
-content shares would make that ambiguous; such digests are looked for, and their rows
-are joined on the content as well.
+Rows then find their group by a join on the digest and a salt. A group of more than a
+HOT_SHARE-th of all rows, of which there are at most HOT_SHARE, is joined in as many
+parts as it has such shares: its digest is broadcast, its rows draw a part, and its winner is
+repeated for each. A digest that more than one content shares would make the join
+ambiguous; such digests are looked for, and their rows are joined on the content as well.
 
 Nulls count as the empty text. Null ids never win over others; a group with null ids
 only has a null keep_id. An empty table gives an empty result. Extra columns pass
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import Scratch
 
 SALTS = 16
+HOT_SHARE = 1000
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -80,12 +83,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _membership(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     one, several = winners(docs, scratch, id_col, text_col)
     rows = docs.select(F.col(id_col), normalised(F.col(text_col)).alias("content")).withColumn("digest", digest(F.col("content")))
-    out = rows.drop("content").join(one, "digest")
+    out = _salted_join(rows.drop("content"), one)
     if several is not None:
         out = out.unionByName(rows.join(several, ["digest", "content"]).drop("content"))
     return out.withColumns({"kept": F.col(id_col).eqNullSafe(F.col("keep_id")), "text_sha256": F.lower(F.hex("digest"))})
 
 
+def _salted_join(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """rows.join(one, "digest"), hot digests in parts."""
+    share = -(-(one.agg(F.sum("group_size").alias("n")).head()["n"] or 0) // HOT_SHARE)
+    parts = F.greatest(F.ceil(F.col("group_size") / F.lit(max(share, 1))), F.lit(1)).cast("int")
+    hot = one.filter(F.col("group_size") > share).select("digest", parts.alias("parts"))
+    # At most HOT_SHARE groups are larger than that share of all rows.
+    rows = rows.join(F.broadcast(hot), "digest", "left")
+    rows = rows.withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("parts"))).otherwise(F.lit(0)).cast("long")).drop("parts")
+    ones = one.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("group_size") > share, parts).otherwise(1).cast("long") - 1)))
+    return rows.join(ones, ["digest", "salt"]).drop("salt")
+
+
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: one row of each group."""
     scratch = Scratch(docs.sparkSession, "exact")
