@@ -4,7 +4,9 @@ A text's features are its byte runs of two to four inside and at the edges of wo
 A-Z as a-z, hashed into BUCKETS. Their embeddings are averaged, and a linear layer with
 a softmax gives the languages' probabilities. Both layers are trained together by
 stochastic gradient descent in numpy, on a bounded sample of labelled rows: at most
-SAMPLE_ROWS for each language, chosen by a hash of the id. A fifth of the sample is
+SAMPLE_ROWS for each of the MOST_LANGUAGES most frequent labels, chosen by a hash of the
+id, as long as their texts add up to SAMPLE_BYTES for a language at most; no text is
+cut, and one that alone makes more than a LARGEST_PART-th of that isn't drawn. A fifth of the sample is
 kept from training and calibrates: a temperature makes probabilities match how often
 they are right, and the rejection threshold is set where REJECTED of the rightly
 recognised texts would fall below it, and at MOST_DOUBT at most.
@@ -27,14 +29,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm.common import LOWER, as_bytes, chunks, enter
 
 BUCKETS_BITS, WIDTH, GRAMS = 16, 16, (2, 3, 4)
-SAMPLE_ROWS = 400
+SAMPLE_ROWS, SAMPLE_BYTES, LARGEST_PART, MOST_LANGUAGES = 400, 4 << 20, 16, 200
 EPOCHS, RATE, PIECE_WORDS = 3, 0.5, 40
 REJECTED, MOST_DOUBT = 0.001, 0.4
 SEED = 77
@@ -151,24 +153,25 @@ def fold_of(id_col: Column, folds: int = 4) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 2, rows: int = SAMPLE_ROWS) -> Model:
-    """A model of the labelled rows outside the held-out fold, from at most `rows` of each language.
+    """A model of the labelled rows outside the held-out fold, from at most `rows`, and SAMPLE_BYTES of text, of each language.
 
     Rows are drawn where a hash of the id falls below a share that makes about 1.5
     times as many, and the first by hash are taken, so the sample is the same in each run.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & (fold_of(F.col("id")) != held_out))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return train([])
     scale = 1 << 30
     order = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(scale))
     limit = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(scale * min(1.0, (1.5 * rows + 50) / n)))))
-    drawn = known.withColumn("order", order).filter(F.col("order") < limit[F.col("lang")])
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))
-    taken = drawn.withColumn("place", first).filter(F.col("place") <= rows).orderBy("lang", "place").select(F.col("text").cast("binary").alias("text"), "lang")
+    drawn = known.withColumn("order", order).filter((F.col("order") < limit[F.col("lang")]) & (size <= SAMPLE_BYTES // LARGEST_PART))
+    by_order = Window.partitionBy("lang").orderBy("order", "id")
+    first = drawn.withColumn("place", F.row_number().over(by_order)).filter(F.col("place") <= rows)
+    taken = first.withColumn("bytes", F.sum(size).over(by_order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("bytes") <= SAMPLE_BYTES).orderBy("lang", "place").select(F.col("text").cast("binary").alias("text"), "lang")
     return train([(bytes(r["text"] or b""), r["lang"]) for r in taken.toLocalIterator()])
 
 
