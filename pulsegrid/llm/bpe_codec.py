@@ -118,6 +118,8 @@ class Encoder:
                 last[at], length[at] = token, size
         out, at = [], n
         while at > 0:
+            if not length[at]:
+                raise ValueError(f"the vocabulary has no token for a part of {spelled!r}")
             out.append(last[at])
             at -= length[at]
         return out[::-1]
