@@ -186,7 +186,7 @@ def test_cards_inside_of_runs(spark):
     runs = [f for c in cards for f in (f"{c} 123", f"{c} 12/25", f"7 {c} x", f"123 {c}", f"wört {c} 99.")] + ["1234 4111 1111 1111 113", "no 1234 5678 1234 5678 123"]
     docs = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
     for key in ("k", "l", "m", "n", "o", "p"):
-        out = pii.pseudonymise(docs, key).localCheckpoint()
+        out = pii.pseudonymise(docs, key).cache()
         rows = out.orderBy("doc_id").collect()
         for r, run, card in zip(rows, runs, [c for c in cards for _ in range(5)], strict=False):
             at = run.index(card)
@@ -220,7 +220,7 @@ def word_sets(texts):
     return out
 
 
-def components_of(texts):
+def components_of(texts, similarity=85):
     sets, by, shared = word_sets(texts), {}, {}
     for k, s in sets.items():
         for x in s:
@@ -237,7 +237,7 @@ def components_of(texts):
         return x
 
     for (a, b), n in shared.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= similarity * (len(sets[a]) + len(sets[b]) - n):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     return {k: root(k) for k in texts}, sets
@@ -262,6 +262,37 @@ def test_near_groups_against_all_pairs(spark, documents):
     assert {r["doc_id"] for r in kept.collect()} == set(wanted.values()) and kept.columns == docs.columns
 
 
+def test_near_groups_at_another_similarity(documents):
+    wanted, _ = components_of(texts_of(documents), 80)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(documents, similarity=80).collect()} == wanted
+    with pytest.raises(ValueError, match="percentage"):
+        near_dedup.near_groups(documents, similarity=70)
+
+
+def test_the_rest_of_large_buckets(spark, documents):
+    """Thousands of one component and an outsider take thousands of comparisons; and each pair that could be linked meets once."""
+    rng = random.Random(11)
+    made = [(n, 100, 99, 0, [7, 8] if n % 2 else [7]) for n in range(3000)] + [(5000, 100, 98, 5000, [7]), (5001, 100, 90, 5001, [7, 8])]
+    made += [(6000 + n, rng.choice([90, 100]), rng.choice([60, 95]), 6000 + n // 5, sorted(rng.sample([8, 9, 10], 2))) for n in range(40)]
+    made = [(node, n, min(v, n), label, buckets) for node, n, v, label, buckets in made]
+    alive = spark.createDataFrame([(node, buckets) for node, *_, buckets in made], "node long, buckets array<long>")
+    named = spark.createDataFrame([(b, node, n, v, label) for node, n, v, label, buckets in made for b in buckets], "bucket long, node long, n long, v long, label long")
+    got = [tuple(r) for r in near_dedup._rest(named, alive, near_dedup.Scratch(spark, "rest"), 85).collect()]
+    could = lambda x, y: x[3] != y[3] and set(x[4]) & set(y[4]) and 185 * min(x[2], y[2]) >= 85 * (x[1] + y[1])
+    wanted = {(x[0], y[0]) for i, x in enumerate(made) for y in made[max(i + 1, 3000) :] if could(x, y)}
+    assert len(got) == len(set(got)) and {tuple(sorted(p)) for p in got} == wanted
+    assert sum(5000 in p for p in got) == 3000 and len(got) < 100_000
+
+
+def test_keys_pass_a_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "FILTER_BITS", 18)
+    rows = spark.range(-5000, 5000).select(F.xxhash64("id").alias("key"), "id")
+    keys = rows.filter("id % 50 = 0").select("key")
+    passed = near_dedup._with_keys(rows, keys).select("id").collect()
+    wanted = {(r["key"] % (1 << 18)) for r in keys.collect()}
+    assert {r["id"] for r in passed} == {r["id"] for r in rows.collect() if r["key"] % (1 << 18) in wanted} and len(passed) < 400
+
+
 def test_near_groups_on_odd_rows(odd, clashing, empty):
     rows = near_dedup.near_groups(odd).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows) == sorted(
@@ -307,13 +338,13 @@ def contamination_model(docs, bench):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("block", "segment"), [(8 << 20, 8 << 20), (600, 20_000)])
+@pytest.mark.parametrize(("block", "segment"), [(1 << 20, 8 << 20), (200, 20_000)])
 def test_contamination_against_plain_windows(spark, documents, odd, sf_dir, monkeypatch, block, segment):
     """Whole, and with test items in many blocks and documents in many segments."""
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
     monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", segment)
     given = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
-    some = [(900, "Same text"), (901, "same"), (902, None), (903, "!!"), (None, "text here"), (904, given[0][1]), (904, "x y"), (905, "wört " * 20)]
+    some = [(900, "Same text"), (901, "same"), (902, None), (903, "!!"), (None, "text here"), (904, given[0][1]), (904, "x y"), (905, "wört " * 20), (906, given[1][1] + " " + " ".join(f"long{n}" for n in range(500)) + " " + given[2][1])]
     bench = spark.createDataFrame(given + some, BENCH)
     docs = documents.unionByName(odd)
     got = sorted((str(r["id"]), r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(docs, bench).collect())
@@ -426,3 +457,197 @@ def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
     assert len(whole) == len(text.split())
     monkeypatch.setattr(words, "BLOCK", 50)
     assert (words.word_hashes(text, words.SPACES) == whole).all()
+
+
+def test_word_hashes_tell_words_apart():
+    """Words that a polynomial modulo 2^64 can't tell apart, and words that differ in zero bytes only."""
+    from pulsegrid.llm import words
+
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    alike = [a, a.translate(str.maketrans("ab", "ba")), "a", "a\0", "abcdefg", "abcdefg\1", "abcdefg\0", "abcdefgh", "abcdefghi", "\1", "\0"]
+    assert len(set(words.word_hashes(" ".join(alike).encode(), words.SPACES).tolist())) == len(alike)
+
+
+def test_many_matches_in_one_text(spark):
+    """A hundred thousand matches in a text, and a domain of as many labels: time grows with the text, and no matcher recurses."""
+    n = 100_000
+    docs = spark.createDataFrame([(1, "token=abcdefgh12 " * n, "a"), (2, "x1@a.com " * n, "a"), (3, "x1@" + "a." * n + "com", "a")], DOCS.replace("lang string, source string, n_chars long", "source string"))
+    found = {r["doc_id"]: r for r in secrets.scan_secrets(docs, "source", "doc_id").select("doc_id", "n_assign", "n_example", "n_live", F.try_element_at("found", F.lit(-1)).alias("last")).filter("n_assign > 0").collect()}
+    assert list(found) == [1] and found[1]["n_assign"] == n and found[1]["last"]["end"] == 17 * n - 1
+    rows = pii.pseudonymise(docs, "k").select("doc_id", F.size("pii").alias("n"), F.try_element_at("pii", F.lit(-1)).alias("last"), F.length("text").alias("size")).orderBy("doc_id").collect()
+    assert [(r["n"], r["size"]) for r in rows[1:]] == [(n, 9 * n), (1, 2 * n + 6)]
+    assert (rows[1]["last"]["start"], rows[1]["last"]["was_valid"], rows[2]["last"]["was_valid"]) == (9 * n - 9, True, False)
+
+
+def test_repositories_make_examples(spark):
+    text = "token=Zz9abcdefgh12345678"
+    docs = spark.createDataFrame([(i, text, "a") for i in range(6)] + [(9, "secret=Qq8abcdefgh12345678", "a")], "doc_id long, text string, source string")
+    out = secrets.scan_secrets(docs, "source", "doc_id", most_repositories=5).collect()
+    assert sorted((r["doc_id"], r["n_example"], r["n_live"]) for r in out) == [(i, 1, 0) for i in range(6)] + [(9, 0, 1)]
+
+
+def test_the_key_is_not_in_plans(spark):
+    docs = spark.createDataFrame([(1, "x1@a.com")], "doc_id long, text string")
+    plan = pii.pseudonymise(docs, "quite secret")._jdf.queryExecution().toString()
+    assert "quite secret" not in plan and hashlib.sha256(b"quite secret").hexdigest() not in plan
+    own = docs.withColumns({c: F.lit("mine") for c in ("_old", "_hits", "_gaps", "old", "hits", "gaps", "new", "spans", "secret", "c0")})
+    out = pii.pseudonymise(own, "k")
+    assert out.columns == [*own.columns, "pii"] and set(out.head()[2:-1]) == {"mine"}
+
+
+def test_pseudonyms_against_a_plain_feistel_network(spark):
+    """Addresses of hosts, numbers, days and mail addresses, permuted in plain Python."""
+    import datetime
+
+    key = hashlib.sha256(b"k").hexdigest()
+
+    def noise(tweak, turn, half):
+        return int(hashlib.sha256("|".join([key, tweak, str(turn), str(half)]).encode()).hexdigest()[:13], 16)
+
+    def pair(x, y, sizes, tweak):
+        for turn in range(8):
+            if turn % 2:
+                y = (y + noise(tweak, turn, x)) % sizes[1]
+            else:
+                x = (x + noise(tweak, turn, y)) % sizes[0]
+        return x, y
+
+    def characters(text, tweak):
+        x, y = list(text[: len(text) // 2]), list(text[len(text) // 2 :])
+        for turn in range(8):
+            half, other = (y, x) if turn % 2 else (x, y)
+            new = []
+            for i, c in enumerate(half):
+                base, count = (48, 10) if c.isdigit() else (65, 26) if c.isupper() else (97, 26)
+                new.append(chr(base + (ord(c) - base + noise(tweak, turn, "".join(other) + "|" + str(i))) % count))
+            half[:] = new
+        return "".join(x + y)
+
+    def ip(t):
+        n = [int(p) for p in t.split(".")]
+        x, y = pair(n[0] * 256 + n[1], n[2] * 256 + n[3], (65536, 65536), "ip")
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+
+    def ssn(t):
+        area, group, serial = map(int, t.split("-"))
+        x, y = pair((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, (898 * 99, 9999), "ssn")
+        return f"{x // 99 + (2 if x >= 665 * 99 else 1):03d}-{x % 99 + 1:02d}-{y + 1:04d}"
+
+    def day(t):
+        first = datetime.date(1900, 1, 1)
+        x, y = pair(*divmod((datetime.date.fromisoformat(t) - first).days, 292), (250, 292), "date")
+        return str(first + datetime.timedelta(days=x * 292 + y))
+
+    def mail(t):
+        local, domain = t.split("@")
+        new = iter(characters("".join(c for c in local if c.isalnum()), "email"))
+        return "".join(next(new) if c.isalnum() else c for c in local) + "@" + domain
+
+    rng = random.Random(8)
+    values = [(ip, ".".join(str(rng.randrange(256)) for _ in range(4))) for _ in range(40)] + [(ssn, f"{rng.choice([1, 665, 667, 899, 123]):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}") for _ in range(40)]
+    values += [(day, str(datetime.date(1900, 1, 1) + datetime.timedelta(days=rng.randrange(73_000)))) for _ in range(40)] + [(mail, f"{rng.choice('abXY')}{n}.Quux-{n * 7}@mail{n}.example.com") for n in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(values)], "doc_id long, text string")
+    got = [r["text"] for r in pii.pseudonymise(docs, "k").orderBy("doc_id").collect()]
+    assert got == [f(t) for f, t in values]
+
+
+def test_what_is_no_phone_number_or_address(spark):
+    texts = ["+012 345 6789", "x" * 65 + "1@a.com", "a1@-b.com", "a1@b-.com", "a1@" + "b" * 64 + ".com", "a1@b..com"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.pseudonymise(docs, "k").orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == texts and not any(s["was_valid"] for r in rows for s in r["pii"])
+
+
+def test_draws_of_shards_in_plain_python(spark):
+    """Every level's draws computed again, without Spark."""
+    import math
+
+    import xxhash
+
+    def draw(key, node, weight):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", sharding.SEED), 42)
+        for part in (node, "\0null" if key is None else str(key)):
+            h = xxhash.xxh64_intdigest(part.encode(), h)
+        return -math.log(((h >> 12) + 0.5) / (1 << 52)) / weight
+
+    def least(key, nodes):
+        return min(nodes, key=lambda n: draw(key, n, sum(s.weight for s in nodes[n])))
+
+    def shard(tree, key):
+        shards = tree.shards
+        for name in (lambda s: f"region/{s.region}", lambda s: f"rack/{s.region}/{s.rack}", lambda s: f"shard/{s.number}"):
+            nodes = {}
+            for s in shards:
+                nodes.setdefault(name(s), []).append(s)
+            shards = nodes[least(key, nodes)]
+        return shards[0].number
+
+    even = sharding.Tree.even(8)
+    tree = sharding.Tree((*even.shards[:3], sharding.Shard("r0", "k1", 3, 2.5), *even.shards[4:]))
+    keys = [(n,) for n in range(-40, 2000, 7)] + [(None,)]
+    rows = spark.createDataFrame(keys, "id long").select("id", tree.shard_of(F.col("id")).alias("a"), tree.grow().shard_of(F.col("id")).alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in rows] == [(shard(tree, r["id"]), shard(tree.grow(), r["id"])) for r in rows]
+
+
+def test_predictions_in_plain_python(documents):
+    """A text's features and its probabilities, without numpy."""
+    import math
+    from collections import Counter
+
+    model = language_id.fit(documents)
+
+    def predict(text):
+        b = " " + "".join(chr(c) for c in text.encode())
+        b = "".join(c.lower() if ord(c) < 128 and c.isalpha() else " " if ord(c) < 128 else c for c in b) + " "
+        counts = Counter()
+        for n in (2, 3, 4):
+            for at in range(len(b) - n + 1):
+                gram = b[at : at + n]
+                if " " in gram[1:-1] or gram[0] == gram[-1] == " ":
+                    continue
+                h = n
+                for c in gram:
+                    h = (h * 0x01000193 + ord(c)) % 2**32
+                counts[h * 0x9E3779B1 % 2**32 >> 16] += 1
+        z = [sum(n * float(model.scores[k][i]) for k, n in counts.items()) / max(1, sum(counts.values())) + float(model.bias[i]) for i in range(len(model.languages))]
+        e = [math.exp(x - max(z)) for x in z]
+        return model.languages[z.index(max(z))], max(e) / sum(e)
+
+    rows = [r["text"] for r in documents.filter("length(text) BETWEEN 1 AND 3000").limit(40).collect() if language_id.has_letter(r["text"].encode())]
+    for text in [*rows, "Größe", "a"]:
+        lang, score = model.predict(text.encode())
+        wanted = predict(text)
+        assert lang == wanted[0] and abs(score - wanted[1]) < 1e-4
+
+
+def test_samples_are_bounded_in_bytes_and_labels(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(language_id, "train", lambda samples: taken.extend(samples))
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 4000)
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    rows = [(i, "word " * (10 if i % 3 else 200), f"l{min(i % 7, 4)}") for i in range(600)]
+    language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sizes = {}
+    for text, lang in taken:
+        sizes[lang] = sizes.get(lang, 0) + len(text)
+        assert text == b"word " * 10  # whole, and none over a sixteenth
+    assert len(sizes) == 3 and "l4" in sizes and all(3900 < n <= 4000 for n in sizes.values())
+
+
+def test_hot_groups_join_in_parts(spark):
+    rows = [(i, "a  b" if i % 3 else f"text {i % 50}") for i in range(5000)] + [(None, None), (6000, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"]) for r in exact_dedup.exact_groups(docs).collect())
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(" +", " ", t or ""), []).append(i)
+    assert got == sorted((str(i), str(min((x for x in ids if x is not None), default=None)), len(ids)) for ids in groups.values() for i in ids)
+
+
+def test_a_vocabulary_without_a_byte(monkeypatch):
+    encoder = bpe_codec.codec(vocabulary_path("word_bpe_49k.json")).words.encoder
+    monkeypatch.setattr(encoder, "automaton", type("Empty", (), {"iter": lambda self, _: iter(())})())
+    with pytest.raises(ValueError, match="no token"):
+        encoder.encode(b"word")
