@@ -31,8 +31,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
-    return near_dedup.drop_near_duplicates(docs)
+    """One document of each component of near duplicates, of a similarity of 0.8 or more."""
+    return near_dedup.drop_near_duplicates(docs, similarity=80)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
