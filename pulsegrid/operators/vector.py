@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import floats
 from pulsegrid.functions.labels import Matcher, label_key, label_matcher, labels_of, only, without
 from pulsegrid.functions.times import epoch_micros, micros
+from pulsegrid.sources.ingest import scan_series
 
 LOOKBACK = "5m"
 MOST_STEPS = 500
@@ -79,19 +80,23 @@ class Selector:
     def __init__(self, engine: Engine, name: str, matchers: tuple[Matcher, ...]):
         self.engine, self.name, self.matchers = engine, name, matchers
 
-    def _points(self) -> DataFrame:
-        labels = F.col("labels")
-        rows = self.engine.samples.filter(F.col("name") == self.name)
+    def _points(self, width: int) -> DataFrame:
+        """(key, us, value) of the points in any window of the grid, which reach `width` back.
+
+        A caller's tenant stands in for whatever tenant the matchers ask for. Name, dates,
+        times and tenant are filters on columns, so a table of samples is pruned by them.
+        """
+        e, g = self.engine, self.engine.grid
+        forced = {"tenant": e.tenant} if e.tenant else {}
+        rows = scan_series(e.samples, self.name, forced, F.timestamp_micros(F.lit(g.start - width)), F.timestamp_micros(F.lit(g.start + g.last * g.step)))
         for m in self.matchers:
-            rows = rows.filter(label_matcher(labels, m))
-        if self.engine.tenant:  # last and always, whatever was asked for
-            rows = rows.filter(label_matcher(labels, Matcher("tenant", "=", self.engine.tenant)))
-        return rows.select(label_key(labels).alias("key"), F.unix_micros("ts").alias("us"), "value")
+            if not (forced and m.name == "tenant" and m.op == "="):
+                rows = rows.filter(label_matcher(F.col("labels"), m))
+        return rows.select(label_key(F.col("labels")).alias("key"), F.unix_micros("ts").alias("us"), "value")
 
     def _coverage(self, points: DataFrame, width: int) -> DataFrame:
         """Points with the first and last time, `low` and `high`, whose window [time - width, time] they lie in."""
         g = self.engine.grid
-        points = points.filter(F.col("us").between(g.start - width, g.start + g.last * g.step))
         low = F.greatest(F.ceil((F.col("us") - g.start) / g.step), F.lit(0)).cast("long")
         high = F.least(F.floor((F.col("us") + width - g.start) / g.step), F.lit(g.last)).cast("long")
         return points.withColumns({"low": low, "high": high}).filter("low <= high")
@@ -106,7 +111,7 @@ class Selector:
         With several points to a step, that many times fewer rows are exploded and
         shuffled. `parts` are aggregates of points; `value` aggregates the parts.
         """
-        same = self._coverage(self._points(), width).groupBy("key", "low", "high").agg(*parts, F.count("*").alias("n"))
+        same = self._coverage(self._points(width), width).groupBy("key", "low", "high").agg(*parts, F.count("*").alias("n"))
         rows = same.withColumn("i", F.explode(F.sequence("low", "high"))).groupBy("i", "key").agg(value.alias("value"), F.sum("n").alias("n"))
         return rows.filter(F.col("n") >= least).select("i", "key", "value")
 
@@ -133,7 +138,7 @@ class RangeVector:
 
     def points(self) -> DataFrame:
         """(i, key, us, value)."""
-        return self.selector._covered(self.selector._points(), self.width).select("i", "key", "us", "value")
+        return self.selector._covered(self.selector._points(self.width), self.width).select("i", "key", "us", "value")
 
     def _vector(self, rows: DataFrame) -> Vector:
         e = self.selector.engine
@@ -142,11 +147,12 @@ class RangeVector:
     def _increments(self) -> DataFrame:
         """Per time and series: sum of increments of neighbours inside the window, number of points, span in microseconds.
 
-        A drop counts as the new value, since the counter started again from zero.
+        A drop counts as the new value, since the counter started again from zero. Only
+        points in some window are put in order: a pair that begins before its window counts for nothing.
         """
         grid = self.selector.engine.grid
         before = Window.partitionBy("key").orderBy("us")
-        points = self.selector._points().withColumns({"us0": F.lag("us").over(before), "v0": F.lag("value").over(before)})
+        points = self.selector._points(self.width).withColumns({"us0": F.lag("us").over(before), "v0": F.lag("value").over(before)})
         points = points.withColumn("inc", F.when(F.col("value") < F.col("v0"), F.col("value")).otherwise(F.col("value") - F.col("v0")))
         rows = self.selector._covered(points, self.width)
         low = F.lit(grid.start - self.width) + F.col("i") * grid.step

@@ -7,6 +7,7 @@ import pytest
 
 from pulsegrid.functions.labels import Matcher
 from pulsegrid.operators.vector import Engine, Grid, literal
+from pulsegrid.sources import ingest
 
 NOW = datetime(2026, 7, 9, 12, tzinfo=UTC)
 
@@ -126,7 +127,26 @@ def test_patterns_match_whole_values(at):
 def test_tenant_is_forced(at):
     e = at({("cpu", (("tenant", t),)): [1] for t in ("a", "b")}, tenant="a")
     assert set(got(e.metric("cpu").instant())) == {"tenant=a"}
-    assert got(e.metric("cpu", Matcher("tenant", "=", "b")).instant()) == {}
+    assert got(e.metric("cpu", Matcher("tenant", "=", "b")).instant()) == {"tenant=a": 1}
+    assert got(e.metric("cpu", Matcher("tenant", "=~", "b|c")).instant()) == {}
+
+
+def test_selectors_prune_tables(spark, tmp_path):
+    """Dates are partition filters; times and the tenant reach Parquet; rates put only the range's points in order."""
+    rows = [("c", "counter", float(d * 10 + m), NOW + timedelta(days=d, minutes=m), {"host": "a", "tenant": t}) for d in range(8) for m in (0, 2) for t in ("a", "b")]
+    df = spark.createDataFrame(rows, "name string, type string, value double, ts timestamp, labels map<string,string>")
+    ingest.write_samples(df, str(tmp_path / "t"))
+    table = ingest.read_samples(spark, str(tmp_path / "t"))
+    at = NOW + timedelta(days=5, minutes=2)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    for source in (df, table):
+        s = Engine(source, Grid.at(at), tenant="a").metric("c")
+        assert got(s.instant()) == got(s.range("5m").last_over_time()) == {"host=a,tenant=a": 52}
+        assert got(s.range("5m").increase()) == {"host=a,tenant=a": 2}
+    for vector in (s.instant().df, s.range("5m").points(), s.range("5m").rate().df):
+        plan = vector._jdf.queryExecution().executedPlan().toString()
+        partitions, pushed = (plan.split(f"{part}: [")[1].split("]")[0] for part in ("PartitionFilters", "PushedFilters"))
+        assert "name" in partitions and "date" in partitions and "GreaterThanOrEqual(ts" in pushed and "EqualTo(tenant,a)" in pushed, plan
 
 
 def test_lookback_and_order(spark, at):
