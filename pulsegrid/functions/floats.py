@@ -51,12 +51,19 @@ def finite(v: Column) -> Column:
 
 
 def shortest(v: Column) -> Column:
-    """A float as text: 95 for 95.0, plain digits below 1e21."""
-    whole = (v == F.floor(v)) & (F.abs(v) < 1e18)
+    """A float in the fewest digits that give it back: plain from 1e-4 up to a million (95 for 95.0), else like 1.5e+06."""
+    forms = [F.format_string(f"%.{n}e", v) for n in (14, 15, 16)]
+    form = F.when(forms[0].cast("double") == v, forms[0]).when(forms[1].cast("double") == v, forms[1]).otherwise(forms[2])
+    sign = F.when(form.startswith("-"), "-").otherwise("")
+    digits = F.regexp_replace(F.regexp_replace(form, r"^-|\.|e.*$", ""), "(?<=.)0+$", "")
+    power = F.regexp_extract(form, r"e([+-]\d+)$", 1)
+    x = power.cast("int")
+    point = lambda text, at: F.when(at < F.length(text), F.concat(F.substring(text, F.lit(1), at), F.lit("."), F.substring(text, at + 1, F.length(text)))).otherwise(F.rpad(text, at, F.lit("0")))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -x - 1), digits)
+    plain = F.when(x < 0, small).otherwise(point(digits, x + 1))
     return (
         F.when(F.isnan(v), "NaN")
         .when(v == INFINITY, "+Inf")
         .when(v == -INFINITY, "-Inf")
-        .when(whole, v.cast("decimal(38,0)").cast("string"))
-        .otherwise(F.regexp_replace(v.cast("string"), r"\.0$", ""))
+        .otherwise(F.concat(sign, F.when((x >= -4) & (x < 6), plain).otherwise(F.concat(point(digits, F.lit(1)), F.lit("e"), power))))
     )

@@ -140,19 +140,68 @@ def resolve_removed(states: DataFrame, removed: DataFrame, i: int, grid: Grid) -
     )
 
 
-_FORMS = re.compile(r"\{\{\s*\.(Value|Labels\.([A-Za-z_]\w*))\s*\}\}")
+_NAME = r"\.(?:Value|Labels\.[A-Za-z_]\w*)"
+_FORMS = re.compile(rf'\{{\{{\s*(?:(?P<name>{_NAME})|printf\s+"(?P<format>(?:[^"\\%]|%%|%\.?\d*[A-Za-z])*)"\s+(?P<of>{_NAME}))\s*\}}\}}')
+_VERB = re.compile(r"%(?:%|(?:\.(\d+))?([a-z]))")
+#: Words that begin what the template language has besides the forms known here.
+_ACTIONS = re.compile(
+    r"\{\{-?\s*(?:(?:if|range|with|define|template|block|and|or|not|call|html|index|slice|js|len|print|printf|println|urlquery|eq|ne|lt|le|gt|ge)\s+[^\s}]|(?:else|end|break|continue)\b|[$(\"/])|\{\{[^}]*\||\{\{-|-\}\}"
+)
+
+
+def _printed(format_: str, value: Column, number: bool) -> list[Column]:
+    """The parts of a printf with one value: %.Nf, %f or %v of a number, %s or %v of a label."""
+    parts, at, used = [], 0, 0
+    for m in _VERB.finditer(format_):
+        parts.append(F.lit(format_[at : m.start()]))
+        at = m.end()
+        if m[0] == "%%":
+            parts.append(F.lit("%"))
+        elif number and m[2] == "f":
+            places = int(m[1] or 6) if m[1] != "" else 0
+            text = F.format_string(f"%.{places}f", F.bround(value, places))
+            parts.append(F.when(F.isnan(value) | (F.abs(value) == float("inf")), shortest(value)).otherwise(text))
+            used += 1
+        elif m[1] is None and m[2] in (("v", "g") if number else ("v", "s")):
+            parts.append(value if not number else shortest(value))
+            used += 1
+        else:
+            raise ValueError(f"templates can't print {m[0]!r} of a {'number' if number else 'label'}")
+    if used != 1:
+        raise ValueError(f"a printf in a template prints one value: {format_!r}")
+    return [*parts, F.lit(format_[at:])]
 
 
 def render(template: str, value: Column, labels: Column) -> Column:
-    """A template's text with {{ .Value }} and {{ .Labels.name }} filled in, cut at the limit; any other form leaves all as it is."""
-    if "{{" in _FORMS.sub("", template) or "}}" in _FORMS.sub("", template):
+    """A template's text with {{ .Value }}, {{ .Labels.name }} and printf of one of them filled in.
+
+    Text of more than ANNOTATION_LIMIT bytes is cut there, before a character that
+    would be cut through. A template with a name that doesn't exist stays as it is; one
+    that uses other parts of the template language raises a ValueError.
+    """
+    left = _FORMS.sub("", template)
+    if _ACTIONS.search(left):
+        raise ValueError(f"templates know names and printf only: {template!r}")
+    if "{{" in left or "}}" in left:
         return F.lit(template)
     parts, at = [], 0
+    of = lambda name: shortest(value) if name == ".Value" else label(labels, name.removeprefix(".Labels."))
     for m in _FORMS.finditer(template):
-        parts += [F.lit(template[at : m.start()]), label(labels, m[2]) if m[2] else shortest(value)]
+        parts.append(F.lit(template[at : m.start()]))
+        if m["name"]:
+            parts.append(of(m["name"]))
+        else:
+            number = m["of"] == ".Value"
+            parts += _printed(m["format"], value if number else of(m["of"]), number)
         at = m.end()
     text = F.concat(*parts, F.lit(template[at:]))
-    return F.when(F.octet_length(text) <= ANNOTATION_LIMIT, text).otherwise(F.decode(F.substring(F.encode(text, "UTF-8"), 1, ANNOTATION_LIMIT), "UTF-8"))
+    # A character has four bytes at most, and all but its first begin with the bits 10.
+    begins = lambda n: F.conv(F.hex(F.substring(F.encode(text, "UTF-8"), n, 1)), 16, 10).cast("int").bitwiseAND(0xC0) != 0x80
+    end = F.lit(ANNOTATION_LIMIT - 3)
+    for back in (2, 1, 0):
+        end = F.when(begins(ANNOTATION_LIMIT + 1 - back), ANNOTATION_LIMIT - back).otherwise(end)
+    cut = F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), end), "UTF-8")
+    return F.when(F.octet_length(text) <= ANNOTATION_LIMIT, text).otherwise(cut)
 
 
 def render_annotations(rule: Rule, value: Column, labels: Column) -> Column:

@@ -89,11 +89,34 @@ def test_rule_labels_and_templates(spark):
     df = spark.createDataFrame([({"host": "h", "tenant": "forged", "alertname": "mine"}, v) for v in (95.0, 1e7, 0.5, float("inf"))], "l map<string,string>, v double")
     out = df.select(R.alert_labels(rule, F.col("l")).alias("l"), R.render_annotations(rule, F.col("v"), F.col("l")).alias("a")).collect()
     assert out[0]["l"] == {"host": "h", "tenant": "a", "alertname": "mine", "severity": "warning", "x": "1"}
-    assert [r["a"]["s"] for r in out] == ["95% h", "10000000% h", "0.5% h", "+Inf% h"] and out[0]["a"]["b"] == "{{ if }}"
+    assert [r["a"]["s"] for r in out] == ["95% h", "1e+07% h", "0.5% h", "+Inf% h"] and out[0]["a"]["b"] == "{{ if }}"
     with pytest.raises(ValueError):
         R.Rule("r", "R", labels={"tenant": "x"})
 
 
+def test_floats_in_templates(spark):
+    wanted = {
+        1e6: "1e+06", 999999.0: "999999", 8589934592.0: "8.589934592e+09", 5e-05: "5e-05", 0.0001: "0.0001", -0.00012: "-0.00012", -0.0: "-0", 95.0: "95", 95.5: "95.5", -1234567.25: "-1.23456725e+06",
+        0.1 + 0.2: "0.30000000000000004", 2.0**-44: "5.684341886080802e-14", 1e23: "1e+23", 100000.0: "100000", 1.7976931348623157e308: "1.7976931348623157e+308", 5e-324: "5e-324", float("nan"): "NaN", float("-inf"): "-Inf",
+    }
+    df = spark.createDataFrame([(v,) for v in wanted], "v double")
+    assert [r[0] for r in df.select(R.shortest(F.col("v"))).collect()] == list(wanted.values())
+
+
+def test_templates(spark):
+    df = spark.createDataFrame([(2.46, {"host": "a" + "é" * 3000})], "v double, l map<string,string>")
+    show = lambda t: df.select(R.render(t, F.col("v"), F.col("l"))).head()[0]
+    assert show("{{ .Labels.host }}") == "a" + "é" * 2047  # 4,095 bytes: the next character would be cut through
+    assert show("x{{ .Labels.host }}") == "xa" + "é" * 2047
+    assert show("€😀" * 600) == "€😀" * 585
+    assert show('{{ printf "%.1f%%" .Value }} {{printf "%.0f" .Value}} {{ printf "%v" .Value }} {{ printf "<%s>" .Labels.none }}') == "2.5% 2 2.46 <>"
+    for raw in ("{{ .Oops }}", "{{ if }}", "{{ .Value", "}}"):
+        assert show(raw) == raw
+    for bad in ('{{ if .Value }}x{{ end }}', '{{ printf "%d" .Value }}', '{{ printf "%x" .Labels.a }}', "{{ len .Labels }}", "{{ .Value | printf \"%f\" }}", '{{ printf "x" .Value }}', "{{- .Value }}"):
+        with pytest.raises(ValueError):
+            show(bad)
+
+
 ALERTS = "fingerprint string, status string, labels map<string,string>, at timestamp"
 
 
