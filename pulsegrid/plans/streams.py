@@ -17,6 +17,8 @@ from pulsegrid.sources.shared import new_path
 from pulsegrid.streaming import flows, states
 
 RATE, BURST = 1 / 7200, 3
+#: Files that a week of samples comes in.
+FILES = 4
 
 
 def _folder(spark: SparkSession) -> str:
@@ -59,9 +61,10 @@ def stream_rules(spark, sf_dir):
     """The rule evaluated as daily files of samples come in."""
     root = _folder(spark)
     samples = events.samples(spark, sf_dir)
+    week_of = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
     for week in range(4):  # one after the other, so the stream takes them in order of time
-        samples.filter(F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3)) == week).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    rows = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        samples.filter(week_of == week).repartition(FILES).write.mode("append").parquet(f"{root}/in")
+    rows = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", FILES).parquet(f"{root}/in")
     runner = flows.RuleRunner(alerting.RULE, lambda e: e.metric("purchase").instant() > 60.0, f"{root}/table", f"{root}/results", GRID.start, LOOKBACK)
     flows.stream_rules(rows, runner, f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.option("basePath", f"{root}/results").parquet(f"{root}/results/batch=*")
@@ -103,7 +106,20 @@ _CLOSED = f"""WITH {SAMPLES.replace("{", "{{").replace("}", "}}")}, w AS (SELECT
 SELECT series, us, round(value, 6) AS value FROM w WHERE us <= (SELECT max(us) FROM keyed) - 86400000000"""
 _LAST_T = "(SELECT max(i) FROM r)"
 
+_BUCKET = f"""WITH RECURSIVE {SAMPLES}, req AS (
+    SELECT 'agent{{' || key || '}}' AS key, event_id AS seq, us, row_number() OVER (PARTITION BY key ORDER BY us, event_id) AS n FROM samples
+), walk AS (
+    SELECT key, seq, n, us AS stamp, CAST({BURST} - 1 AS DOUBLE) AS tokens, true AS allowed FROM req WHERE n = 1
+    UNION ALL
+    SELECT key, seq, n, stamp, CASE WHEN had >= 1 THEN had - 1 ELSE had END, had >= 1 FROM (
+        SELECT r.key, r.seq, r.n, greatest(w.stamp, r.us) AS stamp, least(CAST({BURST} AS DOUBLE), w.tokens + greatest(0, r.us - w.stamp) / CAST(1000000 AS DOUBLE) * CAST('{RATE!r}' AS DOUBLE)) AS had
+        FROM walk w JOIN req r ON r.key = w.key AND r.n = w.n + 1
+    )
+) SELECT key, seq, allowed FROM walk"""
+
 ORACLE_SQL = {
+    "token_bucket": _BUCKET,
+    "stream_token_bucket": _BUCKET,
     "stream_ingest": POINTS_SQL["unpack"],
     "stream_window": _CLOSED.format("avg(value)"),
     "stream_window_p95": _CLOSED.format("list_sort(list(value))[CAST(floor((count(*) - 1) * CAST(0.95 AS DOUBLE)) AS BIGINT) + 1]"),

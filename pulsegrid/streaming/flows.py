@@ -6,10 +6,12 @@ bounded at the source (maxFilesPerTrigger, maxOffsetsPerTrigger).
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from pulsegrid.functions.labels import series_key
@@ -20,6 +22,10 @@ from pulsegrid.operators.vector import Engine, Grid, Vector
 from pulsegrid.sources import ingest
 
 
+#: Evaluation times in one plan of a rule on a stream.
+MOST_TICKS = 5000
+
+
 def stream_ingest(lines: DataFrame, path: str, checkpoint: str, tenant: Column | None = None, now: Column | None = None) -> DataStreamWriter:
     """JSON batches to the samples table: parse, unpack, validate, fill in times, write. Rows with errors are left out.
 
@@ -51,30 +57,45 @@ def stream_window(samples: DataFrame, agg: str, step: str, since_us: int = 0, wa
 class RuleRunner:
     """foreachBatch sink that stores samples and evaluates a rule at every time that has passed.
 
-    A batch is written under its own number, so one that runs twice replaces itself. A
-    time counts as passed once a sample of `delay` later has come; the times of a batch
-    are evaluated over the stored table in one plan, and the results are written under
-    the batch's number, with the grid's place.
+    A batch is written under its own number, by name and date, so one that runs twice
+    replaces itself. A time counts as passed once a sample of `delay` later has come. The
+    newest time of all batches so far is a row under the batch's number, so the next one
+    reads that row and its own samples, and the rule only the names, dates and times that
+    its selectors look back to. Samples dated after `ahead` from now, by the clock `now`,
+    move nothing: they are stored, and count once their time has come and a later batch
+    with them. At most MOST_TICKS times are evaluated in one plan.
     """
 
-    def __init__(self, rule: Rule, build: Callable[[Engine], Vector], table: str, results: str, start_us: int, lookback: str, delay: str = "0s"):
+    def __init__(
+        self, rule: Rule, build: Callable[[Engine], Vector], table: str, results: str, start_us: int, lookback: str, delay: str = "0s", ahead: str = "5m", now: Callable[[], int] = lambda: time.time_ns() // 1000
+    ):
         self.rule, self.build, self.table, self.results = rule, build, table, results
         self.start, self.step, self.lookback, self.delay = start_us, micros(rule.interval), lookback, micros(delay)
+        self.ahead, self.now = micros(ahead), now
+
+    def _passed(self, us: int | None) -> int:
+        """The last evaluation time that has passed at a newest time, or -1."""
+        return -1 if us is None or us - self.delay < self.start else (us - self.delay - self.start) // self.step
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{self.table}/batch={number}")
-        stored = spark.read.option("basePath", self.table).parquet(f"{self.table}/batch=*")
-        newest = lambda df: df.agg(F.max(F.unix_micros("ts")).alias("us")).head()["us"]
-        last = newest(stored.filter(F.col("batch") <= number))
-        before = newest(stored.filter(F.col("batch") < number))
-        passed = lambda us: -1 if us is None or us - self.delay < self.start else (us - self.delay - self.start) // self.step
-        first, final = passed(before) + 1, passed(last)
+        spark, path = batch.sparkSession, f"{self.table}/batch={number}"
+        batch.withColumn("date", F.to_date("ts")).write.mode("overwrite").partitionBy("name", "date").parquet(path)
+        limit = self.now() + self.ahead
+        us = F.unix_micros("ts")
+        came = spark.read.schema(batch.select("ts").schema).parquet(path).agg(F.max(F.when(us <= limit, us)).alias("us")).head()["us"]
+        before = spark.read.parquet(f"{self.table}-newest/batch={number - 1}").head()["us"] if number else None
+        newest = max((x for x in (before, came) if x is not None), default=None)
+        spark.createDataFrame([(newest,)], "us long").coalesce(1).write.mode("overwrite").parquet(f"{self.table}-newest/batch={number}")
+        first, final = self._passed(before) + 1, self._passed(newest)
         if final < first:
             return
-        grid = Grid(self.start + first * self.step, self.step, final - first)
-        found = evaluate(self.rule, self.build(Engine(stored, grid, tenant=self.rule.tenant, lookback=self.lookback)))
-        found.withColumns({"i": F.col("i") + first, "at": grid.time(F.col("i"))}).write.mode("overwrite").parquet(f"{self.results}/batch={number}")
+        fields = [*(f for f in batch.schema.fields if f.name != "name"), T.StructField("batch", T.LongType()), T.StructField("name", T.StringType()), T.StructField("date", T.DateType())]
+        stored = spark.read.schema(T.StructType(fields)).option("basePath", self.table).parquet(f"{self.table}/batch=*").filter(F.col("batch") <= number)
+        for at in range(first, final + 1, MOST_TICKS):
+            grid = Grid(self.start + at * self.step, self.step, min(final - at, MOST_TICKS - 1))
+            found = evaluate(self.rule, self.build(Engine(stored, grid, tenant=self.rule.tenant, lookback=self.lookback)))
+            found = found.withColumns({"i": F.col("i") + at, "at": grid.time(F.col("i"))})
+            found.write.mode("overwrite" if at == first else "append").parquet(f"{self.results}/batch={number}")
 
 
 def stream_rules(samples: DataFrame, runner: RuleRunner, checkpoint: str) -> DataStreamWriter:
