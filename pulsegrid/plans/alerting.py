@@ -11,7 +11,8 @@ from pulsegrid.operators import compare as C
 from pulsegrid.operators import rules as R
 from pulsegrid.plans.points import _us, rounded, text, us
 from pulsegrid.plans.vectors import COUNTERS, GRID, START, _instant, engine, shown
-from pulsegrid.sources import events
+from pulsegrid.sources import config, events
+from pulsegrid.sources.shared import new_path
 
 RULE = R.Rule(
     "high-purchase", "HighPurchase", for_="24h", interval="12h", severity="critical", labels={"team": "sales"},
@@ -38,10 +39,21 @@ def _states(spark, sf_dir) -> DataFrame:
     return R.alert_states(_results(spark, sf_dir), RULE, GRID)
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A table that several steps read, so that what makes it runs once."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _states_and_events(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    results = _stored(_results(spark, sf_dir), "results")
+    states = _stored(R.alert_states(results, RULE, GRID), "states")
+    return states, R.alert_events(results, states, RULE, GRID, RESEND).withColumn("at", GRID.time(F.col("i")))
+
+
 def _events(spark, sf_dir) -> DataFrame:
-    results = _results(spark, sf_dir)
-    found = R.alert_events(results, R.alert_states(results, RULE, GRID), RULE, GRID, RESEND)
-    return found.withColumn("at", GRID.time(F.col("i")))
+    return _states_and_events(spark, sf_dir)[1]
 
 
 def backtest(spark, sf_dir):
@@ -77,7 +89,8 @@ def resolve_removed(spark, sf_dir):
 
 def render_annotations(spark, sf_dir):
     out = R.build_alerts(_events(spark, sf_dir), RULE)
-    return out.select("fingerprint", "i", "status", F.col("annotations")["summary"].alias("summary"), F.col("annotations")["broken"].alias("broken"))
+    big = R.render('{{ .Value }}, {{ printf "%.0f" .Value }}', F.round(F.col("value") * 100_000), F.col("labels"))
+    return out.select("fingerprint", "i", "status", F.col("annotations")["summary"].alias("summary"), F.col("annotations")["broken"].alias("broken"), big.alias("big"))
 
 
 def active_alerts(spark, sf_dir):
@@ -124,17 +137,18 @@ def _firing_events(spark, sf_dir):
 
 
 def silence_mutes(spark, sf_dir):
-    return A.silence_mutes(_firing_events(spark, sf_dir), _good_silences(spark, sf_dir)).select("fingerprint", "i", "silenced")
+    return A.silence_mutes(_stored(_firing_events(spark, sf_dir), "events"), _good_silences(spark, sf_dir)).select("fingerprint", "i", "silenced")
 
 
 def delivery_silence(spark, sf_dir):
     members = _events(spark, sf_dir).withColumn("sent_at", F.timestamp_micros(F.unix_micros("at") + 86_400_000_000))
-    return A.delivery_silence(members, _good_silences(spark, sf_dir)).select("fingerprint", "i", "status")
+    return A.delivery_silence(_stored(members, "members"), _good_silences(spark, sf_dir)).select("fingerprint", "i", "status")
 
 
 def _inhibited(spark, sf_dir):
-    firing = _states(spark, sf_dir).filter("fired_i IS NOT NULL").select("fingerprint", "labels", GRID.time(F.col("fired_i")).alias("fires_at"), GRID.time(F.col("resolved_i")).alias("resolves_at"))
-    return A.inhibit(_events(spark, sf_dir), firing, INHIBIT)
+    states, found = _states_and_events(spark, sf_dir)
+    firing = states.filter("fired_i IS NOT NULL").select("fingerprint", "labels", GRID.time(F.col("fired_i")).alias("fires_at"), GRID.time(F.col("resolved_i")).alias("resolves_at"))
+    return A.inhibit(_stored(found, "events"), firing, INHIBIT)
 
 
 def inhibit(spark, sf_dir):
@@ -142,7 +156,7 @@ def inhibit(spark, sf_dir):
 
 
 def _forwarded(spark, sf_dir):
-    muted = A.silence_mutes(_inhibited(spark, sf_dir), _good_silences(spark, sf_dir))
+    muted = A.silence_mutes(_stored(_inhibited(spark, sf_dir), "inhibited"), _good_silences(spark, sf_dir))
     return A.forwarded_resolutions(muted.withColumn("muted", (F.col("silenced") | F.col("inhibited")) & (F.col("status") == "firing")))
 
 
@@ -215,14 +229,60 @@ def median_spread(spark, sf_dir):
 
 
 def rank_pooled(spark, sf_dir):
-    rows = C.rank_pooled(_measurements(spark, sf_dir).filter("unit = 'quantity'"))
-    return rows.groupBy("name", "run").agg(F.sum("rank").alias("ranks"), F.sum(F.col("tied").cast("double") ** 2 - 1).alias("ties"))
+    rows = C.rank_pooled(_measurements(spark, sf_dir))
+    return rows.groupBy("name", "unit", "run").agg(F.sum("rank").alias("ranks"), F.sum(F.col("tied").cast("double") ** 2 - 1).alias("ties"))
 
 
 def mann_whitney(spark, sf_dir):
     return C.mann_whitney(_measurements(spark, sf_dir), "old", "new").select("name", "unit", "n1", "n2", "u", "ties", rounded("p", "p"), "method")
 
 
+def mann_whitney_u(spark, sf_dir):
+    """The test without its p-value, which SQL has no function for."""
+    return C.mann_whitney(_measurements(spark, sf_dir), "old", "new").select("name", "unit", "n1", "n2", "u", "ties", "method")
+
+
+def compare_deltas(spark, sf_dir):
+    """The comparison without its p-value."""
+    out = C.compare_runs(_measurements(spark, sf_dir), "old", "new")
+    return out.select("name", "unit", "side", "old_n", "new_n", rounded("old_median", "old_median"), rounded("new_median", "new_median"), rounded("delta", "delta"))
+
+
+def _config_file(df: DataFrame, field: str, item, **others) -> str:
+    """A configuration file whose list `field` has an item for each row of a table, in order of `place`."""
+    path = new_path(df.sparkSession, "config")
+    items = df.groupBy().agg(F.array_sort(F.collect_list(F.struct("place", item.alias("item"))))["item"].alias(field))
+    items.select(F.to_json(F.struct(field, *(c.alias(k) for k, c in others.items()))).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+def load_rules(spark, sf_dir):
+    """Rules from a file with one for each nation."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").join(spark.read.parquet(f"{sf_dir}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+    key = F.col("n_nationkey")
+    rule = F.struct(
+        F.concat(F.lit("rule-"), key).alias("id"), F.col("n_name").alias("name"), F.lit("5m").alias("for"), F.element_at(F.array(*map(F.lit, R.SEVERITIES)), (F.col("n_regionkey") % 3 + 1).cast("int")).alias("severity"),
+        F.struct(F.col("r_name").alias("segment")).alias("labels"), F.concat(F.lit("purchase > "), key).alias("expression"), (key % 2 == 0).alias("enabled"),
+    )
+    loaded = config.load_rules(spark, _config_file(rows.withColumn("place", key), "rules", rule))
+    out = [(x.rule.id, x.rule.name, f"{R.micros(x.rule.for_) // 1_000_000}s", x.rule.severity, ",".join(f"{k}={v}" for k, v in x.rule.labels.items()), x.expression, x.enabled) for x in loaded]
+    return spark.createDataFrame(out, "id string, name string, wait string, severity string, labels string, expression string, enabled boolean")
+
+
+def load_routing(spark, sf_dir):
+    """Receivers from a file with one for each nation; the first region's are defaults and inhibit."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("place", F.col("n_nationkey"))
+    first = F.array_sort(F.collect_list(F.when(F.col("n_regionkey") == 0, F.struct("place", "n_name"))))["n_name"]
+    matcher = lambda name: F.array(F.struct(F.lit("nation").alias("name"), F.lit("=").alias("op"), name.alias("value")))
+    names = rows.agg(first.alias("names")).head()["names"]
+    names = F.array(*(F.lit(n) for n in names))
+    inhibit = F.transform(names, lambda n: F.struct(matcher(n).alias("source_matchers"), matcher(n).alias("target_matchers")))
+    loaded = config.load_routing(spark, _config_file(rows, "receivers", F.struct(F.col("n_name").alias("name")), default_receivers=names, inhibit_rules=inhibit))
+    inhibits = {r.source[0].value: f"nation={r.target[0].value}" for r in loaded.inhibit}
+    out = [(name, name in loaded.grouping.default_receivers, n, inhibits.get(name)) for n, name in enumerate(loaded.receivers)]
+    return spark.createDataFrame(out, "receiver string, is_default boolean, place long, inhibits string")
+
+
 def compare_runs(spark, sf_dir):
     out = C.compare_runs(_measurements(spark, sf_dir), "old", "new")
     return out.select("name", "unit", "side", rounded("delta", "delta"), rounded("p", "p"), "method", "significant")
@@ -257,6 +317,7 @@ _MEASURED = """WITH m AS (
     SELECT l_linestatus || '/' || (l_orderkey % 400) AS name, CASE WHEN l_linenumber < 4 THEN 'price' ELSE 'quantity' END AS unit,
            CAST(CASE WHEN l_linenumber < 4 THEN l_extendedprice ELSE l_quantity END AS DOUBLE) AS value, CASE WHEN l_returnflag = 'R' THEN 'old' ELSE 'new' END AS run FROM lineitem
 )"""
+_RANKED = f"""{_MEASURED}, q AS (SELECT *, count(*) OVER (PARTITION BY name, unit, value) AS tied, rank() OVER (PARTITION BY name, unit ORDER BY value) AS low FROM m)"""
 
 QUERIES = {
     f.__name__: f
@@ -264,7 +325,7 @@ QUERIES = {
         backtest, alert_labels, fingerprint, collapse_duplicates, alert_states, alert_events, resolve_removed, render_annotations, active_alerts, alert_listing,
         silence_validate, silence_active, silence_gc, silence_listing, silence_mutes, delivery_silence, inhibit, forwarded_resolutions,
         route_receivers, group_key, group_content_hash, group_status_counts, group_summary, notification_payload, group_notifications, agents_list,
-        median_spread, rank_pooled, mann_whitney, compare_runs,
+        median_spread, rank_pooled, mann_whitney, mann_whitney_u, compare_runs, compare_deltas, load_rules, load_routing,
     )
 }
 
@@ -276,7 +337,9 @@ ORACLE_SQL = {
     "alert_states": f"{_BASE} SELECT fingerprint, round(value, 6) AS value, first_i, last_i, coalesce(fired_i, -1) AS fired_i, coalesce(resolved_i, -1) AS resolved_i FROM st",
     "alert_events": f"{_BASE} SELECT fingerprint, i, status, round(value, 6) AS value, {GRID.start} + first_i * {GRID.step} AS starts, coalesce({GRID.start} + ends_i * {GRID.step}, 0) AS ends FROM ev",
     "resolve_removed": f"{_BASE} SELECT fingerprint, CAST({AT} AS BIGINT) AS i, 'resolved' AS status, round(value, 6) AS value, CAST({_AT_US} AS BIGINT) AS ends FROM st WHERE fired_i <= {AT} AND last_i >= {AT}",
-    "render_annotations": f"{_BASE} SELECT fingerprint, i, status, regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') || ' on ' || agent_id || ', !' AS summary, '{{{{ .Oops }}}}' AS broken FROM ev",
+    "render_annotations": f"""{_BASE} SELECT fingerprint, i, status, regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') || ' on ' || agent_id || ', !' AS summary, '{{{{ .Oops }}}}' AS broken,
+        CASE WHEN length(d) <= 6 THEN d ELSE d[1] || CASE WHEN rtrim(d[2:], '0') = '' THEN '' ELSE '.' || rtrim(d[2:], '0') END || 'e+0' || (length(d) - 1) END || ', ' || d AS big
+        FROM (SELECT *, CAST(CAST(round(value * 100000) AS BIGINT) AS VARCHAR) AS d FROM ev)""",
     "active_alerts": f"{_BASE} SELECT fingerprint, CASE WHEN fired_i <= {AT} THEN 'firing' ELSE 'pending' END AS state FROM st WHERE first_i <= {AT} AND last_i >= {AT}",
     "alert_listing": f"{_BASE} SELECT fingerprint, 'firing' AS state, agent_id FROM st WHERE fired_i <= {AT} AND last_i >= {AT}",
     "silence_validate": f"""{_BASE} SELECT id, coalesce(ends, 0) AS ends, CASE WHEN k % 5 = 4 THEN 'silence needs at least one matcher'
@@ -307,6 +370,16 @@ FROM placed WHERE place <= 11 GROUP BY grp, us""",
 SELECT agent_id, us, round(uptime, 6) AS uptime, tenant, CASE WHEN {GRID.start + GRID.last * GRID.step} - us > 3 * 3600000000 THEN 'stale' ELSE 'healthy' END AS status FROM h""",
     "median_spread": f"""{_MEASURED} SELECT name, unit, run, count(*) AS n, round(median(value), 6) AS median,
         round(CASE WHEN count(*) < 2 OR median(value) = 0 THEN 0 ELSE (max(value) - min(value)) / 2 / abs(median(value)) * 100 END, 6) AS spread FROM m GROUP BY name, unit, run""",
-    "rank_pooled": f"""{_MEASURED}, q AS (SELECT *, count(*) OVER (PARTITION BY name, value) AS tied, rank() OVER (PARTITION BY name ORDER BY value) AS low FROM m WHERE unit = 'quantity')
-SELECT name, run, sum(low + (tied - 1) / 2.0) AS ranks, CAST(sum(tied * tied - 1) AS DOUBLE) AS ties FROM q GROUP BY name, run""",
+    "rank_pooled": f"""{_RANKED} SELECT name, unit, run, sum(low + (tied - 1) / 2.0) AS ranks, CAST(sum(tied * tied - 1) AS DOUBLE) AS ties FROM q GROUP BY name, unit, run""",
+    "mann_whitney_u": f"""{_RANKED}, u AS (
+    SELECT name, unit, count(*) FILTER (WHERE run = 'old') AS n1, count(*) FILTER (WHERE run = 'new') AS n2, coalesce(sum(low + (tied - 1) / 2.0) FILTER (WHERE run = 'old'), 0) AS r1, CAST(sum(tied * tied - 1) AS DOUBLE) AS ties FROM q GROUP BY name, unit)
+SELECT name, unit, n1, n2, CAST(least(r1 - n1 * (n1 + 1) / 2.0, n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0)) AS DOUBLE) AS u, ties,
+       CASE WHEN n1 = 0 OR n2 = 0 THEN 'none' WHEN ties = 0 AND greatest(n1, n2) <= {C.EXACT_LIMIT} THEN 'exact' ELSE 'normal' END AS method FROM u""",
+    "compare_deltas": f"""{_MEASURED}, s AS (
+    SELECT name, unit, median(value) FILTER (WHERE run = 'old') AS a, median(value) FILTER (WHERE run = 'new') AS b, count(*) FILTER (WHERE run = 'old') AS n1, count(*) FILTER (WHERE run = 'new') AS n2 FROM m GROUP BY name, unit)
+SELECT name, unit, CASE WHEN n1 = 0 THEN 'new' WHEN n2 = 0 THEN 'old' ELSE 'both' END AS side, nullif(n1, 0) AS old_n, nullif(n2, 0) AS new_n, round(a, 6) AS old_median, round(b, 6) AS new_median,
+       CASE WHEN n1 > 0 AND n2 > 0 THEN round((b - a) / a * 100, 6) END AS delta FROM s""",
+    "load_rules": """SELECT 'rule-' || n_nationkey AS id, n_name AS name, '300s' AS wait, CASE n_regionkey % 3 WHEN 0 THEN 'info' WHEN 1 THEN 'warning' ELSE 'critical' END AS severity,
+        'segment=' || r_name AS labels, 'purchase > ' || n_nationkey AS expression, n_nationkey % 2 = 0 AS enabled FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "load_routing": """SELECT n_name AS receiver, n_regionkey = 0 AS is_default, CAST(n_nationkey AS BIGINT) AS place, CASE WHEN n_regionkey = 0 THEN 'nation=' || n_name END AS inhibits FROM nation""",
 }

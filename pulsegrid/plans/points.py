@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import labels as L
-from pulsegrid.functions.times import resolve_relative_time
+from pulsegrid.functions.times import resolve_relative_time as resolve
 from pulsegrid.operators import query as Q
 from pulsegrid.sources import events, ingest
 from pulsegrid.sources.shared import new_path
@@ -162,13 +162,26 @@ def match_all(spark, sf_dir):
 
 def filter_time(spark, sf_dir):
     now = datetime.fromisoformat("2024-01-25T00:00:00+00:00")
-    since, until = resolve_relative_time("-240h", now), resolve_relative_time("now", now)
+    since, until = resolve("-240h", now), resolve("now", now)
     return Q.filter_time(events.samples(spark, sf_dir), since, until).select("event_id", us().alias("us"))
 
 
 def scope_tenant(spark, sf_dir):
-    rows = events.samples(spark, sf_dir).filter(F.col("name") == NAME)
-    return Q.scope_tenant(rows, "t1").select("event_id", F.col("labels")["tenant"].alias("tenant"))
+    """All samples of one tenant, whatever their names."""
+    return Q.scope_tenant(events.samples(spark, sf_dir), "t1").select("event_id", "name", F.col("labels")["tenant"].alias("tenant"))
+
+
+def tenant_override(spark, sf_dir):
+    """Tenant t1 asks for t0's points, and gets its own."""
+    return Q.query(events.samples(spark, sf_dir), NAME, {"tenant": "t0"}, SINCE, UNTIL, tenant="t1").select("series", us().alias("us"), rounded())
+
+
+def resolve_relative_time(spark, sf_dir):
+    """Samples between two bounds that are given as offsets from the newest sample."""
+    rows = events.samples(spark, sf_dir)
+    now = rows.agg(F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("now")).head()["now"]
+    now = resolve(now, datetime.now(UTC))
+    return Q.filter_time(rows, resolve("-10d", now), resolve("-36h", now)).select("event_id", us().alias("us"))
 
 
 def _awkward(spark, sf_dir):
@@ -244,7 +257,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         read_batches, unpack, validate_sample, validate_metric, validate_batch, enrich_timestamp, ingest_accounting, write_samples, scan_series, dedup_points, store_stats, live_feed, read_bench,
-        match_labels, label_matcher, match_all, filter_time, scope_tenant, series_key, parse_series_key, canonical_labels, merge_labels,
+        match_labels, label_matcher, match_all, filter_time, scope_tenant, tenant_override, resolve_relative_time, series_key, parse_series_key, canonical_labels, merge_labels,
         query_raw, query_window, query_window_open, query_whole, query_limit,
     )
 } | {f"agg_{a}": _aggregate(a) for a in _SQL_AGG}
@@ -292,7 +305,9 @@ FROM (SELECT name, procs, 'ns/op' AS unit, a AS v FROM o UNION ALL SELECT name,
     "match_all": f"""WITH {SAMPLES} SELECT event_id, CASE WHEN event_id % 5 = 0 THEN false WHEN event_id % 2 = 0 THEN shard = 's1' AND tenant <> 't1'
        ELSE regexp_full_match(agent_id, 'agent-[0-4]') END AS matched FROM samples""",
     "filter_time": "SELECT event_id, epoch_us(ts) AS us FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-15 00:00:00' AND TIMESTAMP '2024-01-25 00:00:00'",
-    "scope_tenant": f"WITH {SAMPLES} SELECT event_id, tenant FROM samples WHERE name = '{NAME}' AND tenant = 't1'",
+    "scope_tenant": f"WITH {SAMPLES} SELECT event_id, name, tenant FROM samples WHERE tenant = 't1'",
+    "tenant_override": f"WITH {SAMPLES} SELECT series, us, round(value, 6) AS value FROM keyed WHERE name = '{NAME}' AND tenant = 't1' AND us BETWEEN {_A} AND {_B}",
+    "resolve_relative_time": f"WITH {SAMPLES}, n AS (SELECT max(us) AS now FROM samples) SELECT event_id, us FROM samples, n WHERE us BETWEEN now - 10 * 86400000000 AND now - 36 * 3600000000",
     "series_key": f"WITH {_AWKWARD} SELECT o_orderkey, {_ESC.format('name')} || '{{a\\\\b=' || {_ESC.format('c')} || ',empty=,pri\\=or=' || {_ESC.format('p')} || '}}' AS series FROM awkward",
     "parse_series_key": f"WITH {_AWKWARD} SELECT o_orderkey, name, p AS priority, c AS customer, '' AS none, CAST(3 AS INTEGER) AS n FROM awkward",
     "canonical_labels": f"""WITH {_AWKWARD} SELECT o_orderkey, 'a\\b="' || c || '", empty="", pri=or="' || p || '"' AS text FROM awkward""",

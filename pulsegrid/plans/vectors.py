@@ -52,6 +52,12 @@ def range_vector(spark, sf_dir):
     return points.groupBy("i", "key").agg(F.count("*").alias("n"), F.min("us").alias("first_us"), rounded(F.sum("value"), "total")).select(us(GRID.time(F.col("i"))).alias("t"), F.col("key").alias("labels"), "n", "first_us", "total")
 
 
+def scalar_guard(spark, sf_dir):
+    """Series of samples that may be without labels: the check that none is a scalar runs, and all pass."""
+    e = Engine(events.samples(spark, sf_dir), GRID, lookback=LOOKBACK, labelled=False)
+    return shown((e.metric("purchase").instant() > 50.0).and_(e.metric("click").instant() > 50.0))
+
+
 def literal_(spark, sf_dir):
     """A number added to the number of series at each time."""
     e = engine(spark, sf_dir)
@@ -135,13 +141,14 @@ EXPRESSIONS = {
     ),
 }
 
-QUERIES = {"instant_vector": instant_vector, "range_vector": range_vector, "literal": literal_}
+QUERIES = {"instant_vector": instant_vector, "range_vector": range_vector, "literal": literal_, "scalar_guard": scalar_guard}
 QUERIES |= {name: _ranged(name) for name in _RANGED} | {name: _of(build) for name, (build, _) in EXPRESSIONS.items()}
 
 ORACLE_SQL = {
     "instant_vector": _shown("SELECT t, key, value FROM p WHERE regexp_full_match(key, 'agent_id=agent-[0-3],.*')"),
     "range_vector": f"""WITH {COUNTERS} SELECT t, key AS labels, count(*) AS n, min(us) AS first_us, round(sum(value), 6) AS total
 FROM keyed JOIN ticks ON us BETWEEN t - {_TWO_DAYS} AND t WHERE name = 'purchase' GROUP BY t, key""",
+    "scalar_guard": _shown("SELECT t, key, value FROM p WHERE value > 50 AND (t, key) IN (SELECT (t, key) FROM c WHERE value > 50)"),
     "literal": _shown("SELECT t, '' AS key, count(*) + 2.5 AS value FROM p GROUP BY t"),
     "rate": _INCREMENTS.replace("{0}", "inc / (span / 1e6)"),
     "increase": _INCREMENTS.replace("{0}", "inc"),
