@@ -52,8 +52,8 @@ def finite(v: Column) -> Column:
 
 def shortest(v: Column) -> Column:
     """A float in the fewest digits that give it back: plain from 1e-4 up to a million (95 for 95.0), else like 1.5e+06."""
-    forms = [F.format_string(f"%.{n}e", v) for n in (14, 15, 16)]
-    form = F.when(forms[0].cast("double") == v, forms[0]).when(forms[1].cast("double") == v, forms[1]).otherwise(forms[2])
+    *forms, most = [F.format_string(f"%.{n}e", v) for n in (0, 14, 15, 16)]  # the first is for the least floats, which have one digit
+    form = F.coalesce(*(F.when(f.cast("double") == v, f) for f in forms), most)
     sign = F.when(form.startswith("-"), "-").otherwise("")
     digits = F.regexp_replace(F.regexp_replace(form, r"^-|\.|e.*$", ""), "(?<=.)0+$", "")
     power = F.regexp_extract(form, r"e([+-]\d+)$", 1)
