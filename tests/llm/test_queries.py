@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pulsegrid.llm import language_id
@@ -42,7 +43,7 @@ def test_pipeline_by_hand(spark, sf_dir):
     for k in sorted(docs):
         first.setdefault(re.sub("[\x20\x09-\x0d]+", " ", docs[k]), k)
     docs = {k: docs[k] for k in first.values()}
-    docs = {k: t for k, t in docs.items() if components_of(docs)[0][k] == k} if len(docs) < 5 else {k: docs[k] for k in set(components_of(docs)[0].values())}
+    docs = {k: docs[k] for k in set(components_of(docs, 80)[0].values())}
     bench = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     docs = {k: t for k, t in docs.items() if not [1 for _, n, hit, _ in contamination_model([(k, t)], bench) if hit and 20 * hit >= n]}
     lib = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
@@ -57,6 +58,16 @@ def test_stages_keep_the_columns(spark, sf_dir):
         assert stage(spark, docs, sf_dir).columns == docs.columns
 
 
+def test_stages_take_nulls_and_repeated_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    none = docs.limit(2).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema))
+    odd = docs.unionByName(docs.limit(5)).unionByName(none).unionByName(docs.limit(3).withColumn("text", F.lit(" ")))
+    for _, stage in corpus_pipeline.STAGES:
+        odd = spark.createDataFrame(stage(spark, odd, sf_dir).collect(), stage(spark, odd, sf_dir).schema)
+    ids = [r["doc_id"] for r in odd.collect()]
+    assert len(ids) == len(set(ids)) > 0 and None not in ids  # texts that are null or without letters have no language
+
+
 def test_stages_take_an_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
