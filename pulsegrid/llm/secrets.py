@@ -58,7 +58,9 @@ def spans_of(text: Column, pattern: str, kind: int) -> Column:
         return bound(before, spans)
 
     gaps = F.transform(F.split(text, pattern), F.length)
-    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: bound(gaps, lambda g: placed(hits, g)))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
+    found = lambda hits: F.when(F.size(hits) > 0, bound(gaps, lambda g: placed(hits, g))).otherwise(none)
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
 
 
 def base_spans(text: Column) -> Column:
