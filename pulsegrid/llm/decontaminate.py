@@ -218,9 +218,9 @@ def _hits(segment: Segment, items: Items) -> Iterator[tuple[int, np.ndarray, np.
                 np.add.at(edges, start, 1)
                 np.add.at(edges, start + size, -1)
                 pairs.append(np.unique(segment.document(start) << 32 | owners[some[which]]))
-    if not pairs:
+    found = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *pairs]))
+    if not len(found):  # all words of a window can be there, and the window not
         return
-    found = np.unique(np.concatenate(pairs))
     marks = (np.cumsum(edges) > 0).view(np.int8)
     documents, first = np.unique(found >> 32, return_index=True)
     for d, of in zip(documents.tolist(), np.split(found & 0xFFFFFFFF, first[1:]), strict=True):
