@@ -359,6 +359,12 @@ def test_contaminated_rows_go(spark, odd, clashing, empty):
     assert decontaminate.drop_contaminated(empty, bench).count() == 0
 
 
+def test_words_without_their_phrase(spark):
+    docs = spark.createDataFrame([(1, "text same"), (2, "other")], "doc_id long, text string")
+    rows = decontaminate.contamination(docs, spark.createDataFrame([(1, "same text")], BENCH)).collect()
+    assert sorted((r["id"], r["n_hit"], r["items"], r["contaminated"]) for r in rows) == [(1, 0, [], False), (2, 0, [], False)]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red a b green c blue red d green blue"), (2, "blue x x x x x green red"), (3, None)], "doc_id long, text string")
     index = decontaminate.build_index(docs)
