@@ -633,7 +633,7 @@ def test_samples_are_bounded_in_bytes_and_labels(spark, monkeypatch):
     monkeypatch.setattr(language_id, "train", lambda samples: taken.extend(samples))
     monkeypatch.setattr(language_id, "SAMPLE_BYTES", 4000)
     monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
-    rows = [(i, "word " * (10 if i % 3 else 200), f"l{min(i % 7, 4)}") for i in range(600)]
+    rows = [(i, "word " * (10 if i % 3 else 200), f"l{min(i % 7, 4)}") for i in range(2000)]
     language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     sizes = {}
     for text, lang in taken:
