@@ -8,12 +8,17 @@ SAMPLE_ROWS for each of the MOST_LANGUAGES most frequent labels, chosen by a has
 id, as long as their texts add up to SAMPLE_BYTES for a language at most; no text is
 cut, and one that alone makes more than a LARGEST_PART-th of that isn't drawn. A fifth of the sample is
 kept from training and calibrates: a temperature makes probabilities match how often
-they are right, and the rejection threshold is set where REJECTED of the rightly
-recognised texts would fall below it, and at MOST_DOUBT at most.
+they are right, but only ever softens them, as a sample without errors would ask for
+endless sharpness. The rejection threshold lies halfway between chance and the score
+that REJECTED of the rightly recognised texts are below. A softmax only tells learned
+languages apart, so a text must also be familiar: the mean logarithm of its features'
+shares in the sample of the language found. Of the texts kept from training, REJECTED
+are below some familiarity; as far again below it as the middle is above, texts are
+rejected as of no learned language.
 
 Averaging and the linear layer commute, so the trained model is folded into one row of
-scores for each bucket, and a text takes one sum over those rows. The model's size,
-BUCKETS times the number of languages, doesn't grow with the corpus.
+scores and familiarities for each bucket, and a text takes one sum over those rows. The
+model's size, BUCKETS times twice the number of languages, doesn't grow with the corpus.
 
 Texts that are null or have no letter are `und` with score 0, and rejected. Labels that
 are null are not learned; without labels all texts are `und`. Null ids count as the
@@ -38,7 +43,7 @@ from pulsegrid.llm.common import LOWER, as_bytes, chunks, enter
 BUCKETS_BITS, WIDTH, GRAMS = 16, 16, (2, 3, 4)
 SAMPLE_ROWS, SAMPLE_BYTES, LARGEST_PART, MOST_LANGUAGES = 400, 4 << 20, 16, 200
 EPOCHS, RATE, PIECE_WORDS = 3, 0.5, 40
-REJECTED, MOST_DOUBT = 0.001, 0.4
+REJECTED, UNSEEN = 0.001, 1e-5
 SEED = 77
 CHUNK_BYTES, BLOCK = 4 << 20, 1 << 20
 
@@ -75,20 +80,28 @@ def features(text: bytes) -> Iterator[np.ndarray]:
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    scores: np.ndarray  # a row for each bucket, folded and divided by the temperature
+    scores: np.ndarray  # a row for each bucket: scores, folded and divided by the temperature, then familiarities
     bias: np.ndarray
     threshold: float
-
-    def predict(self, text: bytes | None) -> tuple[str, float]:
-        if not self.languages or not text or not has_letter(text):
-            return "und", 0.0
-        total, n = np.zeros(len(self.languages)), 0
+    familiar: float
+
+    def judge(self, text: bytes | None) -> tuple[str, float, bool]:
+        """The language, its score, and whether it is rejected."""
+        k = len(self.languages)
+        if not k or not text or not has_letter(text):
+            return "und", 0.0, True
+        total, n = np.zeros(2 * k), 0
         for ids in features(text):
             total += self.scores[ids].sum(axis=0, dtype=np.float64)
             n += len(ids)
-        p = _softmax(total / max(n, 1) + self.bias)
+        mean = total / max(n, 1)
+        p = _softmax(mean[:k] + self.bias)
         best = int(p.argmax())
-        return self.languages[best], float(min(max(p[best], 0.0), 1.0))
+        score = float(min(max(p[best], 0.0), 1.0))
+        return self.languages[best], score, bool(score < self.threshold or mean[k + best] < self.familiar)
+
+    def predict(self, text: bytes | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -101,15 +114,20 @@ def train(samples: list[tuple[bytes, str]], seed: int = SEED) -> Model:
     samples = [(t, lang) for t, lang in samples if t and has_letter(t)]
     languages = sorted({lang for _, lang in samples})
     if not languages:
-        return Model([], np.zeros((1, 0)), np.zeros(0), 1.0)
+        return Model([], np.zeros((1, 0)), np.zeros(0), 1.0, 0.0)
     number = {lang: i for i, lang in enumerate(languages)}
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(samples))
     aside = set(order[: len(samples) // 5].tolist()) if len(samples) >= 10 * len(languages) else set()
     units: list[tuple[np.ndarray, np.ndarray, int]] = []
+    shares = np.zeros((1 << BUCKETS_BITS, len(languages)))
     for i, (text, lang) in enumerate(samples):
         if i in aside:
             continue
+        seen = np.zeros(1 << BUCKETS_BITS)
+        for ids in features(text):
+            seen += np.bincount(ids, minlength=len(seen))
+        shares[:, number[lang]] += seen / max(seen.sum(), 1)
         words = text.split(b" ")
         for at in range(0, len(words), PIECE_WORDS):
             ids = np.concatenate([*features(b" ".join(words[at : at + PIECE_WORDS])), np.zeros(0, dtype=np.int64)])
@@ -132,19 +150,23 @@ def train(samples: list[tuple[bytes, str]], seed: int = SEED) -> Model:
             bias -= rate * error
             embed[buckets] -= rate * np.outer(share, back) * len(buckets)
     folded = embed @ layer
-    logits, answers = [], []
-    for i in aside or range(len(samples)):
+    known = np.log(shares / np.maximum(shares.sum(axis=0), 1) + UNSEEN)
+    logits, answers, near = [], [], []
+    for i in sorted(aside) or range(len(samples)):
         ids = np.concatenate([*features(samples[i][0]), np.zeros(0, dtype=np.int64)])
         logits.append(folded[ids].mean(axis=0) + bias if len(ids) else bias)
         answers.append(number[samples[i][1]])
+        near.append(known[ids, answers[-1]].mean() if len(ids) else 0.0)
     z, y = np.array(logits, dtype=np.float64), np.array(answers)
     rows = np.arange(len(y))
     loss = lambda t: -np.log(_softmax(z / t)[rows, y] + 1e-12).mean()
-    temperature = min(np.geomspace(0.05, 20, 121), key=loss)
+    temperature = min(np.geomspace(1, 20, 61), key=loss)
     p = _softmax(z / temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == y]
-    threshold = min(MOST_DOUBT, float(np.quantile(right, REJECTED))) if len(right) else MOST_DOUBT
-    return Model(languages, (folded / temperature).astype(np.float32), bias / temperature, threshold)
+    chance = 1 / len(languages)
+    threshold = (chance + float(np.quantile(right, REJECTED))) / 2 if len(right) else chance
+    familiar = 2 * float(np.quantile(near, REJECTED)) - float(np.median(near))
+    return Model(languages, np.hstack([folded / temperature, known]).astype(np.float32), bias / temperature, threshold, familiar)
 
 
 def fold_of(id_col: Column, folds: int = 4) -> Column:
@@ -177,20 +199,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, lang_pred, score, rejected."""
-    schema = T.StructType([docs.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("language_id")
         for whole in batches:
             for batch in chunks(whole, 1, CHUNK_BYTES):
-                found = [shared.value.predict(t) for t in as_bytes(batch.column(1))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=schema.names
-                )
+                found = [shared.value.judge(t) for t in as_bytes(batch.column(1))]
+                columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
-    out = docs.select(id_col, text_col).mapInArrow(run, schema)
-    return out.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < model.threshold))
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def drop_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -201,7 +221,6 @@ def drop_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         enter("language_id")
         for whole in batches:
             for batch in chunks(whole, at, CHUNK_BYTES):
-                found = [shared.value.predict(t) for t in as_bytes(batch.column(at))]
-                yield batch.filter(pa.array([lang != "und" and score >= shared.value.threshold for lang, score in found], pa.bool_()))
+                yield batch.filter(pa.array([not shared.value.judge(t)[2] for t in as_bytes(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -38,7 +38,7 @@ def test_pipeline_by_hand(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_id.fit(table)
     docs = {r["doc_id"]: r["text"] for r in table.collect()}
-    docs = {k: t for k, t in docs.items() if (p := model.predict(t.encode()))[0] != "und" and p[1] >= model.threshold}
+    docs = {k: t for k, t in docs.items() if not model.judge(t.encode())[2]}
     first = {}
     for k in sorted(docs):
         first.setdefault(re.sub("[\x20\x09-\x0d]+", " ", docs[k]), k)

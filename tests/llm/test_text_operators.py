@@ -619,13 +619,27 @@ def test_predictions_in_plain_python(documents):
                 counts[h * 0x9E3779B1 % 2**32 >> 16] += 1
         z = [sum(n * float(model.scores[k][i]) for k, n in counts.items()) / max(1, sum(counts.values())) + float(model.bias[i]) for i in range(len(model.languages))]
         e = [math.exp(x - max(z)) for x in z]
-        return model.languages[z.index(max(z))], max(e) / sum(e)
+        best, k = z.index(max(z)), len(z)
+        near = sum(n * float(model.scores[b][k + best]) for b, n in counts.items()) / max(1, sum(counts.values()))
+        return model.languages[best], max(e) / sum(e), max(e) / sum(e) < model.threshold or near < model.familiar
 
     rows = [r["text"] for r in documents.filter("length(text) BETWEEN 1 AND 3000").limit(40).collect() if language_id.has_letter(r["text"].encode())]
     for text in [*rows, "Größe", "a"]:
-        lang, score = model.predict(text.encode())
+        lang, score, rejected = model.judge(text.encode())
         wanted = predict(text)
-        assert lang == wanted[0] and abs(score - wanted[1]) < 1e-4
+        assert (lang, rejected) == (wanted[0], wanted[2]) and abs(score - wanted[1]) < 1e-4
+
+
+def test_unknown_languages_are_rejected(documents):
+    """A model without German, and letters drawn at random."""
+    import random
+
+    known = documents.filter("lang <> 'de'")
+    model, rng = language_id.fit(known), random.Random(3)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(300)) for _ in range(50)]
+    of = lambda rows: [r["text"] for r in rows.filter("length(text) > 100").collect()]
+    share = lambda texts: sum(model.judge(t.encode())[2] for t in texts) / len(texts)
+    assert share(noise) == 1 and share(of(documents.filter("lang = 'de'"))) > 0.7 and share(of(known)) < 0.01
 
 
 def test_samples_are_bounded_in_bytes_and_labels(spark, monkeypatch):
