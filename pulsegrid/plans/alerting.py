@@ -312,6 +312,38 @@ _FIRES = f"{GRID.start} + s.fired_i * {GRID.step} <= e.us AND (s.resolved_i IS N
 _INHIBITED = f"""EXISTS (SELECT 1 FROM st s WHERE s.fired_i IS NOT NULL AND s.fingerprint <> e.fingerprint AND {_FIRES}
     AND ((s.shard = 's1' AND e.shard IN ('s0', 's2')) OR (s.agent_id = 'agent-1' AND s.shard = e.shard)))"""
 _ROUTED = "routed AS (SELECT e.*, receiver, receiver || '|shard=' || shard || ',team=sales' AS grp FROM events_ e, (VALUES ('log'), ('mail')) v(receiver))"
+_FORWARDED = f"""judged AS (SELECT e.*, status = 'firing' AND ({_MUTE.format('us')} OR {_INHIBITED}) AS muted FROM events_ e), counted AS (
+    SELECT *, coalesce(max(CASE WHEN status = 'firing' AND NOT muted THEN i END) OVER w, -1) AS sent, coalesce(max(CASE WHEN status = 'resolved' THEN i END) OVER w, -1) AS ended
+    FROM judged WINDOW w AS (PARTITION BY fingerprint ORDER BY i, status ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), forwarded AS (SELECT * FROM counted WHERE CASE WHEN status = 'firing' THEN NOT muted ELSE sent > ended END)"""
+_WAIT, _INTERVAL, _REPEAT = GROUPING.timers()
+
+
+def group_sql(until: str) -> str:
+    """Sendings before the time `until`: a row of the walk takes a group's next event in, or sends what is due before it."""
+    return f"""{_BASE.replace("WITH", "WITH RECURSIVE", 1)}, {_FORWARDED}, sides AS (
+    SELECT receiver || '|shard=' || shard || ',team=sales' AS grp, receiver, us, fingerprint, status FROM forwarded, (VALUES ('log'), ('mail')) v(receiver)
+), steps AS (
+    SELECT *, row_number() OVER (PARTITION BY grp ORDER BY us, fingerprint, status) AS n FROM sides
+    UNION ALL SELECT grp, any_value(receiver), {until}, NULL, NULL, count(*) + 1 FROM sides GROUP BY grp
+), walk AS (
+    SELECT grp, receiver, CAST(1 AS BIGINT) AS n, CAST([] AS STRUCT(f VARCHAR, s VARCHAR)[]) AS members, CAST(NULL AS BIGINT) AS due, CAST(NULL AS BIGINT) AS last,
+           CAST(NULL AS STRUCT(f VARCHAR, s VARCHAR)[]) AS sent, CAST(NULL AS BIGINT) AS sent_at FROM steps WHERE n = 1
+    UNION ALL
+    SELECT grp, receiver, CASE WHEN flush THEN n ELSE n + 1 END, CASE WHEN flush AND NOT same THEN still WHEN flush THEN members ELSE taken END,
+           CASE WHEN flush AND same THEN last + {_REPEAT} WHEN flush AND len(still) = 0 THEN NULL WHEN flush THEN due + {_REPEAT}
+                WHEN due IS NULL THEN us + {_WAIT} WHEN changed AND last IS NOT NULL THEN greatest(us, last + {_INTERVAL}) ELSE due END,
+           CASE WHEN flush AND NOT same THEN CASE WHEN len(still) > 0 THEN due END ELSE last END,
+           CASE WHEN flush AND NOT same THEN members WHEN last IS NULL THEN NULL ELSE sent END, CASE WHEN flush AND NOT same THEN due END
+    FROM (
+        SELECT w.*, e.us, e.fingerprint, coalesce(w.due < e.us, false) AS flush, coalesce(w.members = w.sent AND w.due < w.last + {_REPEAT}, false) AS same,
+               list_filter(w.members, lambda m: m.s <> 'resolved') AS still, NOT list_contains(w.members, {{'f': e.fingerprint, 's': e.status}}) AS changed,
+               list_sort(list_append(list_filter(w.members, lambda m: m.f <> e.fingerprint), {{'f': e.fingerprint, 's': e.status}})) AS taken
+        FROM walk w JOIN steps e ON e.grp = w.grp AND e.n = w.n
+    ) WHERE flush OR fingerprint IS NOT NULL
+) SELECT grp AS "group", receiver, sent_at AS us, m.f AS fingerprint, m.s AS status FROM (SELECT grp, receiver, sent_at, unnest(sent) AS m FROM walk WHERE sent_at IS NOT NULL)"""
+
+
 _AT_US = f"{GRID.start + AT * GRID.step}"
 _MEASURED = """WITH m AS (
     SELECT l_linestatus || '/' || (l_orderkey % 400) AS name, CASE WHEN l_linenumber < 4 THEN 'price' ELSE 'quantity' END AS unit,
@@ -350,10 +382,7 @@ ORACLE_SQL = {
     "silence_mutes": f"{_BASE} SELECT fingerprint, i, {_MUTE.format('us')} AS silenced FROM events_ WHERE status = 'firing'",
     "delivery_silence": f"{_BASE} SELECT fingerprint, i, status FROM events_ WHERE NOT {_MUTE.format('(us + 86400000000)')}",
     "inhibit": f"{_BASE} SELECT fingerprint, i, status, {_INHIBITED} AS inhibited FROM events_ e",
-    "forwarded_resolutions": f"""{_BASE}, judged AS (SELECT fingerprint, i, status, status = 'firing' AND ({_MUTE.format('us')} OR {_INHIBITED}) AS muted FROM events_ e), counted AS (
-    SELECT *, coalesce(max(CASE WHEN status = 'firing' AND NOT muted THEN i END) OVER w, -1) AS sent, coalesce(max(CASE WHEN status = 'resolved' THEN i END) OVER w, -1) AS ended
-    FROM judged WINDOW w AS (PARTITION BY fingerprint ORDER BY i, status ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT fingerprint, i, status FROM counted WHERE CASE WHEN status = 'firing' THEN NOT muted ELSE sent > ended END""",
+    "forwarded_resolutions": f"{_BASE}, {_FORWARDED} SELECT fingerprint, i, status FROM forwarded",
     "route_receivers": f"{_BASE}, {_ROUTED} SELECT fingerprint, i, status, receiver FROM routed",
     "group_key": f"""{_BASE}, {_ROUTED} SELECT fingerprint, i, receiver, grp AS "group", 'shard=' || shard || ',team=sales' AS labels FROM routed""",
     "group_content_hash": f"""{_BASE}, {_ROUTED} SELECT grp AS "group", us, upper(sha256(string_agg(fingerprint || chr(0) || status || chr(0), '' ORDER BY fingerprint))) AS content FROM routed GROUP BY grp, us""",
@@ -365,6 +394,7 @@ FROM placed WHERE place <= 11 GROUP BY grp, us""",
     "notification_payload": f"""{_BASE}, {_ROUTED} SELECT grp AS "group", us, '{{"version":"1","group_key":"' || grp || '","receiver":"' || receiver || '","status":"' ||
         CASE WHEN count(*) FILTER (WHERE status = 'firing') > 0 THEN 'firing' ELSE 'resolved' END || '","group_labels":{{"team":"sales"}},"alerts":[' ||
         string_agg('{{"fingerprint":"' || fingerprint || '","status":"' || status || '"}}', ',' ORDER BY fingerprint) || ']}}' AS body FROM routed GROUP BY grp, receiver, us""",
+    "group_notifications": group_sql(f"{GRID.start + GRID.last * GRID.step + 1}"),
     "agents_list": f"""WITH {COUNTERS}, h AS (SELECT agent_id, max(us) AS us, arg_max(value, us) AS uptime, arg_max(tenant, us) AS tenant
     FROM samples WHERE us BETWEEN {GRID.start + GRID.last * GRID.step} - 120 * 3600000000 AND {GRID.start + GRID.last * GRID.step} GROUP BY agent_id)
 SELECT agent_id, us, round(uptime, 6) AS uptime, tenant, CASE WHEN {GRID.start + GRID.last * GRID.step} - us > 3 * 3600000000 THEN 'stale' ELSE 'healthy' END AS status FROM h""",

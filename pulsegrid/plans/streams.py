@@ -118,6 +118,7 @@ _BUCKET = f"""WITH RECURSIVE {SAMPLES}, req AS (
 ) SELECT key, seq, allowed FROM walk"""
 
 ORACLE_SQL = {
+    "stream_group": alerting.group_sql("(SELECT max(us) FROM sides)"),
     "token_bucket": _BUCKET,
     "stream_token_bucket": _BUCKET,
     "stream_ingest": POINTS_SQL["unpack"],
