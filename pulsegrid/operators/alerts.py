@@ -17,6 +17,8 @@ from pulsegrid.functions.labels import PATTERN_LIMIT, Matcher, canonical_labels,
 from pulsegrid.functions.times import micros
 
 LISTED, LOOKBACK, STALE_AFTER = 10, "15m", "2m"
+#: Lengths of the time slots (microseconds, an hour to thirty years) that silences and alerts meet in.
+SLOTS = [3_600_000_000 * 4**k for k in range(10)]
 
 
 def tenant_of(labels: Column) -> Column:
@@ -34,13 +36,25 @@ def silence_active(silences: DataFrame, at: Column) -> DataFrame:
 def silence_mutes(alerts: DataFrame, silences: DataFrame, at: str = "at") -> DataFrame:
     """All alerts and `silenced`: whether a silence in force at `at`, of the alert's tenant or of none, matches.
 
-    Silences without a tenant hold for all; they join on a constant, as do the alerts a
-    second time, so both cases are equi-joins.
+    Silences without a tenant hold for all, so an alert looks them up beside its own
+    tenant's. Both are equi-joins on a slot of time too: a silence is in the one or two
+    slots it covers of the shortest length that isn't shorter than itself, and an alert
+    looks into its slot of each length, so it meets only silences near its time. Longer
+    silences than any slot share one.
     """
-    rows = alerts.withColumn("_scopes", F.array_distinct(F.array(tenant_of(F.col("labels")), F.lit(""))))
-    each = rows.select("fingerprint", F.col(at).alias("_at"), "labels", F.explode("_scopes").alias("_scope"))
-    s = silences.select(F.coalesce("tenant", F.lit("")).alias("_scope"), "matchers", "starts_at", "ends_at")
-    hit = each.join(s, "_scope").filter((F.col("starts_at") <= F.col("_at")) & (F.col("_at") < F.col("ends_at")) & match_all(F.col("matchers"), F.col("labels")))
+    us = F.unix_micros(F.col(at))
+    slot = lambda level, start: F.struct(F.lit(level).alias("level"), start.alias("start"))
+    slots = [slot(k, us - F.pmod(us, F.lit(w))) for k, w in enumerate(SLOTS)] + [slot(len(SLOTS), F.when(us.isNotNull(), F.lit(0).cast("long")))]
+    rows = alerts.withColumn("_scopes", F.array_distinct(F.array(tenant_of(F.col("labels")), F.lit("")))).withColumn("_slots", F.array(*slots))
+    each = rows.select("fingerprint", F.col(at).alias("_at"), "labels", "_slots", F.explode("_scopes").alias("_scope")).withColumn("_slot", F.explode("_slots")).drop("_slots")
+
+    first, end = F.unix_micros("starts_at"), F.unix_micros("ends_at") - 1
+    covered = F.array(slot(len(SLOTS), F.lit(0).cast("long")))
+    for k, w in reversed(list(enumerate(SLOTS))):
+        both = F.array_distinct(F.array(*(slot(k, x - F.pmod(x, F.lit(w))) for x in (first, end))))
+        covered = F.when(end - first < w, both).otherwise(covered)
+    s = silences.filter(F.col("starts_at") < F.col("ends_at")).select(F.coalesce("tenant", F.lit("")).alias("_scope"), "matchers", "starts_at", "ends_at", F.explode(covered).alias("_slot"))
+    hit = each.join(s, ["_scope", "_slot"]).filter((F.col("starts_at") <= F.col("_at")) & (F.col("_at") < F.col("ends_at")) & match_all(F.col("matchers"), F.col("labels")))
     muted = hit.select("fingerprint", F.col("_at").alias(at)).distinct().withColumn("silenced", F.lit(True))
     return alerts.join(muted, ["fingerprint", at], "left").withColumn("silenced", F.coalesce("silenced", F.lit(False)))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import struct
 from datetime import UTC, datetime, timedelta
 
@@ -128,6 +129,20 @@ def test_silence_window_is_half_open(spark):
     assert [r["silenced"] for r in A.silence_mutes(a, s).orderBy("fingerprint").collect()] == [False, True, True, False]
 
 
+def test_silences_of_any_length(spark):
+    """Against all pairs: silences from a microsecond to a century, ended before their start, or without end."""
+    rng = random.Random(5)
+    micro = lambda n: timedelta(microseconds=n)
+    silences = [(str(n), rng.choice(["", "a", None]), [("host", "=", f"h{n % 3}")], start := T0 + micro(rng.randrange(-(10**13), 10**13)), start + micro(int(10 ** rng.uniform(0, 15.5)))) for n in range(80)]
+    silences += [("none", "", [("host", "=", "h0")], T0, None), ("back", "", [("host", "=", "h0")], T0, T0 - timedelta(days=1))]
+    edges = [t + micro(d) for _, _, _, a, b in silences[:80] for t in (a, b) for d in (-1, 0)]
+    alerts = [(str(n), "firing", {"host": f"h{rng.randrange(4)}", "tenant": rng.choice(["a", "b", ""])}, t) for n, t in enumerate(edges)]
+    wanted = {f: any((t or "") in ("", labels["tenant"]) and m[0][2] == labels["host"] and b and a <= at < b for _, t, m, a, b in silences) for f, _, labels, at in alerts}
+    s = spark.createDataFrame(silences, f"id string, tenant string, matchers {L.MATCHER_TYPE}, starts_at timestamp, ends_at timestamp")
+    got = {r["fingerprint"]: r["silenced"] for r in A.silence_mutes(spark.createDataFrame(alerts, ALERTS), s).collect()}
+    assert got == wanted and 0 < sum(wanted.values()) < len(wanted)
+
+
 def test_inhibition_guards(spark):
     down = {"alertname": "HostDown", "host": "web-1"}
     rule = [A.InhibitRule((L.Matcher("alertname", "=", "HostDown"),), (L.Matcher("alertname", "=~", "CPUHigh|HostDown"),), ("host",))]
