@@ -238,7 +238,7 @@ def mann_whitney(spark, sf_dir):
 
 
 def mann_whitney_u(spark, sf_dir):
-    """The test without its p-value, which SQL has no function for."""
+    """The test without its p-value."""
     return C.mann_whitney(_measurements(spark, sf_dir), "old", "new").select("name", "unit", "n1", "n2", "u", "ties", "method")
 
 
@@ -350,6 +350,28 @@ _MEASURED = """WITH m AS (
            CAST(CASE WHEN l_linenumber < 4 THEN l_extendedprice ELSE l_quantity END AS DOUBLE) AS value, CASE WHEN l_returnflag = 'R' THEN 'old' ELSE 'new' END AS run FROM lineitem
 )"""
 _RANKED = f"""{_MEASURED}, q AS (SELECT *, count(*) OVER (PARTITION BY name, unit, value) AS tied, rank() OVER (PARTITION BY name, unit ORDER BY value) AS low FROM m)"""
+_TESTED = f"""sides AS (
+    SELECT name, unit, count(*) FILTER (WHERE run = 'old') AS n1, count(*) FILTER (WHERE run = 'new') AS n2, coalesce(sum(low + (tied - 1) / 2.0) FILTER (WHERE run = 'old'), 0) AS r1, CAST(sum(tied * tied - 1) AS DOUBLE) AS ties FROM q GROUP BY name, unit
+), tested AS (
+    SELECT name, unit, n1, n2, CAST(least(r1 - n1 * (n1 + 1) / 2.0, n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0)) AS DOUBLE) AS u, ties,
+           CASE WHEN n1 = 0 OR n2 = 0 THEN 'none' WHEN ties = 0 AND greatest(n1, n2) <= {C.EXACT_LIMIT} THEN 'exact' ELSE 'normal' END AS method FROM sides
+)"""
+#: The exact case counts orders by U, one more old value in each step: the greatest old value is above c of the b new ones, and
+#: the others are ordered with those c. The normal case is the power series of the error function.
+_P_VALUES = f"""{_RANKED.replace("WITH", "WITH RECURSIVE", 1)}, {_TESTED}, orders AS (
+    SELECT 0 AS i, list_transform(range({C.EXACT_LIMIT + 1}), lambda b: list_transform(range({C.EXACT_LIMIT**2 + 1}), lambda k: CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE 0 END)) AS ways
+    UNION ALL
+    SELECT i + 1, list_transform(range({C.EXACT_LIMIT + 1}), lambda b: list_transform(range({C.EXACT_LIMIT**2 + 1}), lambda k: list_sum(list_transform(range(b + 1), lambda c: CASE WHEN k >= c THEN ways[c + 1][k - c + 1] ELSE 0 END))))
+    FROM orders WHERE i < {C.EXACT_LIMIT}
+), spread AS (
+    SELECT *, n1 * n2 / 12.0 * (n1 + n2 + 1 - CASE WHEN ties = 0 THEN 0 ELSE ties / ((n1 + n2) * (n1 + n2 - 1)) END) AS variance FROM tested
+), scored AS (
+    SELECT *, CASE WHEN method = 'normal' AND variance > 0 THEN greatest(0, (n1 * n2 / 2.0 - 0.5 - u) / sqrt(variance) / sqrt(2)) END AS x FROM spread
+), valued AS (
+    SELECT name, unit, n1, n2, u, ties, method, CASE WHEN method = 'exact' THEN least(1, 2 * list_sum(ways[n2 + 1][1:CAST(floor(u) AS BIGINT) + 1]) / list_sum(ways[n2 + 1])) WHEN coalesce(x, 0) = 0 THEN 1 WHEN x > 6 THEN 0
+        ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(200), lambda n: exp(-x * x + (2 * n + 1) * ln(x) + 2 * n * ln(2) - lgamma(2 * n + 2) + lgamma(n + 1)))) END AS p
+    FROM scored LEFT JOIN orders ON method = 'exact' AND i = n1
+)"""
 
 QUERIES = {
     f.__name__: f
@@ -401,10 +423,11 @@ SELECT agent_id, us, round(uptime, 6) AS uptime, tenant, CASE WHEN {GRID.start +
     "median_spread": f"""{_MEASURED} SELECT name, unit, run, count(*) AS n, round(median(value), 6) AS median,
         round(CASE WHEN count(*) < 2 OR median(value) = 0 THEN 0 ELSE (max(value) - min(value)) / 2 / abs(median(value)) * 100 END, 6) AS spread FROM m GROUP BY name, unit, run""",
     "rank_pooled": f"""{_RANKED} SELECT name, unit, run, sum(low + (tied - 1) / 2.0) AS ranks, CAST(sum(tied * tied - 1) AS DOUBLE) AS ties FROM q GROUP BY name, unit, run""",
-    "mann_whitney_u": f"""{_RANKED}, u AS (
-    SELECT name, unit, count(*) FILTER (WHERE run = 'old') AS n1, count(*) FILTER (WHERE run = 'new') AS n2, coalesce(sum(low + (tied - 1) / 2.0) FILTER (WHERE run = 'old'), 0) AS r1, CAST(sum(tied * tied - 1) AS DOUBLE) AS ties FROM q GROUP BY name, unit)
-SELECT name, unit, n1, n2, CAST(least(r1 - n1 * (n1 + 1) / 2.0, n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0)) AS DOUBLE) AS u, ties,
-       CASE WHEN n1 = 0 OR n2 = 0 THEN 'none' WHEN ties = 0 AND greatest(n1, n2) <= {C.EXACT_LIMIT} THEN 'exact' ELSE 'normal' END AS method FROM u""",
+    "mann_whitney_u": f"{_RANKED}, {_TESTED} SELECT name, unit, n1, n2, u, ties, method FROM tested",
+    "mann_whitney": f"{_P_VALUES} SELECT name, unit, n1, n2, u, ties, round(p, 6) AS p, method FROM valued",
+    "compare_runs": f"""{_P_VALUES}, s AS (SELECT name, unit, median(value) FILTER (WHERE run = 'old') AS a, median(value) FILTER (WHERE run = 'new') AS b FROM m GROUP BY name, unit)
+SELECT name, unit, CASE WHEN n1 = 0 THEN 'new' WHEN n2 = 0 THEN 'old' ELSE 'both' END AS side, round((b - a) / a * 100, 6) AS delta, CASE WHEN n1 > 0 AND n2 > 0 THEN round(p, 6) END AS p,
+       CASE WHEN n1 > 0 AND n2 > 0 THEN method END AS method, CASE WHEN n1 > 0 AND n2 > 0 THEN p < {C.ALPHA} END AS significant FROM valued JOIN s USING (name, unit)""",
     "compare_deltas": f"""{_MEASURED}, s AS (
     SELECT name, unit, median(value) FILTER (WHERE run = 'old') AS a, median(value) FILTER (WHERE run = 'new') AS b, count(*) FILTER (WHERE run = 'old') AS n1, count(*) FILTER (WHERE run = 'new') AS n2 FROM m GROUP BY name, unit)
 SELECT name, unit, CASE WHEN n1 = 0 THEN 'new' WHEN n2 = 0 THEN 'old' ELSE 'both' END AS side, nullif(n1, 0) AS old_n, nullif(n2, 0) AS new_n, round(a, 6) AS old_median, round(b, 6) AS new_median,

@@ -50,13 +50,8 @@ def test_rows_match_sql(spark, sf_dir, name):
     same(spark, sf_dir, QUERIES[name], ORACLE_SQL[name])
 
 
-def test_every_sql_has_a_query():
-    assert set(ORACLE_SQL) <= set(QUERIES)
-
-
-@pytest.mark.parametrize("name", ["mann_whitney", "compare_runs"])
-def test_others_run(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+def test_every_query_has_sql():
+    assert set(ORACLE_SQL) == set(QUERIES)
 
 
 def test_entry_imports_without_a_session():
