@@ -22,9 +22,20 @@ KEY = ["name", "unit"]
 
 
 def median_spread(measurements: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, median, spread): spread is half the range in per cent of the median; 0 for one value or a median of 0."""
-    median = F.percentile("value", F.lit(0.5))
-    rows = measurements.groupBy(*keys).agg(F.count("value").alias("n"), median.alias("median"), F.min("value").alias("low"), F.max("value").alias("high"))
+    """(keys, n, median, spread): spread is half the range in per cent of the median; 0 for one value or a median of 0.
+
+    Values are counted before they are put in order, so equal values are shuffled once for
+    each task, and a group's distinct values are sorted, on disk if they must be, rather
+    than kept in memory.
+    """
+    counts = measurements.groupBy(*keys, "value").agg(F.count("value").alias("_n"))
+    whole = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(whole)})
+    at = lambda place: F.max(F.when((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n")), F.col("value")))
+    # The middle value, or the mean of both middle ones.
+    median = at(F.floor((F.col("_all") - 1) / 2)) / 2 + at(F.floor(F.col("_all") / 2)) / 2
+    rows = ranked.groupBy(*keys).agg(F.max("_all").alias("n"), median.alias("median"), F.min("value").alias("low"), F.max("value").alias("high"))
     spread = F.when((F.col("n") < 2) | (F.col("median") == 0), 0.0).otherwise((F.col("high") - F.col("low")) / 2 / F.abs("median") * 100)
     return rows.select(*keys, "n", "median", spread.alias("spread"))
 

@@ -27,6 +27,8 @@ from pulsegrid.sources.ingest import scan_series
 
 LOOKBACK = "5m"
 MOST_STEPS = 500
+#: Into how many stretches of time the points of a series are parted where they must be put in order.
+STRETCHES = 1024
 
 
 @dataclass(frozen=True)
@@ -151,13 +153,31 @@ class RangeVector:
         points in some window are put in order: a pair that begins before its window counts for nothing.
         """
         grid = self.selector.engine.grid
-        before = Window.partitionBy("key").orderBy("us")
-        points = self.selector._points(self.width).withColumns({"us0": F.lag("us").over(before), "v0": F.lag("value").over(before)})
-        points = points.withColumn("inc", F.when(F.col("value") < F.col("v0"), F.col("value")).otherwise(F.col("value") - F.col("v0")))
-        rows = self.selector._covered(points, self.width)
+        rows = self.selector._covered(self._pairs(), self.width)
         low = F.lit(grid.start - self.width) + F.col("i") * grid.step
         inside = F.sum(F.when(F.col("us0") >= low, F.col("inc")))
-        return rows.groupBy("i", "key").agg(inside.alias("inc"), F.count("*").alias("n"), (F.max("us") - F.min("us")).alias("span")).filter("n >= 2")
+        return rows.groupBy("i", "key").agg(inside.alias("inc"), F.sum("one").alias("n"), (F.max("us") - F.min("us")).alias("span")).filter("n >= 2")
+
+    def _pairs(self) -> DataFrame:
+        """(key, us, value, us0, inc, one): every point, with the time of the one before it and the increment since.
+
+        Points are put in order within stretches of time, so a series that holds most of
+        all points is sorted by many tasks. A pair across stretches is a row of its own that
+        is no point (`one` is 0), from the ends of each stretch, of which a series has no more
+        than STRETCHES.
+        """
+        grid = self.selector.engine.grid
+        length = -(-(grid.last * grid.step + self.width) // STRETCHES)
+        points = self.selector._points(self.width).withColumn("stretch", F.floor((F.col("us") - (grid.start - self.width)) / length))
+        before = Window.partitionBy("key", "stretch").orderBy("us")
+        within = points.withColumns({"us0": F.lag("us").over(before), "v0": F.lag("value").over(before), "one": F.lit(1)})
+        last, last_us = F.max_by("value", "us").alias("last"), F.max("us").alias("last_us")
+        ends = points.groupBy("key", "stretch").agg(F.min("us").alias("us"), F.min_by("value", "us").alias("value"), last, last_us)
+        earlier = Window.partitionBy("key").orderBy("stretch")
+        across = ends.withColumns({"us0": F.lag("last_us").over(earlier), "v0": F.lag("last").over(earlier), "one": F.lit(0)}).filter("us0 IS NOT NULL")
+        columns = ["key", "us", "value", "us0", "v0", "one"]
+        increment = F.when(F.col("value") < F.col("v0"), F.col("value")).otherwise(F.col("value") - F.col("v0"))
+        return within.select(columns).unionByName(across.select(columns)).withColumn("inc", increment).drop("v0")
 
     def rate(self) -> Vector:
         """Increase a second between the first and last point of the window."""

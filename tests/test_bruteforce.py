@@ -47,6 +47,17 @@ def test_compare_runs_medians(spark, sf_dir):
             assert r["delta"] == pytest.approx((new - old) / old * 100, abs=1e-5)
 
 
+def test_median_spread_of_odd_groups(spark):
+    data = {"one": [3.0], "two": [4.0, 1.0], "ties": [2.0, 2.0, 2.0, 9.0], "nulls": [None, 5.0, None, 7.0, 8.0], "none": [None], "zero": [-1.0, 0.0, 1.0]}
+    rows = [(k, v) for k, values in data.items() for v in values]
+    got = {r["name"]: tuple(r)[1:] for r in C.median_spread(spark.createDataFrame(rows, "name string, value double"), ["name"]).collect()}
+    assert got == {
+        "one": (1, 3.0, 0.0), "two": (2, 2.5, pytest.approx(60)), "ties": (4, 2.0, pytest.approx(175)),
+        "nulls": (3, 7.0, pytest.approx(150 / 7)), "none": (0, None, 0.0), "zero": (3, 0.0, 0.0),
+    }
+    assert C.median_spread(spark.createDataFrame([], "name string, value double"), ["name"]).collect() == []
+
+
 _cache = {}
 
 

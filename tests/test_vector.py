@@ -99,6 +99,29 @@ def test_rate_minds_resets(at):
     assert got(at(hosts("c", a=[5])).metric("c").range("5m").rate()) == {}
 
 
+@pytest.mark.parametrize("stretches", [1, 3, 7, 100_000])
+def test_increments_across_stretches(spark, monkeypatch, stretches):
+    """However a series is parted in time, the increments are those of its points in order."""
+    import random
+
+    from pulsegrid.operators import vector
+
+    monkeypatch.setattr(vector, "STRETCHES", stretches)
+    rng = random.Random(11)
+    data = {(h, NOW + timedelta(seconds=rng.randrange(0, 3600))): float(rng.randrange(0, 50)) for h in ("a", "b") for _ in range(60)}
+    df = spark.createDataFrame([("c", "counter", v, ts, {"h": h}) for (h, ts), v in data.items()], "name string, type string, value double, ts timestamp, labels map<string,string>")
+    grid = Grid.over(NOW, NOW + timedelta(hours=1), "7m")
+    found = {(r["i"], r["key"]): (r["inc"], r["n"]) for r in Engine(df, grid).metric("c").range("10m")._increments().collect()}
+    wanted = {}
+    for i in range(grid.last + 1):
+        t = NOW + timedelta(minutes=7 * i)
+        for h in ("a", "b"):
+            values = [v for (g, ts), v in sorted(data.items()) if g == h and t - timedelta(minutes=10) <= ts <= t]
+            if len(values) >= 2:
+                wanted[i, f"h={h}"] = (sum(b if b < a else b - a for a, b in zip(values, values[1:], strict=False)), len(values))
+    assert found == wanted and len(wanted) > 10
+
+
 def test_range_functions(at):
     r = at(hosts("c", a=[10, 20, 60])).metric("c").range("5m")
     wanted = {"avg": 30, "min": 10, "max": 60, "sum": 90, "count": 3, "last": 60}
