@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe_codec, collocations, decontaminate, exact_dedup, language_id, licences, near_dedup, pii, secrets, sharding, token_counts
+from pulsegrid.llm import bpe_codec, collocations, decontaminate, exact_dedup, language_id, lexical_search, licences, near_dedup, pii, secrets, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digests(_documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item's best documents."""
+    return lexical_search.rank_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every language's best collocations of two to five words."""
     return collocations.collocations(_documents(spark, sf_dir))
@@ -97,6 +102,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
+    "op11_ranked_search": op11_ranked_search,
     "op13_collocations": op13_collocations,
 }
 
@@ -137,6 +143,7 @@ FROM documents LEFT JOIN joined USING (doc_id)
 
 
 ORACLE_SQL = {
+    "op11_ranked_search": lexical_search.oracle_sql(),
     "op13_collocations": collocations.oracle_sql(),
     "op2_licence_scan": licences.oracle_sql(),
     "op1_decontamination": r"""
