@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe_codec, collocations, decontaminate, exact_dedup, language_id, lexical_search, licences, near_dedup, pii, secrets, sharding, token_counts
+from pulsegrid.llm import bpe_codec, collocations, decontaminate, exact_dedup, language_id, lexical_search, licences, near_dedup, pii, secrets, sharding, token_counts, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,13 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, as it is read from the archives."""
+    out = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    page = lambda name: F.col(name).cast("long")
+    return out.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every language's best collocations of two to five words."""
     return collocations.collocations(_documents(spark, sf_dir))
@@ -103,6 +110,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
     "op11_ranked_search": op11_ranked_search,
+    "op12_warc": op12_warc,
     "op13_collocations": op13_collocations,
 }
 
@@ -144,6 +152,7 @@ FROM documents LEFT JOIN joined USING (doc_id)
 
 ORACLE_SQL = {
     "op11_ranked_search": lexical_search.oracle_sql(),
+    "op12_warc": warc.ORACLE_SQL,
     "op13_collocations": collocations.oracle_sql(),
     "op2_licence_scan": licences.oracle_sql(),
     "op1_decontamination": r"""
