@@ -18,8 +18,9 @@ all but one word of a window. A test set of several blocks takes several passes
 stored index. A pass stores its hits before the next block is fetched, so the driver and
 a task hold one block at a time, and the hits of all passes are merged per document.
 
-Null texts have no words. A benchmark row without an id cannot be named and is left
-out; one without words has no phrase. Ids that repeat count once in a document's items.
+Null texts have no words. A benchmark row without an id hits words like any other; all
+such rows are one item without name, a null at the end of a document's items, which counts as one of them. A
+benchmark row without words has no phrase. Ids that repeat count once in a document's items.
 Rows of documents that repeat, or have null ids, are each matched and reported. With an
 empty benchmark nothing is hit. Extra columns are not read by `contamination`, and pass
 through `drop_contaminated`.
@@ -187,9 +188,9 @@ class Segment:
 
 
 class Items:
-    """A block of test items as words, one item's after the other's. None is without words."""
+    """A block of test items as words, one item's after the other's. None is without words; a name can be None."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]]):
+    def __init__(self, items: list[tuple[str | None, np.ndarray]]):
         self.names = [name for name, _ in items]
         self.words = np.concatenate([np.zeros(0, dtype=np.uint64), *(words for _, words in items)])
         self.starts = np.concatenate([[0], np.cumsum([len(words) for _, words in items])]).astype(np.int64)
@@ -226,7 +227,7 @@ def _hits(segment: Segment, items: Items) -> Iterator[tuple[int, np.ndarray, np.
     for d, of in zip(documents.tolist(), np.split(found & 0xFFFFFFFF, first[1:]), strict=True):
         low = segment.first[d]
         edge = np.diff(marks[low : low + segment.n_words[d]], prepend=np.int8(0), append=np.int8(0))
-        yield d, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), sorted({items.names[i] for i in of})
+        yield d, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), sorted({items.names[i] for i in of}, key=lambda name: (name is None, name or ""))
 
 
 def _pass(index: DataFrame, items: Items) -> DataFrame:
@@ -254,7 +255,7 @@ def _pass(index: DataFrame, items: Items) -> DataFrame:
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, pieces: bool = True) -> Iterator[Items]:
     """The test items in blocks of bounded size, fetched one partition at a time. Without `pieces`, an item larger than a block is a block."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(text_col).cast("binary").alias("text")).filter("name IS NOT NULL AND text IS NOT NULL")
+    rows = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(text_col).cast("binary").alias("text")).filter("text IS NOT NULL")
     block, size = [], 0
     for row in rows.toLocalIterator():
         words = word_hashes(bytes(row["text"]), SIGNS)
@@ -278,7 +279,8 @@ def _merged(found: DataFrame) -> DataFrame:
     each = each.withColumn("new", F.when(F.col("low") <= reached, 0).otherwise(1)).withColumn("n", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     stretches = each.groupBy(*key, "n").agg(F.min("low").alias("hit_from"), F.max("high").alias("hit_to"))
     stretches = stretches.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("hit_from", "hit_to"))).alias("s"))
-    items = found.select(*key, F.explode("items").alias("item")).groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    nameless = F.when(F.max(F.col("item").isNull()), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    items = found.select(*key, F.explode("items").alias("item")).groupBy(*key).agg(F.concat(F.array_sort(F.collect_set("item")), nameless).alias("items"))
     return stretches.join(items, key).select(*key, F.col("s.hit_from").alias("hit_from"), F.col("s.hit_to").alias("hit_to"), "items")
 
 
@@ -286,7 +288,7 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item
     """One row per document: id, key, n_words, hit_from and hit_to (its stretches of hit words), items.
 
     Words count from 0 and `hit_to` is exclusive; `items` are the ids of items with a
-    window in the document, sorted as strings, each once. `index` is a stored table.
+    window in the document, sorted as strings, each once, null last. `index` is a stored table.
     """
     scratch, passes = Scratch(index.sparkSession, "phrases"), 0
     for block in item_blocks(benchmark, item_col, text_col):
