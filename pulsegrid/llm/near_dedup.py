@@ -24,9 +24,11 @@ listed within a bucket. Instead:
    a pair shares. The largest component's members never meet each other, so a bucket
    of thousands and an outsider takes thousands of comparisons, not their square.
 
-Every link is confirmed on the full sets, as hashes of 64 bits. The sets are made anew
-from the texts of the classes in step 1; a bitmap of fixed size of their keys lets other
-rows go before texts are shuffled.
+A run of words is known by a digest of 128 bits that different runs can't be made to
+share. Its first half serves for signatures, bounds and a first look at a pair; classes are equal, and links
+confirmed on the full sets, by whole digests. The sets are made anew from the texts of
+the classes in step 1; a bitmap of fixed size of their keys lets other rows go before
+texts are shuffled.
 
 Nulls and texts without words have an empty set, are linked with nothing and keep their
 own id as component. Null ids never win over others. Rows that repeat fall into one
@@ -47,7 +49,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import Scratch, as_bytes, chunks, enter
 from pulsegrid.llm.components import components
-from pulsegrid.llm.words import SPACES, mixed, shingle_set, word_hashes
+from pulsegrid.llm.words import SPACES, mixed, shingle_set, word_digests
 
 WORDS = 5
 SIMILARITY = 85  # per cent, unless a call says otherwise
@@ -88,12 +90,12 @@ def buckets(least: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _set(text: bytes | None) -> np.ndarray:
-    return shingle_set(word_hashes(text or b"", SPACES), WORDS)
+def _set(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    return shingle_set(word_digests(text or b"", SPACES), WORDS)
 
 
-def _name(shingles: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+def _name(shingles: tuple[np.ndarray, np.ndarray]) -> bytes:
+    return hashlib.blake2b(b"".join(half.tobytes() for half in shingles), digest_size=16).digest()
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +106,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes, names, keys = [], [], []
             for text in as_bytes(batch.column(2)):
                 s = _set(text)
-                sizes.append(len(s))
-                names.append(_name(s) if len(s) else None)
-                keys.append(buckets(signature(s)) if len(s) else None)
+                sizes.append(len(s[0]))
+                names.append(_name(s) if len(s[0]) else None)
+                keys.append(buckets(signature(s[0])) if len(s[0]) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["id", "key", "n", "name", "buckets"],
@@ -114,17 +116,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, name, text) to (node, shingles), for rows whose text has the named set."""
+    """(node, name, text) to (node, shingles, second): the halves of the digests, for rows whose text has the named set."""
     enter("near_dedup", _permutations.cache_clear)
     for whole in batches:
         for batch in chunks(whole, 2, CHUNK_BYTES):
-            nodes, sets = [], []
+            nodes, sets, seconds = [], [], []
             for node, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
                 s = _set(text)
-                if len(s) and _name(s) == name:
+                if len(s[0]) and _name(s) == name:
                     nodes.append(node)
-                    sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                    sets.append(s[0].view(np.int64))
+                    seconds.append(s[1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (sets, seconds))], names=["node", "shingles", "second"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -133,10 +136,30 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     `b` can be in very many pairs. So pairs get the set of `a` first: rows of a hot `b`
     are then as large as they are many, and Spark splits them by size.
     """
-    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"), F.col("second").alias(f"{side}_second"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     shared = F.size(F.array_intersect("a_set", "b_set"))
-    return both.filter(100 * shared >= similarity * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b")
+    # Halves that occur twice in a set count once here, so this may be less than what whole digests share, by what the sets' sizes are more.
+    more = F.size("a_set") - F.size(F.array_distinct("a_set"))
+    alike = both.filter(100 * (shared + more) >= similarity * (F.size("a_set") + F.size("b_set") - shared - more))
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near_dedup", _permutations.cache_clear)
+        for batch in batches:
+            halves = [[x.values.to_numpy() for x in batch.column(name)] for name in ("a_set", "a_second", "b_set", "b_second")]
+            good = np.array([links(*four, similarity) for four in zip(*halves, strict=True)], dtype=bool)
+            yield pa.RecordBatch.from_arrays([batch.column(side).filter(pa.array(good, pa.bool_())) for side in ("a", "b")], names=["a", "b"])
+
+    return alike.mapInArrow(confirmed, "a long, b long")
+
+
+def links(a: np.ndarray, a_second: np.ndarray, b: np.ndarray, b_second: np.ndarray, similarity: int) -> bool:
+    """Whether two sets, as halves of digests, are similar enough."""
+    both = np.concatenate([a, b]), np.concatenate([a_second, b_second])
+    order = np.lexsort(both[::-1])
+    first, second = both[0][order], both[1][order]
+    shared = int(np.count_nonzero((first[1:] == first[:-1]) & (second[1:] == second[:-1])))
+    return 100 * shared >= similarity * (len(a) + len(b) - shared)
 
 
 def _could_link(n1, v1, n2, v2, similarity: int):
@@ -187,7 +210,7 @@ def _labels(classes: DataFrame, rows: DataFrame, scratch: Scratch, similarity: i
     some = _with_keys(rows, involved)
     on = [some["key"] == involved["key"], some["id"].eqNullSafe(involved["id"])]
     texts = some.join(involved.select("key", "id", "node", "name"), on).select("node", "name", "text")
-    sets = scratch.save(texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    sets = scratch.save(texts.mapInArrow(_sets, "node long, shingles array<long>, second array<long>").dropDuplicates(["node"]), "sets")
 
     # A shingle counted once has the least of its nodes as its only one.
     alone = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node"))

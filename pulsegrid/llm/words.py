@@ -4,11 +4,17 @@ A word is a run of bytes that are not separators; A-Z count as a-z. A word of up
 eight bytes is packed into its hash, so two of them never have the same. A longer
 one's is eight bytes of its BLAKE2 digest: for any two different words, made to collide
 or not, hashes agree with a probability of about 2^-64.
+
+Hashes of short words can be inverted, so they are for words alone. Runs of words are
+told apart by digests: 128 bits of BLAKE2 for each word, combined by a step after each
+word that is not linear in it. Equal digests of different runs can't be computed from them,
+only searched for among 2^64 of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 
@@ -48,50 +54,75 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class _Digests:
-    """Hashes of long words; those of short ones among them are remembered, up to a number."""
+    """Digests of words; those of the last ones are remembered, up to a number."""
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
+    def __init__(self, make: Callable[[bytes | int], int | bytes]):
+        self.make, self.known = make, {}
 
-    def of(self, word: bytes) -> int:
+    def of(self, word: bytes | int) -> int | bytes:
         found = self.known.get(word)
         if found is None:
-            found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-            if len(word) <= LONGEST_REMEMBERED:
+            found = self.make(word)
+            if isinstance(word, int) or len(word) <= LONGEST_REMEMBERED:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
                 self.known[word] = found
         return found
 
 
-_digests = _Digests()
+_digests = _Digests(lambda word: int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"))
+_long = _Digests(lambda word: hashlib.blake2b(word, digest_size=16, person=b"long").digest())
+_short = _Digests(lambda packed: hashlib.blake2b(packed.to_bytes(8, "little"), digest_size=16, person=b"short").digest())
 
 
-def _block_hashes(text: bytes, table: np.ndarray) -> np.ndarray:
+def _found(text: bytes, table: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The text in lower case; where its words start and end; the short ones packed; which are long."""
     text = text.translate(LOWER)
     padded = text + bytes(8)
     inside = np.zeros(len(text) + 2, dtype=bool)
     np.logical_not(table[np.frombuffer(text, dtype=np.uint8)], out=inside[1:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
     size = ends - starts
     eight = np.ndarray(len(text) + 1, dtype="<u8", buffer=padded, strides=(1,))[starts]  # the eight bytes from each start on
     # The highest byte of a shorter word is its length, which no eighth letter is: a word with a control character there is a long one.
     kept = np.minimum(size, 8)
     packed = eight & _LOW[kept] | _TOP[kept]
+    return text, starts, ends, packed, np.flatnonzero((size > 8) | (size == 8) & (packed >> np.uint64(56) < 32))
+
+
+def _block_hashes(text: bytes, table: np.ndarray) -> np.ndarray:
+    text, starts, ends, packed, long = _found(text, table)
     out = mixed(packed)
-    long = np.flatnonzero((size > 8) | (size == 8) & (packed >> np.uint64(56) < 32))
     of = _digests.of
     out[long] = np.array([of(text[i:j]) for i, j in zip(starts[long].tolist(), ends[long].tolist(), strict=True)], dtype=np.uint64)
     return out
 
 
+def _block_digests(text: bytes, table: np.ndarray) -> np.ndarray:
+    text, starts, ends, packed, long = _found(text, table)
+    kinds, which = np.unique(packed, return_inverse=True)
+    of = _short.of
+    out = np.frombuffer(b"".join([of(k) for k in kinds.tolist()]), dtype="<u8").reshape(-1, 2)[which]
+    if len(long):
+        of = _long.of
+        out[long] = np.frombuffer(b"".join([of(text[i:j]) for i, j in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]), dtype="<u8").reshape(-1, 2)
+    return out
+
+
 def word_hashes(text: bytes, table: np.ndarray) -> np.ndarray:
     """The hash of each word of a text, in order."""
+    return _by_blocks(text, table, _block_hashes)
+
+
+def word_digests(text: bytes, table: np.ndarray) -> np.ndarray:
+    """The digest of each word of a text, in order, as rows of two numbers."""
+    return _by_blocks(text, table, _block_digests)
+
+
+def _by_blocks(text: bytes, table: np.ndarray, of: Callable[[bytes, np.ndarray], np.ndarray]) -> np.ndarray:
     if len(text) <= BLOCK:
-        return _block_hashes(text, table)
+        return of(text, table)
     b = np.frombuffer(text, dtype=np.uint8)
     out, start = [], 0
     while start < len(b):
@@ -101,17 +132,27 @@ def word_hashes(text: bytes, table: np.ndarray) -> np.ndarray:
             end = end + int(stop[0]) if len(stop) else min(end + BLOCK, len(b))
             if len(stop):
                 break
-        out.append(_block_hashes(text[start:end], table))
+        out.append(of(text[start:end], table))
         start = end
     return np.concatenate(out)
 
 
-def shingle_set(words: np.ndarray, size: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the runs of `size` words; of fewer words, the whole sequence as one."""
+def shingle_set(words: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of `size` words, from the words' digests, as two halves of a digest each, in order; of fewer words, the whole sequence as one."""
     if not len(words):
-        return words
+        return words[:, 0], words[:, 1]
     size = min(size, len(words))
-    h = np.full(len(words) - size + 1, size, dtype=np.uint64)
+    n = len(words) - size + 1
+    a, b = np.full(n, size, dtype=np.uint64), np.full(n, size, dtype=np.uint64)
     for i in range(size):
-        h = h * _MIX1 + words[i : len(words) - size + 1 + i]
-    return np.unique(mixed(h))
+        a = mixed(a * _MIX1 + words[i : n + i, 0] + b)
+        b = mixed(b * _MIX2 + words[i : n + i, 1] + a)
+    order = np.lexsort((b, a)) if n < 1000 else np.argsort(a)
+    a, b = a[order], b[order]
+    same = a[1:] == a[:-1]
+    if n >= 1000 and (same & (b[1:] != b[:-1])).any():  # two runs that agree in one half
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        same = a[1:] == a[:-1]
+    first = np.concatenate([[True], ~(same & (b[1:] == b[:-1]))])
+    return a[first], b[first]

@@ -314,6 +314,50 @@ def test_near_signature_recall():
         assert set(near_dedup.buckets(near_dedup.signature(a))) & set(near_dedup.buckets(near_dedup.signature(b)))
 
 
+@pytest.mark.parametrize("n", range(4, 21))
+def test_near_signature_recall_of_small_sets(n):
+    """Of pairs of small sets at 0.8 or more, as few miss each other as the bands' figures say: none here."""
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    least = next(k for k in range(n + 1) if 100 * k >= 80 * (2 * n - k))
+    for _ in range(300):
+        values = rng.integers(0, 1 << 64, 2 * n, dtype=np.uint64)
+        a, b = np.unique(values[:n]), np.unique(values[n - least : 2 * n - least])
+        assert set(near_dedup.buckets(near_dedup.signature(a))) & set(near_dedup.buckets(near_dedup.signature(b)))
+
+
+def test_texts_made_to_collide_are_not_linked(spark):
+    """Two texts whose words collide where runs of words are combined linearly share no run of words."""
+    texts = ["one two three alpha bravo", "one two three w4281 `);?l`o;"]
+    rows = near_dedup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_shingles"]) for r in rows) == [(0, 0, 1), (1, 1, 1)]
+
+
+def test_links_are_confirmed_by_whole_digests():
+    import numpy as np
+
+    from pulsegrid.llm.words import SPACES, shingle_set, word_digests
+
+    a, a2 = shingle_set(word_digests(b"a b c d e f g h i j k l", SPACES))
+    assert len(a) == 8 and near_dedup.links(a, a2, a, a2, 100)
+    other = a2.copy()
+    other[3] += np.uint64(1)  # the first halves agree
+    assert not near_dedup.links(a, a2, a, other, 80) and near_dedup.links(a, a2, a, other, 77)
+    twice = np.repeat(a, 2), np.sort(np.concatenate([a2, a2 + np.uint64(1)]).reshape(2, -1).T, axis=1).ravel()
+    assert near_dedup.links(*twice, *twice, 100) and near_dedup.links(*twice, a, a2, 50) and not near_dedup.links(*twice, a, a2, 51)
+
+
+def test_sets_of_runs_of_words():
+    from pulsegrid.llm.words import SPACES, shingle_set, word_digests
+
+    text = ("Größe und MASS a b c " * 300 + "lengthywordshere \x00 " + "abcdefg\x07 ") * 3
+    w = text.encode().translate(LOWER).split()
+    a, b = shingle_set(word_digests(text.encode(), SPACES))
+    assert len(a) == len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) and (a[1:] > a[:-1]).all()
+    assert [len(x) for x in shingle_set(word_digests(b"a b", SPACES))] == [1, 1] and len(shingle_set(word_digests(b" ", SPACES))[0]) == 0
+
+
 BENCH = "item_id long, text string"
 
 
@@ -324,8 +368,8 @@ def contamination_model(docs, bench):
     for item, text in bench:
         w = words(text)
         size = min(13, len(w))
-        for i in range(len(w) - size + 1 if size and item is not None else 0):
-            windows.setdefault(tuple(w[i : i + size]), set()).add(str(item))
+        for i in range(len(w) - size + 1 if size else 0):
+            windows.setdefault(tuple(w[i : i + size]), set()).add(None if item is None else str(item))
     out = []
     for key, text in docs:
         w, hit, items = words(text), set(), set()
@@ -334,8 +378,8 @@ def contamination_model(docs, bench):
                 if found := windows.get(tuple(w[i : i + size])):
                     hit.update(range(i, i + size))
                     items |= found
-        out.append((str(key), len(w), len(hit), sorted(items)))
-    return sorted(out)
+        out.append((str(key), len(w), len(hit), sorted(items, key=lambda x: (x is None, x or ""))))
+    return sorted(out, key=str)
 
 
 @pytest.mark.parametrize(("block", "segment"), [(1 << 20, 8 << 20), (200, 20_000)])
@@ -347,7 +391,7 @@ def test_contamination_against_plain_windows(spark, documents, odd, sf_dir, monk
     some = [(900, "Same text"), (901, "same"), (902, None), (903, "!!"), (None, "text here"), (904, given[0][1]), (904, "x y"), (905, "wört " * 20), (906, given[1][1] + " " + " ".join(f"long{n}" for n in range(500)) + " " + given[2][1])]
     bench = spark.createDataFrame(given + some, BENCH)
     docs = documents.unionByName(odd)
-    got = sorted((str(r["id"]), r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(docs, bench).collect())
+    got = sorted(((str(r["id"]), r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(docs, bench).collect()), key=str)
     assert got == contamination_model([(r["doc_id"], r["text"]) for r in docs.collect()], given + some)
 
 
@@ -465,6 +509,16 @@ def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
     assert (words.word_hashes(text, words.SPACES) == whole).all()
 
 
+def test_word_digests_do_not_depend_on_blocks(monkeypatch):
+    from pulsegrid.llm import words
+
+    text = ("Größe UND  maß,\tx " * 40 + "y" * 300 + " z abcdefg\1 abcdefg").encode()
+    whole = words.word_digests(text, words.SPACES)
+    assert whole.shape == (len(text.split()), 2) and len({tuple(x) for x in whole.tolist()}) == len({w for w in text.translate(LOWER).split()})
+    monkeypatch.setattr(words, "BLOCK", 50)
+    assert (words.word_digests(text, words.SPACES) == whole).all()
+
+
 def test_word_hashes_tell_words_apart():
     """Words that a polynomial modulo 2^64 can't tell apart, and words that differ in zero bytes only."""
     from pulsegrid.llm import words
