@@ -115,8 +115,13 @@ def inhibit(alerts: DataFrame, firing: DataFrame, rules: list[InhibitRule], at:
 
     `firing` has fingerprint, labels and the time [fires_at, resolves_at) it fires. A
     source must have the target's tenant, be another alert, and agree on the rule's
-    `equal` labels, absent ones counting as empty. Rule, tenant and those labels make an
-    equi-join key, so only sources and targets that share it meet.
+    `equal` labels, absent ones counting as empty. Rule, tenant and those labels make a key.
+
+    Sources and targets of a key don't meet. The starts and ends of sources are added up
+    along time, so at each time there is a number of sources that fire, and a digest of
+    them: of one, its own. A target is muted where two fire, or one with another digest
+    than its own. Time is cut into slots of an hour, whose sums are added up first, so a
+    key is spread over tasks; the rows are the distinct times of a key.
     """
     labels = F.col("labels")
 
@@ -134,14 +139,52 @@ def inhibit(alerts: DataFrame, firing: DataFrame, rules: list[InhibitRule], at:
     unchanged = alerts.withColumn("inhibited", F.lit(False))
     if not rules:
         return unchanged
-    targets = alerts.select("fingerprint", F.col(at).alias("_at"), F.explode(sides(lambda r: r.target)).alias("_key"))
-    sources = firing.select(F.col("fingerprint").alias("_source"), "fires_at", "resolves_at", F.explode(sides(lambda r: r.source)).alias("_key"))
-    met = targets.join(sources, "_key")
-    met = met.filter((F.col("_source") != F.col("fingerprint")) & (F.col("fires_at") <= F.col("_at")) & (F.col("resolves_at").isNull() | (F.col("_at") < F.col("resolves_at"))))
+    targets = alerts.select("fingerprint", F.col(at).alias("_at"), F.unix_micros(at).alias("_us"), F.explode(sides(lambda r: r.target)).alias("_key"))
+    sources = firing.select("fingerprint", F.unix_micros("fires_at").alias("_from"), F.unix_micros("resolves_at").alias("_to"), F.explode(sides(lambda r: r.source)).alias("_key"))
+    changes = _stretches(sources).withColumn("_change", F.explode(F.array(F.struct(F.col("_from").alias("us"), F.lit(1).alias("n")), F.struct(F.col("_to").alias("us"), F.lit(-1).alias("n")))))
+    changes = changes.filter("_change.us IS NOT NULL").select("_key", F.col("_change.us").alias("_us"), F.col("_change.n").alias("n"), *_digests())
+    at_times = _firing_at(changes, targets.select("_key", "_us").distinct())
+    other = (F.col("n") >= 2) | (F.col("n") == 1) & ((F.col("x") != _digests()[0]) | (F.col("y") != _digests()[1]))
+    met = targets.join(at_times, ["_key", "_us"]).filter(other)
     muted = met.select("fingerprint", F.col("_at").alias(at)).distinct().withColumn("inhibited", F.lit(True))
     return alerts.join(muted, ["fingerprint", at], "left").withColumn("inhibited", F.coalesce("inhibited", F.lit(False)))
 
 
+def _digests() -> list[Column]:
+    """Two digests of an alert; those of several are combined by exclusive or, which takes one out again as it was put in."""
+    return [F.xxhash64("fingerprint").alias("x"), F.xxhash64("fingerprint", F.lit("second")).alias("y")]
+
+
+def _stretches(sources: DataFrame) -> DataFrame:
+    """(_key, fingerprint, _from, _to): times of one source that overlap or meet are one; an end that is null is open."""
+    rows = sources.filter("_from IS NOT NULL AND (_to IS NULL OR _from < _to)").withColumn("_end", F.coalesce("_to", F.lit((1 << 63) - 1)))
+    order = Window.partitionBy("_key", "fingerprint").orderBy("_from", "_end")
+    reached = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", F.when(F.col("_from") <= reached, 0).otherwise(1)).withColumn("_stretch", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = rows.groupBy("_key", "fingerprint", "_stretch").agg(F.min("_from").alias("_from"), F.max("_end").alias("_end"))
+    return merged.select("_key", "fingerprint", "_from", F.when(F.col("_end") < (1 << 63) - 1, F.col("_end")).alias("_to"))
+
+
+def _firing_at(changes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(_key, _us, n, x, y) at the times asked for: how many sources fire then, changes of that time included, and their digests."""
+    parts = lambda: [F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")]
+    times = changes.groupBy("_key", "_us").agg(*parts())
+    none = [F.lit(0).cast("long").alias(c) for c in ("n", "x", "y")]
+    slot = F.floor(F.col("_us") / SLOTS[0])
+    # A slot begins with what all before it add up to, as a row before its first time.
+    slots = times.withColumn("slot", slot + 1).groupBy("_key", "slot").agg(*parts())
+    slots = slots.unionByName(asked.select("_key", slot.alias("slot"), *none)).groupBy("_key", "slot").agg(*parts())
+    slots = slots.unionByName(times.select("_key", slot.alias("slot"), *none)).groupBy("_key", "slot").agg(*parts())
+    before = Window.partitionBy("_key").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    over = lambda w: [F.sum("n").over(w).alias("n"), F.bit_xor("x").over(w).alias("x"), F.bit_xor("y").over(w).alias("y")]
+    begin = slots.select("_key", "slot", F.lit(None).cast("long").alias("_us"), *over(before), F.lit(False).alias("asked"))
+    rows = times.withColumn("asked", F.lit(False)).unionByName(asked.select("_key", "_us", *none, F.lit(True).alias("asked")))
+    rows = rows.groupBy("_key", "_us").agg(*parts(), F.max("asked").alias("asked")).withColumn("slot", slot)
+    within = Window.partitionBy("_key", "slot").orderBy(F.asc_nulls_first("_us")).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.select("_key", "slot", "_us", "n", "x", "y", "asked").unionByName(begin).select("_key", "_us", *over(within), "asked")
+    return found.filter("asked").drop("asked")
+
+
 def forwarded_resolutions(alerts: DataFrame, at: str = "at") -> DataFrame:
     """What goes on to grouping: firing alerts that aren't muted, and resolutions of alerts whose firing went on since their last resolution.
 

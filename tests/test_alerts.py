@@ -3,13 +3,16 @@
 import hashlib
 import itertools
 import random
+import re
 import struct
+import time
 from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import labels as L
+from pulsegrid.functions.labels import Matcher
 from pulsegrid.functions.times import micros, resolve_relative_time
 from pulsegrid.operators import alerts as A
 from pulsegrid.operators import compare as C
@@ -143,6 +146,47 @@ def test_silences_of_any_length(spark):
     assert got == wanted and 0 < sum(wanted.values()) < len(wanted)
 
 
+def test_inhibition_equals_every_pair_looked_at(spark):
+    """Random alerts and sources, among them ones that overlap themselves, are open, empty, or begin where others end."""
+    rng = random.Random(11)
+    rules = [A.InhibitRule((Matcher("role", "=", "s"),), (Matcher("sev", "=", "low"),), ("zone",)), A.InhibitRule((Matcher("sev", "=", "high"),), (Matcher("role", "=~", "s|t"),))]
+    label = lambda: {"role": rng.choice("st"), "sev": rng.choice(["low", "high"]), "tenant": rng.choice(["", "a"])} | ({"zone": rng.choice("xy")} if rng.random() < 0.7 else {})
+    labels = {f"f{n}": label() for n in range(14)}
+    hour = 3600
+    alerts = [(f, m, t * hour // 2) for f, m in labels.items() for t in range(12)]
+    firing = [(f, labels[f], start * hour // 2, rng.choice([None, start * hour // 2 + rng.randrange(4) * hour // 2])) for f in labels for start in (rng.randrange(12) for _ in range(rng.randrange(3)))]
+    stamp = lambda c: F.timestamp_seconds(c).alias(c)
+    a = spark.createDataFrame(alerts, "fingerprint string, labels map<string,string>, at long").select("fingerprint", "labels", stamp("at"))
+    f = spark.createDataFrame(firing, "fingerprint string, labels map<string,string>, fires_at long, resolves_at long").select("fingerprint", "labels", stamp("fires_at"), stamp("resolves_at"))
+    holds = lambda m, of: bool(re.fullmatch(m.value, of.get(m.name, "")))
+
+    def wanted(fp, of, t):
+        for rule in rules:
+            if all(holds(m, of) for m in rule.target):
+                for other, its, start, end in firing:
+                    same = its["tenant"] == of["tenant"] and all(its.get(k, "") == of.get(k, "") for k in rule.equal)
+                    if other != fp and same and all(holds(m, its) for m in rule.source) and start <= t and (end is None or t < end):
+                        return True
+        return False
+
+    got = {(r["fingerprint"], int(r["at"].timestamp())): r["inhibited"] for r in A.inhibit(a, f, rules).collect()}
+    assert got == {(fp, t): wanted(fp, of, t) for fp, of, t in alerts}
+    assert 0 < sum(got.values()) < len(got)
+
+
+def test_inhibition_of_one_key_takes_rows_in_proportion(spark):
+    """A hundred thousand alerts and as many sources that all agree: pairs would be ten thousand million."""
+    n = 100_000
+    base = spark.range(n).select(F.col("id").cast("string").alias("fingerprint"), F.create_map(F.lit("sev"), F.lit("low"), F.lit("role"), F.lit("s")).alias("labels"), F.timestamp_seconds(F.col("id") * 7).alias("at"))
+    firing = base.select("fingerprint", "labels", F.col("at").alias("fires_at"), (F.col("at") + F.expr("INTERVAL 7 SECONDS")).alias("resolves_at"))
+    rule = [A.InhibitRule((Matcher("role", "=", "s"),), (Matcher("sev", "=", "low"),))]
+    began = time.time()
+    assert A.inhibit(base, firing, rule).filter("inhibited").count() == 0  # at each time only the alert itself fires
+    twice = firing.unionByName(firing.filter("fires_at >= timestamp_seconds(70000)").select("fingerprint", "labels", (F.col("fires_at") - F.expr("INTERVAL 7 SECONDS")).alias("fires_at"), "resolves_at"))
+    assert A.inhibit(base, twice, rule).filter("inhibited").count() == n - 10_000
+    assert time.time() - began < 120
+
+
 def test_inhibition_guards(spark):
     down = {"alertname": "HostDown", "host": "web-1"}
     rule = [A.InhibitRule((L.Matcher("alertname", "=", "HostDown"),), (L.Matcher("alertname", "=~", "CPUHigh|HostDown"),), ("host",))]
