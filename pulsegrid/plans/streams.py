@@ -19,6 +19,8 @@ from pulsegrid.streaming import flows, states
 RATE, BURST = 1 / 7200, 3
 #: Files that a week of samples comes in.
 FILES = 4
+#: The last time with alerts of `stream_alert_ticks`.
+QUIET = 30
 
 
 def _folder(spark: SparkSession) -> str:
@@ -79,6 +81,14 @@ def stream_alert_states(spark, sf_dir):
     return out.select("fingerprint", us("at").alias("us"), "status", rounded(), us("starts_at").alias("starts"))
 
 
+def stream_alert_ticks(spark, sf_dir):
+    """Alerts that all fall silent at one time, while evaluation goes on: every one is resolved."""
+    active = alerting._results(spark, sf_dir).filter(F.col("i") <= QUIET).withColumn("at", GRID.time(F.col("i"))).select("rule_id", "fingerprint", "at", "value")
+    ticks = spark.range(GRID.last + 1).select(GRID.time(F.col("id")).alias("at"))
+    out = _finished(states.stream_alert_states(_stream_of(spark, active), alerting.RULE, alerting.RESEND, ticks=_stream_of(spark, ticks)))
+    return out.select("fingerprint", us("at").alias("us"), "status", rounded(), us("starts_at").alias("starts"))
+
+
 def stream_group(spark, sf_dir):
     """Sendings of the groups until the last event's time."""
     routed = A.route_receivers(alerting.R.build_alerts(alerting._forwarded(spark, sf_dir), alerting.RULE), alerting.GROUPING)
@@ -100,7 +110,7 @@ def stream_token_bucket(spark, sf_dir):
     return _finished(states.stream_token_bucket(_stream_of(spark, _requests(spark, sf_dir)), RATE, BURST, idle_ms=None))
 
 
-QUERIES = {f.__name__: f for f in (stream_ingest, stream_window, stream_window_p95, stream_rules, stream_alert_states, stream_group, token_bucket, stream_token_bucket)}
+QUERIES = {f.__name__: f for f in (stream_ingest, stream_window, stream_window_p95, stream_rules, stream_alert_states, stream_alert_ticks, stream_group, token_bucket, stream_token_bucket)}
 
 _CLOSED = f"""WITH {SAMPLES.replace("{", "{{").replace("}", "}}")}, w AS (SELECT series, (us // 86400000000 + 1) * 86400000000 AS us, {{0}} AS value FROM keyed GROUP BY 1, 2)
 SELECT series, us, round(value, 6) AS value FROM w WHERE us <= (SELECT max(us) FROM keyed) - 86400000000"""
@@ -127,4 +137,5 @@ ORACLE_SQL = {
     "stream_rules": f"{alerting._BASE} SELECT i, key, fingerprint, round(value, 6) AS value FROM r",
     "stream_alert_states": f"""{alerting._BASE} SELECT fingerprint, us, status, round(value, 6) AS value, {GRID.start} + first_i * {GRID.step} AS starts FROM events_
 WHERE status = 'firing' OR i < {_LAST_T}""",
+    "stream_alert_ticks": f"""{alerting._BASE.replace("WHERE value > 60", f"WHERE value > 60 AND i <= {QUIET}")} SELECT fingerprint, us, status, round(value, 6) AS value, {GRID.start} + first_i * {GRID.step} AS starts FROM events_""",
 }

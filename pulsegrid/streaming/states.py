@@ -20,6 +20,8 @@ from pulsegrid.operators.rules import RESEND, Rule
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 IDLE_MS = 10 * 60 * 1000
+#: By how much a tick moves time past its own: beyond the timer of an alert that is due then.
+TICK_US = 2000
 EVENTS = "rule_id string, fingerprint string, at timestamp, status string, value double, starts_at timestamp"
 
 
@@ -86,10 +88,24 @@ class AlertProcessor(StatefulProcessor):
         pass
 
 
-def stream_alert_states(active: DataFrame, rule: Rule, resend: str = RESEND, watermark: str = "0 seconds") -> DataFrame:
-    """Alert events from a stream (rule_id, fingerprint, at, value) of active alerts at evaluation times."""
+def stream_alert_states(active: DataFrame, rule: Rule, resend: str = RESEND, watermark: str = "0 seconds", ticks: DataFrame | None = None) -> DataFrame:
+    """Alert events from a stream (rule_id, fingerprint, at, value) of active alerts at evaluation times.
+
+    Alerts alone can't tell that time passes without them: when the last ones end, no row
+    comes that moves the watermark, and none of them is resolved. `ticks` is a stream of
+    evaluation times (at), each sent when the alerts of its time have been. It moves the watermark just past that
+    time, so what was not active then is resolved. The watermark stands on the union of
+    both streams: with one on each, the lower would hold, the silent alerts' own, or with
+    the policy `max` the ticks would make alerts late. `watermark` is how long after its tick an alert may come.
+    """
     use_rocksdb(active.sparkSession)
-    rows = active.withWatermark("at", watermark).select("rule_id", "fingerprint", "at", F.unix_micros("at").alias("us"), "value")
+    rows = active.select("rule_id", "fingerprint", "at", "value")
+    if ticks is not None:
+        over = F.timestamp_micros(F.unix_micros("at") + TICK_US)
+        rows = rows.unionByName(ticks.select(over.alias("at")).filter("at IS NOT NULL"), allowMissingColumns=True)
+    # Ticks have done their work at the watermark. Naming the time keeps the filter from being moved below it.
+    rows = rows.withWatermark("at", watermark).filter(F.col("fingerprint").isNotNull() | F.col("at").isNull())
+    rows = rows.select("rule_id", "fingerprint", "at", F.unix_micros("at").alias("us"), "value")
     return rows.groupBy("rule_id", "fingerprint").transformWithStateInPandas(AlertProcessor(rule, resend), EVENTS, outputMode="Append", timeMode="EventTime")
 
 
