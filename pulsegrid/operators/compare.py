@@ -1,8 +1,8 @@
 """Comparison of two runs of measurements, many quantities at once.
 
-Measurements are (name, unit, value, run). Ranks are computed with windows over one
-quantity's values; the test's p-value is the one step Spark has no function for, and
-runs vectorised over one row for each quantity.
+Measurements are (name, unit, value, run). Ranks are those of counted values, whatever
+a quantity's size; the test's p-value is the one step Spark has no function for, and runs
+vectorised over one row for each quantity.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ import math
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.operators import ranks
+
 #: Most values on a side for which the exact distribution is used.
 EXACT_LIMIT = 20
 ALPHA = 0.05
@@ -22,29 +24,40 @@ KEY = ["name", "unit"]
 
 
 def median_spread(measurements: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, median, spread): spread is half the range in per cent of the median; 0 for one value or a median of 0.
-
-    Values are counted before they are put in order, so equal values are shuffled once for
-    each task, and a group's distinct values are sorted, on disk if they must be, rather
-    than kept in memory.
-    """
+    """(keys, n, median, spread): spread is half the range in per cent of the median; 0 for one value or a median of 0."""
     counts = measurements.groupBy(*keys, "value").agg(F.count("value").alias("_n"))
-    whole = Window.partitionBy(*keys)
-    upto = F.sum("_n").over(whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(whole)})
-    at = lambda place: F.max(F.when((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n")), F.col("value")))
+    middle = {"_left": F.floor((F.col("_all") - 1) / 2), "_right": F.floor(F.col("_all") / 2)}
+    found = ranks.at_places(counts, keys, middle, ranks.is_wide(measurements, keys))
+    ends = measurements.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     # The middle value, or the mean of both middle ones.
-    median = at(F.floor((F.col("_all") - 1) / 2)) / 2 + at(F.floor(F.col("_all") / 2)) / 2
-    rows = ranked.groupBy(*keys).agg(F.max("_all").alias("n"), median.alias("median"), F.min("value").alias("low"), F.max("value").alias("high"))
+    rows = found.join(ends, same).withColumns({"n": F.col("_all"), "median": F.col("_left") / 2 + F.col("_right") / 2})
     spread = F.when((F.col("n") < 2) | (F.col("median") == 0), 0.0).otherwise((F.col("high") - F.col("low")) / 2 / F.abs("median") * 100)
     return rows.select(*keys, "n", "median", spread.alias("spread"))
 
 
+def _ranked(measurements: DataFrame, *more: Column) -> DataFrame:
+    """(KEY, value, rank, tied, more): each value of a quantity once, with the average rank of all that share it; `more` are aggregates of those."""
+    counts = measurements.groupBy(*KEY, "value").agg(F.count("*").alias("_n"), *more)
+    wide = ranks.is_wide(measurements, KEY)
+    found = ranks.cumulative(counts, KEY, wide)
+    rank = F.col("_upto") - (F.col("_n") - 1) / 2
+    found = found.select(*KEY, "value", rank.alias("rank"), F.col("_n").alias("tied"))
+    if not more:
+        return found
+    return _with_values(counts.drop("_n"), found, "inner")
+
+
+def _with_values(rows: DataFrame, ranked: DataFrame, how: str) -> DataFrame:
+    """Rows with what is known of their quantity's values."""
+    names = {c: f"_{c}" for c in (*KEY, "value")}
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    return rows.join(ranked.withColumnsRenamed(names), same, how).drop(*names.values())
+
+
 def rank_pooled(measurements: DataFrame) -> DataFrame:
     """All columns, `rank` (ties share their average) within a quantity over both runs, and `tied`, how many share the value."""
-    order = Window.partitionBy(*KEY).orderBy("value")
-    tied = F.count("*").over(Window.partitionBy(*KEY, "value"))
-    return measurements.withColumn("tied", tied).withColumn("rank", F.rank().over(order) + (F.col("tied") - 1) / 2)
+    return _with_values(measurements, _ranked(measurements), "inner")
 
 
 @lru_cache(maxsize=None)
@@ -85,15 +98,14 @@ def _p_values(n1: pd.Series, n2: pd.Series, u: pd.Series, ties: pd.Series) -> pd
 
 def mann_whitney(measurements: DataFrame, old: str, new: str) -> DataFrame:
     """(name, unit, n1, n2, u, ties, p, method) for each quantity of either run."""
-    ranked = rank_pooled(measurements.filter(F.col("run").isin(old, new)))
-    first = lambda run: F.col("run") == run
+    of = lambda run: F.count(F.when(F.col("run") == run, True))
+    ranked = _ranked(measurements.filter(F.col("run").isin(old, new)), of(old).alias("_old"), of(new).alias("_new"))
     t = F.col("tied").cast("double")
     rows = ranked.groupBy(*KEY).agg(
-        F.count(F.when(first(old), True)).alias("n1"),
-        F.count(F.when(first(new), True)).alias("n2"),
-        F.coalesce(F.sum(F.when(first(old), F.col("rank"))), F.lit(0.0)).alias("r1"),
-        # Each of t tied values adds its share of t^3 - t.
-        F.sum(t * t - 1).alias("ties"),
+        F.sum("_old").alias("n1"),
+        F.sum("_new").alias("n2"),
+        F.sum(F.col("rank") * F.col("_old")).alias("r1"),
+        F.sum(t * t * t - t).alias("ties"),
     )
     u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     rows = rows.withColumn("u", F.least(u1, F.col("n1") * F.col("n2") - u1)).withColumn("_p", _p_values("n1", "n2", "u", "ties"))

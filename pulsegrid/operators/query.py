@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.labels import match_labels, series_key
 from pulsegrid.functions.times import epoch_micros, micros
+from pulsegrid.operators import ranks
 from pulsegrid.sources.ingest import scan_series
 
 AGGREGATORS = {
@@ -39,17 +40,16 @@ def scope_tenant(samples: DataFrame, tenant: str) -> DataFrame:
 
 
 def order_statistic(rows: DataFrame, keys: list[str], p: float, value: str = "value") -> DataFrame:
-    """(keys, value, last): the value at place floor((n - 1) p) of each group, and the group's last time.
-
-    Values are counted before they are ranked, so equal values are shuffled once for
-    each task; ranks are running sums of the counts.
-    """
+    """(keys, value, last): the value at place floor((n - 1) p) of each group, and the group's last time."""
     counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"), F.max("ts").alias("_ts"))
-    up = Window.partitionBy(*keys).orderBy(value)
+    place = F.floor((F.col("_all") - 1) * F.lit(float(p)))
+    if ranks.is_wide(rows, keys):
+        found = ranks.at_places(counts, keys, {"_value": place}, wide=True, value=value)
+        return found.join(rows.groupBy(*keys).agg(F.max("ts").alias("last")), keys).select(*keys, F.col("_value").alias("value"), "last")
     whole = Window.partitionBy(*keys)
-    rank = F.floor((F.col("_all") - 1) * F.lit(float(p))) + 1
-    ranked = counts.withColumns({"_upto": F.sum("_n").over(up.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(whole), "last": F.max("_ts").over(whole)})
-    return ranked.filter((rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_n"))).select(*keys, F.col(value).alias("value"), "last")
+    upto = F.sum("_n").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(whole), "last": F.max("_ts").over(whole)})
+    return ranked.filter((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n"))).select(*keys, F.col(value).alias("value"), "last")
 
 
 def query_raw(samples: DataFrame, name: str, labels: dict[str, str] | None = None, since=None, until=None) -> DataFrame:
