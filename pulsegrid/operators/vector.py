@@ -3,9 +3,17 @@
 A vector is a frame (i, key, value): the number of the evaluation time, a label set as
 text, and a value. One plan evaluates a single instant or every step of a backtest.
 
-Selectors don't join times with points: each point is exploded to the times whose
-window covers it, and aggregated by (i, key). The fan-out is range / step + 1, after points
-that lie in the same windows have been combined where the function allows it.
+Selectors don't join times with points. Points of a series that lie in the same windows
+are combined first; each such pane is then exploded to the times whose windows cover it,
+and aggregated by (i, key). Where that is more than LONG times, range / step + 1, a pane goes to blocks of
+times that it covers whole and to single times at both ends, about three times the root as
+many rows, and blocks are taken apart after they are combined. So what functions
+combine are summaries that merge: sums, ends, increments between neighbours, and for
+deviations number, mean and sum of squares around it.
+
+Of points of one series at one time, the last by the engine's `order` column is the
+newest, or without such a column the one with the greatest value; where points are put
+in order, that order goes after time.
 
 A vector of exactly one sample without labels at some time is a scalar there. Where
 that is known beforehand (numbers, aggregates without a clause) the plan is simple;
@@ -14,6 +22,8 @@ where it depends on the data (`maybe_scalar`), scalars are told apart by time.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 
@@ -29,6 +39,8 @@ LOOKBACK = "5m"
 MOST_STEPS = 500
 #: Into how many stretches of time the points of a series are parted where they must be put in order.
 STRETCHES = 1024
+#: Times in a range from which on panes are exploded in two levels.
+LONG = 32
 
 
 @dataclass(frozen=True)
@@ -69,8 +81,8 @@ class Engine:
     then no selector can be a scalar.
     """
 
-    def __init__(self, samples: DataFrame, grid: Grid, tenant: str = "", lookback: str = LOOKBACK, labelled: bool = True):
-        self.samples, self.grid, self.tenant, self.lookback, self.labelled = samples, grid, tenant, micros(lookback), labelled
+    def __init__(self, samples: DataFrame, grid: Grid, tenant: str = "", lookback: str = LOOKBACK, labelled: bool = True, order: str | None = None):
+        self.samples, self.grid, self.tenant, self.lookback, self.labelled, self.order = samples, grid, tenant, micros(lookback), labelled, order
 
     def metric(self, name: str, *matchers: Matcher) -> Selector:
         return Selector(self, name, matchers)
@@ -83,7 +95,7 @@ class Selector:
         self.engine, self.name, self.matchers = engine, name, matchers
 
     def _points(self, width: int) -> DataFrame:
-        """(key, us, value) of the points in any window of the grid, which reach `width` back.
+        """(key, us, value, at) of the points in any window of the grid, which reach `width` back; `at` orders them.
 
         A caller's tenant stands in for whatever tenant the matchers ask for. Name, dates,
         times and tenant are filters on columns, so a table of samples is pruned by them.
@@ -94,40 +106,75 @@ class Selector:
         for m in self.matchers:
             if not (forced and m.name == "tenant" and m.op == "="):
                 rows = rows.filter(label_matcher(F.col("labels"), m))
-        return rows.select(label_key(F.col("labels")).alias("key"), F.unix_micros("ts").alias("us"), "value")
+        rows = rows.withColumn("us", F.unix_micros("ts"))
+        at = F.struct("us", *([F.col(e.order).alias("order")] if e.order else []), "value").alias("at")
+        return rows.select(label_key(F.col("labels")).alias("key"), "us", "value", at)
 
-    def _coverage(self, points: DataFrame, width: int) -> DataFrame:
-        """Points with the first and last time, `low` and `high`, whose window [time - width, time] they lie in."""
+    def _times(self, first: Column, last: Column, width: int) -> tuple[Column, Column]:
+        """The first and last time, whose window [time - width, time] holds what begins and ends at two times in microseconds."""
         g = self.engine.grid
-        low = F.greatest(F.ceil((F.col("us") - g.start) / g.step), F.lit(0)).cast("long")
-        high = F.least(F.floor((F.col("us") + width - g.start) / g.step), F.lit(g.last)).cast("long")
+        return F.greatest(F.ceil((last - g.start) / g.step), F.lit(0)).cast("long"), F.least(F.floor((first + width - g.start) / g.step), F.lit(g.last)).cast("long")
+
+    def _coverage(self, points: DataFrame, width: int) -> DataFrame:
+        """Points with the first and last time, `low` and `high`, whose window they lie in."""
+        low, high = self._times(F.col("us"), F.col("us"), width)
         return points.withColumns({"low": low, "high": high}).filter("low <= high")
 
     def _covered(self, points: DataFrame, width: int) -> DataFrame:
         """Points once for each time whose window they lie in."""
         return self._coverage(points, width).withColumn("i", F.explode(F.sequence("low", "high"))).drop("low", "high")
 
-    def _merged(self, width: int, parts: list[Column], value: Column, least: int = 1) -> DataFrame:
-        """(i, key, value): points of a series that lie in the same windows are combined before they are exploded.
-
-        With several points to a step, that many times fewer rows are exploded and
-        shuffled. `parts` are aggregates of points; `value` aggregates the parts.
-        """
-        same = self._coverage(self._points(width), width).groupBy("key", "low", "high").agg(*parts, F.count("*").alias("n"))
-        rows = same.withColumn("i", F.explode(F.sequence("low", "high"))).groupBy("i", "key").agg(value.alias("value"), F.sum("n").alias("n"))
-        return rows.filter(F.col("n") >= least).select("i", "key", "value")
+    def _merged(self, width: int, parts: list[Column], merge: list[Column], value: Column, least: int = 1) -> DataFrame:
+        """(i, key, value): `parts` are aggregates of points, `merge` aggregates parts to parts, and `value` is taken from them."""
+        panes = self._coverage(self._points(width), width).groupBy("key", "low", "high").agg(*parts, F.count("*").alias("n"))
+        rows = self._combined(panes, width, merge)
+        return rows.filter(F.col("n") >= least).select("i", "key", value.alias("value"))
+
+    def _combined(self, panes: DataFrame, width: int, merge: list[Column]) -> DataFrame:
+        """(i, key, n, the merged parts) of panes (key, low, high, n, parts)."""
+        g, merge = self.engine.grid, [*merge, F.sum("n").alias("n")]
+        long = min(width // g.step, g.last) + 1
+        if long < LONG:
+            return panes.withColumn("i", F.explode(F.sequence("low", "high"))).groupBy("i", "key").agg(*merge)
+        size = math.isqrt(long)
+        blocks = _spread(panes, size).groupBy("key", "size", "place").agg(*merge)
+        begin = F.col("place") * F.col("size")
+        return blocks.withColumn("i", F.explode(F.sequence(begin, begin + F.col("size") - 1))).groupBy("i", "key").agg(*merge)
 
     def instant(self) -> Vector:
         """The newest point of each series within the lookback."""
-        return Vector(self._merged(self.engine.lookback, *_last()), self.engine.grid, maybe_scalar=not self.engine.labelled)
+        return Vector(self._merged(self.engine.lookback, *_newest()), self.engine.grid, maybe_scalar=not self.engine.labelled)
 
     def range(self, width: str) -> RangeVector:
         return RangeVector(self, micros(width))
 
 
-def _last() -> tuple[list[Column], Column]:
-    """The newest of points, and of parts."""
-    return [F.max_by("value", "us").alias("last"), F.max("us").alias("last_us")], F.max_by("last", "last_us")
+def _spread(panes: DataFrame, block: int) -> DataFrame:
+    """Panes once for each block of times that they cover whole (size `block`), and for each time beside those (size 1)."""
+    run = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    low, high = F.col("low"), F.col("high")
+    # The blocks from the first that begins at `low` or after it, to the last that ends at `high` or before.
+    first, last = F.ceil(low / block).cast("long"), (F.floor((high + 1) / block) - 1).cast("long")
+    singles = F.when(first <= last, F.concat(run(low, first * block - 1), run((last + 1) * block, high))).otherwise(run(low, high))
+    of = lambda size, places: F.transform(places, lambda x: F.struct(F.lit(size).cast("long").alias("size"), x.alias("place")))
+    return panes.withColumn("_at", F.explode(F.concat(of(block, run(first, last)), of(1, singles)))).withColumns({"size": F.col("_at.size"), "place": F.col("_at.place")}).drop("_at", "low", "high")
+
+
+def _newest() -> tuple[list[Column], list[Column], Column]:
+    """The newest of points: as parts, merged, and as a value."""
+    return [F.max("at").alias("last")], [F.max("last").alias("last")], F.col("last.value")
+
+
+def _chan(parts: Column) -> Column:
+    """Numbers, means and sums of squares around them, of several sets of points as of one."""
+
+    def step(a: Column, b: Column) -> Column:
+        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        mean, m2 = a["mean"] + apart * b["n"] / n, a["m2"] + b["m2"] + apart * apart * a["n"] * b["n"] / n
+        return F.when(a["n"] == 0, b).otherwise(F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2")))
+
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    return F.aggregate(parts, none, step)
 
 
 class RangeVector:
@@ -149,17 +196,24 @@ class RangeVector:
     def _increments(self) -> DataFrame:
         """Per time and series: sum of increments of neighbours inside the window, number of points, span in microseconds.
 
-        A drop counts as the new value, since the counter started again from zero. Only
-        points in some window are put in order: a pair that begins before its window counts for nothing.
+        A drop counts as the new value, since the counter started again from zero. A point is in the
+        windows that hold it, the increment of a pair in those that hold both; what is in the same
+        windows is added up before it is exploded.
         """
-        grid = self.selector.engine.grid
-        rows = self.selector._covered(self._pairs(), self.width)
-        low = F.lit(grid.start - self.width) + F.col("i") * grid.step
-        inside = F.sum(F.when(F.col("us0") >= low, F.col("inc")))
-        return rows.groupBy("i", "key").agg(inside.alias("inc"), F.sum("one").alias("n"), (F.max("us") - F.min("us")).alias("span")).filter("n >= 2")
+        pick = self.selector
+        of = lambda a, b, **c: F.struct(*(x.alias(n) for n, x in zip(("low", "high"), pick._times(a, b, self.width), strict=True)), *(v.alias(k) for k, v in c.items()))
+        long = lambda x=None: F.lit(x).cast("long")
+        point = of(F.col("us"), F.col("us"), n=long(1), first=F.col("us"), last=F.col("us"), inc=F.lit(None).cast("double"))
+        pair = of(F.col("us0"), F.col("us"), n=long(0), first=long(), last=long(), inc=F.col("inc"))
+        items = F.array_compact(F.array(F.when(F.col("one") == 1, point), F.when(F.col("us0").isNotNull(), pair)))
+        items = self._pairs().select("key", F.explode(items).alias("s")).select("key", "s.*").filter("low <= high")
+        merge = [F.min("first").alias("first"), F.max("last").alias("last"), F.sum("inc").alias("inc")]
+        panes = items.groupBy("key", "low", "high").agg(*merge, F.sum("n").alias("n"))
+        out = pick._combined(panes, self.width, merge)
+        return out.select("i", "key", "inc", "n", (F.col("last") - F.col("first")).alias("span")).filter("n >= 2")
 
     def _pairs(self) -> DataFrame:
-        """(key, us, value, us0, inc, one): every point, with the time of the one before it and the increment since.
+        """(key, us, us0, inc, one): every point, with the time of the one before it and the increment since.
 
         Points are put in order within stretches of time, so a series that holds most of
         all points is sorted by many tasks. A pair across stretches is a row of its own that
@@ -169,15 +223,14 @@ class RangeVector:
         grid = self.selector.engine.grid
         length = -(-(grid.last * grid.step + self.width) // STRETCHES)
         points = self.selector._points(self.width).withColumn("stretch", F.floor((F.col("us") - (grid.start - self.width)) / length))
-        before = Window.partitionBy("key", "stretch").orderBy("us")
+        before = Window.partitionBy("key", "stretch").orderBy("at")
         within = points.withColumns({"us0": F.lag("us").over(before), "v0": F.lag("value").over(before), "one": F.lit(1)})
-        last, last_us = F.max_by("value", "us").alias("last"), F.max("us").alias("last_us")
-        ends = points.groupBy("key", "stretch").agg(F.min("us").alias("us"), F.min_by("value", "us").alias("value"), last, last_us)
-        earlier = Window.partitionBy("key").orderBy("stretch")
-        across = ends.withColumns({"us0": F.lag("last_us").over(earlier), "v0": F.lag("last").over(earlier), "one": F.lit(0)}).filter("us0 IS NOT NULL")
-        columns = ["key", "us", "value", "us0", "v0", "one"]
+        ends = points.groupBy("key", "stretch").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+        earlier = F.lag("last").over(Window.partitionBy("key").orderBy("stretch"))
+        across = ends.withColumn("before", earlier).filter("before IS NOT NULL")
+        across = across.select("key", F.col("first.us").alias("us"), F.col("first.value").alias("value"), F.col("before.us").alias("us0"), F.col("before.value").alias("v0"), F.lit(0).alias("one"))
         increment = F.when(F.col("value") < F.col("v0"), F.col("value")).otherwise(F.col("value") - F.col("v0"))
-        return within.select(columns).unionByName(across.select(columns)).withColumn("inc", increment).drop("v0")
+        return within.select(across.columns).unionByName(across).select("key", "us", "us0", increment.alias("inc"), "one")
 
     def rate(self) -> Vector:
         """Increase a second between the first and last point of the window."""
@@ -187,35 +240,40 @@ class RangeVector:
     def increase(self) -> Vector:
         return self._vector(self._increments().withColumn("value", F.col("inc")))
 
-    def _of_parts(self, parts: list[Column], value: Column, least: int = 1) -> Vector:
-        return self._vector(self.selector._merged(self.width, parts, value, least))
+    def _of_parts(self, parts: list[Column], merge: list[Column], value: Column, least: int = 1) -> Vector:
+        return self._vector(self.selector._merged(self.width, parts, merge, value, least))
 
     def delta(self) -> Vector:
         """Last minus first, of two points at least."""
-        first = [F.min_by("value", "us").alias("first"), F.min("us").alias("first_us")]
-        return self._of_parts([*first, *_last()[0]], _last()[1] - F.min_by("first", "first_us"), least=2)
+        parts, merge, last = _newest()
+        return self._of_parts([*parts, F.min("at").alias("first")], [*merge, F.min("first").alias("first")], last - F.col("first.value"), least=2)
+
+    def _same(self, function: Callable[[str], Column]) -> Vector:
+        """By a function that aggregates points and what it has made of them alike."""
+        return self._of_parts([function("value").alias("s")], [function("s").alias("s")], F.col("s"))
 
     def sum_over_time(self) -> Vector:
-        return self._of_parts([F.sum("value").alias("s")], F.sum("s"))
+        return self._same(F.sum)
 
     def avg_over_time(self) -> Vector:
-        return self._of_parts([F.sum("value").alias("s")], F.sum("s") / F.sum("n"))
+        return self._of_parts([F.sum("value").alias("s")], [F.sum("s").alias("s")], F.col("s") / F.col("n"))
 
     def min_over_time(self) -> Vector:
-        return self._of_parts([F.min("value").alias("s")], F.min("s"))
+        return self._same(F.min)
 
     def max_over_time(self) -> Vector:
-        return self._of_parts([F.max("value").alias("s")], F.max("s"))
+        return self._same(F.max)
 
     def count_over_time(self) -> Vector:
-        return self._of_parts([], F.sum("n").cast("double"))
+        return self._of_parts([], [], F.col("n").cast("double"))
 
     def last_over_time(self) -> Vector:
-        return self._of_parts(*_last())
+        return self._of_parts(*_newest())
 
     def stddev_over_time(self) -> Vector:
-        """Population deviation, of the points themselves: sums of squares would lose digits."""
-        return self._vector(self.points().groupBy("i", "key").agg(F.stddev_pop("value").alias("value")))
+        """Population deviation, from summaries that are merged by Chan's formula: sums of squares would lose digits."""
+        part = F.struct(F.count("value").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("value")).alias("m2")).alias("d")
+        return self._of_parts([part], [_chan(F.collect_list("d")).alias("d")], F.sqrt(F.col("d.m2") / F.col("d.n")))
 
 
 REDUCERS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": lambda v: F.count(v).cast("double"), "stddev": F.stddev_pop}
