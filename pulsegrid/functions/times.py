@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from datetime import UTC, datetime, timedelta
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _UNITS = {"ns": 0.001, "us": 1, "µs": 1, "ms": 1_000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000}
 
 
@@ -37,6 +40,12 @@ def resolve_relative_time(text: str, now: datetime) -> datetime | None:
     return at
 
 
+def utc_date(ts: Column) -> Column:
+    """The date of a time in UTC, whatever the session's zone."""
+    us, day = F.unix_micros(ts), F.lit(_UNITS["d"])
+    return F.date_from_unix_date(((us - F.pmod(us, day)) / day).cast("int"))
+
+
 def epoch_micros(at: datetime | int) -> int:
     """Microseconds since 1970; a time without a zone is taken as UTC."""
     if isinstance(at, int):

@@ -27,7 +27,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import floats
@@ -77,11 +77,13 @@ class Grid:
 class Engine:
     """Evaluates expressions over samples (name, type, value, ts, labels) of one tenant.
 
-    `labelled` says that every sample has a label, as all do that came through ingest;
-    then no selector can be a scalar.
+    `samples` can be a function of two times in microseconds too, which gives at least
+    the samples between them: each selector asks for what it looks back to. `labelled`
+    says that every sample has a label, as all do that came through ingest; then no
+    selector can be a scalar. `order` names a column of the order in which samples came.
     """
 
-    def __init__(self, samples: DataFrame, grid: Grid, tenant: str = "", lookback: str = LOOKBACK, labelled: bool = True, order: str | None = None):
+    def __init__(self, samples: DataFrame | Callable[[int, int], DataFrame], grid: Grid, tenant: str = "", lookback: str = LOOKBACK, labelled: bool = True, order: str | None = None):
         self.samples, self.grid, self.tenant, self.lookback, self.labelled, self.order = samples, grid, tenant, micros(lookback), labelled, order
 
     def metric(self, name: str, *matchers: Matcher) -> Selector:
@@ -102,7 +104,9 @@ class Selector:
         """
         e, g = self.engine, self.engine.grid
         forced = {"tenant": e.tenant} if e.tenant else {}
-        rows = scan_series(e.samples, self.name, forced, F.timestamp_micros(F.lit(g.start - width)), F.timestamp_micros(F.lit(g.start + g.last * g.step)))
+        since, until = g.start - width, g.start + g.last * g.step
+        samples = e.samples(since, until) if callable(e.samples) else e.samples
+        rows = scan_series(samples, self.name, forced, F.timestamp_micros(F.lit(since)), F.timestamp_micros(F.lit(until)))
         for m in self.matchers:
             if not (forced and m.name == "tenant" and m.op == "="):
                 rows = rows.filter(label_matcher(F.col("labels"), m))
@@ -485,5 +489,6 @@ class Vector:
 
 def literal(engine: Engine, value: float) -> Vector:
     """A number as a scalar at each time."""
-    rows = engine.samples.sparkSession.range(engine.grid.last + 1).select(F.col("id").alias("i"), F.lit("").alias("key"), F.lit(float(value)).alias("value"))
+    spark = SparkSession.active() if callable(engine.samples) else engine.samples.sparkSession
+    rows = spark.range(engine.grid.last + 1).select(F.col("id").alias("i"), F.lit("").alias("key"), F.lit(float(value)).alias("value"))
     return Vector(rows, engine.grid, scalar=True)

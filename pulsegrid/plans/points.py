@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import labels as L
 from pulsegrid.functions.times import resolve_relative_time as resolve
 from pulsegrid.operators import query as Q
+from pulsegrid.operators.vector import Engine, Grid
 from pulsegrid.sources import events, ingest
 from pulsegrid.sources.shared import new_path
 
@@ -42,11 +43,11 @@ def key(name: str = "name", labels: str = "labels") -> Column:
     return L.series_key(F.col(name), F.col(labels))
 
 
-def _json_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _json_batches(spark: SparkSession, sf_dir: str, name: Column | None = None) -> DataFrame:
     """Events as the JSON bodies agents would send, one for each user and day; every seventh user's are broken in turn."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     metric = F.struct(
-        F.col("event_type").alias("name"), F.when(F.col("event_id") % 2 == 0, " Gauge").otherwise("1").alias("type"), "value",
+        (F.col("event_type") if name is None else name).alias("name"), F.when(F.col("event_id") % 2 == 0, " Gauge").otherwise("1").alias("type"), "value",
         F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
         F.create_map(F.lit("event"), F.col("event_id").cast("string"), F.lit("tenant"), F.lit("forged")).alias("labels"),
     )
@@ -129,6 +130,24 @@ def store_stats(spark, sf_dir):
     return ingest.store_stats(events.samples(spark, sf_dir))
 
 
+def sketched_stats(spark, sf_dir):
+    """Points by name, and whether the series by sketches are within 5 per cent of those counted, from what two halves of the table kept."""
+    rows = events.samples(spark, sf_dir)
+    kept = ingest.stats_sketches(rows.filter("event_id % 2 = 0")).unionByName(ingest.stats_sketches(rows.filter("event_id % 2 = 1")))
+    counted = rows.groupBy("name").agg(F.count_distinct(key()).alias("counted"))
+    close = F.abs(F.col("series") - F.col("counted")) <= 0.05 * F.col("counted")
+    return ingest.sketched_stats(kept, "name").join(counted, "name").select("name", "points", close.alias("close"))
+
+
+def tied_points(spark, sf_dir):
+    """The newest points of series whose times are cut to days, so that many meet: the last event of a time counts."""
+    rows = events.samples(spark, sf_dir).withColumn("ts", F.date_trunc("day", "ts"))
+    engine = Engine(rows, Grid.over(SINCE, UNTIL, "24h"), lookback="36h", order="event_id")
+    newest = engine.metric(NAME).instant().df.select("i", "key", rounded(name="newest"))
+    rise = engine.metric(NAME).range("48h").delta().df.select("i", "key", rounded(name="change"))
+    return newest.join(rise, ["i", "key"], "left").withColumnRenamed("key", "labels")
+
+
 def live_feed(spark, sf_dir):
     return ingest.live_feed(events.samples(spark, sf_dir), "t1").select("name", "type", rounded(), us("timestamp").alias("us"), text().alias("labels"))
 
@@ -256,7 +275,7 @@ _BROKEN = "CASE user_id % 7 WHEN 1 THEN 'invalid json' WHEN 2 THEN 'unknown fiel
 QUERIES = {
     f.__name__: f
     for f in (
-        read_batches, unpack, validate_sample, validate_metric, validate_batch, enrich_timestamp, ingest_accounting, write_samples, scan_series, dedup_points, store_stats, live_feed, read_bench,
+        read_batches, unpack, validate_sample, validate_metric, validate_batch, enrich_timestamp, ingest_accounting, write_samples, scan_series, dedup_points, store_stats, sketched_stats, tied_points, live_feed, read_bench,
         match_labels, label_matcher, match_all, filter_time, scope_tenant, tenant_override, resolve_relative_time, series_key, parse_series_key, canonical_labels, merge_labels,
         query_raw, query_window, query_window_open, query_whole, query_limit,
     )
@@ -294,6 +313,12 @@ WITH {SAMPLES}, cut AS (SELECT series, epoch_us(date_trunc('hour', ts)) AS us, v
 both_ AS (SELECT * FROM cut UNION ALL SELECT series, us, value + 1000, event_id + 10000000, 'counter' FROM cut WHERE event_id % 3 = 0)
 SELECT series, 'gauge' AS type, round(arg_max(value, event_id), 6) AS value, us FROM both_ GROUP BY series, us""",
     "store_stats": f"WITH {SAMPLES} SELECT count(DISTINCT series) AS series, count(*) AS points FROM keyed",
+    "sketched_stats": f"WITH {SAMPLES} SELECT name, count(*) AS points, true AS close FROM samples GROUP BY name",
+    "tied_points": f"""
+WITH {SAMPLES}, p AS (SELECT key, us // {_DAY} * {_DAY} AS us, value, event_id FROM samples WHERE name = '{NAME}'), ticks AS (SELECT i, {_A} + i * {_DAY} AS t FROM range(0, {(_B - _A) // _DAY} + 1) r(i)),
+newest AS (SELECT i, key, arg_max(value, (us, event_id)) AS v FROM p JOIN ticks ON us BETWEEN t - {36 * 3_600_000_000} AND t GROUP BY i, key),
+rise AS (SELECT i, key, arg_max(value, (us, event_id)) - arg_min(value, (us, event_id)) AS v FROM p JOIN ticks ON us BETWEEN t - {2 * 86_400_000_000} AND t GROUP BY i, key HAVING count(*) > 1)
+SELECT n.i, n.key AS labels, round(n.v, 6) + 0.0 AS newest, round(r.v, 6) + 0.0 AS change FROM newest n LEFT JOIN rise r ON r.i = n.i AND r.key = n.key""",
     "live_feed": f"WITH {SAMPLES} SELECT name, 'gauge' AS type, round(value, 6) AS value, us, key AS labels FROM samples WHERE tenant = 't1'",
     "read_bench": """
 WITH o AS (SELECT replace(o_orderpriority, ' ', '_') || '/x' AS name, CAST(o_orderkey % 3 + 1 AS VARCHAR) AS procs, CAST(round(o_totalprice, 2) AS DOUBLE) AS a, CAST(o_custkey AS DOUBLE) AS b FROM orders WHERE o_orderkey % 10 <> 0)

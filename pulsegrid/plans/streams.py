@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.labels import series_key
@@ -12,7 +12,7 @@ from pulsegrid.plans import alerting
 from pulsegrid.plans.points import SAMPLES, _json_batches, rounded, text, us
 from pulsegrid.plans.points import ORACLE_SQL as POINTS_SQL
 from pulsegrid.plans.vectors import GRID, LOOKBACK
-from pulsegrid.sources import events
+from pulsegrid.sources import events, ingest
 from pulsegrid.sources.shared import new_path
 from pulsegrid.streaming import flows, states
 
@@ -21,6 +21,11 @@ RATE, BURST = 1 / 7200, 3
 FILES = 4
 #: The last time with alerts of `stream_alert_ticks`.
 QUIET = 30
+LAST_DAY = 1_706_400_000_000_000
+
+
+def _tenant() -> Column:
+    return F.concat(F.lit("t"), F.col("user_id") % 2)
 
 
 def _folder(spark: SparkSession) -> str:
@@ -44,9 +49,40 @@ def _finished(df: DataFrame) -> DataFrame:
 
 def stream_ingest(spark, sf_dir):
     path = _folder(spark)
-    lines = _stream_of(spark, _json_batches(spark, sf_dir))
-    flows.stream_ingest(lines, path, f"{path}-state", tenant=F.concat(F.lit("t"), F.col("user_id") % 2)).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path).select("name", "type", rounded(), us().alias("us"), text().alias("labels"))
+    runner = flows.IngestRunner(path, tenant=_tenant())
+    flows.stream_ingest(_stream_of(spark, _json_batches(spark, sf_dir)), runner, f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/samples").select("name", "type", rounded(), us().alias("us"), text().alias("labels"))
+
+
+def stream_accounting(spark, sf_dir):
+    """Counts of a stream of batches with faults of lines and of samples, in several files; samples of the last day are kept out."""
+    path = _folder(spark)
+    name = F.when(F.col("event_id") % 11 == 2, F.concat("event_type", F.lit(" x"))).otherwise(F.col("event_type"))
+    runner = flows.IngestRunner(path, tenant=_tenant(), refuse=F.unix_micros("ts") >= LAST_DAY)
+    flows.stream_ingest(_stream_of(spark, _json_batches(spark, sf_dir, name), FILES), runner, f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    counts = spark.read.parquet(f"{path}/counts").agg(*(F.sum(c).alias(c) for c in ("ingested", "stored", "invalid", "failed", "refused")))
+    rows = lambda kept: spark.read.parquet(f"{path}/{kept}").agg(F.count("*").alias(f"rows_{kept}"))
+    return counts.crossJoin(rows("samples")).crossJoin(rows("rejected")).crossJoin(rows("refused"))
+
+
+def stream_dedup(spark, sf_dir):
+    """Four files in order of time; each repeats the one before with other values, and the last also some of the first."""
+    root = _folder(spark)
+    rows = events.samples(spark, sf_dir).withColumn("labels", F.create_map(F.lit("event"), F.col("event_id").cast("string")))
+    week = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
+    for n in range(4):
+        again = rows.filter(week == n - 1).withColumn("value", F.col("value") + 1000)
+        late = rows.filter((week == 0) & (F.lit(n) == 3) & (F.col("event_id") % 50 == 0)).withColumn("value", F.col("value") + 2000)
+        rows.filter(week == n).unionByName(again).unionByName(late).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    return _finished(flows.stream_dedup(stream, "10 days")).select("event_id", rounded(), us().alias("us"))
+
+
+def stream_live(spark, sf_dir):
+    """The live views of three clients, one without a tenant, from one stream."""
+    clients = spark.createDataFrame([("all", None), ("a", "t0"), ("b", "t1")], "client string, tenant string")
+    feeds = ingest.live_feeds(_stream_of(spark, events.samples(spark, sf_dir), FILES), clients)
+    return _finished(feeds).select("client", "name", "type", rounded(), us("timestamp").alias("us"), text().alias("labels"))
 
 
 def stream_window(spark, sf_dir):
@@ -110,7 +146,7 @@ def stream_token_bucket(spark, sf_dir):
     return _finished(states.stream_token_bucket(_stream_of(spark, _requests(spark, sf_dir)), RATE, BURST, idle_ms=None))
 
 
-QUERIES = {f.__name__: f for f in (stream_ingest, stream_window, stream_window_p95, stream_rules, stream_alert_states, stream_alert_ticks, stream_group, token_bucket, stream_token_bucket)}
+QUERIES = {f.__name__: f for f in (stream_ingest, stream_accounting, stream_dedup, stream_live, stream_window, stream_window_p95, stream_rules, stream_alert_states, stream_alert_ticks, stream_group, token_bucket, stream_token_bucket)}
 
 _CLOSED = f"""WITH {SAMPLES.replace("{", "{{").replace("}", "}}")}, w AS (SELECT series, (us // 86400000000 + 1) * 86400000000 AS us, {{0}} AS value FROM keyed GROUP BY 1, 2)
 SELECT series, us, round(value, 6) AS value FROM w WHERE us <= (SELECT max(us) FROM keyed) - 86400000000"""
@@ -128,6 +164,14 @@ _BUCKET = f"""WITH RECURSIVE {SAMPLES}, req AS (
 ) SELECT key, seq, allowed FROM walk"""
 
 ORACLE_SQL = {
+    "stream_accounting": f"""
+WITH e AS (SELECT *, user_id % 7 BETWEEN 1 AND 3 AS broken, event_id % 11 = 2 AS faulty, epoch_us(ts) >= {LAST_DAY} AS kept_out FROM events),
+g AS (SELECT count(*) FILTER (WHERE NOT broken) AS ingested, count(*) FILTER (WHERE NOT broken AND NOT faulty AND NOT kept_out) AS stored, count(*) FILTER (WHERE NOT broken AND faulty) AS invalid,
+    count(*) FILTER (WHERE NOT broken AND NOT faulty AND kept_out) AS failed, count(DISTINCT CASE WHEN broken THEN user_id || '|' || CAST(ts AS DATE) END) AS refused FROM e)
+SELECT *, stored AS rows_samples, invalid + failed AS rows_rejected, refused AS rows_refused FROM g""",
+    "stream_dedup": "SELECT event_id, round(value, 6) AS value, epoch_us(ts) AS us FROM events",
+    "stream_live": f"""WITH {SAMPLES} SELECT client, name, 'gauge' AS type, round(value, 6) AS value, us, key AS labels
+FROM samples JOIN (VALUES ('all', NULL), ('a', 't0'), ('b', 't1')) c(client, t) ON t IS NULL OR t = tenant""",
     "stream_group": alerting.group_sql("(SELECT max(us) FROM sides)"),
     "token_bucket": _BUCKET,
     "stream_token_bucket": _BUCKET,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 from uuid import uuid4
 
@@ -26,5 +27,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    """A path in the shared folder that nothing uses yet; what is there goes when the process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    for used in (path, f"{path}-state"):
+        atexit.register(remove, spark, used)
+    return path
+
+
+def remove(spark: SparkSession, pattern: str) -> None:
+    """Delete what a path or pattern of paths names, if the session still runs."""
+    context = spark.sparkContext
+    if context._jsc is not None:
+        at = context._jvm.org.apache.hadoop.fs.Path(pattern)
+        files = at.getFileSystem(context._jsc.hadoopConfiguration())
+        for found in files.globStatus(at) or ():
+            files.delete(found.getPath(), True)
+
+
+def present(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that there are."""
+    context = spark.sparkContext
+    each = [context._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return [p for p, at in zip(paths, each, strict=True) if at.getFileSystem(context._jsc.hadoopConfiguration()).exists(at)]

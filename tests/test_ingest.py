@@ -1,5 +1,6 @@
 """Ingest, configuration files, order statistics and streams that equal their batch forms."""
 
+import glob
 import json
 from datetime import UTC, datetime, timedelta
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import query as Q
+from pulsegrid.operators.vector import Engine, Grid
 from pulsegrid.plans import points, streams
 from pulsegrid.sources import config, ingest
 
@@ -163,3 +165,56 @@ def test_flagship(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert points.SINCE < points.UNTIL
+
+
+POINT = "name string, type string, value double, ts timestamp, labels map<string,string>"
+
+
+def test_tables_are_written_and_read_under_different_zones(spark, tmp_path):
+    """A point half an hour after midnight UTC lies on the day before in New York."""
+    at = datetime(2026, 7, 9, 0, 30, tzinfo=UTC)
+    rows = spark.createDataFrame([("m", "gauge", 1.0, at, {"h": "a"}), ("m", "gauge", 2.0, at + timedelta(hours=23), {"h": "a"})], POINT)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    zones = ("UTC", "America/New_York", "Asia/Tokyo")
+    try:
+        for write in zones:
+            spark.conf.set("spark.sql.session.timeZone", write)
+            ingest.write_samples(rows, f"{tmp_path}/{write}")
+            for read in zones:
+                spark.conf.set("spark.sql.session.timeZone", read)
+                table = ingest.read_samples(spark, f"{tmp_path}/{write}")
+                assert sorted({str(r["date"]) for r in table.select("date").collect()}) == ["2026-07-09"]
+                for since, until, n in ((at, at, 1), (at - timedelta(hours=1), at + timedelta(hours=1), 1), (at, at + timedelta(days=1), 2), (at.replace(tzinfo=None), at.replace(tzinfo=None), 1)):
+                    assert ingest.scan_series(table, "m", None, since, until).count() == n
+                grid = Grid.over(at, at + timedelta(minutes=1))
+                assert [r["value"] for r in Engine(table, grid).metric("m").instant().df.collect()] == [1.0, 1.0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_files_go_by_directories_and_bytes(spark, tmp_path):
+    """Eight tasks with samples of ten days each leave ten files, and a name with very many samples leaves several."""
+    rows = spark.range(0, 4000, 1, 8).select(F.lit("m").alias("name"), F.lit("gauge").alias("type"), F.rand(1).alias("value"), F.timestamp_seconds(F.col("id") % 10 * 86_400 + 60).alias("ts"), F.create_map(F.lit("h"), F.col("id").cast("string")).alias("labels"))
+    ingest.write_samples(rows, f"{tmp_path}/few")
+    assert len(glob.glob(f"{tmp_path}/few/name=m/date=*/*.parquet")) == 10
+    hot = spark.range(0, 300_000, 1, 8).select(F.lit("hot").alias("name"), F.lit("gauge").alias("type"), F.rand(1).alias("value"), F.timestamp_seconds(F.col("id") % 1000).alias("ts"), F.create_map(F.lit("h"), F.col("id").cast("string")).alias("labels"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
+    try:
+        ingest.write_samples(hot.unionByName(rows), f"{tmp_path}/hot")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert 2 <= len(glob.glob(f"{tmp_path}/hot/name=hot/date=*/*.parquet")) <= 60 and len(glob.glob(f"{tmp_path}/hot/name=m/date=*/*.parquet")) <= 40
+    assert ingest.read_samples(spark, f"{tmp_path}/hot").count() == 304_000
+
+
+def test_statistics_from_kept_sketches(spark):
+    """Series by sketches of three overlapping parts, without the table: off by less than 5 per cent."""
+    rows = spark.range(60_000).select(F.concat(F.lit("m"), F.col("id") % 2).alias("name"), F.lit("gauge").alias("type"), F.lit(1.0).alias("value"), F.timestamp_seconds(F.col("id") * 10).alias("ts"), F.create_map(F.lit("h"), (F.col("id") % 20_000).cast("string")).alias("labels"))
+    parts = [ingest.stats_sketches(rows.filter(F.hash("ts") % 3 == n)) for n in (-2, -1, 0, 1, 2)]
+    kept = parts[0]
+    for p in parts[1:]:
+        kept = kept.unionByName(p)
+    whole = ingest.sketched_stats(kept).head()
+    assert whole["points"] == 60_000 and abs(whole["series"] - 20_000) < 1000
+    by = {r["name"]: (r["points"], r["series"]) for r in ingest.sketched_stats(kept, "name").collect()}
+    assert all(n == 30_000 and abs(s - 10_000) < 500 for n, s in by.values()) and len(by) == 2

@@ -1,11 +1,14 @@
-"""Rules on a stream: what a batch reads, and samples from the future."""
+"""Rules on a stream: what a batch reads, and samples from the future. Ingest with a quarantine and counts, repeats, live views."""
 
 import glob
+import json
 from datetime import UTC, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.operators.rules import Rule
+from pulsegrid.sources import ingest
 from pulsegrid.streaming import flows
 
 T0 = datetime(2026, 7, 1, tzinfo=UTC)
@@ -33,7 +36,7 @@ def test_a_batch_reads_its_own_dates_only(spark, runner):
     assert wanted == [0, 1, 2, 3, 24, 25, 26, 27, 48, 49, 50, 51, 72, 73]
     # Files of past days are spoiled: whoever reads them fails.
     for n in range(3):
-        for path in glob.glob(f"{runner.table}/batch={n}/*/*/*.parquet"):
+        for path in glob.glob(f"{runner.table}/date=*/batch={n}/*/*.parquet"):
             open(path, "wb").write(b"spoiled")
     runner(batch(spark, 74, 75), 4)
     runner(batch(spark, 74, 75), 4)  # a batch that runs twice replaces itself
@@ -49,3 +52,98 @@ def test_samples_from_the_future_move_nothing(spark, runner, monkeypatch):
     runner(batch(spark), 2)
     runner(batch(spark, 8), 3)
     assert ticks(spark, runner) == list(range(9))
+
+
+def test_a_range_wider_than_the_lookback_is_read_whole(spark, tmp_path):
+    """A selector asks for the dates that it looks back to, however far that is."""
+    sums = flows.RuleRunner(Rule("r", "R", interval="1h"), lambda e: e.metric("m").range("100h").sum_over_time() > 0.0, str(tmp_path / "t"), str(tmp_path / "r"), int(T0.timestamp() * 1e6), "2h", now=lambda: NOW)
+    for n in range(4):
+        sums(batch(spark, 24 * n, value=float(10**n)), n)
+    found = {r["i"]: r["value"] for r in spark.read.parquet(f"{tmp_path}/r/batch=*").collect()}
+    assert found[72] == 1111.0 and found[24] == 11.0 and found[47] == 11.0
+
+
+def line(*metrics, agent="a"):
+    return (json.dumps({"agent_id": agent, "metrics": list(metrics)}),)
+
+
+def metric(name="m", value=1.0, hours=0, kind="gauge"):
+    return {"name": name, "type": kind, "value": value, "timestamp": (T0 + timedelta(hours=hours)).isoformat(), "labels": {}}
+
+
+@pytest.fixture
+def ingested(spark, tmp_path):
+    runner = flows.IngestRunner(str(tmp_path), refuse=F.col("ts") > F.lit(T0 + timedelta(days=5)))
+    lines = [
+        [line(metric(), metric("bad name"), metric(hours=30)), ("{broken",), line(metric(kind="histogram"), metric(hours=24 * 9))],
+        [line(metric(hours=n)) for n in range(3)] + [line(metric(), agent="b")],
+        [("[]",), ("",)],
+    ]
+    for n, some in enumerate(lines):
+        runner(spark.createDataFrame(some, "value string"), n)
+    return runner, lines
+
+
+def counts(spark, root):
+    return [tuple(r) for r in spark.read.parquet(f"{root}/counts").orderBy("batch").select("ingested", "stored", "invalid", "failed", "refused").collect()]
+
+
+def test_every_sample_is_stored_invalid_or_failed(spark, ingested):
+    runner, _ = ingested
+    assert counts(spark, runner.root) == [(5, 2, 2, 1, 1), (4, 4, 0, 0, 0), (0, 0, 0, 0, 2)]
+    assert all(i == s + v + f for i, s, v, f, _ in counts(spark, runner.root))
+    rejected = spark.read.parquet(f"{runner.root}/rejected").select("batch", "error", "failed").collect()
+    assert sorted((r["batch"], r["error"], r["failed"]) for r in rejected if not r["failed"]) == [(0, "metric name contains whitespace", False), (0, "unsupported metric type", False)]
+    assert [(r["batch"], r["error"]) for r in rejected if r["failed"]] == [(0, None)]
+    assert sorted(r["value"] for r in spark.read.parquet(f"{runner.root}/refused").collect()) == ["", "[]", "{broken"]
+
+
+def test_a_batch_that_runs_twice_replaces_itself(spark, ingested):
+    runner, lines = ingested
+    kept = lambda: [spark.read.parquet(f"{runner.root}/{name}").count() for name in ("samples", "rejected", "refused", "counts")]
+    before = kept(), counts(spark, runner.root)
+    runner(spark.createDataFrame(lines[0], "value string"), 0)
+    runner(spark.createDataFrame(lines[1], "value string"), 1)
+    assert (kept(), counts(spark, runner.root)) == before
+    runner(spark.createDataFrame([line(metric(hours=48))], "value string"), 0)  # another run that has fewer dates leaves none of the first behind
+    assert kept() == [5, 0, 2, 3] and counts(spark, runner.root)[0] == (1, 1, 0, 0, 0)
+
+
+def stream_of(spark, folder, schema, batches):
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def finished(df, folder):
+    df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+def sample(hours, value, host="a"):
+    return ("m", "gauge", value, T0 + timedelta(hours=hours), {"h": host}, 0)
+
+
+def test_the_first_of_repeats_on_a_stream_stays(spark, tmp_path):
+    batches = [[sample(0, 1.0), sample(0, 1.5, "b"), sample(1, 2.0)], [sample(0, 10.0), sample(1, 20.0), sample(2, 3.0)], [sample(40, 4.0), sample(2, 30.0)], [sample(41, 6.0)], [sample(1, 200.0), sample(3, 5.0), sample(40, 40.0)]]
+    out = finished(flows.stream_dedup(stream_of(spark, tmp_path, SCHEMA, batches), "10 hours"), tmp_path)
+    got = sorted(((r["ts"].astimezone(UTC) - T0).total_seconds() / 3600, r["labels"]["h"], r["value"]) for r in out.collect())
+    # What comes beyond the watermark, which a batch leaves to the one after the next, is dropped, repeat or not.
+    assert got == [(0, "a", 1.0), (0, "b", 1.5), (1, "a", 2.0), (2, "a", 3.0), (40, "a", 4.0), (41, "a", 6.0)]
+
+
+def test_stream_percentiles_count_values(spark, tmp_path):
+    values = [5.0, 1.0, 1.0, 9.0, 2.0, 2.0, 2.0]
+    batches = [[sample(n / 10, v) for n, v in enumerate(values)], [sample(0.95, 7.0), sample(1.5, 100.0)], [sample(30, 1.0)]]
+    out = finished(flows.stream_window(stream_of(spark, tmp_path, SCHEMA, batches), "p90", "1h", watermark="1 hour"), tmp_path)
+    wanted = sorted([*values, 7.0])[int(7 * 0.9)]
+    assert sorted(r["value"] for r in out.collect()) == [wanted, 100.0]
+    plan = flows.stream_window(spark.createDataFrame(batches[0], SCHEMA), "p90", "1h")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(value" in plan and plan.count("Aggregate") == 2
+
+
+def test_live_views_show_their_tenant_s(spark):
+    rows = spark.createDataFrame([("cpu", "gauge", 1.0, T0, {"tenant": "tenant-a"}, 0), ("mem", "gauge", 2.0, T0, {"tenant": "tenant-b"}, 0), ("net", "gauge", 3.0, T0, {}, 0)], SCHEMA)
+    clients = spark.createDataFrame([("x", "tenant-a"), ("y", "tenant-b"), ("all", ""), ("none", None)], "client string, tenant string")
+    got = sorted((r["client"], r["name"]) for r in ingest.live_feeds(rows, clients).collect())
+    assert got == [("all", "cpu"), ("all", "mem"), ("all", "net"), ("none", "cpu"), ("none", "mem"), ("none", "net"), ("x", "cpu"), ("y", "mem")]
