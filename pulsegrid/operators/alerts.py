@@ -17,6 +17,8 @@ from pulsegrid.functions.labels import PATTERN_LIMIT, Matcher, canonical_labels,
 from pulsegrid.functions.times import micros
 
 LISTED, LOOKBACK, STALE_AFTER = 10, "15m", "2m"
+#: Parts of a slot, over which the alerts in it are spread.
+SALTS = 16
 #: Lengths of the time slots (microseconds, an hour to thirty years) that silences and alerts meet in.
 SLOTS = [3_600_000_000 * 4**k for k in range(10)]
 
@@ -39,26 +41,41 @@ def silence_mutes(alerts: DataFrame, silences: DataFrame, at: str = "at") -> Dat
     Silences without a tenant hold for all, so an alert looks them up beside its own
     tenant's. Both are equi-joins on a slot of time too: a silence is in the one or two
     slots it covers of the shortest length that isn't shorter than itself, and an alert
-    looks into its slot of each length, so it meets only silences near its time. Longer
-    silences than any slot share one.
+    looks into its slot of each length that some silence has, so it meets only silences
+    near its time. Longer silences than any slot share one. All alerts of years can look
+    into one slot of a great length; so a slot is in SALTS parts, its silences in each of
+    them and an alert in one.
     """
-    us = F.unix_micros(F.col(at))
-    slot = lambda level, start: F.struct(F.lit(level).alias("level"), start.alias("start"))
-    slots = [slot(k, us - F.pmod(us, F.lit(w))) for k, w in enumerate(SLOTS)] + [slot(len(SLOTS), F.when(us.isNotNull(), F.lit(0).cast("long")))]
-    rows = alerts.withColumn("_scopes", F.array_distinct(F.array(tenant_of(F.col("labels")), F.lit("")))).withColumn("_slots", F.array(*slots))
-    each = rows.select("fingerprint", F.col(at).alias("_at"), "labels", "_slots", F.explode("_scopes").alias("_scope")).withColumn("_slot", F.explode("_slots")).drop("_slots")
-
     first, end = F.unix_micros("starts_at"), F.unix_micros("ends_at") - 1
-    covered = F.array(slot(len(SLOTS), F.lit(0).cast("long")))
+    covered = F.array(_slot(len(SLOTS), F.lit(0).cast("long")))
     for k, w in reversed(list(enumerate(SLOTS))):
-        both = F.array_distinct(F.array(*(slot(k, x - F.pmod(x, F.lit(w))) for x in (first, end))))
+        both = F.array_distinct(F.array(*(_slot(k, x - F.pmod(x, F.lit(w))) for x in (first, end))))
         covered = F.when(end - first < w, both).otherwise(covered)
     s = silences.filter(F.col("starts_at") < F.col("ends_at")).select(F.coalesce("tenant", F.lit("")).alias("_scope"), "matchers", "starts_at", "ends_at", F.explode(covered).alias("_slot"))
-    hit = each.join(s, ["_scope", "_slot"]).filter((F.col("starts_at") <= F.col("_at")) & (F.col("_at") < F.col("ends_at")) & match_all(F.col("matchers"), F.col("labels")))
+    levels = sorted(r["level"] for r in s.select("_slot.level").distinct().collect())  # one more than SLOTS at most
+    if not levels:
+        return alerts.withColumn("silenced", F.lit(False))
+    s = s.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("_salt", F.col("_salt").cast("long"))
+    hit = _lookups(alerts, levels, at).join(s, ["_scope", "_slot", "_salt"])
+    hit = hit.filter((F.col("starts_at") <= F.col("_at")) & (F.col("_at") < F.col("ends_at")) & match_all(F.col("matchers"), F.col("labels")))
     muted = hit.select("fingerprint", F.col("_at").alias(at)).distinct().withColumn("silenced", F.lit(True))
     return alerts.join(muted, ["fingerprint", at], "left").withColumn("silenced", F.coalesce("silenced", F.lit(False)))
 
 
+def _slot(level: int, start: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), start.alias("start"))
+
+
+def _lookups(alerts: DataFrame, levels: list[int], at: str) -> DataFrame:
+    """Each alert once for each scope and each level of slots: (fingerprint, _at, labels, _scope, _slot, _salt)."""
+    us = F.unix_micros(at)
+    start = lambda k: us - F.pmod(us, F.lit(SLOTS[k])) if k < len(SLOTS) else F.when(us.isNotNull(), F.lit(0).cast("long"))
+    scopes = F.array_distinct(F.array(tenant_of(F.col("labels")), F.lit("")))
+    salt = F.pmod(F.xxhash64("fingerprint", at), F.lit(SALTS)).alias("_salt")
+    rows = alerts.select("fingerprint", F.col(at).alias("_at"), "labels", F.array(*(_slot(k, start(k)) for k in levels)).alias("_slots"), salt, F.explode(scopes).alias("_scope"))
+    return rows.withColumn("_slot", F.explode("_slots")).drop("_slots")
+
+
 def delivery_silence(members: DataFrame, silences: DataFrame) -> DataFrame:
     """Group members that no silence mutes at the time of sending, `sent_at`."""
     return silence_mutes(members, silences, "sent_at").filter("NOT silenced").drop("silenced")

@@ -146,6 +146,32 @@ def test_silences_of_any_length(spark):
     assert got == wanted and 0 < sum(wanted.values()) < len(wanted)
 
 
+def test_silences_equal_every_pair_looked_at(spark):
+    """Silences from a minute to centuries, some without a tenant, some empty; alerts at their bounds."""
+    rng = random.Random(6)
+    lengths = [60, 3600, 86_400, 40 * 86_400, 4 * 365 * 86_400, 300 * 365 * 86_400, 0, -5]
+    starts = [rng.randrange(0, 10**8) for _ in range(30)]
+    silences = [(f"s{n}", rng.choice(["", None, "a", "b"]), [{"name": "h", "op": rng.choice(["=", "!="]), "value": rng.choice("xyz")}], start, start + rng.choice(lengths)) for n, start in enumerate(starts)]
+    times = sorted({t + d for _, _, _, *both in silences for t in both for d in (-1, 0) if 0 <= t + d < 10**9})
+    alerts = [(f"f{n}", {"h": rng.choice("xyz"), "tenant": rng.choice(["", "a", "b"])}, t) for n in range(5) for t in times]
+    s = spark.createDataFrame(silences, "id string, tenant string, matchers array<struct<name:string,op:string,value:string>>, starts_at long, ends_at long")
+    s = s.withColumns({c: F.timestamp_seconds(c) for c in ("starts_at", "ends_at")})
+    a = spark.createDataFrame(alerts, "fingerprint string, labels map<string,string>, at long").withColumn("at", F.timestamp_seconds("at"))
+    holds = lambda m, of: (of["h"] == m["value"]) == (m["op"] == "=")
+    wanted = {(f, t): any((tenant or "") in ("", of["tenant"]) and start <= t < end and holds(m[0], of) for _, tenant, m, start, end in silences) for f, of, t in alerts}
+    got = {(r["fingerprint"], int(r["at"].timestamp())): r["silenced"] for r in A.silence_mutes(a, s).collect()}
+    assert got == wanted and 0 < sum(got.values()) < len(got)
+    assert A.silence_mutes(a, s.filter("false")).filter("silenced").count() == 0
+
+
+def test_alerts_of_one_slot_are_spread(spark):
+    """Years of alerts look into one slot of centuries, in parts that no key holds more than a share of, and only into slots that silences have."""
+    alerts = spark.range(40_000).select(F.col("id").cast("string").alias("fingerprint"), F.create_map(F.lit("tenant"), F.lit("a")).alias("labels"), F.timestamp_seconds(F.col("id") * 3600).alias("at"))
+    rows = A._lookups(alerts, [len(A.SLOTS)], "at")
+    assert rows.count() == 2 * 40_000  # its tenant's scope, and that of all
+    assert rows.groupBy("_scope", "_slot", "_salt").count().agg(F.max("count")).head()[0] < 40_000 / A.SALTS * 1.2
+
+
 def test_inhibition_equals_every_pair_looked_at(spark):
     """Random alerts and sources, among them ones that overlap themselves, are open, empty, or begin where others end."""
     rng = random.Random(11)
