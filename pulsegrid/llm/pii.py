@@ -5,17 +5,19 @@ are found in every text, validated, and replaced by another value of the same fo
 keyed Feistel network permutes the values of a format: eight rounds, each adding a
 digest of the key, the round and one half to the other half. A permutation never maps
 two values to one, and one value has the same pseudonym in every document, so records
-stay linked; with the key, `inverse=True` brings the originals back. A card inside of a
-longer run is permuted again as long as the new run would be read otherwise; only there
-the pseudonym can depend on the digits around.
+stay linked; with the key, `inverse=True` brings the originals back. A card in a longer
+chain of groups of four is permuted again as long as the new chain would be read otherwise;
+only there the pseudonym can depend on the digits around.
 
 What is permuted, by kind:
 - date (valid, 1900-01-01 and 72,999 days on; yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy): the day;
 - ssn (ddd-dd-dddd, valid area, group and serial): the number among the valid ones;
 - ip (four numbers to 255): the 32-bit address;
 - phone (international, or with area code; 7 to 15 digits, no country code beginning with 0): the digits after the country code;
-- card (13 to 19 digits, valid check digit): all digits but the check digit, which is computed anew; where the
-  longest run isn't valid, the first valid one in it of 4-4-4-4, 4-6-5 or unbroken digits;
+- card (13 to 19 digits, valid check digit): all digits but the check digit, which is computed anew. At any
+  separator of a run of digits, however long, a card of 4-4-4-4, 4-6-5 or unbroken digits can begin; in a chain of
+  groups of four that is longer than a card, the first valid one from each place on. What is left of a run is taken
+  from its beginning in the longest parts of 13 to 19 digits, whatever their groups;
 - email (local part to 64 characters, domain to 253, its labels to 63 and without hyphens at an end): letters and digits of the local part, each within its class.
 What looks alike but isn't valid stays as it is.
 
@@ -38,14 +40,23 @@ KINDS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!-?\d)",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![.-]?\d)",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
+    "card": "",  # below, since it names the others
     # The domain is one character at a time, no two dots together, so the matcher loops over it and doesn't recurse.
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-](?:(?!\.\.)[A-Za-z0-9.-])*\.[A-Za-z]{2,}",
 }
+_OTHERS = "|".join(KINDS[k] for k in ("date", "ssn", "ip", "phone"))
+_FORMS = r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?!\d)|\d{4}[ -]\d{6}[ -]\d{5}(?!\d)|\d{13,19}(?!\d)"
+_SEP = f"[ -](?!{_OTHERS})"
+#: A chain of four groups of four or more, after which 6-5 can follow; another form; or digits to 19 up to where a form or another kind begins.
+KINDS["card"] = (
+    rf"(?<!\d)(?:\d{{4}}(?:{_SEP}\d{{4}}(?!\d)){{3,}}+(?:{_SEP}\d{{6}}{_SEP}\d{{5}}(?!\d))?|\d{{4}}{_SEP}\d{{6}}{_SEP}\d{{5}}(?!\d)|\d{{13,19}}(?!\d)"
+    rf"|\d(?:(?![ -](?:{_FORMS}|{_OTHERS}))[ -]?\d){{12,18}}(?!\d))"
+)
 PATTERN = f"(?=[0-9+(])(?:{'|'.join(p for k, p in KINDS.items() if k != 'email')})|{KINDS['email']}"
 
-#: Card numbers at separators inside of a run, one at most for each place.
-CARD_IN_RUN = r"(?<!\d)(?=(\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d))"
+#: Card numbers at separators of a chain, one for each place where one can begin, and the length of the last of them if it isn't of groups of four.
+CARD_IN_CHAIN, LAST_LENGTH = r"(?<!\d)(?=(\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d))", 17
+LONGEST_CARD = 19
 
 ROUNDS = 8
 #: A run is read otherwise about once in ten times, so this many are never needed.
@@ -125,15 +136,36 @@ class Permuter:
         return let("d", letters(m, "[^0-9]"), f"if({luhn('d', 1)} % 10 = 0, {moved}, NULL)")
 
     def card_hit(self) -> str:
-        """The hit of a card's match: all of it, or else the first valid number in it; `at` and `size` say where."""
+        """The hit of a card's match: all of it, or in a longer chain the cards from place to place."""
+        short = let("y", self.card(), hit_of("'card'", "y"))
+        found = let("out", self._cards_of_chain(), f"if(size(out) > 0, {self._chain_hit()}, {hit_of(chr(39) + 'card' + chr(39), 'NULL')})")
+        return f"if(length(regexp_replace(m, r'[^0-9]', '')) > {LONGEST_CARD}, {found}, {short})"
+
+    def _chain_hit(self) -> str:
+        """The hit of a chain with cards `out` in it."""
+        gap = "substring(m, if(i = 0, 1, out[i - 1].at + out[i - 1].size + 1), out[i].at - if(i = 0, 0, out[i - 1].at + out[i - 1].size))"
+        whole = f"concat(array_join(transform(out, (o, i) -> concat({gap}, o.card)), ''), substring(m, element_at(out, -1).at + element_at(out, -1).size + 1))"
+        return hit_of("'card'", whole, "transform(out, o -> named_struct('at', o.at, 'size', o.size, 'valid', true))")
+
+    def _cards_of_chain(self) -> str:
+        """(at, size, card) of each card of a chain and its pseudonym: the first valid one from the place on where the last one ended.
+
+        `near` are the last places before a card where one could begin, and none was valid:
+        none may be with the new digits, or the chain would be read otherwise. They end within the card.
+        """
         valid = lambda text: let("d", letters(text, "[^0-9]"), f"{luhn('d', 1)} % 10 = 0")
-        inside = lambda text: f"get(filter(regexp_extract_all({text}, r'{CARD_IN_RUN}', 1), u -> {valid('u')}), 0)"
-        same = let("run", "overlay(m PLACING y FROM at)", f"NOT {valid('run')} AND locate({inside('run')}, run) = at")
-        step = f"if(z.done, z, {let('y', self.card('z.card'), f'named_struct({chr(39)}card{chr(39)}, y, {chr(39)}done{chr(39)}, {same})')})"
-        walked = f"aggregate(sequence(1, {MOST_WALKS}), named_struct('card', sub, 'done', false), (z, q) -> {step}, z -> z.card)"
-        part = let("at", "locate(sub, m)", hit_of("'card'", f"overlay(m PLACING {walked} FROM at)", "at - 1", "length(sub)"))
-        sub = let("sub", inside("m"), f"if(sub IS NULL, {hit_of(chr(39) + 'card' + chr(39), 'NULL')}, {part})")
-        return let("whole", self.card(), f"if(whole IS NOT NULL, {hit_of(chr(39) + 'card' + chr(39), 'whole')}, {sub})")
+        overlaid = "concat(substring(q.card, 1, at - q.at), substring(y, 1, length(q.card) - at + q.at))"
+        read_alike = f"forall(s.near, q -> if(q.at + length(q.card) > at, NOT {valid(overlaid)}, true))"
+        step = f"if(z.done, z, {let('y', self.card('z.card'), f'named_struct({chr(39)}card{chr(39)}, y, {chr(39)}done{chr(39)}, {read_alike})')})"
+        walked = f"aggregate(sequence(1, {MOST_WALKS}), named_struct('card', u, 'done', false), (z, q) -> {step}, z -> z.card)"
+        none = "cast(array() AS array<struct<at:int,size:int,card:string>>)"
+        start = f"named_struct('free', 0, 'out', {none}, 'near', {none})"
+        place = lambda card: f"named_struct('at', at, 'size', length(u), 'card', {card})"
+        taken = f"named_struct('free', at + length(u), 'out', concat(s.out, array({place(walked)})), 'near', {none})"
+        passed = f"named_struct('free', s.free, 'out', s.out, 'near', slice(concat(array({place('u')}), s.near), 1, 3))"
+        one = let("at", f"if(length(u) = {LAST_LENGTH}, length(m) - {LAST_LENGTH}, 5 * i)", f"if(at < s.free, s, if({valid('u')}, {taken}, {passed}))")
+        windows = f"regexp_extract_all(m, r'{CARD_IN_CHAIN}', 1)"
+        return let("w", windows, f"aggregate(sequence(0, size(w) - 1), {start}, (s, i) -> {let('u', 'w[i]', one)}, s -> s.out)")
 
     def email(self) -> str:
         local = refill("b", "[A-Za-z0-9]", self.characters(letters("b", "[^A-Za-z0-9]"), "email"))
@@ -143,9 +175,10 @@ class Permuter:
         return f"if(locate('@', m) <= {LONGEST_LOCAL} + 1 AND length({domain}) <= {LONGEST_DOMAIN}, if({labels}, {moved}, NULL), NULL)"
 
 
-def hit_of(kind: str, new: str, at: str = "0", size: str = "length(m)") -> str:
-    """What is known of a match `m`."""
-    return f"named_struct('kind', {kind}, 'old', m, 'new', cast({new} AS string), 'at', {at}, 'size', {size})"
+def hit_of(kind: str, new: str, parts: str = "") -> str:
+    """What is known of a match `m`: what stands for it, and where in it values are, all of it unless said otherwise."""
+    whole = f"array(named_struct('at', 0, 'size', length(m), 'valid', {new} IS NOT NULL))"
+    return f"named_struct('kind', {kind}, 'old', m, 'new', cast({new} AS string), 'parts', {parts or whole})"
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -182,7 +215,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: boo
     subquery.
     """
     permuter = Permuter("secret", inverse)
-    kind = " ".join(f"WHEN m RLIKE r'^(?:{pattern})$' THEN '{name}'" for name, pattern in KINDS.items())
+    # A card's pattern looks at what is around it, so a card is what is none of the others.
+    kind = " ".join(f"WHEN m RLIKE r'^(?:{pattern})$' THEN '{name}'" for name, pattern in KINDS.items() if name != "card") + " ELSE 'card'"
     new = " ".join(f"WHEN '{name}' THEN {getattr(permuter, name)()}" for name in KINDS if name != "card")
     hit = let("k", f"CASE {kind} END", f"if(k = 'card', {permuter.card_hit()}, {hit_of('k', f'CASE k {new} END')})")
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column of the input clashes
@@ -195,11 +229,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: boo
     whole = F.expr("array_join(transform(gaps, (g, i) -> concat(g, coalesce(get(hits, i).new, get(hits, i).old, ''))), '')")
     before = totals_before(F.expr("transform(hits, (h, i) -> length(get(gaps, i)) + length(h.old))"))
 
-    def span(at: Column, h: Column, i: Column) -> Column:
-        start = (F.get(at, i) + F.length(F.get("gaps", i)) + h["at"]).cast("int")
-        return F.struct(h["kind"].alias("kind"), start.alias("start"), (start + h["size"]).alias("end"), h["new"].isNotNull().alias("was_valid"))
+    def span(at: Column, h: Column, i: Column, part: Column) -> Column:
+        start = (F.get(at, i) + F.length(F.get("gaps", i)) + part["at"]).cast("int")
+        return F.struct(h["kind"].alias("kind"), start.alias("start"), (start + part["size"]).alias("end"), part["valid"].alias("was_valid"))
 
-    spans = bound(before, lambda at: F.transform("hits", lambda h, i: span(at, h, i)))
+    spans = bound(before, lambda at: F.flatten(F.transform("hits", lambda h, i: F.transform(h["parts"], lambda p: span(at, h, i, p)))))
     found, none = F.col("hits").isNotNull(), F.array().cast("array<struct<kind:string,start:int,end:int,was_valid:boolean>>")
     rows = rows.withColumns({"new": F.when(found, whole).otherwise(text), "spans": F.when(found, spans).otherwise(none)})
     out = names | {text_col: "new", "pii": "spans"}
