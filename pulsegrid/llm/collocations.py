@@ -6,17 +6,24 @@ words of a piece, and all counts are those of one language.
 
 1. Local mining. A task takes its texts in shards of about SHARD_BYTES and mines each
    completely, level by level: a run is looked at where both runs that are one word
-   shorter are frequent. A shard with a share w of all bytes lowers the wanted support
-   s to t = ceil(w s). A phrase with s occurrences has its share in one shard at least,
-   so no frequent phrase is missed.
-2. Union. Where a phrase wasn't locally frequent it occurs t - 1 times at most. Its
-   local counts and what the other shards can add bound its count from above, and only
-   phrases whose bound reaches s are candidates. When there are so many shards that t
-   is 1, the bound is the count itself.
-3. Global count. The candidates go to the tasks as a bitmap of fixed size, whatever
-   their number. A second run over the texts counts every run of words whose bits are
-   set, in each shard, and the counts are added up by the phrases themselves. A wrong
-   bit costs a count that is dropped in the end; it changes no result.
+   shorter are frequent. In a shard with a share w of all bytes, the wanted support s is
+   lowered to t = ceil(w s / SLACK). What a phrase can have in shards where it isn't
+   frequent, t - 1 each, is less than s / SLACK in all, so a phrase with s occurrences
+   is frequent in some shard.
+2. Union. A phrase's local counts and what the other shards can add bound its count
+   from above, and only phrases whose bound reaches s are candidates. With SLACK 1, the
+   usual choice, the bound would let nearly everything pass. Phrases are known by their
+   places in a bitmap of 2^FILTER_BITS bits here, a few bytes each, and each task adds
+   up some of its places.
+3. Global count. The candidates go to the tasks as that bitmap, whatever their number.
+   Another run over the texts counts every run of words whose bits are set, in each
+   shard, and the counts are added up by the phrases themselves, in tasks and then over all. Phrases that share a
+   place can make each other a candidate; that costs a count that is dropped in the end, and changes
+   no result.
+
+Steps 1 and 2 are taken in ROUNDS, for words, then for pairs of the words that are left,
+and then for the longer phrases of the pairs that are left. So where there are so
+many shards that t is 1, a shard doesn't name all its phrases.
 
 Scores are taken from exact decimals of 38 digits. A language's list is cut in two
 steps, first in LIST_PARTS parts of the language, so no task sorts a whole language.
@@ -36,6 +43,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +54,12 @@ SUPPORT = 100
 LONGEST = 5
 MOST = 2000
 UNKNOWN = "und"
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 12 << 20
+SLACK = 8
+#: The sizes of phrases that are mined together, from the first to the last.
+ROUNDS = ((1, 1), (2, 2), (3, LONGEST))
+#: Rows of counts that a task adds up before they leave it.
+COMBINED = 1 << 19
 #: Bits of the candidates' bitmap: 16 MB, whatever the number of candidates.
 FILTER_BITS = 27
 #: Parts in which a language's list is cut first, and over which its word count is spread for joining.
@@ -57,7 +70,9 @@ PIECES = r"[.,;:!?\x0A-\x0D]"
 STOPS = separators((0x0A, 0x0D), *((ord(c), ord(c)) for c in ".,;:!?"))
 BLANKS = STOPS | separators((0x09, 0x09), (0x20, 0x20))
 
-MINED = "lang string, phrase string, place long, extra long"
+#: Places are shared out in parts of so many; a row of a shard holds those of one part, in 2 and 4 bytes each.
+PART_BITS = 15
+MINED = "part int, places binary, extra binary, unseen long"
 COUNTED = "lang string, phrase string, size int, n long"
 
 
@@ -74,7 +89,7 @@ class Shard:
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edges[::2], edges[1::2]
         #: The piece that each word lies in; a text's end is a piece's end.
-        self.piece = np.searchsorted(np.flatnonzero(STOPS[chars]), starts)
+        self.piece = np.searchsorted(np.flatnonzero(STOPS[chars]), starts).astype(np.int32)
         offsets = np.concatenate([[0], np.cumsum(ends - starts)])
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(chars[inside[1:-1]])])
         words = words.dictionary_encode()
@@ -84,7 +99,8 @@ class Shard:
         lang = np.repeat(np.array([number[x] for x, _ in texts], dtype=np.int64), of_text)
         self.words_of = np.bincount(lang, minlength=len(self.langs))
         kinds = max(len(words.dictionary), 1)
-        tokens, self.token = np.unique(lang * kinds + words.indices.to_numpy(), return_inverse=True)
+        tokens, token = np.unique(lang * kinds + words.indices.to_numpy(), return_inverse=True)
+        self.token = token.astype(np.int32)
         self.lang, self.text = tokens // kinds, words.dictionary.take(pa.array(tokens % kinds))
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
@@ -92,20 +108,30 @@ class Shard:
         of = lambda x: int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little")
         return np.array([of(x.encode()) for x in self.langs], dtype=np.uint64), np.array([of(x) for x in self.text.to_pylist()], dtype=np.uint64)
 
-    def frequent(self, least: int, seen: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(size, first places, counts, bits in the bitmap) of the runs of words that occur `least` times; of those only that `seen` keeps."""
+    def frequent(self, least: int, seen: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(size, first places, counts, bits in the bitmap) of the runs of words that occur `least` times; of those only that `seen` keeps, by size and bits."""
         lang_hash, word_hash = self.hashes()
-        here = np.arange(len(self.token))
-        now = np.full(len(here) + 1, -1, dtype=np.int64)  # number of the kept run that begins at each place, -1: none
-        for size in range(1, LONGEST + 1):
-            if size > 1:
-                here = here[(here + size - 1 < len(self.token))]
-                here = here[(now[here] >= 0) & (now[here + 1] >= 0)]
-                here = here[self.piece[here] == self.piece[here + size - 1]]
+        n = len(self.token)
+        counts = np.bincount(self.token, minlength=len(self.text))
+        places = np.zeros(len(self.text), dtype=np.int32)
+        places[self.token[::-1]] = np.arange(n, dtype=np.int32)[::-1]
+        bits = self.bits(places, 1, lang_hash, word_hash)
+        good = counts >= least
+        if seen:
+            good &= seen(1, bits)
+        now = np.full(n + 1, -1, dtype=np.int32)  # number of the kept run that begins at each place, -1: none
+        now[:n] = np.where(good, np.cumsum(good) - 1, -1)[self.token]
+        if not good.any():
+            return
+        yield 1, places[good], counts[good], bits[good]
+        here = np.arange(n, dtype=np.int32)
+        for size in range(2, LONGEST + 1):
+            here = here[here + size - 1 < n]
+            here = here[(now[here] >= 0) & (now[here + 1] >= 0)]
+            here = here[self.piece[here] == self.piece[here + size - 1]]
             if seen and len(here):
-                here = here[seen(self.bits(here, size, lang_hash, word_hash))]
-            key = self.token[here] if size == 1 else now[here] * len(self.text) + self.token[here + size - 1]
-            _, first, which, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                here = here[seen(size, self.bits(here, size, lang_hash, word_hash))]
+            _, first, which, counts = np.unique(now[here].astype(np.int64) * len(self.text) + self.token[here + size - 1], return_index=True, return_inverse=True, return_counts=True)
             kept = np.cumsum(counts >= least) - 1
             kept[counts < least] = -1
             now.fill(-1)
@@ -163,61 +189,95 @@ def _rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
 
 
-def mine_shards(rows: DataFrame, total_bytes: int, support: int = SUPPORT) -> DataFrame:
-    """(lang, phrase, place, extra) of every shard's locally frequent phrases.
+def _tester(sent: Broadcast) -> Callable[[np.ndarray], np.ndarray]:
+    """Whether places are set in a bitmap that was sent."""
+    table = np.frombuffer(sent.value, dtype=np.uint8)
+    return lambda place: (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
+def mine_shards(rows: DataFrame, total_bytes: int, support: int = SUPPORT, sizes: tuple[int, int] = (1, LONGEST), shorter: Broadcast | None = None) -> DataFrame:
+    """MINED of every shard's locally frequent phrases of some sizes, made of the candidates among the shorter ones.
 
     `extra` is by how much the local count passes the most that the shard could have
-    had unseen, t - 1. A row without phrase holds a shard's t - 1.
+    had unseen, t - 1. A row without places holds a shard's t - 1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("collocations")
-        names = ["lang", "phrase", "place", "extra"]
+        kept = _tester(shorter) if shorter else None
+        seen = (lambda size, place: kept(place) if size < sizes[0] else np.ones(len(place), dtype=bool)) if kept else None
         for shard in shards(batches):
-            least = -(-support * shard.weight // total_bytes)
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([least - 1], pa.int64())], names=names)
-            for size, places, counts, bits in shard.frequent(least):
-                for at in range(0, len(places), 1 << 18):
-                    part = slice(at, at + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([*shard.phrases(places[part], size), pa.array(bits[part], pa.int64()), pa.array(counts[part] - (least - 1), pa.int64())], names=names)
+            least = local_support(shard.weight, total_bytes, support)
+            place, extra = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for size, _, counts, bits in shard.frequent(least, seen):
+                if size >= sizes[0]:
+                    place.append(bits)
+                    extra.append(np.minimum(counts - (least - 1), support))
+                if size == sizes[1]:
+                    break
+            yield _packed(np.concatenate(place), np.concatenate(extra), least - 1)
 
     return rows.mapInArrow(run, MINED)
 
 
-def candidates(mined: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(lang, phrase, place): the union of what was mined, as far as the counts can reach the support."""
-    unseen = mined.filter("phrase IS NULL").agg(F.sum("extra").alias("n")).head()["n"] or 0
-    union = mined.filter("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.first("place").alias("place"), F.sum("extra").alias("extra"))
-    return union.filter(F.col("extra") + unseen >= support).drop("extra")
+def local_support(weight: int, total: int, support: int) -> int:
+    """What a phrase must have in a shard to be frequent there."""
+    return max(1, -(-support * weight // (SLACK * total)))
+
+
+def _packed(place: np.ndarray, extra: np.ndarray, unseen: int) -> pa.RecordBatch:
+    """A shard's rows of MINED."""
+    order = np.argsort(place)
+    place, extra = place[order], extra[order].astype(np.uint32)
+    parts, first = np.unique(place >> PART_BITS, return_index=True)
+    edges = [*first.tolist(), len(place)]
+    at = (place & ((1 << PART_BITS) - 1)).astype(np.uint16)
+    cut = lambda x: [None, *(x[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False))]
+    columns = [pa.array([None, *parts.tolist()], pa.int32()), pa.array(cut(at), pa.binary()), pa.array(cut(extra), pa.binary()), pa.array([unseen] + [None] * len(parts), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "places", "extra", "unseen"])
 
 
-def bitmap(found: DataFrame) -> np.ndarray:
-    """The candidates' bits, 2^FILTER_BITS of them."""
-    part, at = F.shiftright("place", 15).cast("int"), F.pmod("place", F.lit(1 << 15))
-    parts = found.select(part.alias("part"), at.alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
-    for row in parts.toLocalIterator():  # at most 2^(FILTER_BITS - 15) rows of 4 KB
-        out[row["part"] << 12 : (row["part"] + 1) << 12] = np.frombuffer(row["bits"], dtype=np.uint8)
+def union(mined: DataFrame, support: int = SUPPORT) -> np.ndarray:
+    """The candidates as a bitmap: what was mined, as far as the counts at its place can reach the support."""
+    unseen = mined.agg(F.sum("unseen").alias("n")).head()["n"] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("collocations")
+        part, total = None, np.zeros(1 << PART_BITS, dtype=np.int64)
+        found = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(total + unseen >= support, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+        for batch in batches:
+            for p, places, extra in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if p != part:
+                    if part is not None:
+                        yield found()
+                    part = p
+                    total.fill(0)
+                np.add.at(total, np.frombuffer(places, dtype=np.uint16), np.frombuffer(extra, dtype=np.uint32))
+        if part is not None:
+            yield found()
+
+    parts = mined.filter("part IS NOT NULL").select("part", "places", "extra").repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, bits binary")
+    out, size = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8), 1 << (PART_BITS - 3)
+    for row in parts.collect():  # at most 2^(FILTER_BITS - PART_BITS) rows of 4 KB
+        out[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out
 
 
-def count_candidates(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+def count_candidates(rows: DataFrame, bits: Broadcast) -> DataFrame:
     """(lang, phrase, size, n) of every run of words whose bits are set; with size 0 and no phrase, a language's number of words."""
-    sent = rows.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("collocations")
-        table = np.frombuffer(sent.value, dtype=np.uint8)
-        seen = lambda bit: (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
-        names = ["lang", "phrase", "size", "n"]
+        kept = _tester(bits)
+        seen = lambda size, place: kept(place)
+        held: list[pa.RecordBatch] = []
         for shard in shards(batches):
-            n = len(shard.langs)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.langs, pa.string()), pa.array([""] * n, pa.string()), pa.array([0] * n, pa.int32()), pa.array(shard.words_of, pa.int64())], names=names)
-            for size, places, counts, _ in shard.frequent(1, seen):
-                for at in range(0, len(places), 1 << 18):
-                    part = slice(at, at + (1 << 18))
-                    phrases = shard.phrases(places[part], size)
-                    yield pa.RecordBatch.from_arrays([*phrases, pa.array(np.full(len(phrases[0]), size), pa.int32()), pa.array(counts[part], pa.int64())], names=names)
+            held += _counted(shard, seen)
+            if sum(len(x) for x in held) >= COMBINED:
+                yield from _added(held)
+                held = []
+        if held:
+            yield from _added(held)
 
     return rows.mapInArrow(run, COUNTED).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
 
@@ -226,12 +286,31 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, support: int = SUPPORT,
     """(lang, phrase, size, n), stored: all phrases of 1 to LONGEST words that occur `support` times in a language, counted exactly, and with size 0 each language's number of words."""
     rows = _rows(docs, text_col, lang_col)
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
-    mined = scratch.save(mine_shards(rows, max(total, 1), support), "mined")
-    bits = bitmap(candidates(mined, support))
-    counts = count_candidates(rows, bits).filter((F.col("n") >= support) | (F.col("size") == 0))
-    out = scratch.save(counts, "frequent")
-    scratch.drop("mined")
-    return out
+    send = lambda bits: docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    for sizes in ROUNDS:
+        mined = scratch.save(mine_shards(rows, max(total, 1), support, sizes, send(bits)), f"mined-{sizes[0]}")
+        bits |= union(mined, support)
+        scratch.drop(f"mined-{sizes[0]}")
+    return scratch.save(count_candidates(rows, send(bits)).filter((F.col("n") >= support) | (F.col("size") == 0)), "frequent")
+
+
+def _counted(shard: Shard, seen: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """COUNTED of one shard."""
+    names = ["lang", "phrase", "size", "n"]
+    n = len(shard.langs)
+    yield pa.RecordBatch.from_arrays([pa.array(shard.langs, pa.string()), pa.array([""] * n, pa.string()), pa.array([0] * n, pa.int32()), pa.array(shard.words_of, pa.int64())], names=names)
+    for size, places, counts, _ in shard.frequent(1, seen):
+        for at in range(0, len(places), 1 << 18):
+            part = slice(at, at + (1 << 18))
+            phrases = shard.phrases(places[part], size)
+            yield pa.RecordBatch.from_arrays([*phrases, pa.array(np.full(len(phrases[0]), size), pa.int32()), pa.array(counts[part], pa.int64())], names=names)
+
+
+def _added(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of several shards of a task, one row for each phrase."""
+    found = pa.Table.from_batches(held).group_by(["lang", "phrase", "size"]).aggregate([("n", "sum")])
+    yield from found.select(["lang", "phrase", "size", "n_sum"]).rename_columns(["lang", "phrase", "size", "n"]).combine_chunks().to_batches(max_chunksize=1 << 16)
 
 
 def first_of_each(rows: DataFrame, most: int, key: str, *order: Column) -> DataFrame:

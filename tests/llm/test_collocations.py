@@ -72,7 +72,7 @@ def test_shards_find_every_frequent_phrase(texts, monkeypatch, shard_bytes):
     total, support = sum(len(t.encode()) for _, t in rows), 12
     reached, unseen = Counter(), 0
     for shard in collocations.shards(iter([batch])):
-        least = -(-support * shard.weight // total)
+        least = collocations.local_support(shard.weight, total, support)
         unseen += least - 1
         for size, places, counts, bits in shard.frequent(least):
             assert ((0 <= bits) & (bits < 1 << collocations.FILTER_BITS)).all() and (counts >= least).all()
@@ -85,7 +85,11 @@ def test_shards_find_every_frequent_phrase(texts, monkeypatch, shard_bytes):
             langs, phrases = shard.phrases(places, size)
             for k, c in zip(zip(langs.to_pylist(), phrases.to_pylist(), strict=True), counts.tolist(), strict=True):
                 exact[k] += c
-    assert unseen < support
+    assert unseen < support / collocations.SLACK
+    import numpy as np
+
+    packed = collocations._packed(np.array([5, 1 << 20, 7, 5]), np.array([3, 1, 2, 4]), 6).to_pylist()
+    assert [(r["part"], r["unseen"]) for r in packed] == [(None, 6), (0, None), (32, None)] and np.frombuffer(packed[1]["places"], np.uint16).tolist() == [5, 5, 7]
     assert all(reached[k] + unseen >= c for k, c in exact.items())
     assert {k for k, c in exact.items() if c >= support} <= set(reached)
 
