@@ -60,9 +60,11 @@ def stream_accounting(spark, sf_dir):
     name = F.when(F.col("event_id") % 11 == 2, F.concat("event_type", F.lit(" x"))).otherwise(F.col("event_type"))
     runner = flows.IngestRunner(path, tenant=_tenant(), refuse=F.unix_micros("ts") >= LAST_DAY)
     flows.stream_ingest(_stream_of(spark, _json_batches(spark, sf_dir, name), FILES), runner, f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    counts = spark.read.parquet(f"{path}/counts").agg(*(F.sum(c).alias(c) for c in ("ingested", "stored", "invalid", "failed", "refused")))
-    rows = lambda kept: spark.read.parquet(f"{path}/{kept}").agg(F.count("*").alias(f"rows_{kept}"))
-    return counts.crossJoin(rows("samples")).crossJoin(rows("rejected")).crossJoin(rows("refused"))
+    counts = F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).alias("n")) for c in ("ingested", "stored", "invalid", "failed", "refused")))
+    out = spark.read.parquet(f"{path}/counts").select(F.explode(counts).alias("c")).groupBy("c.what").agg(F.sum("c.n").alias("n"))
+    for kept in ("samples", "rejected", "refused"):
+        out = out.unionByName(spark.read.parquet(f"{path}/{kept}").agg(F.count("*").alias("n")).withColumn("what", F.lit(f"rows of {kept}")))
+    return out
 
 
 def stream_dedup(spark, sf_dir):
@@ -168,7 +170,8 @@ ORACLE_SQL = {
 WITH e AS (SELECT *, user_id % 7 BETWEEN 1 AND 3 AS broken, event_id % 11 = 2 AS faulty, epoch_us(ts) >= {LAST_DAY} AS kept_out FROM events),
 g AS (SELECT count(*) FILTER (WHERE NOT broken) AS ingested, count(*) FILTER (WHERE NOT broken AND NOT faulty AND NOT kept_out) AS stored, count(*) FILTER (WHERE NOT broken AND faulty) AS invalid,
     count(*) FILTER (WHERE NOT broken AND NOT faulty AND kept_out) AS failed, count(DISTINCT CASE WHEN broken THEN user_id || '|' || CAST(ts AS DATE) END) AS refused FROM e)
-SELECT *, stored AS rows_samples, invalid + failed AS rows_rejected, refused AS rows_refused FROM g""",
+SELECT unnest(['ingested', 'stored', 'invalid', 'failed', 'refused', 'rows of samples', 'rows of rejected', 'rows of refused']) AS what,
+       unnest([ingested, stored, invalid, failed, refused, stored, invalid + failed, refused]) AS n FROM g""",
     "stream_dedup": "SELECT event_id, round(value, 6) AS value, epoch_us(ts) AS us FROM events",
     "stream_live": f"""WITH {SAMPLES} SELECT client, name, 'gauge' AS type, round(value, 6) AS value, us, key AS labels
 FROM samples JOIN (VALUES ('all', NULL), ('a', 't0'), ('b', 't1')) c(client, t) ON t IS NULL OR t = tenant""",

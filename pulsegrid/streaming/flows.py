@@ -70,8 +70,7 @@ class IngestRunner:
             self._keep(samples.filter("error IS NOT NULL OR failed"), "rejected", number)
             broken = lines.filter("error IS NOT NULL").drop("batch")
             self._keep(broken, "refused", number)
-            counts = ingest.ingest_accounting(samples, F.col("failed")).crossJoin(broken.agg(F.count("*").alias("refused")))  # a row each
-            self._keep(counts, "counts", number)
+            self._keep(ingest.ingest_accounting(samples, F.col("failed")).withColumn("refused", F.lit(broken.count()).cast("long")), "counts", number)
         finally:
             samples.unpersist()
             lines.unpersist()
