@@ -263,23 +263,68 @@ def union(mined: DataFrame, support: int = SUPPORT) -> np.ndarray:
     return out
 
 
-def count_candidates(rows: DataFrame, bits: Broadcast) -> DataFrame:
-    """(lang, phrase, size, n) of every run of words whose bits are set; with size 0 and no phrase, a language's number of words."""
+def count_candidates(rows: DataFrame, bits: Broadcast, support: int = SUPPORT) -> DataFrame:
+    """(lang, phrase, size, n) of the runs of words whose bits are set and that occur `support` times; with size 0 and no phrase, a language's number of words.
+
+    Counts leave a task by parts of the bitmap, a row for each, and the parts are added up one after the other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("collocations")
         kept = _tester(bits)
         seen = lambda size, place: kept(place)
-        held: list[pa.RecordBatch] = []
+        held: list[pa.Table] = []
         for shard in shards(batches):
             held += _counted(shard, seen)
             if sum(len(x) for x in held) >= COMBINED:
-                yield from _added(held)
+                yield _by_part(_added(held))
                 held = []
         if held:
-            yield from _added(held)
+            yield _by_part(_added(held))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("collocations")
+        yield from _sums(batches, support)
+
+    parts = rows.mapInArrow(run, "part int, lang array<string>, phrase array<string>, size array<int>, n array<long>")
+    return parts.repartition("part").sortWithinPartitions("part").mapInArrow(add, COUNTED)
+
+
+#: Columns of a task's counts.
+COUNTS = ["lang", "phrase", "size", "n"]
+KEYS = ["part", "lang", "phrase", "size"]
+
+
+def _counted(shard: Shard, seen: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[pa.Table]:
+    """(part, lang, phrase, size, n) of one shard."""
+    table = lambda part, langs, phrases, size, n: pa.table({"part": pa.array(part, pa.int32()), "lang": langs, "phrase": phrases, "size": pa.array(np.full(len(n), size), pa.int32()), "n": pa.array(n, pa.int64())})
+    yield table(np.zeros(len(shard.langs)), pa.array(shard.langs, pa.string()), pa.array([""] * len(shard.langs), pa.string()), 0, shard.words_of)
+    for size, places, counts, bits in shard.frequent(1, seen):
+        for at in range(0, len(places), 1 << 18):
+            some = slice(at, at + (1 << 18))
+            yield table(bits[some] >> PART_BITS, *shard.phrases(places[some], size), size, counts[some])
 
-    return rows.mapInArrow(run, COUNTED).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+
+def _added(held: list[pa.Table]) -> pa.Table:
+    """Counts of one phrase added up."""
+    found = pa.concat_tables(held).group_by(KEYS).aggregate([("n", "sum")])
+    return found.select([*KEYS, "n_sum"]).rename_columns([*KEYS, "n"]).combine_chunks()
+
+
+def _by_part(table: pa.Table) -> pa.RecordBatch:
+    """A row for each part, with lists of what is in it."""
+    table = table.sort_by("part").combine_chunks()
+    parts, first = np.unique(table["part"].to_numpy(), return_index=True)
+    offsets = pa.array(np.append(first, len(table)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, table[c].combine_chunks()) for c in COUNTS]
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *lists], names=["part", *COUNTS])
+
+
+def _flat(batch: pa.RecordBatch) -> pa.Table:
+    """The rows of such lists."""
+    sizes = pc.list_value_length(batch.column(1)).to_numpy()
+    part = pa.array(np.repeat(batch.column(0).to_numpy(), sizes), pa.int32())
+    return pa.table({"part": part} | {c: batch.column(i + 1).flatten() for i, c in enumerate(COUNTS)})
 
 
 def frequent_phrases(docs: DataFrame, scratch: Scratch, support: int = SUPPORT, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -292,25 +337,22 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, support: int = SUPPORT,
         mined = scratch.save(mine_shards(rows, max(total, 1), support, sizes, send(bits)), f"mined-{sizes[0]}")
         bits |= union(mined, support)
         scratch.drop(f"mined-{sizes[0]}")
-    return scratch.save(count_candidates(rows, send(bits)).filter((F.col("n") >= support) | (F.col("size") == 0)), "frequent")
+    return scratch.save(count_candidates(rows, send(bits), support), "frequent")
 
 
-def _counted(shard: Shard, seen: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """COUNTED of one shard."""
-    names = ["lang", "phrase", "size", "n"]
-    n = len(shard.langs)
-    yield pa.RecordBatch.from_arrays([pa.array(shard.langs, pa.string()), pa.array([""] * n, pa.string()), pa.array([0] * n, pa.int32()), pa.array(shard.words_of, pa.int64())], names=names)
-    for size, places, counts, _ in shard.frequent(1, seen):
-        for at in range(0, len(places), 1 << 18):
-            part = slice(at, at + (1 << 18))
-            phrases = shard.phrases(places[part], size)
-            yield pa.RecordBatch.from_arrays([*phrases, pa.array(np.full(len(phrases[0]), size), pa.int32()), pa.array(counts[part], pa.int64())], names=names)
-
-
-def _added(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of several shards of a task, one row for each phrase."""
-    found = pa.Table.from_batches(held).group_by(["lang", "phrase", "size"]).aggregate([("n", "sum")])
-    yield from found.select(["lang", "phrase", "size", "n_sum"]).rename_columns(["lang", "phrase", "size", "n"]).combine_chunks().to_batches(max_chunksize=1 << 16)
+def _sums(batches: Iterator[pa.RecordBatch], support: int) -> Iterator[pa.RecordBatch]:
+    """COUNTED that reach the support, of lists in the order of their parts; about COMBINED rows and the phrases of one part are held."""
+    held: list[pa.Table] = []
+    good = (pc.field("n") >= support) | (pc.field("size") == 0)
+    for batch in batches:
+        held.append(_flat(batch))
+        if sum(len(x) for x in held) >= COMBINED:
+            # The last part may go on in the next batch.
+            table, last = _added(held), batch.column(0)[-1]
+            yield from table.filter((pc.field("part") != last) & good).select(COUNTS).to_batches()
+            held = [table.filter(pc.field("part") == last)]
+    if held:
+        yield from _added(held).filter(good).select(COUNTS).to_batches()
 
 
 def first_of_each(rows: DataFrame, most: int, key: str, *order: Column) -> DataFrame:

@@ -107,3 +107,23 @@ def test_odd_tables(spark, texts):
 def test_scores_are_exact_beyond_64_bits(spark):
     got = spark.sql("SELECT (cast(1234567890123 AS decimal(19,0)) * cast(98765432109876 AS decimal(19,0)) * 1000) div (cast(1234567890124 AS decimal(19,0)) * cast(12345678901 AS decimal(19,0))) AS x").head()["x"]
     assert got == (1234567890123 * 98765432109876 * 1000) // (1234567890124 * 12345678901)
+
+
+@pytest.mark.parametrize("combined", [1, 40, 1 << 19])
+def test_counts_of_parts_are_added_up(monkeypatch, combined):
+    """However few rows are held at a time, and over however many batches a part goes."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(collocations, "COMBINED", combined)
+    rng = random.Random(1)
+    rows = [(part, rng.choice(["de", "en"]), f"p{part} {rng.randrange(9)}", 2, rng.randrange(1, 50)) for part in range(12) for _ in range(rng.randrange(1, 60))] + [(0, "de", "", 0, 3), (0, "de", "", 0, 4)]
+    columns = [*collocations.KEYS, "n"]
+    table = lambda some: pa.table({c: pa.array([r[i] for r in some], t) for i, (c, t) in enumerate(zip(columns, (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True))})
+    tasks = [collocations._by_part(collocations._added([table(rows[n::3])])) for n in range(3)]
+    lists = sorted((r for t in tasks for r in t.to_pylist()), key=lambda r: r["part"])
+    batches = [pa.RecordBatch.from_pylist(lists[n : n + 5], schema=tasks[0].schema) for n in range(0, len(lists), 5)]
+    got = sorted(tuple(r.values()) for b in collocations._sums(iter(batches), 100) for r in b.to_pylist())
+    exact = Counter()
+    for _, *key, n in rows:
+        exact[tuple(key)] += n
+    assert got == sorted((*k, n) for k, n in exact.items() if n >= 100 or k[2] == 0)
