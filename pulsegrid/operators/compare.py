@@ -23,29 +23,27 @@ ALPHA = 0.05
 KEY = ["name", "unit"]
 
 
-def median_spread(measurements: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, median, spread): spread is half the range in per cent of the median; 0 for one value or a median of 0."""
+def median_spread(measurements: DataFrame, keys: list[str], wide: bool | None = None) -> DataFrame:
+    """(keys, n, median, spread): spread is half the range in per cent of the median; 0 for one value or a median of 0.
+
+    `wide` says whether a group can be large, and is found out if not given.
+    """
     counts = measurements.groupBy(*keys, "value").agg(F.count("value").alias("_n"))
-    middle = {"_left": F.floor((F.col("_all") - 1) / 2), "_right": F.floor(F.col("_all") / 2)}
-    found = ranks.at_places(counts, keys, middle, ranks.is_wide(measurements, keys))
-    ends = measurements.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    last = F.col("_all") - 1
+    places = {"_left": F.floor(last / 2), "_right": F.floor(F.col("_all") / 2), "low": F.lit(0), "high": last}
+    found = ranks.at_places(counts, keys, places, ranks.is_wide(measurements, keys) if wide is None else wide)
     # The middle value, or the mean of both middle ones.
-    rows = found.join(ends, same).withColumns({"n": F.col("_all"), "median": F.col("_left") / 2 + F.col("_right") / 2})
+    rows = found.withColumns({"n": F.col("_all"), "median": F.col("_left") / 2 + F.col("_right") / 2})
     spread = F.when((F.col("n") < 2) | (F.col("median") == 0), 0.0).otherwise((F.col("high") - F.col("low")) / 2 / F.abs("median") * 100)
     return rows.select(*keys, "n", "median", spread.alias("spread"))
 
 
-def _ranked(measurements: DataFrame, *more: Column) -> DataFrame:
+def _ranked(measurements: DataFrame, *more: Column, wide: bool | None = None) -> DataFrame:
     """(KEY, value, rank, tied, more): each value of a quantity once, with the average rank of all that share it; `more` are aggregates of those."""
     counts = measurements.groupBy(*KEY, "value").agg(F.count("*").alias("_n"), *more)
-    wide = ranks.is_wide(measurements, KEY)
-    found = ranks.cumulative(counts, KEY, wide)
+    found = ranks.cumulative(counts, KEY, ranks.is_wide(measurements, KEY) if wide is None else wide)
     rank = F.col("_upto") - (F.col("_n") - 1) / 2
-    found = found.select(*KEY, "value", rank.alias("rank"), F.col("_n").alias("tied"))
-    if not more:
-        return found
-    return _with_values(counts.drop("_n"), found, "inner")
+    return found.withColumn("rank", rank).withColumnRenamed("_n", "tied").drop("_upto", "_all")
 
 
 def _with_values(rows: DataFrame, ranked: DataFrame, how: str) -> DataFrame:
@@ -96,10 +94,10 @@ def _p_values(n1: pd.Series, n2: pd.Series, u: pd.Series, ties: pd.Series) -> pd
     return pd.DataFrame([p_value(int(a), int(b), float(x), float(t)) for a, b, x, t in zip(n1, n2, u, ties, strict=True)], columns=["p", "method"])
 
 
-def mann_whitney(measurements: DataFrame, old: str, new: str) -> DataFrame:
+def mann_whitney(measurements: DataFrame, old: str, new: str, wide: bool | None = None) -> DataFrame:
     """(name, unit, n1, n2, u, ties, p, method) for each quantity of either run."""
     of = lambda run: F.count(F.when(F.col("run") == run, True))
-    ranked = _ranked(measurements.filter(F.col("run").isin(old, new)), of(old).alias("_old"), of(new).alias("_new"))
+    ranked = _ranked(measurements.filter(F.col("run").isin(old, new)), of(old).alias("_old"), of(new).alias("_new"), wide=wide)
     t = F.col("tied").cast("double")
     rows = ranked.groupBy(*KEY).agg(
         F.sum("_old").alias("n1"),
@@ -119,9 +117,11 @@ def percent_delta(old: Column, new: Column) -> Column:
 
 def compare_runs(measurements: DataFrame, old: str, new: str, alpha: float = ALPHA) -> DataFrame:
     """One row for each quantity: both medians, spreads and counts, delta, p, method, significant, and `side`: both, old or new."""
-    stats = median_spread(measurements.filter(F.col("run").isin(old, new)), [*KEY, "run"])
+    # Where no quantity is large, none is in one run.
+    wide = ranks.is_wide(measurements, KEY)
+    stats = median_spread(measurements.filter(F.col("run").isin(old, new)), [*KEY, "run"], wide)
     of = lambda run, p: stats.filter(F.col("run") == run).select(*KEY, *(F.col(c).alias(f"{p}_{c}") for c in ("n", "median", "spread")))
-    both = of(old, "old").join(of(new, "new"), KEY, "full").join(mann_whitney(measurements, old, new).select(*KEY, "p", "method"), KEY)
+    both = of(old, "old").join(of(new, "new"), KEY, "full").join(mann_whitney(measurements, old, new, wide).select(*KEY, "p", "method"), KEY)
     side = F.when(F.col("old_n").isNull(), "new").when(F.col("new_n").isNull(), "old").otherwise("both")
     paired = side == "both"
     return both.select(

@@ -39,8 +39,9 @@ def is_wide(rows: DataFrame, keys: list[str]) -> bool:
 
 
 def _levels(counts: DataFrame, keys: list[str], value: str) -> dict[int, DataFrame]:
-    """For each of LEVELS, (_k, _p, _n): how many values have each prefix; for the last, `_v` too, the value."""
-    level = counts.select(F.struct(*keys).alias("_k"), order_bits(value).alias("_p"), "_n", F.col(value).alias("_v"))
+    """For each of LEVELS, (_k, _p, _n): how many values have each prefix; for the last, `_v` too, the value and more columns."""
+    more = [c for c in counts.columns if c not in (*keys, value, "_n")]
+    level = counts.select(F.struct(*keys).alias("_k"), order_bits(value).alias("_p"), "_n", F.struct(F.col(value).alias("value"), *more).alias("_v"))
     out = {LEVELS[-1]: level}
     for bits in reversed(LEVELS[:-1]):
         level = level.groupBy("_k", F.shiftright("_p", 16).alias("_p")).agg(F.sum("_n").alias("_n"))
@@ -54,18 +55,19 @@ def _below(level: DataFrame) -> DataFrame:
 
 
 def cumulative(counts: DataFrame, keys: list[str], wide: bool, value: str = "value") -> DataFrame:
-    """(keys, value, _n, _upto, _all) from counted values (keys, value, _n): how many of the group are up to each, and in all."""
+    """Counted values (keys, value, _n and more columns) with `_upto` and `_all`: how many of the group are up to each, and in all."""
     if not wide:
         whole = Window.partitionBy(*keys)
         upto = F.sum("_n").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-        return counts.select(*keys, value, "_n").withColumns({"_upto": upto, "_all": F.sum("_n").over(whole)})
+        return counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(whole)})
     levels = _levels(counts, keys, value)
     running = lambda *by: F.sum("_n").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
     above = levels[LEVELS[0]].withColumns({"_upto": running("_k"), "_all": F.sum("_n").over(Window.partitionBy("_k"))})
     for bits in LEVELS[1:]:
         above = above.select("_k", F.col("_p").alias("_above"), (F.col("_upto") - F.col("_n")).alias("_before"), "_all")
         above = _below(levels[bits]).join(above, ["_k", "_above"]).withColumn("_upto", F.col("_before") + running("_k", "_above"))
-    return above.select("_k.*", F.col("_v").alias(value), "_n", "_upto", "_all")
+    more = [F.col(f"_v.{c}") for c in counts.columns if c not in (*keys, value, "_n")]
+    return above.select("_k.*", F.col("_v.value").alias(value), "_n", *more, "_upto", "_all")
 
 
 def at_places(counts: DataFrame, keys: list[str], places: dict[str, Column], wide: bool, value: str = "value") -> DataFrame:
@@ -84,4 +86,4 @@ def at_places(counts: DataFrame, keys: list[str], places: dict[str, Column], wid
         found = level.join(found, on).withColumn("_upto", upto).filter((F.col("_place") < F.col("_upto")) & (F.col("_place") >= F.col("_upto") - F.col("_n")))
         left = (F.col("_place") - F.col("_upto") + F.col("_n")).alias("_place")
         found = found.select("_k", "_all", "_name", left, F.col("_p").alias("_above"), *(["_v"] if bits == LEVELS[-1] else []))
-    return found.groupBy("_k", "_all").agg(*(F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in places)).select("_k.*", "_all", *places)
+    return found.groupBy("_k", "_all").agg(*(F.max(F.when(F.col("_name") == name, F.col("_v.value"))).alias(name) for name in places)).select("_k.*", "_all", *places)
