@@ -14,7 +14,8 @@ Two kinds of spans are added by that verdict, over the value alone: `live` and
 Null texts count as empty and have no spans. A null owner or repository counts as one
 unknown owner or repository. Rows that repeat are scanned each; they add no owners. An
 empty table gives an empty result. Only the named columns are read, so others can have
-any names.
+any names. A value that a large part of all candidates has meets its verdict without a
+shuffle, any other by its hash.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ LEAST_VALUE = 8
 
 #: A value that more owners, or more repositories of whatever owners, than these carry is an example.
 MOST_OWNERS, MOST_REPOSITORIES = 1, 100
+#: Values with more than this part of all candidates meet their verdict by broadcast; there are fewer than HOT_SHARE of them.
+HOT_SHARE = 1000
 #: Live-looking: at least so long, with so many different characters, and both letters and digits.
 LIVE_LENGTH, LIVE_CHARACTERS = 16, 8
 
@@ -102,6 +105,18 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.sum("uses").alias("n_uses"))
 
 
+def with_ownership(candidates: DataFrame, owned: DataFrame) -> DataFrame:
+    """candidates.join(owned, "hash"), without moving the candidates of a hot hash.
+
+    All uses add up to the number of candidates, so fewer than HOT_SHARE hashes can have
+    more than that share of them, at any size of the corpus.
+    """
+    share = F.lit((owned.agg(F.sum("n_uses").alias("n")).head()["n"] or 0) // HOT_SHARE)
+    hot, rest = owned.filter((F.col("n_uses") > share) & (F.col("n_uses") > 1)), owned.filter((F.col("n_uses") <= share) | (F.col("n_uses") <= 1))
+    cold = candidates.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(rest, "hash")
+    return candidates.join(F.broadcast(hot), "hash").unionByName(cold)
+
+
 def scan_secrets(
     docs: DataFrame,
     owner_col: str,
@@ -141,7 +156,7 @@ def scan_secrets(
     )
     owned = scratch.save(ownership(each), "owned")
     copied = (F.col("n_owners") > most_owners) | (F.col("n_repositories") > most_repositories)
-    judged = each.join(owned, "hash").withColumn("verdict", F.when(copied, KINDS.index("example")).when(F.col("looks_live"), KINDS.index("live")))
+    judged = with_ownership(each, owned).withColumn("verdict", F.when(copied, KINDS.index("example")).when(F.col("looks_live"), KINDS.index("live")))
     of = lambda start, kind: F.struct(start.alias("start"), kind.cast("int").alias("kind"), F.col("end"), F.col("hash"), F.col("n_owners"), F.col("n_repositories"))
     both = F.array(of(F.col("start"), F.col("kind")), F.when(F.col("verdict").isNotNull(), of(F.col("value_start"), F.col("verdict"))))
     # One value can be found by two kinds; its verdict is one span. A set of spans is hashed, distinct elements of an array are compared in pairs.
