@@ -26,7 +26,7 @@ _BSD_THIRD = """
 _BSD_TAIL = """
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
-#: (licence, text); several texts can name one licence. The SQL knows these; the scan also those below.
+#: (licence, text); several texts can name one licence.
 LICENCES = [
     ("MIT", "MIT License\n\n" + _MIT_BODY),
     ("MIT", _MIT_BODY),
@@ -72,15 +72,19 @@ HEADERS = [
 
 #: Licences whose entire text is a file of the folder texts.
 ENTIRE = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
-_END = "END OF TERMS AND CONDITIONS"
+END = "END OF TERMS AND CONDITIONS"
+
+
+def entire_files() -> list[tuple[str, str]]:
+    """(licence, text) of the files as they are."""
+    return [(name, pkgutil.get_data(__package__, f"texts/{name}.txt").decode()) for name in ENTIRE]
 
 
 def entire_texts() -> list[tuple[str, str]]:
     """(licence, text) of the files: all of each, and without the appendix where the terms have an end; that line may be missing too."""
     out = []
-    for name in ENTIRE:
-        text = pkgutil.get_data(__package__, f"texts/{name}.txt").decode()
-        terms, end, _ = text.partition(_END)
+    for name, text in entire_files():
+        terms, end, _ = text.partition(END)
         out += [(name, text), (name, terms + end), (name, terms)] if end else [(name, text)]
     return out
 

@@ -7,9 +7,9 @@ begins a line with the word copyright stays. The digest of an entire canonical t
 known licences; so is that of each entire line, which finds one-line notices. Nothing
 is compared but digests of entire units, so a licence inside a longer line isn't found.
 
-The known licences are a table of any size: the join is an equi-join, broadcast only
-where Spark finds the table small. A unit that no licence has leaves at the join, so
-only hits are shuffled and gathered per document. The built-in list has entire texts of
+The known licences are a table of any size. Their digests are stored and counted: up to
+MOST_BROADCAST of them go to every task, so that only hits are shuffled and gathered per
+document; more meet the units by an equi-join, with the same result. The built-in list has entire texts of
 MIT, ISC, BSD and the files in the folder texts; AGPL and CC licences other than CC0
 are known by one-line notices only.
 
@@ -23,18 +23,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.licence_texts import HEADERS, LICENCES, SPELLINGS, entire_texts
+from pulsegrid.llm.common import Scratch
+from pulsegrid.llm.licence_texts import END, HEADERS, LICENCES, SPELLINGS, entire_files, entire_texts
 
-#: The SQL's rule. It also takes lines of running text, so wrapped texts differ there.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$"
 #: What follows the word where it is part of a sentence or a heading.
-_RUNNING = r"(?![ \t]+(?i:notices?|holders?|owners?|owned|laws?|treat(?:y|ies)|acts?|licen[cs]es?|statements?|interests?|protections?|permissions?|directives?|office|infringements?|rights?|status|disclaimers?|and|or|in|on|of|to|is|are|as|for|if|under|that|with)\b)"
+_SENTENCE = r"[ \t]+(?i:notices?|holders?|owners?|owned|laws?|treat(?:y|ies)|acts?|licen[cs]es?|statements?|interests?|protections?|permissions?|directives?|office|infringements?|rights?|status|disclaimers?|and|or|in|on|of|to|is|are|as|for|if|under|that|with)\b"
+_RUNNING = rf"(?!{_SENTENCE})"
 _YEAR = r"[^\n]*(?<!\d)(?:19|20)\d\d(?!\d)"
 #: A line that states a copyright: by a year, a sign, a placeholder or a name after the word.
 STATEMENT = (
     rf"(?m)^[ \t]*(?:(?i:copyright\b{_RUNNING}|\(c\)){_YEAR}|(?i:copyright[ \t:,]*(?:\(c\)|©|[<\[{{]))|(?i:\(c\)[ \t]*(?:copyright\b|[<\[{{]))|©"
     rf"|(?:Copyright|COPYRIGHT)\b{_RUNNING}[ \t:,]+(?:[Bb]y[ \t]+)?[A-Z]|(?i:all rights reserved)[.!]?[ \t]*$)[^\n]*$"
 )
+#: Digests that are broadcast, about 150 bytes each.
+MOST_BROADCAST = 100_000
 #: In lower case; line ends stay.
 SIGNS = r"[^a-z0-9\x{80}-\x{10FFFF}\n]+"
 
@@ -72,6 +74,8 @@ def known_licences(spark: SparkSession) -> DataFrame:
 def scan_licences(docs: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, licence (of the entire text, or null), notices (of entire lines, sorted), n_lines (lines that are notices)."""
     known = licences.select("licence", canonical(F.col("text")).alias("form")).filter("form <> ''").select("licence", digest(F.col("form")).alias("digest")).distinct()
+    known = Scratch(docs.sparkSession, "licences").save(known, "known")
+    known = F.broadcast(known) if known.count() <= MOST_BROADCAST else known
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     lines = F.split(canonical_lines(F.col("text")), r" *\n[ \n]*")
     lines = F.transform(lines, lambda x: F.struct(F.lit("line").alias("kind"), F.trim(x).alias("form")))
@@ -92,27 +96,44 @@ def scan_licences(docs: DataFrame, licences: DataFrame, id_col: str = "doc_id",
 
 
 def oracle_sql() -> str:
-    """The same over table documents, in DuckDB's SQL."""
+    """The same over table documents, in DuckDB's SQL.
+
+    Its patterns can't look ahead or behind. So a mark goes before the word copyright where a
+    sentence follows it, and each line is then searched for one that starts a statement.
+    """
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    ends = r"[\r\x{85}\x{2028}\x{2029}]"  # where a line begins for Spark's patterns but not for these
+    sentence = rf"(?i)(^|{ends})([ \t]*)(copyright)({_SENTENCE})"
+    year = r"(?:19|20)[0-9][0-9](?:[^0-9]|$)"
+    statement = (
+        rf"(^|{ends})[ \t]*(?:(?i:copyright)\b.*[^0-9]{year}|(?i:\(c\))(?:.*[^0-9])?{year}|(?i:copyright)[ \t:,]*(?:\([cC]\)|©|[<\[{{])"
+        rf"|(?i:\(c\))[ \t]*(?:(?i:copyright)\b|[<\[{{])|©|(?:Copyright|COPYRIGHT)\b[ \t:,]+(?:[Bb]y[ \t]+)?[A-Z]|(?i:all rights reserved)[.!]?[ \t]*(?:$|{ends})).*$"
+    )
 
-    def lines(text: str) -> str:
-        out = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), {quote(COPYRIGHT_LINE)}, '', 'g'), {quote(SIGNS)}, ' ', 'g')"
+    def spelt(text: str) -> str:
         for variant, to in SPELLINGS:
-            out = f"replace({out}, {quote(variant)}, {quote(to)})"
-        return out
-
-    values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in LICENCES)
-    entire = r"trim(regexp_replace(form, '[ \n]+', ' ', 'g'))"
+            text = f"replace({text}, {quote(variant)}, {quote(to)})"
+        return text
+
+    words = rf"regexp_replace(lower(regexp_replace(regexp_replace(x, {quote(sentence)}, '\1\2' || chr(1) || '\3\4', 'g'), {quote('(?s)' + statement)}, '\1')), {quote(SIGNS)}, ' ', 'g')"
+    lines = f"list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {words})"
+    entire = "trim(" + spelt("regexp_replace(array_to_string(ls, ' '), ' +', ' ', 'g')") + ")"
+    values = lambda rows: ", ".join(f"({quote(a)}, {quote(b)})" for a, b in rows)
+    terms = f"split_part(text, {quote(END)}, 1)"
     return rf"""
-WITH known AS (
-    SELECT DISTINCT licence, {entire} AS form FROM (SELECT licence, {lines('text')} AS form FROM (VALUES {values}) v(licence, text))
+WITH files AS (
+    SELECT * FROM (VALUES {values(entire_files())}) v(licence, text)
+), texts AS (
+    SELECT * FROM (VALUES {values(LICENCES + HEADERS)}) v(licence, text) UNION ALL SELECT licence, text FROM files
+    UNION ALL SELECT licence, {terms} FROM files WHERE contains(text, {quote(END)}) UNION ALL SELECT licence, {terms} || {quote(END)} FROM files WHERE contains(text, {quote(END)})
+), known AS (
+    SELECT DISTINCT licence, {entire} AS form FROM (SELECT licence, {lines} AS ls FROM texts)
 ), forms AS (
-    SELECT doc_id, {lines('text')} AS form FROM documents
+    SELECT doc_id, {lines} AS ls FROM documents
 ), whole AS (
     SELECT doc_id, min(licence) AS licence FROM (SELECT doc_id, {entire} AS form FROM forms) JOIN known USING (form) WHERE form <> '' GROUP BY doc_id
 ), parts AS (
-    SELECT doc_id, licence FROM (SELECT doc_id, unnest(list_transform(string_split(form, chr(10)), lambda x: trim(x))) AS form FROM forms)
-    JOIN known USING (form) WHERE form <> ''
+    SELECT doc_id, licence FROM (SELECT doc_id, trim({spelt('x')}) AS form FROM (SELECT doc_id, unnest(ls) AS x FROM forms)) JOIN known USING (form) WHERE form <> ''
 ), notices AS (
     SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(*) AS n_lines FROM parts GROUP BY doc_id
 )
