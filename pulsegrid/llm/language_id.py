@@ -5,8 +5,10 @@ A-Z as a-z, hashed into BUCKETS. Their embeddings are averaged, and a linear lay
 a softmax gives the languages' probabilities. Both layers are trained together by
 stochastic gradient descent in numpy, on a bounded sample of labelled rows: at most
 SAMPLE_ROWS for each of the MOST_LANGUAGES most frequent labels, chosen by a hash of the
-id, as long as their texts add up to SAMPLE_BYTES for a language at most; no text is
-cut, and one that alone makes more than a LARGEST_PART-th of that isn't drawn. A fifth of the sample is
+id, as long as their texts add up to SAMPLE_BYTES for a language at most, and to
+TOTAL_BYTES for all, which languages have equal parts of; no text is cut, and one that
+alone makes more than a LARGEST_PART-th of SAMPLE_BYTES, or more than its language's
+part, isn't drawn. So the driver's memory has a bound that no labels change. A fifth of the sample is
 kept from training and calibrates: a temperature makes probabilities match how often
 they are right, but only ever softens them, as a sample without errors would ask for
 endless sharpness. The rejection threshold lies halfway between chance and the score
@@ -41,7 +43,7 @@ from pyspark.sql import types as T
 from pulsegrid.llm.common import LOWER, as_bytes, chunks, enter
 
 BUCKETS_BITS, WIDTH, GRAMS = 16, 16, (2, 3, 4)
-SAMPLE_ROWS, SAMPLE_BYTES, LARGEST_PART, MOST_LANGUAGES = 400, 4 << 20, 16, 200
+SAMPLE_ROWS, SAMPLE_BYTES, TOTAL_BYTES, LARGEST_PART, MOST_LANGUAGES = 400, 4 << 20, 16 << 20, 16, 200
 EPOCHS, RATE, PIECE_WORDS = 3, 0.5, 40
 REJECTED, UNSEEN = 0.001, 1e-5
 SEED = 77
@@ -119,6 +121,7 @@ def train(samples: list[tuple[bytes, str]], seed: int = SEED) -> Model:
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(samples))
     aside = set(order[: len(samples) // 5].tolist()) if len(samples) >= 10 * len(languages) else set()
+    place = np.min_scalar_type((1 << BUCKETS_BITS) - 1)
     units: list[tuple[np.ndarray, np.ndarray, int]] = []
     shares = np.zeros((1 << BUCKETS_BITS, len(languages)))
     for i, (text, lang) in enumerate(samples):
@@ -133,7 +136,7 @@ def train(samples: list[tuple[bytes, str]], seed: int = SEED) -> Model:
             ids = np.concatenate([*features(b" ".join(words[at : at + PIECE_WORDS])), np.zeros(0, dtype=np.int64)])
             if len(ids):
                 buckets, counts = np.unique(ids, return_counts=True)
-                units.append((buckets, (counts / counts.sum()).astype(np.float32), number[lang]))
+                units.append((buckets.astype(place), (counts / counts.sum()).astype(np.float32), number[lang]))
     embed = rng.normal(0, 0.1, (1 << BUCKETS_BITS, WIDTH)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (WIDTH, len(languages))).astype(np.float32), np.zeros(len(languages), dtype=np.float32)
     steps, step = EPOCHS * len(units), 0
@@ -175,7 +178,7 @@ def fold_of(id_col: Column, folds: int = 4) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 2, rows: int = SAMPLE_ROWS) -> Model:
-    """A model of the labelled rows outside the held-out fold, from at most `rows`, and SAMPLE_BYTES of text, of each language.
+    """A model of the labelled rows outside the held-out fold, from at most `rows` of each language and within the bounds on bytes.
 
     Rows are drawn where a hash of the id falls below a share that makes about 1.5
     times as many, and the first by hash are taken, so the sample is the same in each run.
@@ -187,13 +190,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return train([])
-    scale = 1 << 30
+    scale, part = 1 << 30, min(SAMPLE_BYTES, TOTAL_BYTES // len(counts))
     order = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(scale))
     limit = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(scale * min(1.0, (1.5 * rows + 50) / n)))))
-    drawn = known.withColumn("order", order).filter((F.col("order") < limit[F.col("lang")]) & (size <= SAMPLE_BYTES // LARGEST_PART))
+    drawn = known.withColumn("order", order).filter((F.col("order") < limit[F.col("lang")]) & (size <= min(part, SAMPLE_BYTES // LARGEST_PART)))
     by_order = Window.partitionBy("lang").orderBy("order", "id")
     first = drawn.withColumn("place", F.row_number().over(by_order)).filter(F.col("place") <= rows)
-    taken = first.withColumn("bytes", F.sum(size).over(by_order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("bytes") <= SAMPLE_BYTES).orderBy("lang", "place").select(F.col("text").cast("binary").alias("text"), "lang")
+    taken = first.withColumn("bytes", F.sum(size).over(by_order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("bytes") <= part).orderBy("lang", "place").select(F.col("text").cast("binary").alias("text"), "lang")
     return train([(bytes(r["text"] or b""), r["lang"]) for r in taken.toLocalIterator()])
 
 
