@@ -23,6 +23,31 @@ def test_rows_match_sql(spark, sf_dir, name):
     assert plain(found.columns, found.collect()) == plain(wanted.columns, wanted.fetchall())
 
 
+def test_licences_match_sql_on_whole_texts(spark, tmp_path):
+    """All known texts, wrapped, spelt otherwise and under statements of a copyright; and lines that only look like one."""
+    import random
+    import textwrap
+
+    from pulsegrid.llm import licences
+
+    rng, texts = random.Random(5), [None, "", "\n", "© \n", "Copyright law\nSPDX-License-Identifier: MIT"]
+    whole = [x for x in licences.LICENCES + licences.entire_texts() if len(x[1]) > 200]
+    heads = ["", "Copyright (c) 2020, Someone\nAll rights reserved.\n\n", "Copyright The Some Authors\n\n", "Copyright [yyyy] [name]\r\n", "© Someone\n", "\tCOPYRIGHT BY Someone\n", "(C) copyright someone\n", "(c)2020 x\n", "copyright 1999\n"]
+    heads += ["copyright in 2020\n", "Copyright laws 2020\n", "copyright 20201\n", "(c) 12020 x\n", "copyrighted 2020\n", "Copyright\n", "All rights reserved by x\n", "x\rCopyright 2020 y\n", "All Rights Reserved. \r\n", "copyright notice (c) 2020\n"]
+    for name, text in whole:
+        for head in heads:
+            paragraphs = "\n\n".join(textwrap.fill(p, rng.randrange(20, 100)) for p in text.split("\n\n")) if rng.random() < 0.5 else text
+            texts.append(head + (paragraphs.replace("license", "licence") if rng.random() < 0.3 else paragraphs.upper() if rng.random() < 0.2 else paragraphs))
+    texts += [head + f"{rng.choice(['', '* ', '# '])}{notice}\r\n{rng.choice(heads)}{notice.lower()}" for _, notice in licences.LICENCES + licences.HEADERS if len(notice) <= 200 for head in heads]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found, wanted = QUERIES["op2_licence_scan"](spark, str(tmp_path)), con.sql(ORACLE_SQL["op2_licence_scan"])
+    rows = plain(found.columns, found.collect())
+    assert rows == plain(wanted.columns, wanted.fetchall())
+    assert {r[1] for r in rows} > {name for name, _ in whole} and any(r[2] not in ("None", "0") for r in rows)
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 

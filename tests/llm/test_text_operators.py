@@ -505,6 +505,15 @@ def test_licences(spark, odd, clashing, empty):
         assert licences.scan_licences(docs, licences.known_licences(spark)).count() == n
 
 
+def test_licences_by_either_join(spark, documents, monkeypatch):
+    """Known digests in every task, or met by an equi-join where there are too many of them."""
+    rows = documents.unionByName(documents.limit(5))
+    scan = lambda: sorted(map(str, licences.scan_licences(rows, licences.known_licences(spark)).collect()))
+    by_broadcast = scan()
+    monkeypatch.setattr(licences, "MOST_BROADCAST", 0)
+    assert scan() == by_broadcast and "MIT" in str(by_broadcast)
+
+
 def test_languages(spark, odd, clashing, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs)
@@ -573,6 +582,19 @@ def test_many_matches_in_one_text(spark):
     assert (rows[1]["last"]["start"], rows[1]["last"]["was_valid"], rows[2]["last"]["was_valid"]) == (9 * n - 9, True, False)
 
 
+def test_hot_values_meet_their_verdict_where_they_are(spark, monkeypatch):
+    """A value in a third of all rows, and rare ones; whichever are hot, the join is the plain one."""
+    rows = [(i, "hot" if i % 3 else f"v{i % 50}", f"o{i % 4}", str(i)) for i in range(6000)]
+    each = spark.createDataFrame(rows, "row long, hash string, owner string, repository string")
+    owned = secrets.ownership(each)
+    wanted = sorted(map(str, each.join(owned, "hash").select("row", "hash", "n_owners", "n_repositories", "n_uses").collect()))
+    for share in (1, 2, 50, 1000, 10**6):
+        monkeypatch.setattr(secrets, "HOT_SHARE", share)
+        assert sorted(map(str, secrets.with_ownership(each, owned).select("row", "hash", "n_owners", "n_repositories", "n_uses").collect())) == wanted
+    nothing = each.filter("false")
+    assert secrets.with_ownership(nothing, secrets.ownership(nothing)).count() == 0
+
+
 def test_repositories_make_examples(spark):
     text = "token=Zz9abcdefgh12345678"
     docs = spark.createDataFrame([(i, text, "a") for i in range(6)] + [(9, "secret=Qq8abcdefgh12345678", "a")], "doc_id long, text string, source string")
@@ -742,6 +764,19 @@ def test_samples_are_bounded_in_bytes_and_labels(spark, monkeypatch):
     assert len(sizes) == 3 and "l4" in sizes and all(3900 < n <= 4000 for n in sizes.values())
 
 
+def test_samples_of_many_labels_are_bounded_in_all(spark, monkeypatch):
+    """Three hundred labels: the most frequent share the total bound, each with some rows."""
+    taken = []
+    monkeypatch.setattr(language_id, "train", lambda samples: taken.extend(samples))
+    monkeypatch.setattr(language_id, "TOTAL_BYTES", 200 * 500)
+    rows = [(i, "word " * (10 if i % 7 else 30), f"l{i % 300}") for i in range(30_000)]
+    language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sizes = {}
+    for text, lang in taken:
+        sizes[lang] = sizes.get(lang, 0) + len(text)
+    assert len(sizes) == language_id.MOST_LANGUAGES and sum(sizes.values()) <= language_id.TOTAL_BYTES and all(300 < n <= 500 for n in sizes.values())
+
+
 def test_hot_groups_join_in_parts(spark):
     rows = [(i, "a  b" if i % 3 else f"text {i % 50}") for i in range(5000)] + [(None, None), (6000, "a b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
