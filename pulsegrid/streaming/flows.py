@@ -109,16 +109,16 @@ def stream_window(samples: DataFrame, agg: str, step: str, since_us: int = 0, wa
     if agg in PERCENTILES:
         counts = rows.groupBy(span.alias("closed"), "series", "value").agg(F.count(F.lit(1)).alias("n"))
         again = F.window(F.window_time("closed"), f"{width} microseconds", startTime=f"{since_us % width} microseconds")
-        out = counts.groupBy(again, "series").agg(_order_statistic(F.array_sort(F.collect_list(F.struct("value", "n"))), PERCENTILES[agg]).alias("value"))
+        closed = counts.groupBy(again, "series").agg(F.collect_list(F.struct("value", "n")).alias("counts"), F.sum("n").alias("whole"))
+        place = F.floor((F.col("whole") - 1) * F.lit(PERCENTILES[agg]))
+        out = closed.select("window", "series", _at_place(F.sort_array("counts"), place).alias("value"))
     else:
         out = rows.groupBy(span, "series").agg(AGGREGATORS[agg]("value").alias("value"))
     return out.select("series", F.col("window.end").alias("ts"), "value")
 
 
-def _order_statistic(counts: Column, p: float) -> Column:
-    """The value at place floor((n - 1) p) of counted values in order."""
-    whole = F.aggregate(counts, F.lit(0).cast("long"), lambda n, x: n + x["n"])
-    place = F.floor((whole - 1) * F.lit(p))
+def _at_place(counts: Column, place: Column) -> Column:
+    """The value at a place of counted values in order; `place` is worked out at every value, so it must be a column, not a walk over them."""
     start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("double").alias("value"))
     step = lambda s, x: F.struct((s["upto"] + x["n"]).alias("upto"), F.when(s["upto"] <= place, x["value"]).otherwise(s["value"]).alias("value"))
     return F.aggregate(counts, start, step, lambda s: s["value"])

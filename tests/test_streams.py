@@ -142,6 +142,17 @@ def test_stream_percentiles_count_values(spark, tmp_path):
     assert "collect_list(struct(value" in plan and plan.count("Aggregate") == 2
 
 
+def test_a_percentile_walks_over_a_window_s_values_once(spark, tmp_path):
+    """Not once more for each value, which made a window of many values quadratic."""
+    n = 20_000
+    many = [sample(i / n / 2, float((i * 7919) % n)) for i in range(n)]
+    stream = stream_of(spark, tmp_path, SCHEMA, [many, [sample(30, 1.0)]])
+    plan = flows.stream_window(spark.createDataFrame(many[:1], SCHEMA), "p95", "1h")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and plan.count("sort_array(") == 1
+    out = finished(flows.stream_window(stream, "p95", "1h", watermark="1 hour"), tmp_path)
+    assert [r["value"] for r in out.collect()] == [float(int((n - 1) * 0.95))]
+
+
 def test_live_views_show_their_tenant_s(spark):
     rows = spark.createDataFrame([("cpu", "gauge", 1.0, T0, {"tenant": "tenant-a"}, 0), ("mem", "gauge", 2.0, T0, {"tenant": "tenant-b"}, 0), ("net", "gauge", 3.0, T0, {}, 0)], SCHEMA)
     clients = spark.createDataFrame([("x", "tenant-a"), ("y", "tenant-b"), ("all", ""), ("none", None)], "client string, tenant string")
