@@ -19,6 +19,8 @@ from pulsegrid.streaming import flows, states
 RATE, BURST = 1 / 7200, 3
 #: Files that a week of samples comes in.
 FILES = 4
+#: Batches that a stream in no order of time comes in.
+BATCHES = 4
 #: The last time with alerts of `stream_alert_ticks`.
 QUIET = 30
 LAST_DAY = 1_706_400_000_000_000
@@ -32,11 +34,14 @@ def _folder(spark: SparkSession) -> str:
     return new_path(spark, "stream")
 
 
-def _stream_of(spark: SparkSession, df: DataFrame, files: int | None = None) -> DataFrame:
-    """A table's rows as a stream, through files in the shared folder."""
-    path = _folder(spark)
-    (df.repartition(files) if files else df).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1 if files else 1000).parquet(path)
+def _stream_of(spark: SparkSession, df: DataFrame, batches: int | None = None) -> DataFrame:
+    """A table's rows as a stream, through files in the shared folder; where it comes in several batches, a batch has a file for each core.
+
+    A file is read and parsed by one task, so one for a batch would leave all others idle.
+    """
+    path, each = _folder(spark), spark.sparkContext.defaultParallelism if batches else 1000
+    (df.repartition(batches * each) if batches else df).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def _finished(df: DataFrame) -> DataFrame:
@@ -55,11 +60,11 @@ def stream_ingest(spark, sf_dir):
 
 
 def stream_accounting(spark, sf_dir):
-    """Counts of a stream of batches with faults of lines and of samples, in several files; samples of the last day are kept out."""
+    """Counts of a stream of batches with faults of lines and of samples, in several batches; samples of the last day are kept out."""
     path = _folder(spark)
     name = F.when(F.col("event_id") % 11 == 2, F.concat("event_type", F.lit(" x"))).otherwise(F.col("event_type"))
     runner = flows.IngestRunner(path, tenant=_tenant(), refuse=F.unix_micros("ts") >= LAST_DAY)
-    flows.stream_ingest(_stream_of(spark, _json_batches(spark, sf_dir, name), FILES), runner, f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    flows.stream_ingest(_stream_of(spark, _json_batches(spark, sf_dir, name), BATCHES), runner, f"{path}-state").trigger(availableNow=True).start().awaitTermination()
     counts = F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).alias("n")) for c in ("ingested", "stored", "invalid", "failed", "refused")))
     out = spark.read.parquet(f"{path}/counts").select(F.explode(counts).alias("c")).groupBy("c.what").agg(F.sum("c.n").alias("n"))
     for kept in ("samples", "rejected", "refused"):
@@ -83,7 +88,7 @@ def stream_dedup(spark, sf_dir):
 def stream_live(spark, sf_dir):
     """The live views of three clients, one without a tenant, from one stream."""
     clients = spark.createDataFrame([("all", None), ("a", "t0"), ("b", "t1")], "client string, tenant string")
-    feeds = ingest.live_feeds(_stream_of(spark, events.samples(spark, sf_dir), FILES), clients)
+    feeds = ingest.live_feeds(_stream_of(spark, events.samples(spark, sf_dir), BATCHES), clients)
     return _finished(feeds).select("client", "name", "type", rounded(), us("timestamp").alias("us"), text().alias("labels"))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.rules import Rule
+from pulsegrid.plans import streams
 from pulsegrid.sources import ingest
 from pulsegrid.streaming import flows
 
@@ -158,3 +159,17 @@ def test_live_views_show_their_tenant_s(spark):
     clients = spark.createDataFrame([("x", "tenant-a"), ("y", "tenant-b"), ("all", ""), ("none", None)], "client string, tenant string")
     got = sorted((r["client"], r["name"]) for r in ingest.live_feeds(rows, clients).collect())
     assert got == [("all", "cpu"), ("all", "mem"), ("all", "net"), ("none", "cpu"), ("none", "mem"), ("none", "net"), ("x", "cpu"), ("y", "mem")]
+
+
+def taken(stream, folder):
+    """For each batch of a stream: its rows' numbers and how many tasks read them."""
+    out = []
+    see = lambda batch, n: out.append([(r["n"], r["task"]) for r in batch.select("n", F.spark_partition_id().alias("task")).collect()])
+    stream.writeStream.foreachBatch(see).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return [(sorted(n for n, _ in rows), len({task for _, task in rows})) for rows in out]
+
+
+def test_all_cores_read_a_batch(spark, tmp_path):
+    batches = taken(streams._stream_of(spark, spark.range(1000).withColumnRenamed("id", "n"), 3), tmp_path)
+    assert sorted(n for rows, _ in batches for n in rows) == list(range(1000))
+    assert [tasks for _, tasks in batches] == [spark.sparkContext.defaultParallelism] * 3
