@@ -17,8 +17,6 @@ from pulsegrid.sources.shared import new_path
 from pulsegrid.streaming import flows, states
 
 RATE, BURST = 1 / 7200, 3
-#: Files that a week of samples comes in.
-FILES = 4
 #: Batches that a stream in no order of time comes in.
 BATCHES = 4
 #: The last time with alerts of `stream_alert_ticks`.
@@ -44,6 +42,18 @@ def _stream_of(spark: SparkSession, df: DataFrame, batches: int | None = None) -
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
+def _arriving(spark: SparkSession, steps: list[DataFrame]) -> DataFrame:
+    """Tables as a stream that takes each as one batch, in their order, from a file for each core."""
+    path, each = _folder(spark), spark.sparkContext.defaultParallelism
+    schema = steps[0].schema
+    for n, df in enumerate(steps, 1):  # one after the other, since files are taken in order of time
+        df.repartition(each).write.mode("append").parquet(path)
+        # A few rows may leave some files out, and the next table's would be taken in their place: empty ones fill up.
+        for _ in range(n * each - len(spark.read.schema(schema).parquet(path).inputFiles())):
+            spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", each).parquet(path)
+
+
 def _finished(df: DataFrame) -> DataFrame:
     """All rows that a stream puts out until its input ends."""
     path = _folder(df.sparkSession)
@@ -73,16 +83,15 @@ def stream_accounting(spark, sf_dir):
 
 
 def stream_dedup(spark, sf_dir):
-    """Four files in order of time; each repeats the one before with other values, and the last also some of the first."""
-    root = _folder(spark)
+    """Four batches in order of time; each repeats the one before with other values, and the last also some of the first."""
     rows = events.samples(spark, sf_dir).withColumn("labels", F.create_map(F.lit("event"), F.col("event_id").cast("string")))
     week = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
+    steps = []
     for n in range(4):
         again = rows.filter(week == n - 1).withColumn("value", F.col("value") + 1000)
         late = rows.filter((week == 0) & (F.lit(n) == 3) & (F.col("event_id") % 50 == 0)).withColumn("value", F.col("value") + 2000)
-        rows.filter(week == n).unionByName(again).unionByName(late).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    return _finished(flows.stream_dedup(stream, "10 days")).select("event_id", rounded(), us().alias("us"))
+        steps.append(rows.filter(week == n).unionByName(again).unionByName(late))
+    return _finished(flows.stream_dedup(_arriving(spark, steps), "10 days")).select("event_id", rounded(), us().alias("us"))
 
 
 def stream_live(spark, sf_dir):
@@ -107,9 +116,7 @@ def stream_rules(spark, sf_dir):
     root = _folder(spark)
     samples = events.samples(spark, sf_dir)
     week_of = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
-    for week in range(4):  # one after the other, so the stream takes them in order of time
-        samples.filter(week_of == week).repartition(FILES).write.mode("append").parquet(f"{root}/in")
-    rows = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", FILES).parquet(f"{root}/in")
+    rows = _arriving(spark, [samples.filter(week_of == week) for week in range(4)])
     runner = flows.RuleRunner(alerting.RULE, lambda e: e.metric("purchase").instant() > 60.0, f"{root}/table", f"{root}/results", GRID.start, LOOKBACK)
     flows.stream_rules(rows, runner, f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.option("basePath", f"{root}/results").parquet(f"{root}/results/batch=*")

@@ -173,3 +173,12 @@ def test_all_cores_read_a_batch(spark, tmp_path):
     batches = taken(streams._stream_of(spark, spark.range(1000).withColumnRenamed("id", "n"), 3), tmp_path)
     assert sorted(n for rows, _ in batches for n in rows) == list(range(1000))
     assert [tasks for _, tasks in batches] == [spark.sparkContext.defaultParallelism] * 3
+
+
+def test_tables_arrive_one_by_one_read_by_all_cores(spark, tmp_path):
+    """Also those with too few rows for a file for each core, or none."""
+    bounds = [(0, 400), (400, 401), (401, 401), (401, 900)]
+    tables = [spark.range(a, b).withColumnRenamed("id", "n") for a, b in bounds]
+    batches = taken(streams._arriving(spark, tables), tmp_path)
+    assert [rows for rows, _ in batches] == [list(range(a, b)) for a, b in bounds]
+    assert batches[0][1] == batches[3][1] == spark.sparkContext.defaultParallelism
