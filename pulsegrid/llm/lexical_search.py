@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pulsegrid.llm.common import Scratch, as_bytes, chunks, enter
+from pulsegrid.llm.common import Scratch, as_bytes, chunks, enter, one_by_one
 from pulsegrid.llm.words import SIGNS, word_hashes
 
 TOP = 20
@@ -148,7 +148,7 @@ def document_frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["term", "df"])
 
     out = np.zeros(len(vocabulary), dtype=np.int64)
-    found = index.select("terms", "df").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    found = one_by_one(index.select("terms", "df")).mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     for row in found.toLocalIterator():  # at most one for each term of the block
         out[row["term"]] = row["df"]
     return out
@@ -257,13 +257,13 @@ def _search(index: DataFrame, items: Items, weights: np.ndarray, totals: tuple[i
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], names=schema.names)
 
-    return index.select("ids", "n_terms", "terms", "counts", "places", "tf", "sketches").mapInArrow(run, schema)
+    return one_by_one(index.select("ids", "n_terms", "terms", "counts", "places", "tf", "sketches")).mapInArrow(run, schema)
 
 
 def rank_documents(docs: DataFrame, items: DataFrame, top: int = TOP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The `top` highest-scoring documents of each item: item, rank, document, score."""
     scratch = Scratch(docs.sparkSession, "search")
-    index = scratch.save(build_index(docs, id_col, text_col), "index")
+    index = scratch.save(build_index(docs, id_col, text_col), "index", group_rows=1)
     return search(index, items, scratch, top, item_col, item_text_col).select(F.col("item").alias(item_col), "rank", F.col("document").alias(id_col), "score")
 
 

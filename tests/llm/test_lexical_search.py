@@ -1,16 +1,19 @@
 """Ranked search against plain Python, its bounds and thresholds, and odd tables."""
 
+import glob
 import math
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import lexical_search as search
-from pulsegrid.llm.common import Scratch
+from pulsegrid.llm.common import Scratch, one_by_one
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -114,3 +117,30 @@ def test_index_holds_every_row(spark, made):
     docs, _ = frames(spark, made)
     index = Scratch(spark, "test").save(search.build_index(docs), "index")
     assert index.select(F.explode("ids")).count() == len(made[0])
+
+
+def test_a_task_holds_one_segment_however_many_it_reads(spark, made, monkeypatch):
+    monkeypatch.setattr(search, "SEGMENT_BYTES", 2000)
+    docs, items = frames(spark, made)
+    files = f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/search-*/index/*.parquet"
+    before = set(glob.glob(files))
+    assert rows_of(search.rank_documents(docs, items)) == model(*made, 20)
+    stored = [pq.ParquetFile(p).metadata for p in set(glob.glob(files)) - before]
+    assert max(m.num_row_groups for m in stored) > 3
+    groups = [m.row_group(i) for m in stored for i in range(m.num_row_groups)]
+    assert {g.num_rows for g in groups} == {1}  # the reader decodes a row group at once
+    assert not any(g.column(i).is_stats_set for g in groups for i in range(g.num_columns))  # the writer holds them until the file ends
+
+
+def test_rows_one_by_one(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([sum(batch.column(0).to_pylist())], pa.int64())], names=["rows", "sum"])
+
+    table = spark.range(0, 40, 1, 2)
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    assert len(table.mapInArrow(sizes, "rows long, sum long").collect()) == 2
+    apart = one_by_one(table)
+    assert apart.collect() == table.collect()
+    assert sorted(map(tuple, apart.mapInArrow(sizes, "rows long, sum long").collect())) == [(1, i) for i in range(40)]
+    assert len(table.mapInArrow(sizes, "rows long, sum long").collect()) == 2 and spark.conf.get(most) == "10000"
